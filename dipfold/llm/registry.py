@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfold.llm import quality_rules, simhash
+from dipfold.llm import mixing, quality_rules, simhash, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,13 +16,21 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_dedup, op7_quality_rules)}
+    return {f.__name__: f for f in (op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing)}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op4_url_filters": url_rules.ORACLE}

@@ -83,3 +83,19 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | p
                 yield out
 
     return df.mapInArrow(run, schema)
+
+
+def share(spark: SparkSession, kind: type, fields: dict) -> Callable[[], object]:
+    """Broadcast an object by its plain fields; the function returned gives each task one object of ``kind`` made from them.
+
+    Callers see to it that the fields are of bounded size.
+    """
+    sent = spark.sparkContext.broadcast(fields)
+    made: dict = {}
+
+    def get() -> object:
+        if not made:
+            made[0] = kind(**sent.value)
+        return made[0]
+
+    return get

@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfold.llm import mixing, quality_rules, simhash, url_rules
+from dipfold.llm import mixing, quality_model, quality_rules, simhash, toxicity, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +37,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing)}
 
 
 def oracles() -> dict[str, str]:

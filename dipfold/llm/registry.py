@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfold.llm import mixing, quality_model, quality_rules, simhash, toxicity, url_rules
+from dipfold.llm import mixing, pii, quality_model, quality_rules, simhash, toxicity, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,12 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.judge(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing, op9_pii)}
 
 
 def oracles() -> dict[str, str]:

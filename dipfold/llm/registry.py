@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfold.llm import mixing, pii, quality_model, quality_rules, simhash, toxicity, url_rules
+from dipfold.llm import decontaminate, mixing, pii, quality_model, quality_rules, simhash, toxicity, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +40,12 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.judge(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing, op9_pii)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
 
 
 def oracles() -> dict[str, str]:

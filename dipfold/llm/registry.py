@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dipfold.llm import decontaminate, mixing, pii, quality_model, quality_rules, repeats, simhash, toxicity, url_rules
+from dipfold.llm import decontaminate, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts, toxicity, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.rollup(table(spark, sf_dir, "documents"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.judge(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op5_token_counts, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
 
 
 def oracles() -> dict[str, str]:

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from dipfold.llm import decontaminate, mixing, pii, quality_model, quality_rules, repeats, simhash, token_counts, toxicity, url_rules
 from dipfold.llm.common import table
 
@@ -53,7 +54,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op5_token_counts, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op5_token_counts, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
 
 
 def oracles() -> dict[str, str]:

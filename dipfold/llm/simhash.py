@@ -200,7 +200,8 @@ def first_of_group(docs: DataFrame) -> DataFrame:
     """
     marked = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
     heads = cut(marked, "heads")
-    kept = docs.join(heads.select(F.col("doc_id").alias("_head")), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    # a shuffled join at every size: how much is moved follows the input, and nothing is broadcast on a guess
+    kept = docs.join(heads.select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
     if heads.where("n > 1").isEmpty():
         return kept
     columns = [c for c in docs.columns if c != "doc_id"]

@@ -24,6 +24,7 @@ MAX_SHARDS = 1024
 SHARD_SLOTS = 8192
 BUCKET_ROWS = 512
 RUN = 4096
+TASK_SLOTS, MAX_TASKS = 1 << 16, 20_000
 CELLS = 4096
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -129,7 +130,9 @@ def schedule(goals: DataFrame, slots: int) -> DataFrame:
         "a", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(RUN).cast("long")))
     )
     j = F.explode(F.sequence("a", F.least("hi", F.col("a") + RUN) - 1))
-    d = spread.repartition("src", "a").select("shard", "src", j.alias("j")).join(goals.select("src", "blocks"), "src")
+    # a run is a few bytes but thousands of slots: the number of tasks follows the slots, not the bytes
+    tasks = min(MAX_TASKS, max(1, -(-slots // TASK_SLOTS)))
+    d = spread.repartition(tasks, "src", "a").select("shard", "src", j.alias("j")).join(goals.select("src", "blocks"), "src")
     d = d.withColumn("turn", F.floor(F.col("j") / F.col("blocks")).cast("long")).withColumn("i", F.pmod("j", "blocks"))
     return d.select("shard", "src", permuted(F.col("i"), F.col("blocks"), F.col("src"), F.col("turn")).alias("index"))
 
@@ -174,10 +177,10 @@ def mix(
     per = cut(per, "sources")
     goals = cut(targets(per.select("src", "source_size"), weights, repeats), "targets")
     plan = cut(quotas(goals, block), "quotas")
-    found = per.agg(F.sum("rows").alias("n")).crossJoin(plan.agg(F.sum("quota").alias("slots"))).first()
-    placed = laid_out(sized, found.n or 0)
-    if found.slots:
-        times = schedule(plan, found.slots).groupBy("src", "index").agg(F.count("*").alias("times"))
+    rows, slots = per.agg(F.sum("rows")).first()[0], plan.agg(F.sum("quota")).first()[0]
+    placed = laid_out(sized, rows or 0)
+    if slots:
+        times = schedule(plan, slots).groupBy("src", "index").agg(F.count("*").alias("times"))
         first, last = F.floor(F.col("at") / block).cast("long"), F.floor((F.col("at") + F.col("size") - 1) / block).cast("long")
         placed = cut(placed, "placed")
         parts = placed.where("size > 0").withColumn("index", F.explode(F.sequence(first, last)))

@@ -58,7 +58,7 @@ def upserted(existing: DataFrame, incoming: DataFrame, key: list[str]) -> DataFr
 
 def head_per_group(d: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
     w = Window.partitionBy(group).orderBy(*order)
-    return d.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    return d.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
 
 
 def sample_groups(d: DataFrame, key: str, n: int, seed: int) -> DataFrame:

@@ -21,7 +21,7 @@ def group_split(spark, d):
     return L.split(table(spark, d, "orders"), "o_custkey").select("o_orderkey", "part")
 
 
-@query(f"SELECT {H(seed=0, key='o_custkey')} % 5 AS fold, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM orders GROUP BY ALL")
+@query(f"SELECT CAST({H(seed=0, key='o_custkey')} % 5 AS INTEGER) AS fold, count(*) AS n, count(DISTINCT o_custkey) AS groups FROM orders GROUP BY ALL")
 def group_folds(spark, d):
     o = table(spark, d, "orders").withColumn("fold", L.fold_of(F.col("o_custkey")))
     return o.groupBy("fold").agg(F.count("*").alias("n"), F.countDistinct("o_custkey").alias("groups"))

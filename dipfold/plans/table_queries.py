@@ -216,7 +216,7 @@ def rank_queue(spark, d):
     from pyspark.sql import Window
 
     top = relational.ranked(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), F.asc("c_custkey"))))
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), F.asc("c_custkey"))).cast("long"))
 
 
 @query(

@@ -1,16 +1,20 @@
-"""Every query with SQL gives the same rows in Spark and DuckDB; the others run."""
+"""Every query with SQL gives the same columns, types and rows in Spark and DuckDB; the others run."""
 
 from __future__ import annotations
 
 import pytest
 
 from dipfold.plans import registry
-from tests.oracle import difference
+from tests.oracle import difference, duck
+
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_as_sql(spark, small, name):
     assert difference(spark, registry.QUERIES[name], registry.ORACLES[name], small) == ""
+    types = {r[0]: r[1] for r in duck(small).execute("DESCRIBE " + registry.ORACLES[name]).fetchall()}
+    assert {c: TYPES[t] for c, t in registry.QUERIES[name](spark, small).dtypes} == types
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))

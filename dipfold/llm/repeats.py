@@ -27,6 +27,8 @@ from dipfold.llm.common import cut, map_texts, n_words
 
 MIN_MATCH = 50
 SEED = 8
+#: Bytes by which a word is told from others in a suffix.
+WIDTH = 4
 #: Salt of the word hashes.
 SALT = 11
 
@@ -196,8 +198,14 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
     left = _array(suffixes, "before", "after", least).select("key", "at", F.col("y").alias("r"), F.col("x").alias("l"))
     best = F.max(F.when(F.col("r") + F.col("l") >= least, F.struct((F.col("r") + F.col("l")).alias("n"), "r", "l")))
     per = cut(right.union(left).groupBy("key", "at").agg(F.max("r").alias("far"), F.max("l").alias("back"), best.alias("best")).where(F.col("far") + F.col("back") >= least), "matches")
-    sure = per.where("best.r = far AND best.l = back").select("key", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("far")).alias("stop"))
-    open_ = per.where("best IS NULL OR best.r <> far OR best.l <> back").join(suffixes, ["key", "at"])
+    known = per.where("best IS NOT NULL").select("key", (F.col("at") - F.col("best.l")).alias("start"), (F.col("at") + F.col("best.r")).alias("stop"))
+    known = cut(merged(known), "known")
+    # undecided and not within what is known to repeat anyway
+    reach = F.exists("spans", lambda s: (s["start"] <= F.col("at") - F.col("back")) & (s["stop"] >= F.col("at") + F.col("far")))
+    unsure = per.where("best IS NULL OR best.r <> far OR best.l <> back").join(known, "key", "left").where(~F.coalesce(reach, F.lit(False)))
+    unsure = cut(unsure.select("key", "at"), "unsure")
+    seeds = suffixes.join(per.select("key", "at", "far", "back"), ["key", "at"]).withColumn("seed", F.substring("after", 1, WIDTH * seed))
+    open_ = seeds.join(unsure, ["key", "at"], "left_semi")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, starts, hashes = [], [], []
@@ -211,14 +219,15 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
         at, h = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*hashes, np.zeros(0, np.uint64)])
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at), pa.array(h.view(np.int64))], ["key", "start", "window"])
 
-    # every window around an undecided suffix is counted over all suffixes that could hold it
+    # a window around an undecided suffix can only occur around suffixes with the same seed
     some = cut(_windows(open_.select("key", "at", "far", "back", "after", "before"), windows), "windows")
-    asked = some.select("window").distinct()
-    others = per.where("best.r = far AND best.l = back").join(suffixes, ["key", "at"]).select("key", "at", "far", "back", "after", "before")
-    known = _windows(others, windows).join(asked, "window", "left_semi") if not asked.isEmpty() else some.limit(0)
-    twice = some.unionByName(known).dropDuplicates(["key", "start"]).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
-    settled = some.join(twice, "window", "left_semi").select("key", "start", (F.col("start") + least).alias("stop"))
-    return sure.unionByName(settled)
+    alike = seeds.join(cut(open_.select("seed").distinct(), "seeds"), "seed", "left_semi").join(unsure, ["key", "at"], "left_anti")
+    others = _windows(alike.select("key", "at", "far", "back", "after", "before"), windows)
+    others = others.join(cut(some.select("window").distinct(), "asked"), "window", "left_semi")
+    twice = some.unionByName(others).dropDuplicates(["key", "start"]).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")
+    settled = some.join(cut(twice, "twice"), "window", "left_semi").select("key", "start", (F.col("start") + least).alias("stop"))
+    flat = known.select("key", F.explode("spans").alias("s")).select("key", "s.start", "s.stop")
+    return flat.unionByName(settled)
 
 
 def _windows(suffixes: DataFrame, work) -> DataFrame:

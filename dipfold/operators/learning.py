@@ -12,6 +12,7 @@ FEATURES = ("depth", "width", "asymmetry", "snr", "odd_even_diff", "secondary_de
 #: Catalogue columns that give the label away or are not measurements; they are never features.
 LEAKAGE = ("koi_depth_ppm", "koi_duration_hours", "koi_period_days", "koi_num_transits")
 FAR = 1e12
+GROUP_ROWS = 10_000
 
 
 def is_test(group: Column, seed: int, share: float = 0.2) -> Column:
@@ -122,18 +123,21 @@ def importances(model, features: list[str]) -> dict[str, float]:
 def permutation_importance(model, d: DataFrame, features: list[str], label: str, key: str, repeats: int = 5, threshold: float = 0.25) -> DataFrame:
     """Loss of accuracy when one feature is dealt anew among the rows: ``(feature, mean, std)``.
 
-    Rows are numbered by two hash orders and meet by number, so a permutation is two sorts and a join.
+    Rows fall into random groups of about GROUP_ROWS and are dealt anew within their group: each group's rows are numbered in two hash orders
+    and meet by number, so no task sorts the whole table.
     """
     spark = d.sparkSession
     base = d.select(key, label, *features)
     hit = lambda t: scored(model, t, features).agg(F.avg(F.when((F.col("score") >= threshold) == (F.col(label) == 1), 1.0).otherwise(0.0))).first()[0]
     plain = hit(base)
+    groups = max(1, -(-base.count() // GROUP_ROWS))
+    base = base.withColumn("_g", F.pmod(X.hash_unit(F.col(key), "group"), F.lit(groups)))
     out = []
     for f in features:
         for r in range(repeats):
-            a = base.withColumn("_i", F.row_number().over(Window.orderBy(X.hash_unit(F.col(key), f"a{r}"), key)))
-            b = base.select(F.col(f).alias("_v"), F.row_number().over(Window.orderBy(X.hash_unit(F.col(key), f"{f}{r}"), key)).alias("_i"))
-            out.append((f, plain - hit(a.join(b, "_i").withColumn(f, F.col("_v")).drop("_v", "_i"))))
+            a = base.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy(X.hash_unit(F.col(key), f"a{r}"), key)))
+            b = base.select("_g", F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("_g").orderBy(X.hash_unit(F.col(key), f"{f}{r}"), key)).alias("_i"))
+            out.append((f, plain - hit(a.join(b, ["_g", "_i"]).withColumn(f, F.col("_v")).drop("_v", "_i", "_g"))))
     rows = spark.createDataFrame(out, "feature string, loss double")
     return rows.groupBy("feature").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std"))
 

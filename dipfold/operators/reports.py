@@ -111,7 +111,7 @@ def occupancy_bias(d: DataFrame) -> DataFrame:
 
 
 def error_rank_correlation(d: DataFrame, other: str) -> DataFrame:
-    return stats.spearman(with_error(d).withColumn("all", F.lit(0)), "rel_error", other, ["all"]).drop("all")
+    return stats.spearman(with_error(d), "rel_error", other, [])
 
 
 def window_scan_summary(scan: DataFrame, sparse_below: float | None = None) -> DataFrame:

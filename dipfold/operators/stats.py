@@ -29,18 +29,37 @@ def histogram(d: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     return d.withColumn("bin", X.in_bands(value, edges, "left")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties at their mean."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+EDGES = 64
+
+
+def average_ranks(d: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """``(by, value, name)``: the rank of each distinct value, ties at their mean.
+
+    Only distinct values with their counts are ranked, so a value that very many rows share is one row. Without ``by`` the values are
+    first cut into ranges at approximate quantiles, so no task ranks the whole table.
+    """
+    n = d.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    if by:
+        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+        return n.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    points = n.agg(F.percentile_approx(value, F.array(*(F.lit(k / EDGES) for k in range(1, EDGES))), F.lit(10_000))).first()[0]
+    edges = F.array(*(F.lit(float(e)) for e in sorted(set(points or [0.0]))))
+    n = n.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(value))))
+    totals = n.groupBy("_range").agg(F.sum("_n").alias("_t"))  # at most EDGES rows
+    offset = F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    n = n.join(F.broadcast(totals.select("_range", F.coalesce(offset, F.lit(0)).alias("_o"))), "_range")
+    before = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return n.select(value, (F.col("_o") + F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
 
 
 def spearman(d: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     r = d.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    r = r.withColumns({"_ra": average_rank(a, by), "_rb": average_rank(b, by)})
+    pairs = r.groupBy(*by, a, b).agg(F.count("*").alias("_w"))
+    pairs = pairs.join(average_ranks(r, a, by, "_ra"), [*by, a]).join(average_ranks(r, b, by, "_rb"), [*by, b])
     # sums of whole numbers (twice the ranks) are exact in any order
-    x, y = (2 * F.col("_ra")).cast("decimal(20,0)"), (2 * F.col("_rb")).cast("decimal(20,0)")
-    g = r.groupBy(*by).agg(*(F.sum(e).cast("double").alias(n) for n, e in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))), F.count("*").alias("n"))
+    x, y, w = (2 * F.col("_ra")).cast("decimal(12,0)"), (2 * F.col("_rb")).cast("decimal(12,0)"), F.col("_w").cast("decimal(12,0)")
+    sums = (("sx", w * x), ("sy", w * y), ("sxx", w * x * x), ("syy", w * y * y), ("sxy", w * x * y))
+    g = pairs.groupBy(*by).agg(*(F.sum(e).cast("double").alias(n) for n, e in sums), F.sum("_w").alias("n"))
     n = F.col("n")
     below = F.sqrt((n * F.col("sxx") - F.col("sx") * F.col("sx")) * (n * F.col("syy") - F.col("sy") * F.col("sy")))
     return g.select(*by, X.ratio(n * F.col("sxy") - F.col("sx") * F.col("sy"), below).alias("rho"), "n")

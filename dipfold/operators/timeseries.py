@@ -79,8 +79,9 @@ def with_siblings(koi: DataFrame, everything: DataFrame) -> DataFrame:
     one = F.struct("koi", "period_us", "epoch_us", "duration_us")
     per = everything.groupBy("star_id").agg(F.sort_array(F.collect_list(one)).alias("_all"))
     own = F.filter("_all", lambda s: s["koi"] != F.col("koi"))
-    out = koi.join(per, "star_id", "left").withColumn("siblings", F.coalesce(own, F.array().cast("array<struct<koi:string,period_us:bigint,epoch_us:bigint,duration_us:bigint>>")) if dict(koi.dtypes)["koi"] == "string" else own)
-    return out.drop("_all").withColumn("n_siblings", F.greatest(F.size("siblings"), F.lit(0)))
+    none = F.array().cast(f"array<struct<koi:{dict(koi.dtypes)['koi']},period_us:bigint,epoch_us:bigint,duration_us:bigint>>")
+    out = koi.join(per, "star_id", "left").withColumn("siblings", F.coalesce(own, none))
+    return out.drop("_all").withColumn("n_siblings", F.size("siblings"))
 
 
 def sibling_mask(d: DataFrame) -> DataFrame:

@@ -175,7 +175,8 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
 
     # a text may be read once for each of its copies here; equal rows are one suffix
     found = cut(map_texts(docs.select("key", "text"), select, "key binary, at long, seed long").dropDuplicates(["key", "at"]), "minimisers")
-    shared = found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed")
+    # written, so that the join shuffles both sides itself and can split a seed that very many suffixes have
+    shared = cut(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared")
     wanted = found.join(shared, "seed", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("ats"))
 
     def carry(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -6,7 +6,7 @@ Grouped by candidate: window and mask depend on the candidate, not on the star a
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -78,13 +78,15 @@ def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, order: int = ORDER)
     d = d.withColumn("_mask", mask).withColumn("_v", F.col("flux").cast("double"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("_mask", "_v")) + ", flat double, status string"
 
-    def work(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t_us", kind="stable").reset_index(drop=True)
-        if g["detrend_fallback"].iloc[0] == "none":
-            flat, status = g["_v"].to_numpy(float), "none"
+    def work(g: pa.Table) -> pa.Table:
+        g = g.take(np.argsort(g["t_us"].to_numpy(), kind="stable"))
+        value = g["_v"].to_numpy().astype(float)
+        if g["detrend_fallback"][0].as_py() == "none":
+            flat, status = value, "none"
         else:
-            flat, status = flatten_group(g["t_us"].to_numpy(float), g["_v"].to_numpy(float), g["_mask"].to_numpy(bool), int(g["duration_us"].iloc[0]), gap_factor, order)
-        return g.drop(columns=["_mask", "_v"]).assign(flat=pd.Series(flat).astype(object).where(np.isfinite(flat), None).astype(float), status=status)
+            flat, status = flatten_group(g["t_us"].to_numpy().astype(float), value, g["_mask"].to_numpy(), g["duration_us"][0].as_py(), gap_factor, order)
+        g = g.drop_columns(["_mask", "_v"])
+        g = g.append_column("flat", pa.array(flat, pa.float64(), mask=~np.isfinite(flat)))
+        return g.append_column("status", pa.array([status] * len(flat), pa.string()))
 
-    out = d.groupBy(*T.KEY).applyInPandas(work, schema)
-    return out.withColumn("flat", F.when(~F.isnan("flat"), F.col("flat"))).drop("detrend_fallback")
+    return d.groupBy(*T.KEY).applyInArrow(work, schema).drop("detrend_fallback")

@@ -5,6 +5,7 @@ NULL means the question could not be asked; zero means it was asked and the answ
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -150,8 +151,9 @@ def assembled(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = N
 
     ``flat`` is the masked curve after detrending; without it the curve is measured as it is.
     """
-    d = T.masked(curve, koi, everything) if flat is None else flat
-    bins = T.local_bins(d, n_bins)
+    # the masked (or detrended) curve feeds four branches and the bins five: both are kept, on disk where memory is short
+    d = (T.masked(curve, koi, everything) if flat is None else flat).persist(StorageLevel.MEMORY_AND_DISK)
+    bins = T.local_bins(d, n_bins).persist(StorageLevel.MEMORY_AND_DISK)
     parts = [
         depth(bins, n_bins).select(*KEY, "depth"), width(bins, n_bins).select(*KEY, "width_hours"), asymmetry(bins, n_bins), snr(bins, n_bins), odd_even(d),
         secondary(d), T.detrend_rung(d).select(*KEY, "detrend_masked_fraction", "detrend_fallback"), T.occupancy(bins),

@@ -11,21 +11,28 @@ from dipfold.operators import relational
 RETRY_LIBRARY = ("transient",)
 RETRY_RUNNER = ("transient", "diskfull", "corruptcache")
 #: Fragments of messages and names of error types by class.
-DISK_FULL = ("no space left on device", "enospc")
-CORRUPT = ("not recognized as a supported data product", "corrupt", "truncated")
-TRANSIENT_TYPES = ("ConnectionError", "Timeout", "ReadTimeout", "ConnectTimeout", "HTTPError", "ChunkedEncodingError", "ProtocolError")
-TRANSIENT_WORDS = ("timed out", "timeout", "connection", "temporarily", "reset by peer", "service unavailable")
-NO_DATA_TYPES = ("NoData", "SearchError")
+DISK_FULL = ("no space left on device", "[errno 28]")
+CORRUPT = ("not recognized as a supported data product", "error in reading data product")
+TRANSIENT_TYPES = (
+    "TimeoutError", "ConnectionError", "ConnectionResetError", "ConnectionAbortedError", "BrokenPipeError", "ChunkedEncodingError", "ReadTimeout", "ConnectTimeout",
+    "RemoteDisconnected", "IncompleteRead", "SSLError", "ProtocolError", "HTTPError", "URLError", "timeout",
+)
+TRANSIENT_WORDS = (
+    "timed out", "timeout", "connection", "broken pipe", "max retries", "temporarily unavailable", "temporary failure", "remote end closed",
+    "incompleteread", "service unavailable", "bad gateway", "gateway timeout", "ssl", "eof occurred",
+)
+NO_DATA_TYPES = ("NoDataError", "SearchError")
+#: Codes of a server count as whole numbers only, so that an identifier in a message is not taken for one.
 HTTP_CODES = r"\b(500|502|503|504|429)\b"
 
 
 def precheck(period: Column, epoch: Column, duration: Column, transits: Column) -> Column:
     """The first reason why a candidate cannot be measured; NULL if there is none. An unknown number of events passes."""
     return F.coalesce(
-        F.when(period.isNull() | (period <= 0), "period"),
-        F.when(epoch.isNull(), "epoch"),
-        F.when(duration.isNull() | (duration <= 0), "duration"),
-        F.when(transits < 1, "no transits"),
+        F.when(period.isNull() | (period <= 0), "koi_period missing or non-positive"),
+        F.when(epoch.isNull(), "koi_time0bk missing"),
+        F.when(duration.isNull() | (duration <= 0), "koi_duration missing or non-positive"),
+        F.when(transits < 1, "koi_num_transits is 0"),
     )
 
 

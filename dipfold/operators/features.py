@@ -90,10 +90,12 @@ def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     ``longest``: the longest run below three noises; ``deepest``: the run with the deepest median; ``deepest_min2``: the same
     among runs of two bins or more. A dip of 0 means none was found. Phases are fractions of the period, the circular mean of the run.
     """
-    own = d.groupBy(*KEY, "period_us", "duration_us").agg(F.sum(F.when(~F.col("in_sibling"), 1).otherwise(0)).alias("n_open"))
-    own = own.withColumn("excluded", 4 * F.col("duration_us") / F.col("period_us"))
-    guard = F.when(F.col("n_open") < min_points, "too few points").when(
-        20 * F.col("duration_us") >= 4 * F.col("period_us"), F.format_string("blanking covers %.2f of the orbit", F.col("excluded"))
+    hidden = F.sum(F.when(F.col("in_sibling"), 1).otherwise(0))
+    own = d.groupBy(*KEY, "period_us", "duration_us").agg(F.count("*").alias("n_all"), hidden.alias("n_hidden"))
+    own = own.withColumn("excluded", F.col("n_hidden") / F.col("n_all"))
+    blanked = 4 * F.col("duration_us") / F.col("period_us")
+    guard = F.when((F.col("n_hidden") > 0) & (F.col("n_all") - F.col("n_hidden") < min_points), "too few points left after excluding sibling transits").when(
+        20 * F.col("duration_us") >= 4 * F.col("period_us"), F.format_string("blanking covers %.2f of the orbit", blanked)
     )
     own = own.withColumn("guard", guard)
     bins = secondary_bins(d.where("NOT in_sibling"))
@@ -121,7 +123,7 @@ def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     res = own.join(noise, KEY, "left").join(found, KEY, "left")
     guard = F.coalesce(
         F.col("guard"),
-        F.when(F.coalesce("n_out", F.lit(0)) == 0, "no data outside the blanked phases"),
+        F.when(F.coalesce("n_out", F.lit(0)) == 0, "no data outside the blanked primary"),
         F.when(F.col("base").isNull() | F.col("noise").isNull(), "baseline or noise unmeasurable"),
         F.lit(""),
     )
@@ -130,7 +132,7 @@ def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     cols = [F.when(ok, F.col("noise")).alias("secondary_noise")]
     for name in picks:
         cols.append(F.when(ok, F.coalesce(f"dip_{name}", F.lit(0.0))).alias(f"secondary_depth_{name}"))
-        cols.append(F.when(ok, F.col(f"at_{name}")).alias(f"secondary_phase_{name}"))
+        cols.append(F.when(ok, F.col(f"at_{name}")).alias(f"secondary_phase_fraction_{name}"))
     return res.select(*KEY, F.col("excluded").alias("secondary_exclusion_fraction"), "secondary_guard", *cols)
 
 
@@ -161,7 +163,7 @@ def assembled(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = N
     out = koi.select(*[c for c in koi.columns if c != "siblings"])
     for p in parts:
         out = out.join(p, KEY, "left")
-    out = out.withColumn("secondary_depth", F.col("secondary_depth_deepest_min2"))
+    out = out.withColumns({"secondary_depth": F.col("secondary_depth_deepest_min2"), "width": F.col("width_hours")})
     out = out.withColumn("duration_over_period", X.ratio(F.col("duration_us"), F.col("period_us")))
     failed = F.when(F.col("n_local_points").isNull(), "nodata").otherwise("")
     return out.withColumn("error_kind", failed)

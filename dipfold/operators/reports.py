@@ -74,7 +74,7 @@ def secondary_variants(d: DataFrame) -> DataFrame:
     """For each way to pick the secondary dip: found, zero, median, and how many lie near half a period away."""
     out = None
     for v in VARIANTS:
-        dip, at = F.col(f"secondary_depth_{v}"), F.col(f"secondary_phase_{v}")
+        dip, at = F.col(f"secondary_depth_{v}"), F.col(f"secondary_phase_fraction_{v}")
         g = d.agg(
             F.lit(v).alias("variant"), F.count(dip).alias("measured"), F.count_if(dip > 0).alias("found"), F.count_if(dip == 0).alias("zero"),
             F.median(F.when(dip > 0, dip)).alias("median_found"), F.count_if((dip > 0) & (F.abs(at) > 0.45)).alias("near_half"),
@@ -89,7 +89,7 @@ def guard_causes(d: DataFrame) -> DataFrame:
 
 def secondary_phases(d: DataFrame, variant: str = "deepest_min2") -> DataFrame:
     found = d.where(F.col(f"secondary_depth_{variant}") > 0)
-    return stats.histogram(found, F.abs(f"secondary_phase_{variant}"), PHASE_EDGES)
+    return stats.histogram(found, F.abs(f"secondary_phase_fraction_{variant}"), PHASE_EDGES)
 
 
 def variants_by_disposition(d: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ ATTEMPTS_SQL = """raw AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 +
   CASE WHEN l_quantity <= 3 THEN 'covers ' || CAST(l_linenumber AS VARCHAR) || '.5 of it' END AS error, l_extendedprice / 1e5 AS depth, l_extendedprice * (8 + l_discount * 40) AS koi_depth_ppm,
   CASE WHEN l_linenumber % 2 = 0 THEN '60|1800' ELSE '1800' END AS cadences_seen, l_linestatus AS flux_origin, nullif(l_quantity, 50) AS local_points_per_bin_median,
   l_discount AS secondary_depth_longest, nullif(l_tax, 0.05) AS secondary_depth_deepest, CASE WHEN l_linenumber > 2 THEN l_discount * l_tax END AS secondary_depth_deepest_min2,
-  l_discount * 5 AS secondary_phase_longest, l_tax * -6 AS secondary_phase_deepest, l_discount * 4.9 AS secondary_phase_deepest_min2,
+  l_discount * 5 AS secondary_phase_fraction_longest, l_tax * -6 AS secondary_phase_fraction_deepest, l_discount * 4.9 AS secondary_phase_fraction_deepest_min2,
   CASE WHEN l_linenumber = 1 THEN 'blanking covers 0.' || CAST(l_suppkey AS VARCHAR) || ' of the orbit' ELSE '' END AS secondary_guard, l_linenumber AS n_koi_for_star,
   l_tax AS detrend_masked_fraction, l_returnflag AS detrend_fallback, l_quantity / 100 AS duration_over_period
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
@@ -30,7 +30,7 @@ def attempts(spark, d):
         "CASE WHEN l_quantity <= 3 THEN 'covers ' || CAST(l_linenumber AS STRING) || '.5 of it' END AS error", "l_extendedprice / 1e5D AS depth", "l_extendedprice * (8 + l_discount * 40) AS koi_depth_ppm",
         "CASE WHEN l_linenumber % 2 = 0 THEN '60|1800' ELSE '1800' END AS cadences_seen", "l_linestatus AS flux_origin", "nullif(l_quantity, 50) AS local_points_per_bin_median",
         "l_discount AS secondary_depth_longest", "nullif(l_tax, 0.05D) AS secondary_depth_deepest", "CASE WHEN l_linenumber > 2 THEN l_discount * l_tax END AS secondary_depth_deepest_min2",
-        "l_discount * 5 AS secondary_phase_longest", "l_tax * -6 AS secondary_phase_deepest", "l_discount * 4.9D AS secondary_phase_deepest_min2",
+        "l_discount * 5 AS secondary_phase_fraction_longest", "l_tax * -6 AS secondary_phase_fraction_deepest", "l_discount * 4.9D AS secondary_phase_fraction_deepest_min2",
         "CASE WHEN l_linenumber = 1 THEN 'blanking covers 0.' || CAST(l_suppkey AS STRING) || ' of the orbit' ELSE '' END AS secondary_guard", "l_linenumber AS n_koi_for_star",
         "l_tax AS detrend_masked_fraction", "l_returnflag AS detrend_fallback", "l_quantity / 100 AS duration_over_period",
     )
@@ -106,7 +106,7 @@ def report_occupancy_percentiles(spark, d):
 
 VARIANT_SQL = " UNION ALL ".join(
     f"""SELECT '{v}' AS variant, count(d) AS measured, count_if(d > 0) AS found, count_if(d = 0) AS zero, median(d) FILTER (d > 0) AS median_found, count_if(d > 0 AND abs(p) > .45) AS near_half
-FROM (SELECT secondary_depth_{v} AS d, secondary_phase_{v} AS p FROM ok)""" for v in reports.VARIANTS
+FROM (SELECT secondary_depth_{v} AS d, secondary_phase_fraction_{v} AS p FROM ok)""" for v in reports.VARIANTS
 )
 
 
@@ -124,7 +124,7 @@ EDGES = reports.PHASE_EDGES
 PHASES = " ".join(f"WHEN x >= {a} AND x {'<=' if k == len(EDGES) - 2 else '<'} {b} THEN {k}" for k, (a, b) in enumerate(zip(EDGES, EDGES[1:], strict=False)))
 
 
-@query(W + f", h AS (SELECT abs(secondary_phase_deepest_min2) AS x FROM ok WHERE secondary_depth_deepest_min2 > 0), b AS (SELECT CASE {PHASES} END AS bin FROM h) SELECT bin, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY ALL")
+@query(W + f", h AS (SELECT abs(secondary_phase_fraction_deepest_min2) AS x FROM ok WHERE secondary_depth_deepest_min2 > 0), b AS (SELECT CASE {PHASES} END AS bin FROM h) SELECT bin, count(*) AS n FROM b WHERE bin IS NOT NULL GROUP BY ALL")
 def report_secondary_phases(spark, d):
     return reports.secondary_phases(ok(spark, d))
 

@@ -142,7 +142,7 @@ def odd_even(spark, d):
 
 
 SECONDARY = WITH + """, own AS (
-  SELECT star_id, koi, period_us, duration_us, count_if(NOT in_sibling) AS n_open, 4 * duration_us / period_us AS excluded FROM masked GROUP BY ALL
+  SELECT star_id, koi, period_us, duration_us, count(*) AS n_all, count_if(in_sibling) AS n_hidden, count_if(in_sibling) / count(*) AS excluded FROM masked GROUP BY ALL
 ), sl AS (SELECT *, min(ph_us) OVER (PARTITION BY star_id, koi) AS min_ph FROM masked WHERE NOT in_sibling
 ), fu AS (SELECT star_id, koi, duration_us, period_us, min_ph, (ph_us - min_ph) * 4 // duration_us AS idx, sum(flux) AS s, count(*) AS n FROM sl GROUP BY ALL
 ), gr AS (SELECT star_id, koi, duration_us, period_us, min_ph, unnest(generate_series(0, max(idx))) AS idx, max(idx) + 1 AS n_bins FROM fu GROUP BY star_id, koi, duration_us, period_us, min_ph
@@ -159,14 +159,14 @@ SECONDARY = WITH + """, own AS (
     row_number() OVER (PARTITION BY star_id, koi ORDER BY (length >= 2) DESC, dip DESC, first) AS c FROM ru
 ), fo AS (SELECT star_id, koi, max(dip) FILTER (a = 1) AS da, max(pos) FILTER (a = 1) AS pa, max(dip) FILTER (b = 1) AS db, max(pos) FILTER (b = 1) AS pb,
     max(dip) FILTER (c = 1 AND length >= 2) AS dc, max(pos) FILTER (c = 1 AND length >= 2) AS pc FROM rk GROUP BY ALL
-), re AS (SELECT o.*, base, noise, da, pa, db, pb, dc, pc, CASE WHEN n_open < 50 THEN 'too few points'
-    WHEN 20 * duration_us >= 4 * period_us THEN printf('blanking covers %.2f of the orbit', excluded)
-    WHEN coalesce(n_out, 0) = 0 THEN 'no data outside the blanked phases' WHEN base IS NULL OR noise IS NULL THEN 'baseline or noise unmeasurable' ELSE '' END AS g
+), re AS (SELECT o.*, base, noise, da, pa, db, pb, dc, pc, CASE WHEN n_hidden > 0 AND n_all - n_hidden < 50 THEN 'too few points left after excluding sibling transits'
+    WHEN 20 * duration_us >= 4 * period_us THEN printf('blanking covers %.2f of the orbit', 4 * duration_us / period_us)
+    WHEN coalesce(n_out, 0) = 0 THEN 'no data outside the blanked primary' WHEN base IS NULL OR noise IS NULL THEN 'baseline or noise unmeasurable' ELSE '' END AS g
   FROM own o LEFT JOIN no USING (star_id, koi) LEFT JOIN fo USING (star_id, koi))
 SELECT star_id, koi, excluded AS secondary_exclusion_fraction, g AS secondary_guard, CASE WHEN g = '' THEN round(noise, 6) END AS secondary_noise,
-  CASE WHEN g = '' THEN round(coalesce(da, 0), 6) END AS secondary_depth_longest, CASE WHEN g = '' THEN round(pa, 6) END AS secondary_phase_longest,
-  CASE WHEN g = '' THEN round(coalesce(db, 0), 6) END AS secondary_depth_deepest, CASE WHEN g = '' THEN round(pb, 6) END AS secondary_phase_deepest,
-  CASE WHEN g = '' THEN round(coalesce(dc, 0), 6) END AS secondary_depth_deepest_min2, CASE WHEN g = '' THEN round(pc, 6) END AS secondary_phase_deepest_min2
+  CASE WHEN g = '' THEN round(coalesce(da, 0), 6) END AS secondary_depth_longest, CASE WHEN g = '' THEN round(pa, 6) END AS secondary_phase_fraction_longest,
+  CASE WHEN g = '' THEN round(coalesce(db, 0), 6) END AS secondary_depth_deepest, CASE WHEN g = '' THEN round(pb, 6) END AS secondary_phase_fraction_deepest,
+  CASE WHEN g = '' THEN round(coalesce(dc, 0), 6) END AS secondary_depth_deepest_min2, CASE WHEN g = '' THEN round(pc, 6) END AS secondary_phase_fraction_deepest_min2
 FROM re"""
 
 

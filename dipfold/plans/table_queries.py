@@ -15,8 +15,8 @@ def orders(spark, d):
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_totalprice IS NULL OR o_totalprice <= 20000 THEN 'period' WHEN c_mktsegment IS NULL THEN 'epoch'
-  WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN 'duration' WHEN c_nationkey < 1 THEN 'no transits' END AS reason
+    """SELECT o_orderkey, CASE WHEN o_totalprice IS NULL OR o_totalprice <= 20000 THEN 'koi_period missing or non-positive' WHEN c_mktsegment IS NULL THEN 'koi_time0bk missing'
+  WHEN c_acctbal IS NULL OR c_acctbal <= 0 THEN 'koi_duration missing or non-positive' WHEN c_nationkey < 1 THEN 'koi_num_transits is 0' END AS reason
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey"""
 )
 def precheck(spark, d):
@@ -238,17 +238,17 @@ def resume_remaining(spark, d):
     return batch.remaining(table(spark, d, "customer").select("c_custkey"), checkpoint, ["c_custkey"], ("1-URGENT", "2-HIGH"))
 
 
-MESSAGES = """m AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'OSError' WHEN 1 THEN 'ConnectionError' WHEN 2 THEN 'NoData' WHEN 3 THEN 'SearchError' WHEN 4 THEN 'ValueError'
-  WHEN 5 THEN 'OSError' WHEN 6 THEN 'NoData' WHEN 7 THEN 'HTTPError' END AS kind,
+MESSAGES = """m AS (SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'OSError' WHEN 1 THEN 'ConnectionError' WHEN 2 THEN 'NoDataError' WHEN 3 THEN 'SearchError' WHEN 4 THEN 'ValueError'
+  WHEN 5 THEN 'OSError' WHEN 6 THEN 'NoDataError' WHEN 7 THEN 'HTTPError' END AS kind,
   CASE o_orderkey % 9 WHEN 0 THEN 'No space left on device' WHEN 1 THEN 'gone' WHEN 2 THEN 'none for KIC 500' || o_orderkey WHEN 3 THEN 'status 503' WHEN 4 THEN 'covers ' || o_custkey || '.5 of 10'
-  WHEN 5 THEN 'file is corrupt' WHEN 6 THEN 'read timed out' WHEN 7 THEN 'x' END AS message FROM orders)"""
+  WHEN 5 THEN 'error in reading data product x' WHEN 6 THEN 'read timed out' WHEN 7 THEN 'x' END AS message FROM orders)"""
 
 
 def _messages(spark, d):
     k = F.col("o_orderkey") % 9
-    kinds = ["OSError", "ConnectionError", "NoData", "SearchError", "ValueError", "OSError", "NoData", "HTTPError"]
+    kinds = ["OSError", "ConnectionError", "NoDataError", "SearchError", "ValueError", "OSError", "NoDataError", "HTTPError"]
     key, cust = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
-    texts = [F.lit("No space left on device"), F.lit("gone"), F.concat(F.lit("none for KIC 500"), key), F.lit("status 503"), F.concat(F.lit("covers "), cust, F.lit(".5 of 10")), F.lit("file is corrupt"), F.lit("read timed out"), F.lit("x")]
+    texts = [F.lit("No space left on device"), F.lit("gone"), F.concat(F.lit("none for KIC 500"), key), F.lit("status 503"), F.concat(F.lit("covers "), cust, F.lit(".5 of 10")), F.lit("error in reading data product x"), F.lit("read timed out"), F.lit("x")]
     kind, text = F.lit(None).cast("string"), F.lit(None).cast("string")
     for i in range(8):
         kind, text = F.when(k == i, kinds[i]).otherwise(kind), F.when(k == i, texts[i]).otherwise(text)
@@ -257,8 +257,8 @@ def _messages(spark, d):
 
 @query(
     "WITH " + MESSAGES + """ SELECT o_orderkey, CASE WHEN kind IS NULL AND message IS NULL THEN '' WHEN contains(lower(message), 'no space left on device') THEN 'diskfull'
-  WHEN contains(lower(message), 'corrupt') THEN 'corruptcache' WHEN kind IN ('ConnectionError', 'HTTPError') THEN 'transient'
-  WHEN contains(lower(message), 'timed out') OR regexp_matches(message, '\\b(500|502|503|504|429)\\b') THEN 'transient' WHEN kind IN ('NoData', 'SearchError') THEN 'nodata' ELSE 'unknown' END AS error_kind,
+  WHEN contains(lower(message), 'error in reading data product') THEN 'corruptcache' WHEN kind IN ('ConnectionError', 'HTTPError') THEN 'transient'
+  WHEN contains(lower(message), 'timed out') OR regexp_matches(message, '\\b(500|502|503|504|429)\\b') THEN 'transient' WHEN kind IN ('NoDataError', 'SearchError') THEN 'nodata' ELSE 'unknown' END AS error_kind,
   substr(concat_ws(': ', kind, message), 1, 300) AS error FROM m"""
 )
 def error_classify(spark, d):

@@ -49,7 +49,7 @@ def test_features_of_a_box_dip(spark):
     assert f.width_hours == pytest.approx(4.0, rel=0.2)
     assert abs(f.asymmetry) < 0.004 and f.snr > 10
     assert f.odd_even_diff == pytest.approx(0.004, rel=0.2)
-    assert f.secondary_depth == pytest.approx(0.003, rel=0.2) and abs(f.secondary_phase_deepest_min2) == pytest.approx(0.5, abs=0.02)
+    assert f.secondary_depth == pytest.approx(0.003, rel=0.2) and abs(f.secondary_phase_fraction_deepest_min2) == pytest.approx(0.5, abs=0.02)
     assert f.secondary_guard == "" and f.error_kind == "" and f.detrend_fallback == ""
 
 
@@ -65,7 +65,10 @@ def test_secondary_guards(spark):
     curve, koi = curve_of(spark, duration=15 * HOUR, period=3 * DAY)
     assert "blanking covers 0.83" in one(features.assembled(curve, koi)).secondary_guard
     few, koi = curve_of(spark, days=0.5)
-    assert one(features.assembled(few, koi)).secondary_guard == "too few points"
+    assert not one(features.assembled(few, koi)).secondary_guard.startswith("too few")  # few from the start is not the siblings' doing
+    both = koi.union(spark.createDataFrame([(1, 2, DAY, 0, 12 * HOUR)], koi.schema))
+    f = one(features.assembled(few, koi, both))
+    assert f.secondary_guard == "too few points left after excluding sibling transits" and f.secondary_exclusion_fraction == 1.0
 
 
 def test_time_shift_changes_nothing(spark):
@@ -151,13 +154,13 @@ def test_precheck_reports_the_first_reason(spark):
     rows = [(None, None, None, 0.0), (1.0, None, 1.0, 5.0), (1.0, 0.0, 0.0, 5.0), (1.0, 0.0, 1.0, 0.5), (1.0, 0.0, 1.0, None), (1.0, 0.0, 1.0, 1.0)]
     d = spark.createDataFrame(rows, "p double, e double, d double, n double")
     got = [r[0] for r in d.select(batch.precheck(F.col("p"), F.col("e"), F.col("d"), F.col("n"))).collect()]
-    assert got == ["period", "epoch", "duration", "no transits", None, None]
+    assert got == ["koi_period missing or non-positive", "koi_time0bk missing", "koi_duration missing or non-positive", "koi_num_transits is 0", None, None]
 
 
 def test_error_classes(spark):
     rows = [
-        ("OSError", "[Errno 28] No space left on device"), ("X", "not recognized as a supported data product"), ("ReadTimeout", "x"), ("NoData", "none for KIC 5001234"),
-        ("NoData", "server said 503"), ("SearchError", "nothing"), ("ValueError", "x"), (None, None), ("ValueError", "Connection reset by peer"),
+        ("OSError", "[Errno 28] No space left on device"), ("X", "not recognized as a supported data product"), ("ReadTimeout", "x"), ("NoDataError", "none for KIC 5001234"),
+        ("NoDataError", "server said 503"), ("SearchError", "nothing"), ("ValueError", "x"), (None, None), ("ValueError", "Connection reset by peer"),
     ]
     d = spark.createDataFrame(rows, "k string, m string")
     got = [r[0] for r in d.select(batch.classified(F.col("k"), F.col("m"))).collect()]

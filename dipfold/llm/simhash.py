@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dipfold.llm import near_copies
 from dipfold.llm.common import cut, map_texts
 from dipfold.llm.components import connected_components
 
@@ -193,13 +194,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` names its component: one document of each group stays.
+    """One document of each group stays, the one with the smallest ``doc_id``.
 
-    Where rows repeat a ``doc_id``, the one with the smallest other columns stays. Rows with a null ``doc_id`` stay only
-    where their component has no named document.
+    A group is held together by fingerprints at most three bits apart and by five-word shingles similar to 0.8 or more
+    (:mod:`near_copies`). Where rows repeat a ``doc_id``, the one with the smallest other columns stays. Rows with a null ``doc_id``
+    stay only where no named document has nearly their fingerprint.
     """
-    marked = near_duplicates(docs).where("doc_id <=> component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    heads = cut(marked, "heads")
+    marked = cut(near_duplicates(docs).select("doc_id", "component_id"), "marked")
+    edges = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    near = near_copies.groups(docs).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    later = cut(connected_components(edges.union(near)).where("node <> root").select(F.col("node").alias("doc_id")), "later")
+    marked = marked.where("doc_id <=> component_id").join(later, "doc_id", "left_anti")
+    heads = cut(marked.groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
     # a shuffled join at every size: how much is moved follows the input, and nothing is broadcast on a guess
     kept = docs.join(heads.select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
     if heads.where("n > 1").isEmpty():

@@ -7,7 +7,7 @@ import corpus_pipeline
 from dipfold.llm import pii
 from dipfold.llm.common import cut, table
 
-from . import test_decontaminate, test_mixing, test_pii, test_quality_rules, test_simhash
+from . import test_decontaminate, test_mixing, test_near_copies, test_pii, test_quality_rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +31,10 @@ def test_equals_brute_force(spark):
             assert got & set(short) == want
             texts = {i: t for i, t in texts.items() if i in got}
         elif name == "near_dedup":
-            groups = test_simhash.brute(list(texts.items()))
-            texts = {i: t for i, t in texts.items() if i in {c for _, _, c in groups}}
+            named = [(i, t) for i, t in texts.items() if i is not None]
+            got = {r.doc_id for r in out.collect()}
+            assert test_near_copies.brute_heads(named, 0.65) <= got - {None} <= test_near_copies.brute_heads(named, 0.8)
+            texts = {i: t for i, t in texts.items() if i in got}
         elif name == "decontamination":
             words = {i: t for i, t in texts.items() if len((t or "").split()) < 700}
             bad = {r[0] for r in test_decontaminate.brute(list(words.items()), items) if r[-1]}

@@ -86,10 +86,14 @@ def test_empty(spark):
 
 
 def test_one_of_each_group_stays(spark):
+    from . import test_near_copies
+
     rows = near_corpus(n=30) + EDGES
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = [r.doc_id for r in simhash.first_of_group(df).collect()]
-    assert sorted(kept, key=str) == sorted({c for _, _, c in brute(rows) if c is not None} | {None}, key=str)
+    named = [r for r in rows if r[0] is not None]
+    assert len(kept) == len(set(kept)) and None in kept  # the unnamed row with words of its own
+    assert test_near_copies.brute_heads(named, 0.65) <= set(kept) - {None} <= test_near_copies.brute_heads(named, 0.8)
 
 
 @pytest.mark.parametrize("text", ["", "x", "Hello WORLD again", "ü Ü\x1cy a\x0bb c", "a " * 70000])

@@ -114,6 +114,19 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare, "a long, b long")
 
 
+def alike(keyed: DataFrame) -> DataFrame:
+    """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join texts of equal signature or near copies."""
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "sketch"])
+
+    marked = cut(map_texts(keyed.select("node", "text"), work, "node long, sketch binary").where("sketch IS NOT NULL"), "sketches")
+    nodes = cut(marked.groupBy(F.xxhash64("sketch").alias("same")).agg(F.first("sketch").alias("sketch"), F.min("node").alias("node")), "nodes")
+    equal = marked.select("node", F.xxhash64("sketch").alias("same")).join(nodes.select("same", F.col("node").alias("low")), "same")
+    return links(nodes.select("node", "sketch")).union(equal.where("node <> low").select("node", "low").distinct())
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``(doc_id, first)`` for documents with a near copy or an equal signature: the smallest id of their group. Null ids are left out."""
     marked = cut(sketches(docs).withColumn("node", F.xxhash64("sketch")), "sketches")

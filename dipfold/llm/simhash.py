@@ -194,23 +194,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """One document of each group stays, the one with the smallest ``doc_id``.
+    """One row of each group stays, the one with the smallest ``doc_id``.
 
     A group is held together by fingerprints at most three bits apart and by five-word shingles similar to 0.8 or more
-    (:mod:`near_copies`). Where rows repeat a ``doc_id``, the one with the smallest other columns stays. Rows with a null ``doc_id``
-    stay only where no named document has nearly their fingerprint.
+    (:mod:`near_copies`). Texts are grouped, not ids: rows that share a ``doc_id`` or have none are each judged by their own text. A
+    row with a null ``doc_id`` stays only where its group has no named one; where a group repeats its smallest id, the row with the
+    smallest other columns stays.
     """
-    marked = cut(near_duplicates(docs).select("doc_id", "component_id"), "marked")
-    edges = marked.where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    near = near_copies.groups(docs).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    later = cut(connected_components(edges.union(near)).where("node <> root").select(F.col("node").alias("doc_id")), "later")
-    marked = marked.where("doc_id <=> component_id").join(later, "doc_id", "left_anti")
-    heads = cut(marked.groupBy("doc_id").agg(F.count("*").alias("n")), "heads")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("node"))
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
+
+    marked = cut(map_texts(keyed, work, "doc_id long, node long, fp long"), "marked")
+    unique = cut(marked.groupBy("fp").agg(F.min("node").alias("low")), "unique")
+    equal = marked.join(unique, "fp").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    name = lambda c: unique.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
+    near = links(unique.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
+    roots = connected_components(equal.union(near).union(near_copies.alike(keyed))).select("node", "root")
+    rows = marked.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(roots, "node", "left")
+    rows = cut(rows.withColumn("root", F.coalesce("root", "node")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first")
+    heads = rows.groupBy("root").agg(first).select(F.col("root").alias("_root"), F.col("first.doc_id").alias("_id"))
+    heads = rows.join(heads, (F.col("root") == F.col("_root")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "_root", F.col("node").alias("_node"), "n")
+    heads = cut(heads, "heads")
     # a shuffled join at every size: how much is moved follows the input, and nothing is broadcast on a guess
-    kept = docs.join(heads.select(F.col("doc_id").alias("_head")).hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    if heads.where("n > 1").isEmpty():
-        return kept
+    own = (F.xxhash64("text") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
+    if heads.groupBy("_root").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
+        return docs.join(heads.hint("shuffle_hash"), own, "left_semi")
+    kept = docs.join(heads.drop("n").hint("shuffle_hash"), own)
     columns = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*columns)).alias("row")).select(
+    return kept.groupBy("_root", "doc_id").agg(F.min(F.struct(*columns)).alias("row")).select(
         *(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)
     )

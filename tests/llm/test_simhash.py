@@ -96,6 +96,14 @@ def test_one_of_each_group_stays(spark):
     assert test_near_copies.brute_heads(named, 0.65) <= set(kept) - {None} <= test_near_copies.brute_heads(named, 0.8)
 
 
+def test_rows_without_or_with_a_repeated_id_are_judged_by_their_own_text(spark):
+    say = lambda k: " ".join(f"t{k}x{i}" for i in range(80))
+    rows = [(None, say(1), 1), (None, say(2), 1), (None, say(1), 2), (7, say(3), 1), (7, say(4), 1), (8, say(3), 1), (9, say(5), 1), (None, say(5), 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, extra int")
+    got = sorted((tuple(r) for r in simhash.first_of_group(df).collect()), key=str)
+    assert got == sorted([rows[0], rows[1], rows[3], rows[4], rows[6]], key=str)
+
+
 @pytest.mark.parametrize("text", ["", "x", "Hello WORLD again", "ü Ü\x1cy a\x0bb c", "a " * 70000])
 def test_fingerprint(text):
     assert simhash.fingerprint(text) == brute_fingerprint(text)

@@ -18,7 +18,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,12 +194,17 @@ def judge(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
             )
 
         return map_texts(rows, work, SCHEMA)
-    return _joined(rows, benchmark, threshold, least)
+    return _joined(rows, benchmark, threshold, least).drop("row")
+
+
+def _row() -> Column:
+    """The key of a row: rows without an id, and rows that share one, are told apart by their texts."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def _joined(rows: DataFrame, benchmark: DataFrame, threshold: float, least: int) -> DataFrame:
-    """The way for a benchmark of any size: texts and items meet by a join on hashed seeds."""
-    number = cut(rows.withColumn("row", F.xxhash64("doc_id", "text")), "texts")
+    """The way for a benchmark of any size: texts and items meet by a join on hashed seeds. Gives ``row``, the key of each row, too."""
+    number = cut(rows.withColumn("row", _row()), "texts")
     items = cut(_items(benchmark).withColumn("item", F.xxhash64("item_id", "text")).dropDuplicates(["item"]), "items")
 
     def seeds_of(key: str):
@@ -240,19 +245,19 @@ def _joined(rows: DataFrame, benchmark: DataFrame, threshold: float, least: int)
     best = found.where(F.col("coverage") >= threshold).groupBy("row").agg(F.count("*").alias("n"), F.min(order).alias("best"))
     out = number.drop("text").join(best, "row", "left")
     return out.select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.col("best.item_id"), F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("coverage"),
+        "row", "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_items"), F.col("best.item_id"), F.coalesce(-F.col("best.c"), F.lit(0.0)).alias("coverage"),
         F.coalesce("best.tiles", F.lit(0)).cast("long").alias("tiles"), F.col("n").isNotNull().alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_MATCH) -> DataFrame:
-    """The rows of ``docs`` that contaminate no item, unchanged."""
-    if small_enough(benchmark):
+def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, least: int = MIN_MATCH, broadcast: bool | None = None) -> DataFrame:
+    """The rows of ``docs`` that contaminate no item, unchanged. Each row is judged by its own text, whatever its id."""
+    if small_enough(benchmark) if broadcast is None else broadcast:
         get = share(docs.sparkSession, Seeds, {"items": _seeds(benchmark, least), "least": least})
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             return batch.filter(pa.array([not get().judge(t, threshold) for t in batch.column("text").to_pylist()], pa.bool_()))
 
         return map_texts(docs, work, T.StructType.fromJson(docs.schema.jsonValue()))
-    bad = _joined(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, threshold, least).where("contaminated").select("doc_id").distinct()
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    bad = _joined(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, threshold, least).where("contaminated").select(F.col("row").alias("_bad")).distinct()
+    return docs.join(bad, _row() == F.col("_bad"), "left_anti")

@@ -93,6 +93,16 @@ def test_equals_brute_force(spark, broadcast):
     assert kept == sorted((r[0] for r in brute(rows, items) if not r[-1]), key=str)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_clean_judges_rows_without_or_with_a_repeated_id_by_their_text(spark, broadcast):
+    item = "one two three four five six seven eight"
+    rows = [(None, f"so {item} it says"), (None, "nothing of it in here at all"), (None, None), (4, item), (4, "words of a wholly different kind here"), (5, "alpha beta gamma delta epsilon zeta")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = sorted((tuple(r) for r in d.clean(df, known, broadcast=broadcast).collect()), key=str)
+    assert got == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
+
+
 def test_empty(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

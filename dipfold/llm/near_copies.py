@@ -1,10 +1,13 @@
 """Links that the three bits of operator 3 cannot reach: texts whose five-word shingles are similar to 0.8 or more.
 
-Such texts differ in about ten bits of a 64-bit SimHash, where no positional byte need be shared. The positional inverted index with
-count filtering is therefore laid over another signature of the text: MINS smallest keyed hashes of its shingles. Two texts of
+Such texts differ in about ten bits of a 64-bit SimHash, where no positional byte need be shared. Candidates are therefore searched in the
+positional inverted index of another signature of the text: MINS smallest keyed hashes of its shingles. Two texts of
 similarity s share each position with probability s. Lists are read three positions at a time (BANDS lists for each text: a pair of
-similarity 0.8 is missed by all of them with probability 0.003), shared positions are tallied, and pairs that share at
-least LEAST of the positions are linked. Long lists are cut into tiles and give a spanning forest of their links.
+similarity 0.8 is missed by all of them with probability 0.00001), shared positions are tallied, and pairs that share at
+least LEAST of the positions are candidates. Long lists are cut into tiles and give a spanning forest of their candidates.
+
+The signature decides nothing: the texts that candidates hold together are brought into one place, in tiles where they are many, and
+whole shingle sets are compared. Only pairs that are similar to 0.8 or more are links.
 """
 
 from __future__ import annotations
@@ -16,19 +19,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dipfold.llm.common import cut, map_texts
+from dipfold.llm.common import WORD, cut, map_texts
 from dipfold.llm.components import connected_components
 
-SHINGLE, SIMILARITY = 5, 0.8
-MINS, BANDS, ROWS = 96, 8, 3
-#: Shared positions that link: two deviations of the tally (0.04 each) below the similarity.
-LEAST = 0.72
+#: Texts whose shingle sets share this part (4 of 5) of their union are near copies.
+SHINGLE, SIMILARITY = 5, (4, 5)
+MINS, BANDS, ROWS = 96, 16, 3
+#: Shared positions that make a candidate: five deviations of the tally (0.04 each) below the similarity.
+LEAST = 0.6
 TILE = 512
+#: Shingles of one tile of texts that are compared as whole sets.
+TILE_SHINGLES = 1 << 20
 SEED = 77
 
 
-def sketch(text: str | None, shingle: int = SHINGLE) -> bytes | None:
-    """MINS smallest hashes, four bytes each; None without a word. Fewer words than a shingle make one shingle."""
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray | None:
+    """The hashes of the different shingles, sorted; None without a word. Fewer words than a shingle make one shingle."""
     import xxhash
 
     words = (text or "").encode().lower().split()
@@ -36,7 +42,11 @@ def sketch(text: str | None, shingle: int = SHINGLE) -> bytes | None:
         return None
     digest = xxhash.xxh64_intdigest
     groups = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    h = np.unique(np.array([digest(b" ".join(g), SEED) for g in groups], np.uint64))
+    return np.unique(np.array([digest(b" ".join(g), SEED) for g in groups], np.uint64))
+
+
+def smallest(h: np.ndarray) -> bytes:
+    """MINS smallest hashes, four bytes each."""
     turns = np.random.default_rng(SEED).integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     out = np.full(MINS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(h), 4096):
@@ -45,16 +55,13 @@ def sketch(text: str | None, shingle: int = SHINGLE) -> bytes | None:
     return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "sketch"])
-
-    return map_texts(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, sketch binary").where("sketch IS NOT NULL AND doc_id IS NOT NULL")
+def sketch(text: str | None, shingle: int = SHINGLE) -> bytes | None:
+    h = shingles(text, shingle)
+    return None if h is None else smallest(h)
 
 
 def _forest(nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links among ``nodes``, found by growing one tree after another from what is not yet reached."""
+    """A spanning forest of the candidates among ``nodes``, found by growing one tree after another from what is not yet reached."""
     left, right, free = [], [], np.ones(len(nodes), bool)
     for i in range(len(nodes)):
         if not free[i]:
@@ -75,7 +82,7 @@ def _forest(nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: links within each. Holds one group at a time, bounded by the tiles."""
+    """Rows sorted by group: candidates within each. Holds one group at a time, bounded by the tiles."""
     held: dict[int, bytes] = {}
     now = None
 
@@ -97,7 +104,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(a, b)``: links between the rows ``(node, sketch)`` that join the same components as all links do."""
+    """``(a, b)``: candidates between the rows ``(node, sketch)`` that join the same components as all candidates do."""
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS))
     postings = nodes.select("node", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("key"))
     lists = cut(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
@@ -114,24 +121,101 @@ def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare, "a long, b long")
 
 
+def _spanning(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest of the links among ``nodes``, whose whole shingle sets are compared."""
+    sizes = np.array([len(h) for h in sets])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mine = np.zeros(int(ids.max()) + 1, np.int64)
+    part, whole = SIMILARITY
+    left, right, free = [], [], np.ones(len(nodes), bool)
+    for i in range(len(nodes)):
+        if not free[i]:
+            continue
+        free[i] = False
+        reached = [i]
+        while reached and free.any():
+            j = reached.pop()
+            own = ids[starts[j] : starts[j] + sizes[j]]
+            mine[own] = 1
+            shared = np.add.reduceat(mine[ids], starts)
+            mine[own] = 0
+            near = np.flatnonzero(free & ((part + whole) * shared >= part * (sizes + sizes[j])))
+            free[near] = False
+            left += [nodes[j]] * len(near)
+            right += [nodes[k] for k in near]
+            reached += near.tolist()
+    return left, right
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group: links within each. Holds the shingles of one group at a time, bounded by the tiles."""
+    held: dict[int, np.ndarray] = {}
+    now = None
+
+    def links() -> pa.RecordBatch:
+        a, b = _spanning(list(held), list(held.values()))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for root, tile, node, text in zip(*(batch.column(c) for c in ("root", "tile", "node", "text")), strict=True):
+            key = root.as_py(), tile.as_py()
+            if key != now:
+                if len(held) > 1:
+                    yield links()
+                held, now = {}, key
+            held[node.as_py()] = shingles(text.as_py())
+    if len(held) > 1:
+        yield links()
+
+
+def verified(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, tile: int = TILE, most: int = TILE_SHINGLES) -> DataFrame:
+    """``(a, b)``: links by whole shingle sets between the rows ``(node, size)`` of ``nodes`` that ``candidates`` hold together.
+
+    All pairs that are held together, directly or by others, are compared, and the links join the same components as all of theirs do.
+    """
+    roots = connected_components(candidates).select("node", "root")
+    members = cut(nodes.select("node", "size").join(roots, "node"), "members")
+    lists = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / most)).cast("int")
+    dealt = (
+        members.select("node", "root")
+        .join(lists.select("root", tiles.alias("tiles")), "root")
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+        .withColumn("tile", F.least("own", "other") * F.col("tiles").cast("long") + F.greatest("own", "other"))
+        .select("root", "tile", "node")
+    )
+    # a shuffled join at every size, as in simhash.first_of_group
+    texts = keyed.select("node", "text").join(members.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    dealt = dealt.join(cut(texts, "texts"), "node")
+    return dealt.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_verify, "a long, b long")
+
+
 def alike(keyed: DataFrame) -> DataFrame:
-    """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join texts of equal signature or near copies."""
+    """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join equal shingle sets and near copies."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([sketch(t) for t in batch.column("text").to_pylist()], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "sketch"])
+        import xxhash
+
+        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        same = np.array([0 if h is None else xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+        sizes = pa.array([0 if h is None else len(h) for h in found], pa.int64())
+        sketched = pa.array([None if h is None else smallest(h) for h in found], pa.binary())
+        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(same), sizes, sketched], ["node", "same", "size", "sketch"])
 
-    marked = cut(map_texts(keyed.select("node", "text"), work, "node long, sketch binary").where("sketch IS NOT NULL"), "sketches")
-    nodes = cut(marked.groupBy(F.xxhash64("sketch").alias("same")).agg(F.first("sketch").alias("sketch"), F.min("node").alias("node")), "nodes")
-    equal = marked.select("node", F.xxhash64("sketch").alias("same")).join(nodes.select("same", F.col("node").alias("low")), "same")
-    return links(nodes.select("node", "sketch")).union(equal.where("node <> low").select("node", "low").distinct())
+    rows = map_texts(keyed.select("node", "text"), work, "node long, same long, size long, sketch binary")
+    marked = cut(rows.where("sketch IS NOT NULL"), "sketches")
+    low = F.min("node").alias("node")
+    nodes = cut(marked.groupBy("same").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), low), "nodes")
+    equal = marked.select("node", "same").join(nodes.select("same", F.col("node").alias("low")), "same")
+    return verified(keyed, nodes, links(nodes.select("node", "sketch"))).union(equal.where("node <> low").select("node", "low").distinct())
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first)`` for documents with a near copy or an equal signature: the smallest id of their group. Null ids are left out."""
-    marked = cut(sketches(docs).withColumn("node", F.xxhash64("sketch")), "sketches")
-    nodes = cut(marked.groupBy("node").agg(F.first("sketch").alias("sketch"), F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
-    roots = connected_components(links(nodes.select("node", "sketch"))).select("node", "root")
-    named = nodes.join(roots, "node", "left").where("root IS NOT NULL OR n > 1").select("node", "low", F.coalesce("root", "node").alias("root"))
-    names = cut(named.join(named.groupBy("root").agg(F.min("low").alias("first")), "root").select("node", "first"), "names")
-    return marked.select("doc_id", "node").join(names, "node").select("doc_id", "first")
+    """``(doc_id, first)`` for documents with a near copy or an equal shingle set: the smallest id of their group. Null ids are left out."""
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("node")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
+    roots = connected_components(alike(keyed)).select("node", "root")
+    rows = cut(keyed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rows")
+    names = rows.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    return rows.join(names, "root").select("doc_id", "first")

@@ -65,6 +65,36 @@ def test_tiles_give_the_same_components(spark):
     assert a == b
 
 
+def test_links_are_decided_on_whole_shingle_sets(spark):
+    """Pairs from just below 0.8 down to 0.65 stay apart, pairs from 0.8 up are joined, and a chain of close texts joins no more than its links."""
+    rng = random.Random(9)
+    say = lambda n: [f"u{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for g in range(60):
+        base = say(204)
+        near = list(base)
+        for k in rng.sample(range(5, 199, 5), 3 + g % 6):
+            near[k] = f"y{rng.randrange(10**6)}"
+        rows += [(3 * g, " ".join(base)), (3 * g + 1, " ".join(near))]
+    long = say(604)
+    rows += [(1000 + k, " ".join(long[30 * k : 30 * k + 300])) for k in range(8)]  # neighbours 0.82, the next but one 0.66
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in simhash.first_of_group(df).collect()} == brute_heads(rows, 0.8)
+
+
+def test_tiles_of_whole_sets_give_the_same_components(spark):
+    from pyspark.sql import functions as F
+
+    rows, _ = corpus()
+    keyed = spark.createDataFrame(rows, "node long, text string")
+    nodes = keyed.withColumn("size", F.lit(296).cast("long"))
+    pairs = spark.createDataFrame([(0, i) for i, _ in rows[1:]], "a long, b long")
+    want, few, small = (
+        sorted((r.node, r.root) for r in connected_components(near_copies.verified(keyed, nodes, pairs, t, m)).collect()) for t, m in ((512, 1 << 20), (7, 1 << 20), (512, 1000))
+    )
+    assert want == few == small and len({r for _, r in want}) == 8
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A"), (None, "a"), (5, "a b c"), (5, "a b c"), (6, "w " * 100000)]
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")

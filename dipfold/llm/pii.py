@@ -20,10 +20,11 @@ KEY = "dipfold"
 ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 73,051 days, to 2100-01-03
 
-# every repeat is bounded and begins only where a run begins, so long runs of one character cost no more than their length
+# every repeat is bounded, or possessive (never given back), and begins only where a run begins, so long runs of one character cost no more
+# than their length
 _MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
 _ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,512}\"|'[^'\s]{6,512}'|[^\s\"']{6,512})"
+_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{6,}+)"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"
 _IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 _DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z-])"

@@ -152,3 +152,11 @@ def test_formats_are_permuted(spark):
     df = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "doc_id long, text string")
     got = [r.text for r in pii.judge(df).collect()]
     assert len(set(got)) == len(days) and all(re.fullmatch(r"\d{4}-\d{2}-\d{2}", g) for g in got)
+
+
+def test_secrets_of_any_length_are_replaced_whole(spark):
+    value = "Ab9-" * 1000
+    texts = [f"{x}{q}{value[:n]}{q} end" for n in (512, 513, 606, 4000) for x in ("token=", "api_key: ") for q in ("", "'", '"')]
+    texts.append("secret=" + "a" * 3_000_000)
+    for want, got in zip(texts, check(spark, list(enumerate(texts))), strict=True):
+        assert got[2] == 1 and len(got[1]) == len(want) and "Ab9-Ab9-" not in got[1] and not got[1].endswith("a" * 32)

@@ -6,7 +6,7 @@ number of values of the format, so each value of a format has one pseudonym of t
 ones, and equal values stay linked across documents. Check digits are made anew, so a card or an IBAN stays valid.
 Mail addresses and secrets, which have no numeric format, get keyed digests of their length.
 
-All of it is one projection: no shuffle, no join. Documents without a digit, an ``@`` or a sign of assignment are passed on unread.
+All of it is one projection: no shuffle, no join. Documents without a digit, an ``@``, a sign of assignment or ``AKIA`` are passed on unread.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ _CARD = (
 )
 PATTERN = "|".join((_MAIL, _ACCESS_KEY, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
 #: A text without any of these holds nothing that the pattern finds.
-SIGN = "[0-9@=:]"
+SIGN = "[0-9@=:]|AKIA"
 KINDS = ("mail", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card")
 
 

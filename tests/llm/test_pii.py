@@ -160,3 +160,9 @@ def test_secrets_of_any_length_are_replaced_whole(spark):
     texts.append("secret=" + "a" * 3_000_000)
     for want, got in zip(texts, check(spark, list(enumerate(texts))), strict=True):
         assert got[2] == 1 and len(got[1]) == len(want) and "Ab9-Ab9-" not in got[1] and not got[1].endswith("a" * 32)
+
+
+def test_an_access_key_of_letters_is_found_without_another_sign(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    (a, b) = check(spark, [(1, f"the key {key} here"), (2, f"key: {key}")])
+    assert a[2] == b[2] == 1 and key not in a[1] and a[1].split()[2] == b[1].split()[1]

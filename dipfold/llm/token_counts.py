@@ -1,20 +1,25 @@
 """Operator 5. Token counts as delta-maintained rollups.
 
-A ledger in a shared folder holds one small table of signed totals for each committed batch: inserts add a document's count,
-deletes take it away, revisions add the difference between the new and the old count. Totals by source, language and tokenizer
-version are the sums over the committed batches, so a change costs what changed and never a recount of the corpus. A batch is written
-aside and renamed into place in one step; a batch id that is there already is left alone, so a retried or repeated commit
-changes nothing.
+A ledger in a shared folder keeps one small table of signed rows for each committed batch. A row belongs to a document and says what the
+batch adds to one rollup cell (source, language, tokenizer version): an insert adds the document's counts, a delete takes away what
+earlier batches recorded for it, a revision does both. Everything is a sum: a document's state is the sum of its own rows, and totals are
+the sums of the rows of all committed batches. A change costs what changed (only its texts are tokenized) and never a recount of the corpus.
 
-Counting itself is a pass over whole texts where they are read; only the totals are shuffled, after partial sums.
+A batch is written aside and committed by one marker that can be made only once, so of two committers one wins, and a retried or
+repeated batch changes nothing. :meth:`Ledger.compact` folds committed batches into one base in the same way.
+
+Counting itself is a pass over whole texts where they are read; only counts are shuffled, after partial sums.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import uuid
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipfold.llm.common import map_texts, n_words, scratch, share
@@ -25,9 +30,10 @@ VERSION = "byte_bpe_50k"
 #: Fixed value: the published splitting pattern that belongs to this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-EVENT = "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long, n_chars long, old_chars long"
-TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 KEYS = ("source", "lang", "tokenizer")
+SUMS = ("docs", "tokens", "chars")
+ROWS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, chars long"
+TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
 
 class Encoder:
@@ -68,49 +74,18 @@ def word_counts(docs: DataFrame, version: str = "words") -> DataFrame:
     )
 
 
-def events(counts: DataFrame, op: str, old_tokens: Column | None = None, old_chars: Column | None = None) -> DataFrame:
-    """Change events from counts. ``revise`` needs what was counted before."""
-    old = (F.lit(None) if x is None else x for x in (old_tokens, old_chars))
-    t, c = (x.cast("long") for x in old)
-    return counts.select(F.lit(op).alias("op"), *KEYS, "n_tokens", t.alias("old_tokens"), "n_chars", c.alias("old_chars"))
+def all_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Counts of ``docs`` by words and by byte pairs."""
+    return word_counts(docs).unionByName(counted(docs, vocabulary))
 
 
-def changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """The events that lead from one table of counts to another. Documents are told apart by ``doc_id`` and tokenizer.
+class Ledger:
+    """Signed rows by batch, in a folder that driver and executors share.
 
-    A document that moved to another source or language is a delete and an insert. Rows with a null ``doc_id`` and repeated
-    ids cannot be paired and are deleted and inserted as they are.
+    ``log/<n>`` is a marker: a small file that names a batch and the folder of its rows, or a base, the folded rows of all markers before it.
+    Markers are numbered without gaps, and each number can be taken only once; a committer that comes second reads what the first one
+    left and tries the next number. So batches come one after another, whoever commits them.
     """
-    sides = {}
-    for name, t in (("b", before), ("a", after)):
-        n = t.where("doc_id IS NOT NULL").groupBy("doc_id", "tokenizer").agg(F.count("*").alias("n"), F.first(F.struct(*t.columns)).alias("row"))
-        sides[name] = (n.where("n = 1").select("doc_id", "tokenizer", F.col("row").alias(name)), n.where("n > 1"), t)
-    paired = sides["b"][0].join(sides["a"][0], ["doc_id", "tokenizer"], "full")
-    same = F.col("b.source").eqNullSafe(F.col("a.source")) & F.col("b.lang").eqNullSafe(F.col("a.lang"))
-    both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    out = events(paired.where(both & same).select("a.*", F.col("b.n_tokens").alias("ot"), F.col("b.n_chars").alias("oc")).where("n_tokens <> ot OR n_chars <> oc"), "revise", F.col("ot"), F.col("oc"))
-    out = out.union(events(paired.where(F.col("b").isNotNull() & (F.col("a").isNull() | ~same)).select("b.*"), "delete"))
-    out = out.union(events(paired.where(F.col("a").isNotNull() & (F.col("b").isNull() | ~same)).select("a.*"), "insert"))
-    for name, op in (("b", "delete"), ("a", "insert")):
-        single, many, t = sides[name]
-        loose = t.where("doc_id IS NULL").unionByName(t.join(many.select("doc_id", "tokenizer"), ["doc_id", "tokenizer"], "left_semi"))
-        out = out.union(events(loose, op))
-    return out
-
-
-def signed(changes_: DataFrame) -> DataFrame:
-    """Signed totals of a batch of events: what the batch adds to each rollup row."""
-    op = F.col("op")
-    n = lambda c: F.coalesce(c, F.lit(0).cast("long"))
-    sign = F.when(op == "insert", 1).when(op == "delete", -1).when(op == "revise", 0)
-    amount = lambda new, old: F.when(op == "revise", n(F.col(new)) - n(F.col(old))).otherwise(sign * n(F.col(new)))
-    return changes_.where(op.isin("insert", "delete", "revise")).groupBy(*KEYS).agg(
-        F.sum(sign.cast("long")).alias("docs"), F.sum(amount("n_tokens", "old_tokens")).cast("long").alias("tokens"), F.sum(amount("n_chars", "old_chars")).cast("long").alias("chars")
-    )
-
-
-class Ledger:
-    """Signed totals by batch, in a folder that driver and executors share."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -120,51 +95,118 @@ class Ledger:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         return path, path.getFileSystem(self._conf)
 
-    def commit(self, batch: str, events_: DataFrame) -> bool:
-        """Add a batch; false, and nothing done, if a batch of this name was committed before."""
-        if not batch.replace("-", "").replace("_", "").isalnum():
-            raise ValueError(f"not a batch name: {batch!r}")
-        final, fs = self._at(f"batch={batch}")
-        if fs.exists(final):
-            return False
-        staged = scratch(self.spark, "staged")
-        signed(events_).coalesce(1).write.parquet(staged)
-        aside = self.spark._jvm.org.apache.hadoop.fs.Path(staged)
+    def publish(self, name: str, fields: dict) -> bool:
+        """Make the file ``name`` hold ``fields``; false if there is one. It appears whole and only once, whoever else tries."""
+        jvm = self.spark._jvm
+        final, fs = self._at(name)
+        aside, _ = self._at(f"aside/{uuid.uuid4().hex}")
+        out = fs.create(aside, False)
+        out.write(bytearray(json.dumps(fields).encode()))
+        out.close()
         fs.mkdirs(final.getParent())
-        if fs.exists(final) or not fs.rename(aside, final):
-            fs.delete(aside, True)
-            return False
+        final, aside = fs.makeQualified(final), fs.makeQualified(aside)
+        try:
+            if final.toUri().getScheme() == "file":
+                # a hard link is made at once or not at all; a rename would replace the other's file
+                jvm.java.nio.file.Files.createLink(jvm.java.nio.file.Paths.get(final.toUri()), jvm.java.nio.file.Paths.get(aside.toUri()))
+            else:
+                # without the option to overwrite, the second rename is refused
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(aside, final, none)
+        except Py4JJavaError:
+            if fs.exists(final):
+                return False
+            raise
         return True
 
+    def log(self) -> list[dict]:
+        root, fs = self._at("log")
+        names = [n for s in fs.listStatus(root) if (n := s.getPath().getName()).isdigit()] if fs.exists(root) else []
+        texts = self.spark.read.text([f"{self.path}/log/{n}" for n in sorted(names, key=int)], wholetext=True).select("value").collect() if names else []
+        return sorted((json.loads(r.value) for r in texts), key=lambda m: m["number"])
+
     def batches(self) -> list[str]:
-        root, fs = self._at("")
-        return sorted(s.getPath().getName()[6:] for s in fs.listStatus(root)) if fs.exists(root) else []
+        return sorted(m["batch"] for m in self.log() if m["batch"] is not None)
+
+    def rows(self, log: list[dict] | None = None) -> DataFrame:
+        """The signed rows of all committed batches: the last base and the batches after it."""
+        log = self.log() if log is None else log
+        first = max((m["number"] for m in log if m["batch"] is None), default=0)
+        paths = [f"{self.path}/{m['rows']}" for m in log if m["number"] >= first]
+        return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+
+    def _append(self, log: list[dict], batch: str | None, rows: DataFrame) -> bool:
+        name = f"rows/{uuid.uuid4().hex}"
+        rows.select("doc_id", *KEYS, *(F.col(c).cast("long") for c in SUMS)).write.parquet(f"{self.path}/{name}")
+        if self.publish(f"log/{len(log)}", {"number": len(log), "batch": batch, "rows": name}):
+            return True
+        path, fs = self._at(name)
+        fs.delete(path, True)
+        return False
+
+    def commit(self, batch: str, added: DataFrame, gone: DataFrame | None = None) -> bool:
+        """Add a batch; false, and nothing changed, if a batch of this name was committed before or meanwhile.
+
+        ``added`` holds counts (as :func:`counted` gives them) of inserted and revised documents, ``gone`` the ``doc_id`` of revised and deleted
+        ones. What earlier batches recorded under an id in ``gone`` is taken away once, however often the id is listed; ids that nothing
+        is recorded of, and null ids, take nothing away. Repeated rows of ``added`` count each.
+        """
+        plus = added.select("doc_id", *KEYS, F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("tokens"), F.col("n_chars").alias("chars"))
+        while True:
+            log = self.log()
+            if any(m["batch"] == batch for m in log):
+                return False
+            rows = plus
+            if gone is not None:
+                ids = gone.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
+                own = self.rows(log).join(ids, "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(*((-F.sum(c)).alias(c) for c in SUMS))
+                rows = rows.unionByName(own.where("docs <> 0 OR tokens <> 0 OR chars <> 0"))
+            if self._append(log, batch, rows):
+                return True
+
+    def compact(self) -> None:
+        """Fold all committed batches into one base, a row for each document and cell. Totals stay the same; batch names stay taken."""
+        while True:
+            log = self.log()
+            state = self.rows(log).groupBy("doc_id", *KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
+            if self._append(log, None, state.where("docs <> 0 OR tokens <> 0 OR chars <> 0")):
+                return
 
     def totals(self) -> DataFrame:
-        """``source, lang, tokenizer, docs, tokens, chars`` over all committed batches; rows that have come to nothing are left out."""
-        names = self.batches()
-        if not names:
-            return self.spark.createDataFrame([], TOTALS)
-        rows = self.spark.read.schema(TOTALS).parquet(*(f"{self.path}/batch={b}" for b in names))
-        sums = rows.groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in ("docs", "tokens", "chars")))
+        """``source, lang, tokenizer, docs, tokens, chars`` over all committed batches; cells that have come to nothing are left out."""
+        sums = self.rows().groupBy(*KEYS).agg(*(F.sum(c).alias(c) for c in SUMS))
         return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
 
+def history(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An earlier state of ``docs`` and the change that leads from it to ``docs``: ``(before, added, gone)``.
+
+    Of eight parts of the ids (by hash), one came only with the change, one had another text before it, and for one there was another document
+    (with the id's negative) that the change takes away. Null ids have no history.
+    """
+    part = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(8)), F.lit(7))
+    d = docs.select(F.col("doc_id").cast("long"), "source", "lang", "text").withColumn("part", part)
+    older = F.when(F.col("part") == 1, F.concat(F.lit("draft\n"), "text")).otherwise(F.col("text"))
+    before = d.where("part <> 0").withColumn("text", older)
+    gone = d.where("part = 2").withColumn("doc_id", -1 - F.col("doc_id"))
+    changed = d.where("part = 1").select("doc_id").union(gone.select("doc_id"))
+    return before.unionByName(gone).drop("part"), d.where("part < 2").drop("part"), changed
+
+
 def rollup(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = None) -> DataFrame:
-    """Totals of ``docs`` by source, language and tokenizer version, kept by a ledger.
+    """Totals of ``docs`` by source, language and tokenizer version, kept by a ledger (a new folder at ``path``) that has a history.
 
-    Words are counted at once and inserted; byte-pair counts first go in as an estimate of a token for every four characters and are
-    then revised to the true counts; the last batch is committed twice, the second time without effect.
+    An earlier state of ``docs`` is committed as a snapshot and compacted; then the change to ``docs`` (inserts, revisions and deletes) is
+    committed, and committed again without effect.
 
-    A null text has no token and no character; null sources and languages are values of their own; repeated rows count each;
+    A null text has no token and no character; null sources and languages are values of their own; repeated rows count each, null ids too;
     an empty table gives an empty result; other columns are ignored.
     """
     ledger = Ledger(docs.sparkSession, path or scratch(docs.sparkSession, "ledger"))
-    guess = lambda: F.ceil(F.col("n_chars") / 4)
-    words = word_counts(docs)
-    ledger.commit("words-insert", events(words, "insert"))
-    ledger.commit("bpe-insert", events(words.withColumns({"tokenizer": F.lit(VERSION), "n_tokens": guess()}), "insert"))
-    true = counted(docs, vocabulary)
+    before, added, gone = history(docs)
+    ledger.commit("snapshot", all_counts(before, vocabulary))
+    ledger.compact()
+    counts = all_counts(added, vocabulary)
     for _ in range(2):
-        ledger.commit("bpe-revise", events(true, "revise", guess(), F.col("n_chars")))
+        ledger.commit("change", counts, gone)
     return ledger.totals()

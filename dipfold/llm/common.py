@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; a cluster is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="dipfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -49,6 +51,18 @@ def remove(df: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like ``names`` that no column of ``df`` has, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_words(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` words; 0 for null. JVM-side: blanks that follow a word end it."""
     squeezed = F.regexp_count(text, F.lit(WORD))
@@ -86,16 +100,17 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | p
 
 
 def share(spark: SparkSession, kind: type, fields: dict) -> Callable[[], object]:
-    """Broadcast an object by its plain fields; the function returned gives each task one object of ``kind`` made from them.
+    """Broadcast an object by its plain fields; the function returned gives each Python worker one object of ``kind`` made from them.
 
-    Callers see to it that the fields are of bounded size.
+    A worker keeps what it has read of a broadcast from task to task, and the object with it. Callers see to it that the fields are of
+    bounded size.
     """
-    sent = spark.sparkContext.broadcast(fields)
-    made: dict = {}
+    sent = spark.sparkContext.broadcast({"fields": fields, "made": None})
 
     def get() -> object:
-        if not made:
-            made[0] = kind(**sent.value)
-        return made[0]
+        held = sent.value
+        if held["made"] is None:
+            held["made"] = kind(**held["fields"])
+        return held["made"]
 
     return get

@@ -4,7 +4,10 @@ Private values are found by one pattern and told apart by their form. Numbers an
 ranges) and mapped by a keyed permutation within their own format: a Feistel network over Z_a x Z_b, where a * b is the
 number of values of the format, so each value of a format has one pseudonym of that format, different values have different
 ones, and equal values stay linked across documents. Check digits are made anew, so a card or an IBAN stays valid.
-Mail addresses and secrets, which have no numeric format, get keyed digests of their length.
+Phone numbers are compared by country code and national digits, so one number has one pseudonym in every spelling. Secrets get keyed
+digests of their length, mail addresses a keyed name of sixteen digits at a reserved domain.
+
+The key is an argument of every function: whoever has it can undo the permutations.
 
 All of it is one projection: no shuffle, no join. Documents without a digit, an ``@``, a sign of assignment or ``AKIA`` are passed on unread.
 """
@@ -16,7 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KEY = "dipfold"
+from dipfold.llm.common import fresh
+
 ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 73,051 days, to 2100-01-03
 
@@ -181,11 +185,40 @@ def _ssn(m: Column, key: str) -> Column:
     return F.when(valid, let(feistel(x, y, F.lit(898), F.lit(99 * 9999), key, "ssn"), use)).otherwise(m)
 
 
+#: Country codes of one and of two digits; all others have three.
+CODES = r"^(1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
+
+
+def _american(d: Column, key: str) -> Column:
+    """Ten digits to ten digits. Area and exchange keep to 2-9 or to 0-1 as their first digit, so a number that can be dialled stays one."""
+    area, exchange, line = F.substring(d, 1, 3).try_cast("long"), F.substring(d, 4, 3).try_cast("long"), F.substring(d, 7, 4).try_cast("long")
+    low = lambda v: F.when(v < 200, 0).otherwise(200)
+    span = lambda v: F.when(v < 200, 200).otherwise(800)
+    pair = feistel(area - low(area), (exchange - low(exchange)) * 10_000 + line, span(area), span(exchange) * 10_000, key, "phone", F.lit("1"), low(area), low(exchange))
+    pad = lambda v, n: F.lpad(v.cast("long").cast("string"), n, "0")
+    return let(pair, lambda p: F.concat(pad(p["x"] + low(area), 3), pad(F.floor(p["y"] / 10_000) + low(exchange), 3), pad(F.pmod(p["y"], F.lit(10_000)), 4)))
+
+
 def _phone(m: Column, key: str) -> Column:
-    """The country code stays; the digits after it are permuted."""
-    head = F.regexp_extract(m, r"^(\+[0-9]{1,3})(?=[ .(-])", 1)
-    rest = F.substring(m, F.length(head) + 1, F.length(m))
-    return F.concat(head, refilled(rest, permuted_digits(digits_of(rest), key, "phone", head)))
+    """The country code stays, by which the number is read alike in every spelling; the national digits are permuted.
+
+    Ten digits without a country code are American. A number in all must have eight to fifteen digits; a zero in brackets after the
+    country code is a sign to the reader, not a digit of it, and stays.
+    """
+    plus, trunk = m.startswith("+"), m.rlike(r"^\+[0-9]{1,3}[ .-]?\(0\)")
+    zero = F.when(trunk, F.regexp_extract(m, r"^(\+[0-9]{1,3}[ .-]?\(0\))", 1)).otherwise(F.lit(""))
+
+    def use(d: Column) -> Column:
+        code = F.when(plus, F.regexp_extract(d, CODES, 1)).otherwise(F.lit("1"))
+        national = F.when(plus, F.substring(d, F.length(code) + 1, F.length(d))).otherwise(d)
+        n = F.length(code) + F.length(national)
+        new = F.when((code == "1") & (F.length(national) == 10), _american(national, key)).otherwise(permuted_digits(national, key, "phone", code))
+        whole = F.when(plus, F.concat(code, new)).otherwise(new)
+        # with a zero in brackets its digit is put back where it stood
+        whole = F.when(trunk, F.concat(F.substring(whole, F.lit(1), F.length(digits_of(zero)) - 1), F.lit("0"), F.substring(whole, F.length(digits_of(zero)), F.length(whole)))).otherwise(whole)
+        return F.when(n.between(8, 15), refilled(m, whole)).otherwise(m)
+
+    return let(F.concat(F.regexp_replace(digits_of(zero), "0$", ""), digits_of(F.substring(m, F.length(zero) + 1, F.length(m)))), use)
 
 
 def _stretched(hex_digits: Column, n: Column) -> Column:
@@ -229,33 +262,41 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """``docs`` with its own columns and rows, private values in ``text`` replaced; adds ``pii_found``, an array of kind and count.
+def pseudonymised(docs: DataFrame, key: str, found: str = "pii_found") -> DataFrame:
+    """``docs`` with its own columns and rows, private values in ``text`` replaced; adds ``found``, an array of kind and count.
 
-    A null text stays null and an empty one empty; repeated rows are all kept; ``n_chars`` is left as it was. Values that do
-    not validate (a number that fails its check sum, a day that is not in the calendar) are left alone and not counted.
+    A null text stays null and an empty one empty; texts of any length are read whole; repeated rows are all kept and stay equal; ids play no
+    part; columns of any name stay as they are (a column of ``docs`` that is called ``found`` is refused); an empty table gives an empty result;
+    ``n_chars`` is left as it was. Values that do not validate (a number that fails its check sum, a day that is not in the
+    calendar) are left alone and not counted.
     """
+    if found.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {found!r}: choose another name for what is found")
+    old, new, kinds = fresh(docs, "pii_old", "pii_new", "pii_changed")
     text = F.col("text")
-    found = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
-    d = docs.withColumn("_found", found)
-    d = d.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
+    hits = F.when(text.rlike(SIGN), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    d = docs.withColumn(old, hits)
+    d = d.withColumn(new, F.transform(old, lambda m: pseudonym(m, key)))
     woven = F.array_join(
-        F.zip_with(F.split(text, PATTERN, -1), F.col("_new"), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
+        F.zip_with(F.split(text, PATTERN, -1), F.col(new), lambda a, b: F.concat(F.coalesce(a, F.lit("")), F.coalesce(b, F.lit("")))), ""
     )
     changed = F.transform(
-        F.filter(F.arrays_zip(F.col("_found").alias("a"), F.col("_new").alias("b")), lambda p: p["a"] != p["b"]), lambda p: kind(p["a"])
+        F.filter(F.arrays_zip(F.col(old).alias("a"), F.col(new).alias("b")), lambda p: p["a"] != p["b"]), lambda p: kind(p["a"])
     )
-    times = lambda k: F.size(F.filter("_kinds", lambda x: x == k))
+    times = lambda k: F.size(F.filter(kinds, lambda x: x == k))
     counts = F.filter(
         F.array(*(F.struct(F.lit(k).alias("kind"), times(k).alias("n")) for k in KINDS)),
         lambda s: s["n"] > 0,
     )
-    d = d.withColumn("_kinds", changed).withColumn("text", F.when(F.size("_found") > 0, woven).otherwise(text))
-    return d.withColumn("pii_found", counts).drop("_found", "_new", "_kinds")
+    d = d.withColumn(kinds, changed).withColumn("text", F.when(F.size(old) > 0, woven).otherwise(text))
+    return d.withColumn(found, counts).drop(old, new, kinds)
+
 
+def judge(docs: DataFrame, key: str) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id``, the ``text`` with pseudonyms, ``pii_count`` and ``pii_kinds`` (like ``card:2 mail:1``).
 
-def judge(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, the ``text`` with pseudonyms, ``pii_count`` and ``pii_kinds`` (like ``card:2 mail:1``)."""
+    Nulls, ties and odd texts as in :func:`pseudonymised`; other columns are ignored.
+    """
     d = pseudonymised(docs.select("doc_id", "text"), key)
     count = F.aggregate("pii_found", F.lit(0).cast("long"), lambda s, p: s + p["n"])
     kinds = F.array_join(F.transform("pii_found", lambda p: F.concat_ws(":", p["kind"], p["n"].cast("string"))), " ")

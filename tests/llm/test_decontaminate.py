@@ -89,7 +89,7 @@ def test_equals_brute_force(spark, broadcast):
     known = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((tuple(r) for r in d.judge(df, known, broadcast=broadcast).collect()), key=str)
     assert got == brute(rows, items)
-    kept = sorted((r.doc_id for r in d.clean(df, known).collect()), key=str)
+    kept = sorted((r.doc_id for r in d.clean(df, known, broadcast=broadcast).collect()), key=str)
     assert kept == sorted((r[0] for r in brute(rows, items) if not r[-1]), key=str)
 
 
@@ -97,12 +97,44 @@ def test_equals_brute_force(spark, broadcast):
 def test_clean_judges_rows_without_or_with_a_repeated_id_by_their_text(spark, broadcast):
     item = "one two three four five six seven eight"
     rows = [(None, f"so {item} it says"), (None, "nothing of it in here at all"), (None, None), (4, item), (4, "words of a wholly different kind here"), (5, "alpha beta gamma delta epsilon zeta")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = [(*r, "b", {"m": k}, k) for k, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, bad_row string, row map<string,int>, item int")
     known = spark.createDataFrame([(1, item)], "item_id long, text string")
-    got = sorted((tuple(r) for r in d.clean(df, known, broadcast=broadcast).collect()), key=str)
+    out = d.clean(df, known, broadcast=broadcast)
+    assert out.columns == df.columns
+    got = sorted((tuple(r) for r in out.collect()), key=str)
     assert got == sorted([rows[1], rows[2], rows[4], rows[5]], key=str)
 
 
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_very_long_texts_and_phrases_that_all_items_share(spark, broadcast):
+    """Items that begin alike, in texts that repeat that phrase; the text of 300,000 words is read whole."""
+    stock = "once upon a time there was a king who had".split()
+    items = [(k, " ".join([*stock, *(f"i{k}w{j}" for j in range(20))])) for k in range(300)] + [(900, " ".join(stock)), (901, " ".join(stock))]
+    long = [f"v{j}" for j in range(300_000)]
+    long[150_000:150_000] = items[7][1].split()
+    rows = [(1, " ".join(stock * 400)), (2, " ".join(long)), (3, items[5][1] + " " + " ".join(stock * 50)), (4, " ".join(stock[:4])), (5, " ".join(f"i9w{j}" for j in range(20)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_items, r.item_id, r.coverage) for r in d.judge(df, known, broadcast=broadcast).collect()}
+    assert got == {1: (2, 900, 1.0), 2: (3, 7, 1.0), 3: (3, 5, 1.0), 4: (0, None, 0.0), 5: (1, 9, 20 / 30)}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_probes_lose_no_candidate(seed):
+    """Whatever subset of an item's seeds a text shares: if it covers enough, one of the probes is in it."""
+    rng = random.Random(seed)
+    seeds = [rng.randrange(12) for _ in range(rng.randrange(1, 25))]
+    held = {x: rng.randrange(1, 50) for x in seeds}
+    for threshold in (0.3, 0.6, 1.0):
+        found = d.probes(seeds, [held[x] for x in seeds], 5, threshold)
+        for _ in range(200):
+            shared = {x for x in set(seeds) if rng.random() < rng.choice([0.2, 0.5, 0.9])}
+            words = {p for i, x in enumerate(seeds) if x in shared for p in range(i, i + 5)}
+            assert d.coverage(seeds, shared, 5) == len(words)
+            assert found & shared or len(words) < threshold * (len(seeds) + 4)
+
+
 def test_empty(spark):
     none, one = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
     items = spark.createDataFrame([], "item_id long, text string")

@@ -12,7 +12,7 @@ whole shingle sets are compared. Only pairs that are similar to 0.8 or more are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,11 +55,6 @@ def smallest(h: np.ndarray) -> bytes:
     return (out >> np.uint64(32)).astype("<u4").tobytes()
 
 
-def sketch(text: str | None, shingle: int = SHINGLE) -> bytes | None:
-    h = shingles(text, shingle)
-    return None if h is None else smallest(h)
-
-
 def _forest(nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the candidates among ``nodes``, found by growing one tree after another from what is not yet reached."""
     left, right, free = [], [], np.ones(len(nodes), bool)
@@ -186,26 +181,41 @@ def verified(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, tile: in
         .withColumn("tile", F.least("own", "other") * F.col("tiles").cast("long") + F.greatest("own", "other"))
         .select("root", "tile", "node")
     )
-    # a shuffled join at every size, as in simhash.first_of_group
-    texts = keyed.select("node", "text").join(members.select("node").hint("shuffle_hash"), "node", "left_semi").dropDuplicates(["node"])
+    # a shuffled, sorted join at every size, as in simhash.first_of_group
+    texts = keyed.select("node", "text").join(members.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
     dealt = dealt.join(cut(texts, "texts"), "node")
     return dealt.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_verify, "a long, b long")
 
 
-def alike(keyed: DataFrame) -> DataFrame:
-    """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join equal shingle sets and near copies."""
+def signatures(keyed: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
+    """``(doc_id, node, fp, same, size, sketch)`` for each row of ``keyed`` (``doc_id, text, node``), in one pass over the texts.
+
+    ``same`` is a hash of the whole shingle set, ``size`` its number of shingles; ``sketch`` is null without a word; ``fp`` is null
+    without a ``fingerprint``.
+    """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         import xxhash
 
-        found = [shingles(t) for t in batch.column("text").to_pylist()]
+        texts = batch.column("text").to_pylist()
+        found = [shingles(t) for t in texts]
         same = np.array([0 if h is None else xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
         sizes = pa.array([0 if h is None else len(h) for h in found], pa.int64())
         sketched = pa.array([None if h is None else smallest(h) for h in found], pa.binary())
-        return pa.RecordBatch.from_arrays([batch.column("node"), pa.array(same), sizes, sketched], ["node", "same", "size", "sketch"])
+        fps = pa.nulls(len(texts), pa.int64()) if fingerprint is None else pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("node"), fps, pa.array(same), sizes, sketched], ["doc_id", "node", "fp", "same", "size", "sketch"]
+        )
+
+    return map_texts(keyed.select("doc_id", "text", "node"), work, "doc_id long, node long, fp long, same long, size long, sketch binary")
 
-    rows = map_texts(keyed.select("node", "text"), work, "node long, same long, size long, sketch binary")
-    marked = cut(rows.where("sketch IS NOT NULL"), "sketches")
+
+def alike(keyed: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join equal shingle sets and near copies.
+
+    ``marked`` is what :func:`signatures` gives for ``keyed``, written down.
+    """
+    marked = marked.where("sketch IS NOT NULL")
     low = F.min("node").alias("node")
     nodes = cut(marked.groupBy("same").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), low), "nodes")
     equal = marked.select("node", "same").join(nodes.select("same", F.col("node").alias("low")), "same")
@@ -213,9 +223,14 @@ def alike(keyed: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame) -> DataFrame:
-    """``(doc_id, first)`` for documents with a near copy or an equal shingle set: the smallest id of their group. Null ids are left out."""
+    """``(doc_id, first)`` for rows with a near copy or an equal shingle set: the smallest id of their group.
+
+    Null ids and texts without a word are left out; repeated rows and a repeated id count by their texts, each row by itself; texts of
+    any length are compared whole; ties do not arise, since groups are components; other columns are ignored; an empty table gives an
+    empty result.
+    """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("node")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
-    roots = connected_components(alike(keyed)).select("node", "root")
+    roots = connected_components(alike(keyed, cut(signatures(keyed), "sketches"))).select("node", "root")
     rows = cut(keyed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rows")
     names = rows.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     return rows.join(names, "root").select("doc_id", "first")

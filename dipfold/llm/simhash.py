@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dipfold.llm import near_copies
-from dipfold.llm.common import cut, map_texts
+from dipfold.llm.common import cut, fresh, map_texts
 from dipfold.llm.components import connected_components
 
 MAX_BITS = 3
@@ -194,37 +194,37 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def first_of_group(docs: DataFrame) -> DataFrame:
-    """One row of each group stays, the one with the smallest ``doc_id``.
-
-    A group is held together by fingerprints at most three bits apart and by five-word shingles similar to 0.8 or more
-    (:mod:`near_copies`). Texts are grouped, not ids: rows that share a ``doc_id`` or have none are each judged by their own text. A
-    row with a null ``doc_id`` stays only where its group has no named one; where a group repeats its smallest id, the row with the
-    smallest other columns stays.
+    """One row of each group stays, whole and unchanged: the one with the smallest ``doc_id``.
+
+    * A group is held together by fingerprints at most three bits apart and by five-word shingles similar to 0.8 or more
+      (:mod:`near_copies`). Texts are grouped, not ids: rows that share a ``doc_id`` or have none are each judged by their own text.
+    * A row with a null ``doc_id`` stays only where its group has no named one. Ties (one id with several texts of a group) go to the
+      smallest digest of the text, repeated rows to the smallest JSON of their other columns; columns of any type are allowed.
+    * Null texts and texts without a word are one group (fingerprint zero). Texts of any length are read whole.
+    * Columns of any name are kept as they are; an empty table gives an empty result.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("node"))
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fps = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), pa.array(fps.view(np.int64))], ["doc_id", "node", "fp"])
-
-    marked = cut(map_texts(keyed, work, "doc_id long, node long, fp long"), "marked")
+    marked = cut(near_copies.signatures(keyed, fingerprint), "marked")
     unique = cut(marked.groupBy("fp").agg(F.min("node").alias("low")), "unique")
     equal = marked.join(unique, "fp").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
     name = lambda c: unique.select(F.col("fp").alias(c), F.col("low").alias(f"{c}_low"))
     near = links(unique.select("fp")).join(name("a"), "a").join(name("b"), "b").select(F.col("a_low").alias("a"), F.col("b_low").alias("b"))
-    roots = connected_components(equal.union(near).union(near_copies.alike(keyed))).select("node", "root")
+    roots = connected_components(equal.union(near).union(near_copies.alike(keyed, marked))).select("node", "root")
     rows = marked.groupBy("doc_id", "node").agg(F.count("*").alias("n")).join(roots, "node", "left")
-    rows = cut(rows.withColumn("root", F.coalesce("root", "node")), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id")).alias("first")
-    heads = rows.groupBy("root").agg(first).select(F.col("root").alias("_root"), F.col("first.doc_id").alias("_id"))
-    heads = rows.join(heads, (F.col("root") == F.col("_root")) & F.col("doc_id").eqNullSafe(F.col("_id"))).select("_id", "_root", F.col("node").alias("_node"), "n")
-    heads = cut(heads, "heads")
-    # a shuffled join at every size: how much is moved follows the input, and nothing is broadcast on a guess
-    own = (F.xxhash64("text") == F.col("_node")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    if heads.groupBy("_root").agg(F.sum("n").alias("n")).where("n > 1").isEmpty():
-        return docs.join(heads.hint("shuffle_hash"), own, "left_semi")
-    kept = docs.join(heads.drop("n").hint("shuffle_hash"), own)
-    columns = [c for c in docs.columns if c != "doc_id"]
-    return kept.groupBy("_root", "doc_id").agg(F.min(F.struct(*columns)).alias("row")).select(
-        *(F.col("doc_id") if c == "doc_id" else F.col("row")[c].alias(c) for c in docs.columns)
-    )
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node", "n")).alias("first")
+    heads = rows.groupBy(F.coalesce("root", "node").alias("root")).agg(first)
+    id_, node, n = fresh(docs, "head_id", "head_node", "head_n")
+    heads = cut(heads.select(F.col("first.doc_id").alias(id_), F.col("first.node").alias(node), F.col("first.n").alias(n)), "heads")
+    # a shuffled, sorted join at every size: how much is moved follows the input, and nothing is broadcast on a guess or held in memory
+    own = (F.xxhash64(docs["text"]) == F.col(node)) & docs["doc_id"].cast("long").eqNullSafe(F.col(id_))
+    if heads.where(F.col(n) > 1).isEmpty():
+        return docs.join(heads.hint("merge"), own, "left_semi")
+    return _one_of_each(docs.join(heads.hint("merge"), own), docs.columns, id_, node)
+
+
+def _one_of_each(kept: DataFrame, columns: list[str], *key: str) -> DataFrame:
+    """Of rows with equal keys, hence equal ids and texts, the one whose other columns are smallest as JSON."""
+    (row,) = fresh(kept, "row")
+    others = [F.col(c) for c in columns if c not in ("doc_id", "text")]
+    order = F.to_json(F.struct(*others)) if others else F.lit("")
+    return kept.groupBy(*key).agg(F.min_by(F.struct(*columns), order).alias(row)).select(*(F.col(row)[c].alias(c) for c in columns))

@@ -60,7 +60,7 @@ def test_near_copies_are_found_and_others_left_alone(spark):
 
 def test_tiles_give_the_same_components(spark):
     rows, _ = corpus()
-    nodes = spark.createDataFrame([(i, near_copies.sketch(t)) for i, t in rows], "node long, sketch binary")
+    nodes = spark.createDataFrame([(i, near_copies.smallest(near_copies.shingles(t))) for i, t in rows], "node long, sketch binary")
     a, b = (sorted((r.node, r.root) for r in connected_components(near_copies.links(nodes, tile)).collect()) for tile in (512, 3))
     assert a == b
 
@@ -97,7 +97,7 @@ def test_tiles_of_whole_sets_give_the_same_components(spark):
 
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A"), (None, "a"), (5, "a b c"), (5, "a b c"), (6, "w " * 100000)]
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int")
+    df = spark.createDataFrame([(i, t, 1, "s", 2) for i, t in rows], "doc_id long, text string, node int, sketch string, same int")
     got = {(r.doc_id, r["first"]) for r in near_copies.groups(df).collect()}
     assert got == {(3, 3), (4, 3), (5, 5)}
     assert near_copies.groups(df.limit(0)).count() == 0

@@ -17,7 +17,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, he
 
     The ids are drawn from ``labels`` by a hash order (a top-k, no shuffle of the table), so the side that is
     broadcast has a proven bound: ``max_rows`` rows of two numbers. Null ids and null labels teach nothing; of repeated ids the
-    larger label counts.
+    larger label counts, and of several texts with one id the smallest.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (remainder(F.col("doc_id"), parts) != held_out))
@@ -26,7 +26,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, parts: int, he
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
     )
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").select("text", "y")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).select("text", "y")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 60) -> tuple[float, float]:

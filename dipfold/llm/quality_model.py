@@ -80,29 +80,50 @@ class Model:
         return sigmoid(self.slope * m + self.intercept)
 
 
-def descend(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dims: int, c: float = C, passes: int = PASSES, seed: int = SEED) -> np.ndarray:
-    """Dual coordinate descent for the hinge loss; the last of ``dims`` weights is the bias."""
-    w, alpha = np.zeros(dims), np.zeros(len(rows))
-    square = np.array([float(v @ v) for _, v in rows])
+def packed(f: np.ndarray) -> bytes:
+    """Feature numbers as bytes: four for each, or one bit for each of the space where that is less. At most SPACE / 8 bytes for any text."""
+    if 4 * len(f) <= SPACE // 8:
+        return f.astype("<i4").tobytes()
+    bits = np.zeros(SPACE, bool)
+    bits[f] = True
+    return np.packbits(bits).tobytes() + b"b"
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, len(raw) - 1))) if len(raw) % 4 else np.frombuffer(raw, "<i4").astype(np.int64)
+
+
+def descend(rows: list[bytes], y: np.ndarray, ratio: np.ndarray, c: float = C, passes: int = PASSES, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """Dual coordinate descent for the hinge loss; the weights of the features and of the bias.
+
+    A row is the indicators in ``rows`` times ``ratio``, brought to unit length, and a one for the bias. Rows stay packed and are scaled
+    as they are used: the weights are ``ratio`` times ``q``, and a step adds the same number to ``q`` at all of a row's features.
+    """
+    q, bias, alpha = np.zeros(len(ratio)), 0.0, np.zeros(len(rows))
+    square = ratio * ratio
+    norm = np.array([max(np.sqrt(square[unpacked(r)].sum()), 1e-12) for r in rows])
+    length = np.array([square[unpacked(r)].sum() for r in rows]) / norm**2 + 1
     rng = np.random.default_rng(seed)
     for _ in range(passes):
         most = 0.0
         for i in rng.permutation(len(rows)):
-            f, v = rows[i]
-            g = y[i] * float(w[f] @ v) - 1
+            f = unpacked(rows[i])
+            g = y[i] * (float(square[f] @ q[f]) / norm[i] + bias) - 1
             pg = min(g, 0) if alpha[i] <= 0 else max(g, 0) if alpha[i] >= c else g
             most = max(most, abs(pg))
-            if pg and square[i]:
+            if pg:
                 old = alpha[i]
-                alpha[i] = min(max(old - g / square[i], 0), c)
-                w[f] += (alpha[i] - old) * y[i] * v
+                alpha[i] = min(max(old - g / length[i], 0), c)
+                step = (alpha[i] - old) * y[i]
+                q[f] += step / norm[i]
+                bias += step
         if most < 1e-3:
             break
-    return w
+    return ratio * q, bias
 
 
-def fit(found: list[np.ndarray], labels: np.ndarray) -> Model:
-    """A model from feature numbers and 0/1 labels. With one class only, scores are that class's smoothed share."""
+def fit(found: list[bytes], labels: np.ndarray) -> Model:
+    """A model from packed feature numbers and 0/1 labels. With one class only, scores are that class's smoothed share."""
     n = len(found)
     labels = np.asarray(labels, np.int64)
     if n == 0 or labels.min() == labels.max():
@@ -111,36 +132,29 @@ def fit(found: list[np.ndarray], labels: np.ndarray) -> Model:
     rest = np.arange(n) % 5 == 4
     counts = np.full((2, SPACE), SMOOTH)
     for f, k in zip(found, labels, strict=True):
-        counts[k, f] += 1
+        counts[k, unpacked(f)] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    square = ratio * ratio
-
-    def row(f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        v = ratio[f] / max(np.sqrt(square[f].sum()), 1e-12)
-        return np.append(f, SPACE), np.append(v, 1.0)
-
     own = np.flatnonzero(~rest)
-    sign = np.where(labels > 0, 1.0, -1.0)
-    w = descend([row(found[i]) for i in own], sign[own], SPACE + 1)
-    blended = BLEND * w[:-1] + (1 - BLEND) * np.abs(w[:-1]).mean()
-    model = Model(np.stack([blended * ratio, square]), float(w[-1]), 1.0, 0.0)
-    margins = np.array([model.margin(found[i]) for i in np.flatnonzero(rest)])
+    w, bias = descend([found[i] for i in own], np.where(labels > 0, 1.0, -1.0)[own], ratio)
+    blended = BLEND * w + (1 - BLEND) * np.abs(w).mean()
+    model = Model(np.stack([blended * ratio, ratio * ratio]), bias, 1.0, 0.0)
+    margins = np.array([model.margin(unpacked(found[i])) for i in np.flatnonzero(rest)])
     if len(set(labels[rest])) < 2:
-        margins, rest = np.array([model.margin(f) for f in found]), np.ones(n, bool)
+        margins, rest = np.array([model.margin(unpacked(f)) for f in found]), np.ones(n, bool)
     model.slope, model.intercept = logistic(margins, labels[rest])
     return model
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = TRAIN_ROWS) -> Model:
+    """A model from at most ``max_rows`` labelled rows. What comes to the driver is at most SPACE / 8 bytes (32 KB) for each, however long the texts."""
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = pa.array([features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([found.cast(pa.list_(pa.int32())), batch.column("y")], ["f", "y"])
-
-    rows = map_texts(training_rows(docs, labels, label, PARTS, HELD_OUT, max_rows), work, "f array<int>, y int").toArrow()
-    found = [np.asarray(x.values, np.int64) for x in rows.column("f")]
-    order = sorted(range(len(found)), key=lambda i: found[i].tobytes())  # the same order in every run
-    y = rows.column("y").to_numpy()
-    return fit([found[i] for i in order], y[order] if len(order) else np.zeros(0, np.int64))
+        found = pa.array([packed(features(t)) for t in batch.column("text").to_pylist()], pa.binary())
+        return pa.RecordBatch.from_arrays([found, batch.column("y")], ["f", "y"])
+
+    rows = map_texts(training_rows(docs, labels, label, PARTS, HELD_OUT, max_rows), work, "f binary, y int").toArrow()
+    both = sorted(zip(rows.column("f").to_pylist(), rows.column("y").to_pylist(), strict=True))  # the same order in every run
+    return fit([f for f, _ in both], np.array([y for _, y in both], np.int64))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -26,8 +26,8 @@ from dipfold.llm.labelled import logistic, remainder, sigmoid, training_rows
 PARTS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 TRAIN_ROWS = 12_000
-#: Candidates kept after the first count, toxic texts that an entry must occur in, and its least log odds.
-MAX_CANDIDATES, MIN_TEXTS, MIN_WEIGHT, GAIN = 100_000, 6, 1.8, 0.4
+#: Toxic texts that an entry must occur in, its least log odds, and what a longer entry must add to the beginning it shares.
+MIN_TEXTS, MIN_WEIGHT, GAIN = 6, 1.8, 0.4
 STEMS = tuple(range(3, 11))
 #: Powers of the number of words that are tried as the normaliser; the sample decides.
 POWERS = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9, 1.0)
@@ -109,7 +109,7 @@ class Lexicon:
 
 def _counted(rows: DataFrame, wanted: set[str] | None) -> DataFrame:
     """``(term, y, n)``: in how many texts of a class each term occurs."""
-    shared = rows.sparkSession.sparkContext.broadcast(wanted)  # at most MAX_CANDIDATES entries
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)  # entries of the bounded sample
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         n: Counter = Counter()
@@ -149,7 +149,7 @@ def _around(rows: DataFrame, weights: dict[str, float]) -> list[tuple[str, int,
 
     count = lambda y: F.coalesce(F.sum(F.when(F.col("y") == y, F.col("n"))), F.lit(0))
     found = map_texts(rows, work, "phrase string, y int, n long").groupBy("phrase").agg(count(0).alias("clean"), count(1).alias("toxic"))
-    return [(r.phrase, r.clean, r.toxic) for r in found.where("clean >= 3 AND clean > 3 * toxic").orderBy(F.desc("clean"), "phrase").limit(1000).collect()]
+    return [(r.phrase, r.clean, r.toxic) for r in found.where("clean >= 3 AND clean > 3 * toxic").collect()]
 
 
 def _narrowed(term: str, hits: dict[str, int]) -> str:
@@ -165,8 +165,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
     if not toxic or not clean:
         return Lexicon({}, slope=0.0, intercept=math.log((toxic + 1) / (clean + 1)))
     least = min(MIN_TEXTS, max(2, toxic // 10))
-    first = _counted(rows.where("y = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
-    hits = {r.term: r.n for r in first.collect()}
+    # every entry and every exception phrase that the sample shows often enough is kept: their number is bounded by the sample's words
+    hits = {r.term: r.n for r in _counted(rows.where("y = 1"), None).where(F.col("n") >= least).collect()}
     others = {r.term: r.n for r in _counted(rows.where("y = 0"), set(hits)).collect()}
     weight = {t: math.log((n + 0.5) / (toxic + 1)) - math.log((others.get(t, 0) + 0.5) / (clean + 1)) for t, n in hits.items()}
     # what occurs in so few toxic texts may be clean by chance: it must be certain enough after one more clean text
@@ -206,7 +206,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Only the text is an input of the score. A null text is scored like an empty one; a null ``doc_id`` is not held out;
     repeated rows are scored each by itself; other columns are ignored; an empty table gives an empty result.
     """
-    get = share(docs.sparkSession, Lexicon, lexicon.fields())  # at most MAX_CANDIDATES entries
+    get = share(docs.sparkSession, Lexicon, lexicon.fields())  # learned from the bounded sample
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = get().score(batch.column("text").to_pylist())

@@ -24,6 +24,7 @@ MAX_SHARDS = 1024
 SHARD_SLOTS = 8192
 BUCKET_ROWS = 512
 RUN = 4096
+SHELF = 4096
 TASK_SLOTS, MAX_TASKS = 1 << 16, 20_000
 CELLS = 4096
 WEIGHTS = (5, 2, 1)
@@ -141,7 +142,8 @@ def laid_out(sized: DataFrame, total_rows: int) -> DataFrame:
     """Rows ``(src, doc_id, size, at)``: where each document's tokens begin among its source's.
 
     ``sized`` has ``src``, ``doc_id``, ``size`` and ``tie``, a hash of the text. Equal rows are counted first and parted again
-    afterwards, so no number of copies of one row meets in a task.
+    afterwards, RUN at a time, so no number of copies of one row meets in a task. Sums go up in two steps: buckets within a shelf of
+    SHELF buckets, and shelves within their source, so a task orders SHELF rows or the shelves of one source.
     """
     buckets = max(1, -(-total_rows // BUCKET_ROWS))
     d = sized.groupBy("src", "doc_id", "size", "tie").agg(F.count("*").alias("n"))
@@ -150,10 +152,15 @@ def laid_out(sized: DataFrame, total_rows: int) -> DataFrame:
     inside = Window.partitionBy("src", "bucket").orderBy("doc_id", "size", "tie").rowsBetween(*BEFORE)
     d = d.withColumn("within", F.coalesce(F.sum("own").over(inside), zero()))
     per = d.groupBy("src", "bucket").agg(F.sum("own").alias("all"))
-    to_here = Window.partitionBy("src").orderBy("bucket").rowsBetween(*BEFORE)
-    per = per.select("src", "bucket", F.coalesce(F.sum("all").over(to_here), zero()).alias("base"))
+    per = per.withColumn("shelf", F.floor(F.col("bucket") / SHELF))
+    shelves = per.groupBy("src", "shelf").agg(F.sum("all").alias("whole"))
+    shelves = shelves.withColumn("below", F.coalesce(F.sum("whole").over(Window.partitionBy("src").orderBy("shelf").rowsBetween(*BEFORE)), zero()))
+    to_here = Window.partitionBy("src", "shelf").orderBy("bucket").rowsBetween(*BEFORE)
+    per = per.withColumn("own", F.coalesce(F.sum("all").over(to_here), zero())).join(shelves, ["src", "shelf"])
+    per = per.select("src", "bucket", (F.col("below") + F.col("own")).alias("base"))
     d = d.join(per, ["src", "bucket"]).withColumn("at", F.col("base") + F.col("within"))
-    copy = F.explode(F.sequence(zero(), F.col("n") - 1))
+    d = d.withColumn("run", F.explode(F.sequence(zero(), F.col("n") - 1, F.lit(RUN).cast("long"))))
+    copy = F.explode(F.sequence(F.col("run"), F.least(F.col("run") + RUN, "n") - 1))
     return d.withColumn("copy", copy).select("src", "doc_id", "size", (F.col("at") + F.col("copy") * F.col("size")).alias("at"))
 
 

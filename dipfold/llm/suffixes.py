@@ -2,8 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 
+#: Rank levels of longer inputs are laid on the executor's disk, so that memory does not grow with their number.
+IN_MEMORY = 1 << 22
+
+
+def _kept(level: np.ndarray) -> np.ndarray:
+    """One level of ranks, on disk where it is long: a spill file that goes with the array."""
+    level = level.astype(np.int32) if len(level) < 1 << 31 else level
+    if len(level) < IN_MEMORY:
+        return level
+    held = np.memmap(tempfile.TemporaryFile(), level.dtype, "w+", shape=level.shape)
+    held[:] = level
+    held.flush()
+    return held
+
 
 def ranks_by_doubling(first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     """Rank levels of all suffixes of many sequences laid end to end.
@@ -18,7 +34,7 @@ def ranks_by_doubling(first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
     starts = np.concatenate([[True], ordered[1:] != ordered[:-1]])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-    levels, step = [rank.copy()], 1
+    levels, step = [_kept(rank)], 1
     size = np.bincount(rank, minlength=n)
     active = np.flatnonzero(size[rank] > 1)
     while len(active):
@@ -35,7 +51,7 @@ def ranks_by_doubling(first: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         since = np.maximum.accumulate(np.where(new_key, at, 0)) - np.maximum.accumulate(np.where(new_group, at, 0))
         rank = rank.copy()
         rank[active[order]] = group + since
-        levels.append(rank)
+        levels.append(_kept(rank))
         step *= 2
         size = np.bincount(rank, minlength=n)
         active = active[size[rank[active]] > 1]

@@ -99,7 +99,10 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, default: str = DEFAU
     host, path = parsed(F.col("url"))
     pages = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     best = matches(pages.select("host", "path").where("host <> ''").distinct(), rule_table(spark) if rules is None else rules)
-    return pages.join(best, ["host", "path"], "left").select(
+    # no rule fits an empty host: such pages are dealt by their id, not all to the task of one key
+    spread = F.when(F.col("host") == "", F.concat(F.lit("\n"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))).otherwise(F.col("path"))
+    best = best.select(F.col("host").alias("rule_of"), F.col("path").alias("rule_deal"), "rule", "verdict")
+    return pages.withColumn("deal", spread).join(best, (F.col("host") == F.col("rule_of")) & (F.col("deal") == F.col("rule_deal")), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict")
     )
 

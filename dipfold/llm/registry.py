@@ -46,7 +46,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.judge(table(spark, sf_dir, "documents"))
+    return pii.judge(table(spark, sf_dir, "documents"), corpus_pipeline.pii_key(spark))
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

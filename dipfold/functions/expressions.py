@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import tempfile
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
@@ -14,6 +16,19 @@ def null_if_nan(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+def kept(d: DataFrame) -> DataFrame:
+    """``d`` written to the checkpoint folder, which driver and executors share, for plans that read it several times: nothing is held in
+    executors' memory and nothing is worked out twice, also when executors are lost. A local session without such a folder gets one.
+    """
+    sc = d.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        found = sc.getConf().get("spark.checkpoint.dir") or d.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not found and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="dipfold-"))
+    return d.checkpoint()
+
+
 def finite(c: Column) -> Column:
     return F.coalesce(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))), F.lit(False))
 
@@ -53,6 +68,20 @@ def share_text(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, plain).otherwise(F.format_string("%d/%d (%.1f%%)", part, whole, part * 100.0 / whole))
 
 
+def percent_text(share: Column, signed: bool = False) -> Column:
+    """A share as a percentage with one digit, with its sign if asked."""
+    return F.format_string("%+.1f%%" if signed else "%.1f%%", share * 100)
+
+
+def thousands_text(n: Column) -> Column:
+    return F.format_number(n, 0)
+
+
+def stamped(d: DataFrame, name: str = "created_at") -> DataFrame:
+    """Adds the time of the query, the default of a new row's stamp."""
+    return d.withColumn(name, F.current_timestamp())
+
+
 def hash_unit(key: Column, seed: int | str) -> Column:
     """A number below 2**32 from an md5 prefix: the same in any engine."""
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfold.operators import timeseries as T
@@ -37,12 +37,7 @@ def trend(flux: np.ndarray, window: int, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def window_of(duration_us: float, cadence_us: float) -> int:
-    n = max(int(3 * duration_us / cadence_us), 5)
-    return n if n % 2 else n + 1
-
-
-def flatten_group(t: np.ndarray, flux: np.ndarray, mask: np.ndarray, duration_us: int, gap_factor: float = GAP_FACTOR, order: int = ORDER) -> tuple[np.ndarray, str]:
+def flatten_group(t: np.ndarray, flux: np.ndarray, mask: np.ndarray, window: int, gap_factor: float = GAP_FACTOR, order: int = ORDER) -> tuple[np.ndarray, str]:
     """Flux over trend for one curve in time order, and a status; never raises on bad data."""
     good = np.isfinite(flux)
     flat = np.full(len(flux), np.nan)
@@ -51,7 +46,6 @@ def flatten_group(t: np.ndarray, flux: np.ndarray, mask: np.ndarray, duration_us
     cadence = float(np.median(np.diff(t)))
     if not cadence > 0:
         return flat, "nodata"
-    window = window_of(duration_us, cadence)
     for part in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) > gap_factor * cadence) + 1):
         seen = part[good[part] & ~mask[part]]
         if not len(seen):
@@ -62,31 +56,36 @@ def flatten_group(t: np.ndarray, flux: np.ndarray, mask: np.ndarray, duration_us
     return flat, "" if np.isfinite(flat).any() else "nodata"
 
 
+def rung(primary: np.ndarray, secondary: np.ndarray, sibling: np.ndarray, least: float = T.MIN_SHARE) -> np.ndarray | None:
+    """The widest mask that leaves enough of the points, as :func:`timeseries.detrend_rung` has it; None if there is none."""
+    return next((m for m in (secondary | sibling, secondary, primary) if len(m) and (~m).mean() >= least), None)
+
+
 def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, order: int = ORDER) -> DataFrame:
     """Adds ``flat`` (NULL where it cannot be told) and ``status`` to the masked curve of :func:`timeseries.masked`.
 
-    The mask is that of the candidate's rung; without a rung the curve is left as it is.
+    The mask is that of the candidate's rung, which is found where the group lies, so the curve is folded and masked once; without a rung
+    the curve is left as it is.
     """
-    rung = T.detrend_rung(d).select(*T.KEY, "detrend_fallback")
-    keep = [c for c in d.columns if c not in ("siblings",)]
-    d = d.select(*keep).join(rung, T.KEY)
-    mask = (
-        F.when(F.col("detrend_fallback") == "", F.col("in_secondary") | F.col("in_sibling"))
-        .when(F.col("detrend_fallback") == "secondary_only", F.col("in_secondary"))
-        .otherwise(F.col("in_primary"))
-    )
-    d = d.withColumn("_mask", mask).withColumn("_v", F.col("flux").cast("double"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("_mask", "_v")) + ", flat double, status string"
+    d = d.drop("siblings")
+    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy(*T.KEY).orderBy("t_us"))
+    cadence = F.median("_gap").over(Window.partitionBy(*T.KEY)) / 60e6
+    window = F.when(cadence > 0, T.window_points(F.col("duration_us"), cadence))
+    d = d.withColumn("_gap", gap).withColumn("_window", window).drop("_gap").withColumn("_v", F.col("flux").cast("double"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("_window", "_v")) + ", flat double, status string"
 
     def work(g: pa.Table) -> pa.Table:
         g = g.take(np.argsort(g["t_us"].to_numpy(), kind="stable"))
-        value = g["_v"].to_numpy().astype(float)
-        if g["detrend_fallback"][0].as_py() == "none":
+        value, window = g["_v"].to_numpy().astype(float), g["_window"][0].as_py()
+        mask = rung(*(g[c].to_numpy().astype(bool) for c in ("in_primary", "in_secondary", "in_sibling")))
+        if mask is None:
             flat, status = value, "none"
+        elif window is None:
+            flat, status = np.full(len(value), np.nan), "nodata"
         else:
-            flat, status = flatten_group(g["t_us"].to_numpy().astype(float), value, g["_mask"].to_numpy(), g["duration_us"][0].as_py(), gap_factor, order)
-        g = g.drop_columns(["_mask", "_v"])
+            flat, status = flatten_group(g["t_us"].to_numpy().astype(float), value, mask, window, gap_factor, order)
+        g = g.drop_columns(["_window", "_v"])
         g = g.append_column("flat", pa.array(flat, pa.float64(), mask=~np.isfinite(flat)))
         return g.append_column("status", pa.array([status] * len(flat), pa.string()))
 
-    return d.groupBy(*T.KEY).applyInArrow(work, schema).drop("detrend_fallback")
+    return d.groupBy(*T.KEY).applyInArrow(work, schema)

@@ -5,12 +5,13 @@ NULL means the question could not be asked; zero means it was asked and the answ
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfold.functions import expressions as X
+from dipfold.operators import batch, detrend
 from dipfold.operators import timeseries as T
+from dipfold.sources import tables
 
 KEY = T.KEY
 LOCAL_BINS, PARITY_BINS, WINDOWS = 201, 25, 4
@@ -84,11 +85,15 @@ def secondary_bins(d: DataFrame) -> DataFrame:
     return g.withColumn("c8", 8 * F.col("min_ph") + (2 * F.col("idx") + 1) * F.col("duration_us"))
 
 
+VARIANTS = ("longest", "deepest", "deepest_min2")
+
+
 def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     """The deepest dip away from the primary, three ways, and why it could not be looked for.
 
     ``longest``: the longest run below three noises; ``deepest``: the run with the deepest median; ``deepest_min2``: the same
     among runs of two bins or more. A dip of 0 means none was found. Phases are fractions of the period, the circular mean of the run.
+    Levels, noise, runs and their figures are windows by candidate, so the bins are laid out once and aggregated once.
     """
     hidden = F.sum(F.when(F.col("in_sibling"), 1).otherwise(0))
     own = d.groupBy(*KEY, "period_us", "duration_us").agg(F.count("*").alias("n_all"), hidden.alias("n_hidden"))
@@ -97,30 +102,24 @@ def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     guard = F.when((F.col("n_hidden") > 0) & (F.col("n_all") - F.col("n_hidden") < min_points), "too few points left after excluding sibling transits").when(
         20 * F.col("duration_us") >= 4 * F.col("period_us"), F.format_string("blanking covers %.2f of the orbit", blanked)
     )
-    own = own.withColumn("guard", guard)
-    bins = secondary_bins(d.where("NOT in_sibling"))
-    bins = bins.withColumn("outside", F.abs("c8") > 16 * F.col("duration_us"))
-    out = bins.where("outside")
-    base = out.groupBy(*KEY).agg(F.median("flux").alias("base"))
-    low = bins.join(base.join(robust_noise(out, "flux"), KEY), KEY)
-    low = low.withColumn("below", F.col("outside") & (F.col("flux") < F.col("base") - 3 * F.col("noise")))
-    w = Window.partitionBy(*KEY).orderBy("rot")
-    low = low.where(F.coalesce("below", F.lit(False))).withColumn("part", F.col("rot") - F.row_number().over(w))
-    turn = 2 * F.pi() * F.col("c8") / 8 / F.col("period_us")
-    runs = low.groupBy(*KEY, "part").agg(
-        F.min("rot").alias("first"), F.count("*").alias("length"), (F.first("base") - F.median("flux")).alias("dip"),
-        (F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn))) / (2 * F.pi())).alias("at"),
+    own = own.withColumn("guard", guard).drop("period_us", "duration_us")
+    one, away = Window.partitionBy(*KEY), F.when(F.abs("c8") > 16 * F.col("duration_us"), F.col("flux"))
+    b = secondary_bins(d.where("NOT in_sibling")).withColumn("away", away).withColumn("base", F.median("away").over(one))
+    b = b.withColumn("noise", F.nullif(F.median(F.abs(F.col("away") - F.col("base"))).over(one) * MAD, F.lit(0.0)))
+    b = b.withColumn("below", F.coalesce(F.col("away") < F.col("base") - 3 * F.col("noise"), F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*KEY, "below").orderBy("rot"))
+    b = b.withColumn("part", F.when(F.col("below"), F.col("rot") - place))
+    run, turn = Window.partitionBy(*KEY, "below", "part"), 2 * F.pi() * F.col("c8") / 8 / F.col("period_us")
+    b = b.withColumns({
+        "length": F.count("*").over(run), "early": -F.min("rot").over(run), "dip": F.col("base") - F.median("flux").over(run),
+        "at": F.atan2(F.avg(F.sin(turn)).over(run), F.avg(F.cos(turn)).over(run)) / (2 * F.pi()),
+    })
+    pick = lambda which, *order: F.max(F.when(F.col("below") & which, F.struct(*order, "early", "dip", "at")))
+    g = b.groupBy(*KEY).agg(
+        F.first("base").alias("base"), F.first("noise").alias("noise"), F.count("away").alias("n_out"), pick(F.lit(True), "length").alias("longest"),
+        pick(F.lit(True), F.col("dip").alias("deep")).alias("deepest"), pick(F.col("length") >= 2, F.col("dip").alias("deep")).alias("deepest_min2"),
     )
-    picks = {"longest": (F.desc("length"), F.asc("first")), "deepest": (F.desc("dip"), F.asc("first")), "deepest_min2": ((F.col("length") >= 2).desc(), F.desc("dip"), F.asc("first"))}
-    for name, order in picks.items():
-        runs = runs.withColumn(f"n_{name}", F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)))
-    best = []
-    for name in picks:
-        mine = (F.col(f"n_{name}") == 1) & ((F.col("length") >= 2) if name == "deepest_min2" else F.lit(True))
-        best += [F.max(F.when(mine, F.col("dip"))).alias(f"dip_{name}"), F.max(F.when(mine, F.col("at"))).alias(f"at_{name}")]
-    found = runs.groupBy(*KEY).agg(*best)
-    noise = out.groupBy(*KEY).agg(F.count("flux").alias("n_out")).join(base, KEY).join(robust_noise(out, "flux"), KEY)
-    res = own.join(noise, KEY, "left").join(found, KEY, "left")
+    res = own.join(g, KEY, "left")
     guard = F.coalesce(
         F.col("guard"),
         F.when(F.coalesce("n_out", F.lit(0)) == 0, "no data outside the blanked primary"),
@@ -130,12 +129,34 @@ def secondary(d: DataFrame, min_points: int = T.MIN_POINTS) -> DataFrame:
     res = res.withColumn("secondary_guard", guard)
     ok = F.col("secondary_guard") == ""
     cols = [F.when(ok, F.col("noise")).alias("secondary_noise")]
-    for name in picks:
-        cols.append(F.when(ok, F.coalesce(f"dip_{name}", F.lit(0.0))).alias(f"secondary_depth_{name}"))
-        cols.append(F.when(ok, F.col(f"at_{name}")).alias(f"secondary_phase_fraction_{name}"))
+    for name in VARIANTS:
+        cols.append(F.when(ok, F.coalesce(F.col(name)["dip"], F.lit(0.0))).alias(f"secondary_depth_{name}"))
+        cols.append(F.when(ok, F.col(name)["at"]).alias(f"secondary_phase_fraction_{name}"))
     return res.select(*KEY, F.col("excluded").alias("secondary_exclusion_fraction"), "secondary_guard", *cols)
 
 
+def shape(bins: DataFrame, n_bins: int) -> DataFrame:
+    """Depth, width, asymmetry, snr and occupancy of each candidate at once: levels and runs are windows by candidate, then one aggregation."""
+    at, near, one = inside(n_bins), inside(n_bins, 2), Window.partitionBy(*KEY)
+    away = F.when(F.abs("c2n") > n_bins * F.col("duration_us"), F.col("flux"))
+    b = bins.withColumns({
+        "away": away, "base": F.median(F.when(~at, F.col("flux"))).over(one), "floor": F.median(F.when(at, F.col("flux"))).over(one),
+        "level": F.median(away).over(one),
+    })
+    b = b.withColumn("deep", F.col("base") - F.col("floor"))
+    b = b.withColumn("low", F.coalesce(F.col("flux") < F.col("base") - F.col("deep") / 2, F.lit(False)))
+    place = F.row_number().over(Window.partitionBy(*KEY, "low").orderBy("idx"))
+    b = b.withColumn("part", F.when(F.col("low"), F.col("idx") - place))
+    b = b.withColumn("length", F.count("*").over(Window.partitionBy(*KEY, "low", "part")))
+    half = lambda side: F.median(F.when(near & side, F.col("flux")))
+    noise = F.nullif(F.median(F.abs(F.col("away") - F.col("level"))) * MAD, F.lit(0.0))
+    longest = F.max(F.when(F.col("low"), F.col("length")))
+    return b.groupBy(*KEY).agg(
+        F.first("base").alias("baseline"), F.first("deep").alias("depth"), ((longest - 1) * WINDOWS * F.first("duration_us") / n_bins / X.HOUR_US).alias("width"),
+        (half(F.col("c2n") > 0) - half(F.col("c2n") < 0)).alias("asymmetry"), X.ratio(F.first("deep"), noise).alias("snr"), *T.occupancy_figures(),
+    )
+
+
 def window_scan(bins: DataFrame, n_bins: int, fractions: tuple[int, ...] = FRACTIONS) -> DataFrame:
     """Depth and number of filled bins for several widths of the dip, from one binned curve: rows ``(key, fraction, depth, n_in)``."""
     cols = []
@@ -148,22 +169,60 @@ def window_scan(bins: DataFrame, n_bins: int, fractions: tuple[int, ...] = FRACT
     return g.select(*KEY, F.expr(f"stack({len(fractions)}, {stack}) AS (fraction, depth, n_in)"))
 
 
-def assembled(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = None, n_bins: int = LOCAL_BINS, flat: DataFrame | None = None) -> DataFrame:
-    """All features and diagnostics, one row per candidate; candidates that could not be measured stay, with NULLs.
+def curve_to_measure(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = None, detrending: bool = True) -> DataFrame:
+    """The folded and masked curve of every candidate, detrended or as it is, written down once for all features."""
+    d = T.masked(curve, koi, everything)
+    if detrending:
+        d = detrend.flattened(d).withColumn("flux", F.col("flat")).drop("flat", "status")
+    return X.kept(d.drop("siblings"))
+
+
+def measured(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = None, n_bins: int = LOCAL_BINS, detrending: bool = True) -> DataFrame:
+    """Features and diagnostics of every candidate whose star has a curve, one row each: the six of the model and what tells how they came about."""
+    d = curve_to_measure(curve, koi, everything, detrending)
+    share = lambda c: F.avg(F.col(c).cast("int"))
+    masks = d.groupBy(*KEY).agg(F.first("n_siblings").cast("long").alias("n_siblings"), share("in_sibling").alias("sibling_masked_fraction"))
+    out = T.detrend_rung(d).select(*KEY, "detrend_masked_fraction", "detrend_fallback").join(masks, KEY)
+    for part in (shape(T.local_bins(d, n_bins), n_bins), odd_even(d), secondary(d)):
+        out = out.join(part, KEY, "left")
+    return out.withColumn("secondary_depth", F.col("secondary_depth_deepest_min2"))
+
+
+def assembled(points: DataFrame, products: DataFrame, koi: DataFrame, n_bins: int = LOCAL_BINS, detrending: bool = True) -> DataFrame:
+    """Whole rows, one for each row of ``koi``, measured or not: identity, reference, features, diagnostics, error and its kind.
 
-    ``flat`` is the masked curve after detrending; without it the curve is measured as it is.
+    ``koi`` has ``star_id, koi, disposition, period_us, epoch_us, duration_us, koi_depth_ppm, koi_num_transits``. A candidate that fails its
+    precheck, or whose star has no curve, keeps its row with NULL features and the reason; candidates that cannot be measured are siblings
+    to the others all the same.
     """
-    # the masked (or detrended) curve feeds four branches and the bins five: both are kept, on disk where memory is short
-    d = (T.masked(curve, koi, everything) if flat is None else flat).persist(StorageLevel.MEMORY_AND_DISK)
-    bins = T.local_bins(d, n_bins).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = [
-        depth(bins, n_bins).select(*KEY, "depth"), width(bins, n_bins).select(*KEY, "width_hours"), asymmetry(bins, n_bins), snr(bins, n_bins), odd_even(d),
-        secondary(d), T.detrend_rung(d).select(*KEY, "detrend_masked_fraction", "detrend_fallback"), T.occupancy(bins),
-    ]
-    out = koi.select(*[c for c in koi.columns if c != "siblings"])
-    for p in parts:
-        out = out.join(p, KEY, "left")
-    out = out.withColumns({"secondary_depth": F.col("secondary_depth_deepest_min2"), "width": F.col("width_hours")})
-    out = out.withColumn("duration_over_period", X.ratio(F.col("duration_us"), F.col("period_us")))
-    failed = F.when(F.col("n_local_points").isNull(), "nodata").otherwise("")
-    return out.withColumn("error_kind", failed)
+    star, koi = F.col("star_id"), koi.withColumn("n_koi_for_star", F.count("*").over(Window.partitionBy("star_id")))
+    reason = batch.precheck(F.col("period_us"), F.col("epoch_us"), F.col("duration_us"), F.col("koi_num_transits"))
+    koi = koi.withColumn("reason", reason)
+    ephemeris = ["star_id", "koi", "period_us", "epoch_us", "duration_us"]
+    curve, info = T.loaded(points, products)
+    found = measured(curve, koi.where("reason IS NULL").select(*ephemeris), koi.select(*ephemeris), n_bins, detrending)
+    d = batch.never_lost(koi.join(info, "star_id", "left"), found.withColumn("error_kind", F.lit("")), KEY)
+    none = F.when(F.col("n_products_all").isNull(), F.concat(F.lit("no products for star "), star.cast("string"))).otherwise(F.col("no_data"))
+    error = F.coalesce("reason", F.when(F.col("error_kind") != "", batch.error_text(F.lit("NoDataError"), F.coalesce(none, F.lit("nothing measured")))), F.lit(""))
+    kind = F.when(F.col("reason").isNotNull(), "precheck").when(F.col("error_kind") != "", "nodata").otherwise("")
+    window = F.when(F.col("detrend_fallback") != "none", T.window_points(F.col("duration_us"), F.col("cadence_minutes")))
+    d = d.withColumns({
+        "error": error, "error_kind": kind, "flatten_window_points": window, "duration_over_period": X.ratio(F.col("duration_us"), F.col("period_us")),
+        "kepid": star, "kepoi_name": F.col("koi").cast("string"), "koi_duration_hours": F.col("duration_us") / X.HOUR_US, "koi_period_days": F.col("period_us") / X.DAY_US,
+    })
+    ok = F.col("error_kind") == ""
+    always = {*tables.names(tables.IDENTITY), *tables.names(tables.REFERENCE), "error", "error_kind"}
+    blank = lambda c, t: F.when(ok, F.col(c)).otherwise("" if t == "string" else None).cast(t).alias(c)
+    return d.select(*(F.col(c).cast(t).alias(c) if c in always else blank(c, t) for c, t in map(str.split, tables.FEATURES.split(", "))))
+
+
+def local_view(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = None, n_bins: int = LOCAL_BINS, detrending: bool = True) -> DataFrame:
+    """What a picture of a candidate's event needs: ``(key, kind, hours, ppm)`` for single points and for filled bins, in ppm from the baseline."""
+    d = curve_to_measure(curve, koi, everything, detrending)
+    bins = T.local_bins(d, n_bins)
+    base = depth(bins, n_bins).select(*KEY, "baseline")
+    near = d.where(2 * F.abs("ph_us") < WINDOWS * F.col("duration_us"))
+    raw = near.select(*KEY, F.lit("point").alias("kind"), (F.col("ph_us") / X.HOUR_US).alias("hours"), F.col("flux").cast("double").alias("flux"))
+    binned = bins.select(*KEY, F.lit("bin").alias("kind"), (F.col("c2n") / (2 * n_bins) / X.HOUR_US).alias("hours"), "flux")
+    out = raw.unionByName(binned).where("flux IS NOT NULL").join(base, KEY)
+    return out.select(*KEY, "kind", "hours", ((F.col("flux") - F.col("baseline")) * 1e6).alias("ppm"))

@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import json
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dipfold.functions import expressions as X
+from dipfold.operators import boosting, relational, stats
 
+#: Thresholds, names of features, and columns that must not be features.
 THRESHOLDS = (0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5)
 FEATURES = ("depth", "width", "asymmetry", "snr", "odd_even_diff", "secondary_depth")
 #: Catalogue columns that give the label away or are not measurements; they are never features.
@@ -66,17 +75,17 @@ def score_steps(d: DataFrame, score: str, label: str, by: list[str]) -> DataFram
 
 def roc_auc(d: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Area under the ROC curve as the share of rightly ordered pairs, ties half; NULL with one class only."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    s = score_steps(d, score, label, by).withColumn("below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
-    won = F.sum(F.col("pos") * (2 * F.col("below") + F.col("neg")))
+    s = stats.sums_below(score_steps(d, score, label, by), score, by, ["neg"])
+    won = F.sum(F.col("pos") * (2 * F.col("below_neg") + F.col("neg")))
     return s.groupBy(*by).agg(X.ratio(won, 2 * F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
 
 
 def average_precision(d: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """Sum over thresholds of the gain in recall times the precision."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    s = score_steps(d, score, label, by).withColumns({"tp": F.sum("pos").over(w), "all": F.sum(F.col("pos") + F.col("neg")).over(w)})
-    return s.groupBy(*by).agg(X.ratio(F.sum(F.col("pos") * F.col("tp") / F.col("all")), F.sum("pos")).alias("average_precision"))
+    s = stats.sums_below(score_steps(d, score, label, by), score, by, ["pos", "neg"])
+    tp = F.col("all_pos") - F.col("below_pos")
+    taken = tp + F.col("all_neg") - F.col("below_neg")
+    return s.groupBy(*by).agg(X.ratio(F.sum(F.col("pos") * tp / taken), F.sum("pos")).alias("average_precision"))
 
 
 def paired(metrics: DataFrame, a: str, b: str, config: str, seed: str, value: str) -> DataFrame:
@@ -120,43 +129,230 @@ def importances(model, features: list[str]) -> dict[str, float]:
     return {f: float(v[2 * k] + v[2 * k + 1]) for k, f in enumerate(features)}
 
 
-def permutation_importance(model, d: DataFrame, features: list[str], label: str, key: str, repeats: int = 5, threshold: float = 0.25) -> DataFrame:
-    """Loss of accuracy when one feature is dealt anew among the rows: ``(feature, mean, std)``.
+def importance_table(spark: SparkSession, model, features: list[str]) -> DataFrame:
+    """Importances of a fitted model, largest first."""
+    return spark.createDataFrame(list(importances(model, features).items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
+
+
+#: Rows that one experimental fit takes at most, drawn by a hash of the key: a documented bound of what is broadcast.
+FIT_ROWS = 50_000
+#: Parts of a split, as codes.
+TRAIN, TEST, UNUSED = 0, 1, 2
+#: The grid of configurations that is searched, the default one first by its values below.
+GRID = {"rate": (0.05, 0.1), "leaves": (15, 31), "least": (20, 40), "l2": (0.0, 1.0), "rounds": (100, 300)}
+DEFAULTS = {"rate": 0.1, "leaves": 31, "least": 20, "l2": 0.0, "rounds": 100}
+
+
+def configurations(grid: dict[str, tuple] = GRID) -> list[dict]:
+    return [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+
+
+def known(d: DataFrame, disposition: str = "disposition") -> DataFrame:
+    """Rows with a verdict, as ``label`` 1 or 0; an open candidate is unknown, not negative."""
+    return d.where(F.col(disposition).isin("CONFIRMED", "FALSE POSITIVE")).withColumn("label", (F.col(disposition) == "CONFIRMED").cast("int"))
+
+
+def unknown(d: DataFrame, disposition: str = "disposition") -> DataFrame:
+    return d.where(F.col(disposition) == "CANDIDATE")
+
+
+def predicted(score: Column, threshold: float = 0.25) -> Column:
+    return (score >= threshold).cast("int")
+
+
+def sampled(d: DataFrame, key: str, columns: list[Column], max_rows: int = FIT_ROWS) -> pa.Table:
+    """At most ``max_rows`` rows, the same ones in the same order in every run (a top-k by a hash of the key), on the driver."""
+    return d.select(F.col(key).alias("_key"), *columns).orderBy(X.hash_unit(F.col("_key"), "fit"), "_key").limit(max_rows).toArrow()
 
-    Rows fall into random groups of about GROUP_ROWS and are dealt anew within their group: each group's rows are numbered in two hash orders
-    and meet by number, so no task sorts the whole table.
+
+def experiments(d: DataFrame, key: str, label: str, features: list[str], runs: list[dict], parts: dict[str, Column], max_rows: int = FIT_ROWS) -> DataFrame:
+    """Fit many models side by side: ``(config, part, key, label, score)`` for the held-out rows of each run.
+
+    A run is ``{"config", "part", "features", "params"}``: it is fitted on the rows whose part code is TRAIN and scores those with TEST. The
+    rows are a bounded sample, broadcast once; each run is a task of its own, so runs are spread over the cluster.
     """
     spark = d.sparkSession
-    base = d.select(key, label, *features)
-    hit = lambda t: scored(model, t, features).agg(F.avg(F.when((F.col("score") >= threshold) == (F.col(label) == 1), 1.0).otherwise(0.0))).first()[0]
-    plain = hit(base)
-    groups = max(1, -(-base.count() // GROUP_ROWS))
-    base = base.withColumn("_g", F.pmod(X.hash_unit(F.col(key), "group"), F.lit(groups)))
-    out = []
-    for f in features:
-        for r in range(repeats):
-            a = base.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy(X.hash_unit(F.col(key), f"a{r}"), key)))
-            b = base.select("_g", F.col(f).alias("_v"), F.row_number().over(Window.partitionBy("_g").orderBy(X.hash_unit(F.col(key), f"{f}{r}"), key)).alias("_i"))
-            out.append((f, plain - hit(a.join(b, ["_g", "_i"]).withColumn(f, F.col("_v")).drop("_v", "_i", "_g"))))
-    rows = spark.createDataFrame(out, "feature string, loss double")
-    return rows.groupBy("feature").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std"))
-
-
-def grid_search(d: DataFrame, features: list[str], label: str, group: str, grid: list[dict], folds: int = 5) -> DataFrame:
-    """Average precision of each configuration on each fold of whole groups: ``(config, fold, average_precision)``."""
-    d = d.withColumn("_fold", fold_of(F.col(group), folds))
-    out = None
-    for k, config in enumerate(grid):
-        for f in range(folds):
-            model = boosted(d.where(F.col("_fold") != f), features, label, **config)
-            ap = average_precision(scored(model, d.where(F.col("_fold") == f), features).withColumn("fold", F.lit(f)), "score", label, ["fold"])
-            ap = ap.withColumn("config", F.lit(k))
-            out = ap if out is None else out.union(ap)
-    return out.select("config", "fold", "average_precision")
-
-
-def gap_ratio(folds: DataFrame) -> DataFrame:
-    """The best configuration's lead over the first, by the pooled deviation over folds."""
+    named = [*(F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)), F.col(label).cast("int").alias("y"), *(c.cast("int").alias(f"p{k}") for k, c in enumerate(parts.values()))]
+    rows = sampled(d.where(F.col(label).isNotNull()), key, named, max_rows)
+    number = {p: k for k, p in enumerate(parts)}
+    sent = spark.sparkContext.broadcast({
+        "key": rows.column("_key").to_pylist(), "x": np.stack([_numbers(rows.column(f"x{k}")) for k in range(len(features))], axis=1) if features else np.zeros((rows.num_rows, 0)),
+        "y": rows.column("y").to_numpy(), "parts": [rows.column(f"p{k}").to_numpy() for k in range(len(parts))],
+    })
+    jobs = [(k, r["config"], r["part"], json.dumps({"columns": [features.index(f) for f in r["features"]], "part": number[r["part"]], "params": r["params"]})) for k, r in enumerate(runs)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for config, part, text in zip(*(batch.column(c).to_pylist() for c in ("config", "part", "job")), strict=True):
+                job, held = json.loads(text), sent.value
+                code, x, y = held["parts"][job["part"]], held["x"][:, job["columns"]], held["y"]
+                model = boosting.fit(x[code == TRAIN], y[code == TRAIN].astype(float), **job["params"])
+                test = np.flatnonzero(code == TEST)
+                score = boosting.predict(model, x[test])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([config] * len(test), pa.string()), pa.array([part] * len(test), pa.string()), pa.array([held["key"][i] for i in test], pa.int64()), pa.array(y[test], pa.int32()), pa.array(score)],
+                    ["config", "part", "key", "label", "score"],
+                )
+
+    one_each = spark.createDataFrame(jobs, "id int, config string, part string, job string").repartitionByRange(len(jobs), "id")
+    return X.kept(one_each.mapInArrow(work, "config string, part string, key long, label int, score double"))
+
+
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    return column.to_pandas().to_numpy(float, na_value=np.nan)
+
+
+def metrics(predictions: DataFrame, threshold: float = 0.25, by: tuple[str, ...] = ("config", "part")) -> DataFrame:
+    """Confusion, shares, AUC and average precision of each run; whatever cannot be told is NULL."""
+    by = list(by)
+    out = confusion(predictions, "score", "label", F.lit(threshold), by)
+    out = out.join(roc_auc(predictions, "score", "label", by).select(*by, "auc"), by)
+    return out.join(average_precision(predictions, "score", "label", by), by)
+
+
+def ablation(d: DataFrame, key: str, group: str, label: str, families: dict[str, list[str]], seeds: list[int], params: dict | None = None) -> DataFrame:
+    """Metrics of each feature family on each of the same grouped splits: ``config, part`` and what :func:`metrics` gives."""
+    features = sorted({f for fs in families.values() for f in fs})
+    parts = {str(s): F.when(is_test(F.col(group), s), TEST).otherwise(TRAIN) for s in seeds}
+    runs = [{"config": name, "part": str(s), "features": fs, "params": params or DEFAULTS} for name, fs in families.items() for s in seeds]
+    return metrics(experiments(d, key, label, features, runs, parts))
+
+
+def spread(results: DataFrame, columns: tuple[str, ...] = ("accuracy", "auc", "precision", "recall", "queue_cut", "lost")) -> DataFrame:
+    """Mean and population deviation over the splits of each configuration."""
+    return results.groupBy("config").agg(F.count("*").alias("n"), *(f(c).alias(f"{c}_{n}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+
+
+def inner_against_outer(d: DataFrame, key: str, group: str, label: str, features: list[str], params: dict | None = None) -> DataFrame:
+    """Confusion on the test groups of a model fitted on all other rows, and of one fitted without the validation groups."""
+    part = lambda unused: F.when(F.col("part") == "test", TEST).when(F.col("part") == unused, UNUSED).otherwise(TRAIN)
+    runs = [{"config": c, "part": c, "features": features, "params": params or DEFAULTS} for c in ("outer", "inner")]
+    return metrics(experiments(split(d, group), key, label, features, runs, {"outer": part("none"), "inner": part("validation")}), by=("config",))
+
+
+def baselines(d: DataFrame, key: str, group: str, label: str, features: list[str], single: str, thresholds: tuple[float, ...] = (0.25, 0.4, 0.5, 0.6), seed: int = 42) -> DataFrame:
+    """Accuracy on the held-out groups: the majority class, one feature alone and all features, at several thresholds."""
+    test = {"t": F.when(is_test(F.col(group), seed), TEST).otherwise(TRAIN)}
+    runs = [{"config": c, "part": "t", "features": fs, "params": DEFAULTS} for c, fs in (("single", [single]), ("all", features))]
+    found = experiments(d, key, label, features, runs, test).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    g = confusion(found, "score", "label", F.col("threshold"), ["config", "threshold"]).select("config", "threshold", "accuracy")
+    most = found.where("config = 'all'").groupBy("threshold").agg(F.avg("label").alias("p"))
+    return g.unionByName(most.select(F.lit("majority").alias("config"), "threshold", F.greatest("p", 1 - F.col("p")).alias("accuracy")))
+
+
+def fitted(d: DataFrame, key: str, label: str, features: list[str], params: dict | None = None, max_rows: int = FIT_ROWS) -> dict:
+    """One model on a bounded sample of ``d``, with the names of its features: plain values that can be broadcast and stored."""
+    named = [F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
+    leaks = set(features) & set(LEAKAGE)
+    if leaks:
+        raise ValueError(f"not features: {sorted(leaks)}")
+    rows = sampled(d.where(F.col(label).isNotNull()), key, [*named, F.col(label).cast("double").alias("y")], max_rows)
+    x = np.stack([_numbers(rows.column(f"x{k}")) for k in range(len(features))], axis=1)
+    return {"features": features, "model": boosting.fit(x, rows.column("y").to_numpy(), **(params or DEFAULTS))}
+
+
+def applied(bundle: dict, d: DataFrame, name: str = "score") -> DataFrame:
+    """``d`` with the score of a model that :func:`fitted` gave, Arrow batch by Arrow batch where the rows lie."""
+    sent = d.sparkSession.sparkContext.broadcast(bundle)  # a hundred trees of a few dozen nodes
+    schema = T.StructType([*d.schema.fields, T.StructField(name, T.DoubleType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.stack([batch.column(f).to_pandas().to_numpy(float, na_value=np.nan) for f in sent.value["features"]], axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(boosting.predict(sent.value["model"], x))], [*batch.schema.names, name])
+
+    return d.mapInArrow(work, schema)
+
+
+def save_bundle(spark: SparkSession, bundle: dict, path: str, threshold: float = 0.25) -> None:
+    """Store a model: its nodes as a Parquet table, names of features, start, edges and threshold as one JSON line beside it."""
+    nodes = [(t, k, *node) for t, tree in enumerate(bundle["model"]["trees"]) for k, node in enumerate(tree)]
+    spark.createDataFrame(nodes, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    head = {"features": bundle["features"], "threshold": threshold, "start": bundle["model"]["start"], "edges": bundle["model"]["edges"]}
+    spark.createDataFrame([(json.dumps(head),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/head")
+
+
+NODES = "tree int, node int, feature int, bin int, missing_left boolean, left int, right int, value double"
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple[dict, float]:
+    """What :func:`save_bundle` stored: the model and its threshold."""
+    head = json.loads(spark.read.text(f"{path}/head").first().value)
+    rows = spark.read.schema(NODES).parquet(f"{path}/nodes").orderBy("tree", "node").collect()  # a model's size
+    trees: list[list[tuple]] = []
+    for r in rows:
+        trees += [[]] if r.node == 0 else []
+        trees[-1].append(tuple(r)[2:])
+    return {"features": head["features"], "model": {"start": head["start"], "edges": head["edges"], "trees": trees}}, head["threshold"]
+
+
+def queue(bundle: dict, candidates: DataFrame, tie: str = "kepoi_name") -> DataFrame:
+    """The review queue: candidates without an error, scored, each with its place from the highest score down."""
+    ok = candidates.where(F.coalesce(F.col("error"), F.lit("")) == "") if "error" in candidates.columns else candidates
+    return relational.placed(applied(bundle, ok), "score", tie)
+
+
+def permutation_importance(bundle: dict, d: DataFrame, label: str, key: str, repeats: int = 30, threshold: float = 0.25) -> DataFrame:
+    """Loss of accuracy when one feature is dealt anew among the rows: ``(feature, mean, std)``, largest first.
+
+    Rows fall into random groups of about GROUP_ROWS and are dealt anew within their group: rows get a place in the group, and for each
+    feature and repeat another one in another hash order, and meet by place. All features and repeats are one table and one scoring pass.
+    """
+    features = bundle["features"]
+    groups = max(1, -(-d.count() // GROUP_ROWS))
+    base = d.select(F.col(key).alias("_key"), F.col(label).alias("_y"), *(F.col(f).cast("double").alias(f) for f in features))
+    base = base.withColumn("_g", F.pmod(X.hash_unit(F.col("_key"), "group"), F.lit(groups)))
+    trials = F.explode(F.array(F.struct(F.lit("").alias("f"), F.lit(-1).alias("r")), *(F.struct(F.lit(f).alias("f"), F.lit(r).alias("r")) for f in features for r in range(repeats))))
+    d = base.withColumn("_t", trials).select("*", F.col("_t.f").alias("_f"), F.col("_t.r").alias("_r")).drop("_t")
+    place = lambda *order: F.row_number().over(Window.partitionBy("_f", "_r", "_g").orderBy(*order))
+    mixed = F.conv(F.substring(F.md5(F.concat_ws(":", "_f", "_r", F.col("_key").cast("string"))), 1, 8), 16, 10).cast("long")
+    own = F.coalesce(*(F.when(F.col("_f") == f, F.col(f)) for f in features))
+    there = d.where("_r >= 0").select("_f", "_r", "_g", own.alias("_v"), place(mixed, F.col("_key")).alias("_i"))
+    here = d.withColumn("_i", place(F.col("_key"))).join(there, ["_f", "_r", "_g", "_i"], "left")
+    here = here.withColumns({f: F.when(F.col("_f") == f, F.col("_v")).otherwise(F.col(f)) for f in features})
+    right = F.avg(F.when((F.col("score") >= threshold) == (F.col("_y") == 1), 1.0).otherwise(0.0))
+    per = applied(bundle, here.select("_f", "_r", "_y", *features)).groupBy("_f", "_r").agg(right.alias("acc"))
+    plain = per.where("_r < 0").select(F.col("acc").alias("plain"))
+    loss = per.where("_r >= 0").join(F.broadcast(plain)).select(F.col("_f").alias("feature"), (F.col("plain") - F.col("acc")).alias("loss"))
+    return loss.groupBy("feature").agg(F.avg("loss").alias("mean"), F.stddev_pop("loss").alias("std")).orderBy(F.desc("mean"), "feature")
+
+
+def grid_search(d: DataFrame, key: str, label: str, group: str, features: list[str], grid: list[dict] | None = None, folds: int = 5) -> DataFrame:
+    """Average precision of each configuration on each fold of whole groups: ``(config, part, average_precision)``; ``config`` is its JSON."""
+    grid = configurations() if grid is None else grid
+    parts = {str(f): F.when(fold_of(F.col(group), folds) == f, TEST).otherwise(TRAIN) for f in range(folds)}
+    runs = [{"config": json.dumps(c, sort_keys=True), "part": p, "features": features, "params": DEFAULTS | c} for c in grid for p in parts]
+    return average_precision(experiments(d, key, label, features, runs, parts), "score", "label", ["config", "part"])
+
+
+def gap_ratio(folds: DataFrame, default: dict | None = None) -> DataFrame:
+    """The best configuration's lead over the default one, by the deviation over folds of both together."""
+    name = json.dumps(default or DEFAULTS, sort_keys=True)
     g = folds.groupBy("config").agg(F.avg("average_precision").alias("m"), F.var_pop("average_precision").alias("v"))
-    lead = F.max("m") - F.max(F.when(F.col("config") == 0, F.col("m")))
-    return g.agg(F.max_by("config", "m").alias("best"), X.ratio(lead, F.sqrt(F.avg("v"))).alias("ratio"))
+    best, own = F.max_by(F.struct("config", "m", "v"), F.struct("m", "config")), F.max(F.when(F.col("config") == name, F.struct("m", "v")))
+    g = g.agg(F.count("*").alias("n_configs"), best.alias("b"), own.alias("d"))
+    gap = F.col("b.m") - F.col("d.m")
+    return g.select(
+        "n_configs", F.col("b.config").alias("best"), F.col("b.m").alias("best_mean"), F.col("d.m").alias("default_mean"), gap.alias("gap"),
+        F.sqrt(F.col("b.v") + F.col("d.v")).alias("pooled"), X.ratio(gap, F.sqrt(F.col("b.v") + F.col("d.v"))).alias("ratio"),
+    )
+
+
+def classification_report(d: DataFrame, score: str, label: str, threshold: float = 0.25) -> DataFrame:
+    """Precision, recall, F1 and support of both classes and their plain and weighted means: one row each."""
+    c = confusion(d, score, label, F.lit(threshold), [])
+    f1 = lambda p, r: X.ratio(2 * p * r, p + r)
+    neg_p, neg_r = X.ratio(F.col("tn"), F.col("tn") + F.col("fn")), X.ratio(F.col("tn"), F.col("tn") + F.col("fp"))
+    c = c.select("precision", "recall", (F.col("tp") + F.col("fn")).alias("pos"), (F.col("tn") + F.col("fp")).alias("neg"), neg_p.alias("neg_p"), neg_r.alias("neg_r"))
+    c = c.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "neg_f": f1(F.col("neg_p"), F.col("neg_r"))})
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    n = F.col("pos") + F.col("neg")
+    mean = lambda a, b: (zero(a) + zero(b)) / 2
+    weighted = lambda a, b: X.ratio(zero(a) * F.col("pos") + zero(b) * F.col("neg"), n)
+    row = lambda name, p, r, f, s: F.struct(F.lit(name).alias("name"), p.alias("precision"), r.alias("recall"), f.alias("f1"), s.alias("support"))
+    rows = [
+        row("FALSE POSITIVE", zero("neg_p"), zero("neg_r"), zero("neg_f"), F.col("neg")), row("CONFIRMED", zero("precision"), zero("recall"), zero("f1"), F.col("pos")),
+        row("macro avg", mean("precision", "neg_p"), mean("recall", "neg_r"), mean("f1", "neg_f"), n),
+        row("weighted avg", weighted("precision", "neg_p"), weighted("recall", "neg_r"), weighted("f1", "neg_f"), n),
+    ]
+    return c.select(F.explode(F.array(*rows)).alias("x")).select("x.*")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfold.functions import expressions as X
+from dipfold.operators import stats
 
 
 def keep_last(d: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -82,3 +83,22 @@ def chunked(d: DataFrame, key: str, size: int, chunks: int) -> DataFrame:
 
 def ranked(d: DataFrame, score: str, tie: str) -> DataFrame:
     return d.orderBy(F.desc(score), F.asc(tie))
+
+
+def placed(d: DataFrame, score: str, tie: str) -> DataFrame:
+    """Adds ``place``, the row's number from the highest score down, equal scores by ``tie``; rows without a score come last.
+
+    Places are counted, not sorted for: rows above come from the counts of the distinct scores, range by range, and only rows of one score
+    are numbered together.
+    """
+    value = F.coalesce(F.col(score), F.lit(float("-inf")))
+    d = d.withColumn("_s", value)
+    n = stats.sums_below(d.groupBy("_s").agg(F.count("*").alias("_n")), "_s", [], ["_n"])
+    above = n.select(F.col("_s").alias("_v"), (F.col("all__n") - F.col("below__n") - F.col("_n")).alias("_above"))
+    own = F.row_number().over(Window.partitionBy("_s").orderBy(tie))
+    return d.withColumn("_own", own).join(above, F.col("_s") == F.col("_v")).withColumn("place", F.col("_above") + F.col("_own")).drop("_s", "_v", "_n", "_above", "_own")
+
+
+def row_of(d: DataFrame, key: str, value) -> DataFrame:
+    """The row of one key, if there is one."""
+    return d.where(F.col(key) == F.lit(value)).limit(1)

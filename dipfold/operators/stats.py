@@ -12,45 +12,107 @@ def value_counts(d: DataFrame, *key: str) -> DataFrame:
     return d.groupBy(*key).agg(F.count("*").alias("n"))
 
 
+#: Ranges into which the distinct values of a table are cut: about one for each RANGE_ROWS of them, within these bounds.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 8, 1024
+
+
+def sums_below(n: DataFrame, value: str, by: list[str], columns: list[str]) -> DataFrame:
+    """Adds to each row of ``n`` (distinct values of each group) the sums of ``columns`` over the smaller values of its group, as
+    ``below_<column>``, and over the whole group, as ``all_<column>``.
+
+    Values are cut into ranges at approximate quantiles of the whole table; a task orders one range of one group, and what lies in
+    lower ranges comes from one row for each group and range. Groups may be null.
+    """
+    every = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
+    found = n.agg(F.count("*").alias("rows"), F.percentile_approx(F.col(value).cast("double"), F.lit(every), F.lit(10_000)).alias("at")).first()
+    ranges = min(MOST_RANGES, max(LEAST_RANGES, found["rows"] // RANGE_ROWS))
+    edges = sorted({float(e) for e in (found["at"] or [])[MOST_RANGES // ranges - 1 :: MOST_RANGES // ranges]}) or [0.0]
+    n = n.withColumn("_range", F.size(F.filter(F.lit(edges), lambda e: e <= F.col(value).cast("double"))))
+    totals = n.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *(F.col(c).alias(f"_g_{c}") for c in by), F.col("_range").alias("_r"), *(F.coalesce(F.sum(f"_t_{c}").over(lower), F.lit(0)).alias(f"_o_{c}") for c in columns),
+        *(F.sum(f"_t_{c}").over(group).alias(f"all_{c}") for c in columns),
+    )
+    same = F.col("_range") == F.col("_r")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+    n = n.join(offsets, same)
+    before = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    n = n.withColumns({f"below_{c}": F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(before), F.lit(0)) for c in columns})
+    return n.drop("_range", "_r", *(f"_g_{c}" for c in by), *(f"_o_{c}" for c in columns))
+
+
+def exact_quantiles(d: DataFrame, by: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """One row per group: for each name of ``wanted`` the exact quantile of a value, interpolated linearly; NULL without a value.
+
+    All values go through one pass: they are laid under each other, counted (a value that very many rows share is one row), and the two
+    neighbours of each quantile's place are found from :func:`sums_below`. No group is ever held in one place. Groups of NULLs alone are kept.
+    """
+    values = list({str(v): v for v, _ in wanted.values()}.values())
+    number = {str(v): k for k, v in enumerate(values)}
+    laid = d.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), v.cast("double").alias("_v")) for k, v in enumerate(values)))).alias("_x"))
+    counts = laid.select(*by, "_x._k", "_x._v").groupBy(*by, "_k", "_v").agg(F.count("*").alias("_n"))
+    found = sums_below(counts.where("_v IS NOT NULL"), "_v", [*by, "_k"], ["_n"])
+    parts = []
+    for name, (v, p) in wanted.items():
+        place = F.lit(p) * (F.col("all__n") - 1)
+        mine = F.col("_k") == number[str(v)]
+        at = lambda k: F.max(F.when(mine & (F.col("below__n") <= k) & (k < F.col("below__n") + F.col("_n")), F.col("_v")))
+        share = F.max(F.when(mine, place - F.floor(place)))
+        parts.append((at(F.floor(place)) * (1 - share) + at(F.ceil(place)) * share).alias(name))
+    # a group whose values are all NULL has a row too
+    hollow = counts.where("_v IS NULL").select(*by, "_k", F.lit(None).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n"))
+    hollow = hollow.withColumns({"below__n": F.lit(0).cast("long"), "all__n": F.lit(0).cast("long")})
+    return found.select(*by, "_k", "_v", "_n", "below__n", "all__n").unionByName(hollow).groupBy(*by).agg(*parts)
+
+
+def with_quantiles(d: DataFrame, by: list[str], plain: list[Column], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
+    """Plain aggregates and exact quantiles of each group, side by side."""
+    q = exact_quantiles(d, by, wanted)
+    if not by:
+        return d.agg(*plain).join(F.broadcast(q))  # one row each
+    q = q.withColumnsRenamed({c: f"_q_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return d.groupBy(*by).agg(*plain).join(q, same, "left").drop(*(f"_q_{c}" for c in by))
+
+
 def quantiles(d: DataFrame, value: str, by: list[str], points: dict[str, float]) -> DataFrame:
     """Exact quantiles with linear interpolation, and the spread between the quartiles."""
-    q = F.percentile(value, F.array(*map(F.lit, (*points.values(), 0.25, 0.75))))  # one pass for all of them
-    n = len(points)
-    g = d.groupBy(*by).agg(q.alias("q"))
-    return g.select(*by, *(F.col("q")[k].alias(name) for k, name in enumerate(points)), (F.col("q")[n + 1] - F.col("q")[n]).alias("iqr"))
+    v = F.col(value)
+    g = exact_quantiles(d, by, {**{name: (v, p) for name, p in points.items()}, "_q1": (v, 0.25), "_q3": (v, 0.75)})
+    return g.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
 
 
 def banded(d: DataFrame, band: Column, value: str) -> DataFrame:
     """Count, median and 90th percentile of a value by band; rows outside all bands are dropped."""
-    g = d.withColumn("band", band).where("band IS NOT NULL")
-    return g.groupBy("band").agg(F.count("*").alias("n"), F.median(value).alias("median"), F.percentile(F.abs(value), F.lit(0.9)).alias("p90_abs"))
+    d = d.withColumn("band", band).where("band IS NOT NULL")
+    return with_quantiles(d, ["band"], [F.count("*").alias("n")], {"median": (F.col(value), 0.5), "p90_abs": (F.abs(value), 0.9)})
 
 
-def histogram(d: DataFrame, value: Column, edges: list[float]) -> DataFrame:
-    return d.withColumn("bin", X.in_bands(value, edges, "left")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
+def banded_spread(d: DataFrame, band: Column, value: str) -> DataFrame:
+    """Count, signed and absolute median, spread between the quartiles and 90th percentile of a value by band."""
+    d, v = d.withColumn("band", band).where("band IS NOT NULL"), F.col(value)
+    wanted = {"median": (v, 0.5), "median_abs": (F.abs(v), 0.5), "_q1": (v, 0.25), "_q3": (v, 0.75), "p90_abs": (F.abs(v), 0.9)}
+    g = with_quantiles(d, ["band"], [F.count("*").alias("n")], wanted)
+    return g.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
 
 
-EDGES = 64
+def histogram(d: DataFrame, value: Column, edges: list[float]) -> DataFrame:
+    return d.withColumn("bin", X.in_bands(value, edges, "left")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
 def average_ranks(d: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """``(by, value, name)``: the rank of each distinct value, ties at their mean.
 
-    Only distinct values with their counts are ranked, so a value that very many rows share is one row. Without ``by`` the values are
-    first cut into ranges at approximate quantiles, so no task ranks the whole table.
+    Only distinct values with their counts are ranked, range by range, so neither a value that very many rows share nor a group with most
+    of the rows makes one task's work.
     """
     n = d.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    if by:
-        before = F.sum("_n").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-        return n.select(*by, value, (F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
-    points = n.agg(F.percentile_approx(value, F.array(*(F.lit(k / EDGES) for k in range(1, EDGES))), F.lit(10_000))).first()[0]
-    edges = F.array(*(F.lit(float(e)) for e in sorted(set(points or [0.0]))))
-    n = n.withColumn("_range", F.size(F.filter(edges, lambda e: e <= F.col(value))))
-    totals = n.groupBy("_range").agg(F.sum("_n").alias("_t"))  # at most EDGES rows
-    offset = F.sum("_t").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
-    n = n.join(F.broadcast(totals.select("_range", F.coalesce(offset, F.lit(0)).alias("_o"))), "_range")
-    before = F.sum("_n").over(Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    return n.select(value, (F.col("_o") + F.coalesce(before, F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(name))
+    return sums_below(n, value, by, ["_n"]).select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(name))
 
 
 def spearman(d: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -73,9 +135,11 @@ def circular_mean(d: DataFrame, angle: Column, by: list[str]) -> DataFrame:
 
 
 def column_health(d: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
-    """Number and rate of missing values and the median, for each column: one pass over the table."""
-    long = d.unpivot(by or [], columns, "column", "value")
-    g = long.groupBy(*(by or []), "column").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null"), F.median("value").alias("median"))
+    """Number and rate of missing values and the median, for each column: the columns are laid under each other."""
+    by = by or []
+    long = d.unpivot(by, columns, "column", "value")
+    plain = [F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("n_null")]
+    g = with_quantiles(long, [*by, "column"], plain, {"median": (F.col("value"), 0.5)})
     return g.withColumn("null_rate", X.ratio(F.col("n_null"), F.col("n")))
 
 
@@ -83,5 +147,6 @@ def found_by_group(d: DataFrame, group: str, columns: list[str]) -> DataFrame:
     """For each group and column: how many are positive, how many measured, and the median of the positive ones."""
     long = d.unpivot([group], columns, "column", "value")
     pos = F.col("value") > 0
-    g = long.groupBy(group, "column").agg(F.count_if(pos).alias("found"), F.count("value").alias("total"), F.median(F.when(pos, F.col("value"))).alias("median_found"))
+    plain = [F.count_if(pos).alias("found"), F.count("value").alias("total")]
+    g = with_quantiles(long, [group, "column"], plain, {"median_found": (F.when(pos, F.col("value")), 0.5)})
     return g.withColumn("share", X.ratio(F.col("found"), F.col("total")))

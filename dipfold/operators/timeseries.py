@@ -33,15 +33,16 @@ def cadence(curve: DataFrame) -> DataFrame:
     return curve.withColumn("gap", gap).groupBy("star_id").agg((F.median("gap") / 60e6).alias("cadence_minutes"), F.count("*").alias("n_points"))
 
 
-def clipped(curve: DataFrame, upper: float = 5.0, lower: float = 20.0, rounds: int = 1) -> DataFrame:
-    """Drop points more than ``upper`` deviations above or ``lower`` below the median of their star, ``rounds`` times.
+def clipped(curve: DataFrame, upper: float = 5.0, lower: float = 20.0, rounds: int = 5) -> DataFrame:
+    """Drop points more than ``upper`` deviations above or ``lower`` below the median of their star, up to ``rounds`` times.
 
-    One aggregation and one join per round on the same key, so one shuffle serves all rounds.
+    All rounds are windows by star, so one shuffle serves them; a round that drops nothing leaves nothing for the next.
     """
+    w = Window.partitionBy("star_id")
     for _ in range(rounds):
-        stats = curve.groupBy("star_id").agg(F.median("flux").alias("_m"), F.stddev_pop("flux").alias("_s"))
+        curve = curve.withColumns({"_m": F.median("flux").over(w), "_s": F.stddev_pop("flux").over(w)})
         keep = (F.col("flux") <= F.col("_m") + upper * F.col("_s")) & (F.col("flux") >= F.col("_m") - lower * F.col("_s"))
-        curve = curve.join(stats, "star_id").where(F.col("flux").isNull() | keep).drop("_m", "_s")
+        curve = curve.where(F.col("flux").isNull() | keep).drop("_m", "_s")
     return curve
 
 
@@ -56,6 +57,36 @@ def stitched(curve: DataFrame) -> DataFrame:
     return curve.withColumn("flux", X.ratio(F.col("flux"), level))
 
 
+def loaded(points: DataFrame, products: DataFrame, exptime_s: float = 1800.0) -> tuple[DataFrame, DataFrame]:
+    """The cleaned curve of every star at one cadence, and one row about each star: ``(curve, info)``.
+
+    Products of that cadence are stitched, sorted into one curve without repeated times, clipped, and held against the least number of
+    points. ``info`` has ``n_products_all, n_products_used, cadences_seen, flux_origin, n_raw_points, n_duplicate_times, cadence_minutes``
+    and ``no_data``, the reason why there is no curve (NULL if there is one). Stars without a product have no row.
+    """
+    is_it = X.close_to(F.col("exptime_s"), exptime_s)
+    of_star = products.groupBy("star_id").agg(
+        F.count("*").alias("n_products_all"), F.count_if(is_it).alias("n_products_used"),
+        F.array_join(F.sort_array(F.collect_set(F.rint("exptime_s").cast("int"))), "|").alias("cadences_seen"),
+        F.min_by(F.when(is_it, F.col("flux_origin")), F.when(is_it, F.col("product_id"))).alias("flux_origin"),
+    )
+    chosen = products.where(is_it).select("star_id", "product_id")
+    whole = stitched(points.join(chosen, ["star_id", "product_id"], "left_semi"))
+    number = lambda: F.count("*").over(Window.partitionBy("star_id"))
+    once = deduplicated(whole.withColumn("_all", number()))
+    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy("star_id").orderBy("t_us"))
+    clean = X.kept(clipped(once.withColumn("_again", F.col("_all") - number())).withColumn("_gap", gap))
+    measured = clean.groupBy("star_id").agg(
+        F.count("*").alias("n_raw_points"), F.max("_again").cast("long").alias("n_duplicate_times"), (F.median("_gap") / 60e6).alias("cadence_minutes")
+    )
+    info = of_star.join(measured, "star_id", "left").withColumn("n_raw_points", F.coalesce("n_raw_points", F.lit(0)).cast("long"))
+    star, used = F.col("star_id").cast("string"), F.col("n_products_used")
+    why = F.when(used == 0, F.concat(F.lit(f"no {int(exptime_s)}s products for star "), star, F.lit("; available: "), F.col("cadences_seen"))).when(
+        F.col("n_raw_points") < MIN_POINTS, F.concat(F.lit("only "), F.col("n_raw_points").cast("string"), F.lit(" points left after cleaning star "), star, F.lit(f" (floor is {MIN_POINTS})"))
+    ).when(~(F.col("cadence_minutes") > 0), F.concat(F.lit("no cadence for star "), star))
+    return enough_points(clean).select("star_id", "t_us", "flux"), info.withColumn("no_data", why)
+
+
 def folded(curve: DataFrame, koi: DataFrame) -> DataFrame:
     """Every point of a star with each of the star's candidates: ``ph_us``, ``cycle`` and ``parity`` are added."""
     d = koi.join(curve, "star_id")
@@ -111,7 +142,7 @@ def detrend_rung(d: DataFrame, least: float = MIN_SHARE) -> DataFrame:
 
 
 def window_points(duration_us: Column, cadence_minutes: Column) -> Column:
-    """Detrending window: three durations in points, at least five, odd."""
+    """Detrending window: three durations in points, cut to a whole number, at least five, odd."""
     n = F.greatest(F.floor(3 * duration_us / 60e6 / cadence_minutes).cast("int"), F.lit(5))
     return F.when(n % 2 == 0, n + 1).otherwise(n)
 
@@ -144,11 +175,16 @@ def gridded(full: DataFrame, key: list[str], carried: list[str]) -> DataFrame:
     return g.select(*key, *carried, "idx", flux.alias("flux"), F.coalesce(cell["n_points"], F.lit(0)).cast("long").alias("n_points"))
 
 
+def occupancy_figures() -> list[Column]:
+    filled = F.sum(F.when(F.col("n_points") > 0, 1).otherwise(0))
+    return [
+        F.sum("n_points").alias("n_local_points"), F.count("*").alias("n_local_bins"), filled.alias("n_local_bins_filled"),
+        F.median("n_points").alias("local_points_per_bin_median"),
+    ]
+
+
 def occupancy(bins: DataFrame) -> DataFrame:
-    return bins.groupBy(*KEY).agg(
-        F.sum("n_points").alias("n_local_points"), F.count("*").alias("n_local_bins"),
-        F.sum(F.when(F.col("n_points") > 0, 1).otherwise(0)).alias("n_local_bins_filled"), F.median("n_points").alias("local_points_per_bin_median"),
-    )
+    return bins.groupBy(*KEY).agg(*occupancy_figures())
 
 
 def runs(d: DataFrame, flag: str, order: str, key: list[str] | None = None) -> DataFrame:

@@ -15,7 +15,7 @@ ATTEMPTS_SQL = """raw AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 +
   l_discount AS secondary_depth_longest, nullif(l_tax, 0.05) AS secondary_depth_deepest, CASE WHEN l_linenumber > 2 THEN l_discount * l_tax END AS secondary_depth_deepest_min2,
   l_discount * 5 AS secondary_phase_fraction_longest, l_tax * -6 AS secondary_phase_fraction_deepest, l_discount * 4.9 AS secondary_phase_fraction_deepest_min2,
   CASE WHEN l_linenumber = 1 THEN 'blanking covers 0.' || CAST(l_suppkey AS VARCHAR) || ' of the orbit' ELSE '' END AS secondary_guard, l_linenumber AS n_koi_for_star,
-  l_tax AS detrend_masked_fraction, l_returnflag AS detrend_fallback, l_quantity / 100 AS duration_over_period
+  l_tax AS detrend_masked_fraction, l_returnflag AS detrend_fallback, l_quantity / 100 AS duration_over_period, l_suppkey % 20 / 16.0 AS koi_impact, 48 + l_linenumber * 20 AS n_local_bins
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
 last AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY kepoi_name ORDER BY attempt_seq DESC) AS n FROM raw) WHERE n = 1),
 ok AS (SELECT * FROM last WHERE error_kind = ''),
@@ -33,6 +33,7 @@ def attempts(spark, d):
         "l_discount * 5 AS secondary_phase_fraction_longest", "l_tax * -6 AS secondary_phase_fraction_deepest", "l_discount * 4.9D AS secondary_phase_fraction_deepest_min2",
         "CASE WHEN l_linenumber = 1 THEN 'blanking covers 0.' || CAST(l_suppkey AS STRING) || ' of the orbit' ELSE '' END AS secondary_guard", "l_linenumber AS n_koi_for_star",
         "l_tax AS detrend_masked_fraction", "l_returnflag AS detrend_fallback", "l_quantity / 100 AS duration_over_period",
+        "l_suppkey % 20 / 16D AS koi_impact", "48 + l_linenumber * 20 AS n_local_bins",
     )
 
 
@@ -166,3 +167,91 @@ UNION ALL SELECT 'label ' || disposition, count(*) FROM p GROUP BY ALL UNION ALL
 )
 def report_batch(spark, d):
     return batch.described(reports.latest(attempts(spark, d)), "kepid", "disposition", F.when(F.col("depth") < 0.2, "period"))
+
+
+def spread_sql(value: str, edges: list[float]) -> str:
+    cases = " ".join(f"WHEN {value} > {a} AND {value} <= {b} THEN {k}" for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))
+    return W + f""", b AS (SELECT CASE {cases} END AS band, e FROM err WHERE depth > 0)
+SELECT band, count(*) AS n, round(median(e), 6) + 0.0 AS median, round(median(abs(e)), 6) AS median_abs, round(quantile_cont(abs(e), .9), 6) AS p90_abs,
+  round(quantile_cont(e, .75) - quantile_cont(e, .25), 6) AS iqr FROM b WHERE band IS NOT NULL GROUP BY ALL"""
+
+
+SPREAD = ("median", "median_abs", "p90_abs", "iqr")
+
+
+@query(spread_sql("koi_impact", reports.IMPACT_BANDS))
+def report_impact_bias(spark, d):
+    return rounded(reports.impact_bias(ok(spark, d)), *SPREAD)
+
+
+@query(spread_sql("local_points_per_bin_median", reports.BIAS_BANDS))
+def report_sparse_bias(spark, d):
+    return rounded(reports.sparse_bias(ok(spark, d)), *SPREAD)
+
+
+@query(spread_sql("local_points_per_bin_median", reports.BUCKETS))
+def report_occupancy_buckets(spark, d):
+    return rounded(reports.occupancy_buckets(ok(spark, d)), *SPREAD)
+
+
+@query(
+    W + ", e AS (SELECT local_points_per_bin_median AS v, abs(e) AS a FROM err WHERE depth > 0 AND local_points_per_bin_median IS NOT NULL) "
+    + " UNION ALL ".join(
+        f"SELECT CAST({t} AS DOUBLE) AS \"limit\", count_if(v < {t}) AS n_below, count_if(v >= {t}) AS n_rest, round(median(a) FILTER (v < {t}), 6) AS median_below, round(median(a) FILTER (v >= {t}), 6) AS median_rest, "
+        f"round(median(a) FILTER (v < {t}) - median(a) FILTER (v >= {t}), 6) AS delta FROM e HAVING count_if(v < {t}) > 0" for t in reports.SPARSE
+    )
+)
+def report_sparse_against_rest(spark, d):
+    return rounded(reports.sparse_against_rest(ok(spark, d)), "median_below", "median_rest", "delta")
+
+
+@query(
+    W + """ SELECT count(*) AS n, count_if(local_points_per_bin_median < 4.5) AS below_4_5, count_if(local_points_per_bin_median < 1) AS below_1, count_if(local_points_per_bin_median = 0) AS empty,
+  min(n_local_bins) AS fewest_bins, max(n_local_bins) AS most_bins FROM ok WHERE local_points_per_bin_median IS NOT NULL"""
+)
+def report_sparse_counts(spark, d):
+    return reports.sparse_counts(ok(spark, d))
+
+
+def rank_sql(value: str, where: str) -> str:
+    return W + f""", r AS (SELECT rank() OVER (ORDER BY abs(e)) + (count(*) OVER (PARTITION BY abs(e)) - 1) / 2 AS a, rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2 AS b
+  FROM err WHERE depth > 0 AND {value} IS NOT NULL AND {where}) SELECT round(corr(a, b), 5) AS rho, count(*) AS n FROM r"""
+
+
+@query(rank_sql("local_points_per_bin_median", "local_points_per_bin_median > 1"))
+def report_correlation_without_sparse(spark, d):
+    """Rank correlation of the absolute error with the occupancy, without the rows at one point a bin or fewer."""
+    out = reports.error_rank_correlation(ok(spark, d), "local_points_per_bin_median", absolute=True, positive=True, above=1.0)
+    return out.withColumn("rho", F.round("rho", 5))
+
+
+@query(rank_sql("koi_impact", "true"))
+def report_impact_correlation(spark, d):
+    out = reports.error_rank_correlation(ok(spark, d), "koi_impact", absolute=True, positive=True)
+    return out.withColumn("rho", F.round("rho", 5))
+
+
+SCAN_COLUMNS = ", ".join(f"nullif(depth * (1 - 1.0 / {f}), 0) AS d{f}, CAST(l + {f} AS INT) AS n{f}" for f in (4, 6, 8, 12))
+SCAN_SQL = W + f", scan AS (SELECT koi_depth_ppm, local_points_per_bin_median AS ppb, {SCAN_COLUMNS} FROM (SELECT *, n_koi_for_star AS l FROM ok))"
+
+
+def scan_sql(where: str) -> str:
+    one = lambda f: f"SELECT {f} AS fraction, d{f} AS depth, n{f} AS used, (d{f} * 1e6 - koi_depth_ppm) / koi_depth_ppm AS e FROM scan WHERE {where} AND d{f} IS NOT NULL AND koi_depth_ppm > 0"
+    return SCAN_SQL + ", l AS (" + " UNION ALL ".join(map(one, (4, 6, 8, 12))) + """) SELECT fraction, count(*) AS n, round(median(e), 6) AS median, round(median(abs(e)), 6) AS median_abs,
+  round(quantile_cont(e, .75) - quantile_cont(e, .25), 6) AS iqr, median(used) AS median_used FROM l GROUP BY ALL"""
+
+
+def scan_rows(spark, d):
+    columns = [c for f in (4, 6, 8, 12) for c in (f"nullif(depth * (1 - 1D / {f}), 0D) AS d{f}", f"CAST(n_koi_for_star + {f} AS INT) AS n{f}")]
+    return ok(spark, d).selectExpr("koi_depth_ppm", "local_points_per_bin_median AS ppb", *columns)
+
+
+@query(scan_sql("true"))
+def report_window_scan(spark, d):
+    return rounded(reports.window_scan_summary(scan_rows(spark, d)), "median", "median_abs", "iqr")
+
+
+@query(scan_sql("ppb < 4.5"))
+def report_window_scan_sparse(spark, d):
+    """The cost of a narrow window on the sparsest rows."""
+    return rounded(reports.window_scan_summary(scan_rows(spark, d), 4.5), "median", "median_abs", "iqr")

@@ -9,7 +9,7 @@ from dipfold.operators import detrend, stats
 from dipfold.operators import features as X
 from dipfold.operators import timeseries as T
 from dipfold.plans.registry import query
-from dipfold.plans.tables import CURVE_SQL, candidates, light_curve, local_bins_sql
+from dipfold.plans.tables import CURVE_SQL, ROWS_SQL, candidates, catalogue, light_curve, local_bins_sql, products
 
 WITH = "WITH " + CURVE_SQL
 N = 25
@@ -78,8 +78,12 @@ def bin_occupancy(spark, d):
     return T.occupancy(bins(spark, d))
 
 
-DEPTH = f""", dep AS (SELECT star_id, koi, median(flux) FILTER (NOT 4 * abs(c2n) < {2 * N} * duration_us) AS baseline,
-  median(flux) FILTER (4 * abs(c2n) < {2 * N} * duration_us) AS floor FROM bins GROUP BY ALL)"""
+def depth_sql(n: int) -> str:
+    return f""", dep AS (SELECT star_id, koi, median(flux) FILTER (NOT 4 * abs(c2n) < {2 * n} * duration_us) AS baseline,
+  median(flux) FILTER (4 * abs(c2n) < {2 * n} * duration_us) AS floor FROM bins GROUP BY ALL)"""
+
+
+DEPTH = depth_sql(N)
 
 
 @query(WITH + local_bins_sql(N) + DEPTH + " SELECT star_id, koi, round(baseline, 6) AS baseline, round(baseline - floor, 6) AS depth FROM dep")
@@ -95,10 +99,14 @@ def asymmetry(spark, d):
     return X.asymmetry(bins(spark, d), N).withColumn("asymmetry", F.round("asymmetry", 6))
 
 
-NOISE = f""", far AS (SELECT star_id, koi, flux, median(flux) OVER (PARTITION BY star_id, koi) AS m FROM bins WHERE abs(c2n) > {N} * duration_us),
+def noise_sql(n: int) -> str:
+    return f""", far AS (SELECT star_id, koi, flux, median(flux) OVER (PARTITION BY star_id, koi) AS m FROM bins WHERE abs(c2n) > {n} * duration_us),
 noise AS (SELECT star_id, koi, nullif(median(abs(flux - m)) * 1.4826, 0) AS noise FROM far GROUP BY ALL)"""
 
 
+NOISE = noise_sql(N)
+
+
 @query(WITH + local_bins_sql(N) + DEPTH + NOISE + " SELECT star_id, koi, round((baseline - floor) / noise, 6) AS snr FROM dep LEFT JOIN noise USING (star_id, koi)")
 def snr(spark, d):
     return X.snr(bins(spark, d), N).withColumn("snr", F.round("snr", 6))
@@ -141,7 +149,7 @@ def odd_even(spark, d):
     return X.odd_even(folded(spark, d)).withColumn("odd_even_diff", F.round("odd_even_diff", 6))
 
 
-SECONDARY = WITH + """, own AS (
+SECONDARY_SQL = """, own AS (
   SELECT star_id, koi, period_us, duration_us, count(*) AS n_all, count_if(in_sibling) AS n_hidden, count_if(in_sibling) / count(*) AS excluded FROM masked GROUP BY ALL
 ), sl AS (SELECT *, min(ph_us) OVER (PARTITION BY star_id, koi) AS min_ph FROM masked WHERE NOT in_sibling
 ), fu AS (SELECT star_id, koi, duration_us, period_us, min_ph, (ph_us - min_ph) * 4 // duration_us AS idx, sum(flux) AS s, count(*) AS n FROM sl GROUP BY ALL
@@ -162,7 +170,8 @@ SECONDARY = WITH + """, own AS (
 ), re AS (SELECT o.*, base, noise, da, pa, db, pb, dc, pc, CASE WHEN n_hidden > 0 AND n_all - n_hidden < 50 THEN 'too few points left after excluding sibling transits'
     WHEN 20 * duration_us >= 4 * period_us THEN printf('blanking covers %.2f of the orbit', 4 * duration_us / period_us)
     WHEN coalesce(n_out, 0) = 0 THEN 'no data outside the blanked primary' WHEN base IS NULL OR noise IS NULL THEN 'baseline or noise unmeasurable' ELSE '' END AS g
-  FROM own o LEFT JOIN no USING (star_id, koi) LEFT JOIN fo USING (star_id, koi))
+  FROM own o LEFT JOIN no USING (star_id, koi) LEFT JOIN fo USING (star_id, koi))"""
+SECONDARY = WITH + SECONDARY_SQL + """
 SELECT star_id, koi, excluded AS secondary_exclusion_fraction, g AS secondary_guard, CASE WHEN g = '' THEN round(noise, 6) END AS secondary_noise,
   CASE WHEN g = '' THEN round(coalesce(da, 0), 6) END AS secondary_depth_longest, CASE WHEN g = '' THEN round(pa, 6) END AS secondary_phase_fraction_longest,
   CASE WHEN g = '' THEN round(coalesce(db, 0), 6) END AS secondary_depth_deepest, CASE WHEN g = '' THEN round(pb, 6) END AS secondary_phase_fraction_deepest,
@@ -215,7 +224,35 @@ def deduplicated_times(spark, d):
 SELECT star_id, t_us, flux FROM lc JOIN s USING (star_id) WHERE flux <= m + 1.5 * s AND flux >= m - 3 * s"""
 )
 def asymmetric_clip(spark, d):
-    return T.clipped(curve(spark, d), upper=1.5, lower=3.0)
+    return T.clipped(curve(spark, d), upper=1.5, lower=3.0, rounds=1)
+
+
+def clip_sql(source: str, upper: float, lower: float, rounds: int) -> str:
+    level = f"flux <= median(flux) OVER w + {upper} * stddev_pop(flux) OVER w AND flux >= median(flux) OVER w - {lower} * stddev_pop(flux) OVER w"
+    steps = [f"c{k + 1} AS (SELECT * FROM {f'c{k}' if k else source} WINDOW w AS (PARTITION BY star_id) QUALIFY {level})" for k in range(rounds)]
+    return ", " + ", ".join(steps) + f" SELECT star_id, t_us, flux FROM c{rounds}"
+
+
+@query(WITH + clip_sql("lc", 5, 20, 5))
+def clip_five_rounds(spark, d):
+    """At the limits of the reference: five deviations above, twenty below, up to five rounds."""
+    return T.clipped(curve(spark, d))
+
+
+@query(WITH + clip_sql("lc", 1.2, 2, 3))
+def clip_three_rounds(spark, d):
+    """At limits that every round cuts something off."""
+    return T.clipped(curve(spark, d), upper=1.2, lower=2.0, rounds=3)
+
+
+@query(
+    WITH + """, g AS (SELECT star_id, t_us - lag(t_us) OVER (PARTITION BY star_id ORDER BY t_us) AS gap FROM lc), c AS (SELECT star_id, median(gap) / 60e6 AS m FROM g GROUP BY ALL),
+n AS (SELECT star_id, koi, greatest(CAST(floor(3 * duration_us / 60e6 / m) AS INTEGER), 5) AS n FROM koi JOIN c USING (star_id))
+SELECT star_id, koi, CASE WHEN n % 2 = 0 THEN n + 1 ELSE n END AS flatten_window_points FROM n"""
+)
+def window_sizing(spark, d):
+    k = candidates(spark, d).join(T.cadence(curve(spark, d)), "star_id")
+    return k.select("star_id", "koi", T.window_points(F.col("duration_us"), F.col("cadence_minutes")).alias("flatten_window_points"))
 
 
 @query(WITH + ", n AS (SELECT star_id, count(*) AS n FROM lc GROUP BY ALL HAVING count(*) >= 50) SELECT star_id, t_us, flux FROM lc SEMI JOIN n USING (star_id)")
@@ -246,9 +283,76 @@ def flatten(spark, d):
     return detrend.flattened(masked(spark, d)).select("star_id", "koi", "t_us", F.round("flat", 9).alias("flat"), "status")
 
 
+@query(
+    WITH + local_bins_sql(N) + DEPTH + """, pt AS (SELECT star_id, koi, 'point' AS kind, ph_us / 3600000000 AS hours, flux FROM folded WHERE abs(ph_us) < 2 * duration_us
+UNION ALL SELECT star_id, koi, 'bin', c2n / """ + str(2 * N) + """ / 3600000000, flux FROM bins WHERE flux IS NOT NULL)
+SELECT star_id, koi, kind, round(hours, 6) AS hours, round((flux - baseline) * 1e6, 3) AS ppm FROM pt JOIN dep USING (star_id, koi)"""
+)
+def local_view(spark, d):
+    out = X.local_view(curve(spark, d), candidates(spark, d), n_bins=N, detrending=False)
+    return out.withColumns({"hours": F.round("hours", 6), "ppm": F.round("ppm", 3)})
+
+
+@query(
+    WITH + local_bins_sql(X.LOCAL_BINS) + depth_sql(X.LOCAL_BINS) + noise_sql(X.LOCAL_BINS) + RUNS + f""", lon AS (SELECT star_id, koi, max(length) AS length FROM runs GROUP BY ALL),
+fig AS (SELECT star_id, koi, any_value(duration_us) AS duration_us, median(flux) FILTER (abs(c2n) < {X.LOCAL_BINS} * duration_us AND c2n > 0) - median(flux) FILTER (abs(c2n) < {X.LOCAL_BINS} * duration_us AND c2n < 0) AS asymmetry,
+  CAST(sum(n_points) AS BIGINT) AS n_local_points, count(*) AS n_local_bins, count_if(n_points > 0) AS n_local_bins_filled, median(n_points) AS local_points_per_bin_median FROM bins GROUP BY ALL)
+SELECT star_id, koi, round(baseline, 6) AS baseline, round(baseline - floor, 6) AS depth, round((length - 1) * 4 * duration_us / {X.LOCAL_BINS} / 3600000000, 6) AS width, round(asymmetry, 6) AS asymmetry,
+  round((baseline - floor) / noise, 6) AS snr, n_local_points, n_local_bins, n_local_bins_filled, local_points_per_bin_median
+FROM fig JOIN dep USING (star_id, koi) LEFT JOIN noise USING (star_id, koi) LEFT JOIN lon USING (star_id, koi)"""
+)
+def local_shape(spark, d):
+    """Depth, width, asymmetry, snr and occupancy at once, at the bins of the local view."""
+    out = X.shape(T.local_bins(folded(spark, d), X.LOCAL_BINS), X.LOCAL_BINS)
+    return out.withColumns({c: F.round(c, 6) for c in ("baseline", "depth", "width", "asymmetry", "snr")})
+
+
+ROW_BINS = X.LOCAL_BINS
+SECONDARY_COLUMNS = ", ".join(
+    f"CASE WHEN s.g = '' THEN round(coalesce({a}, 0), 6) END AS secondary_depth_{v}, CASE WHEN s.g = '' THEN round({b}, 6) END AS secondary_phase_fraction_{v}"
+    for v, a, b in (("longest", "da", "pa"), ("deepest", "db", "pb"), ("deepest_min2", "dc", "pc"))
+)
+ROW_SQL = (
+    "WITH " + ROWS_SQL + local_bins_sql(ROW_BINS) + depth_sql(ROW_BINS) + noise_sql(ROW_BINS) + RUNS + f""", lon AS (SELECT star_id, koi, max(length) AS length FROM runs GROUP BY ALL),
+fig AS (SELECT star_id, koi, median(flux) FILTER (abs(c2n) < {ROW_BINS} * duration_us AND c2n > 0) - median(flux) FILTER (abs(c2n) < {ROW_BINS} * duration_us AND c2n < 0) AS asymmetry,
+  CAST(sum(n_points) AS BIGINT) AS n_local_points, count(*) AS n_local_bins, count_if(n_points > 0) AS n_local_bins_filled, median(n_points) AS local_points_per_bin_median FROM bins GROUP BY ALL),
+near AS (SELECT *, ((cycle % 2) + 2) % 2 AS parity FROM masked WHERE in_primary)""" + local_bins_sql(N, "near", ", parity", "pb") + f""",
+par AS (SELECT star_id, koi, parity, median(flux) FILTER (NOT 4 * abs(c2n) < {2 * N} * duration_us) - median(flux) FILTER (4 * abs(c2n) < {2 * N} * duration_us) AS depth FROM pb GROUP BY ALL),
+oe AS (SELECT star_id, koi, abs(max(depth) FILTER (parity = 0) - max(depth) FILTER (parity = 1)) AS odd_even_diff FROM par GROUP BY ALL)""" + SECONDARY_SQL + f""",
+op AS (SELECT star_id, koi, count_if(NOT (in_secondary OR in_sibling)) / count(*) AS a, count_if(NOT in_secondary) / count(*) AS b, count_if(NOT in_primary) / count(*) AS c, avg(CAST(in_sibling AS INT)) AS hid FROM masked GROUP BY ALL),
+ru2 AS (SELECT *, CASE WHEN a >= .25 THEN '' WHEN b >= .25 THEN 'secondary_only' WHEN c >= .25 THEN 'primary_only' ELSE 'none' END AS rung, 1 - CASE WHEN a >= .25 THEN a WHEN b >= .25 THEN b WHEN c >= .25 THEN c ELSE 0 END AS share FROM op),
+al AS (SELECT w.*, i.* EXCLUDE (star_id), p.* EXCLUDE (star_id), greatest(CAST(floor(3 * w.duration_us / 60e6 / cadence_minutes) AS INTEGER), 5) AS win,
+  CASE WHEN reason IS NOT NULL THEN reason WHEN op.star_id IS NOT NULL THEN '' WHEN p.star_id IS NULL THEN 'NoDataError: no products for star ' || w.star_id
+    WHEN n_products_used = 0 THEN 'NoDataError: no 1800s products for star ' || w.star_id || '; available: ' || cadences_seen
+    ELSE 'NoDataError: only ' || coalesce(n_raw_points, 0) || ' points left after cleaning star ' || w.star_id || ' (floor is 50)' END AS error
+  FROM why w LEFT JOIN info i USING (star_id) LEFT JOIN pin p USING (star_id) LEFT JOIN op ON w.star_id = op.star_id AND w.koi = op.koi)
+SELECT al.star_id AS kepid, CAST(al.koi AS VARCHAR) AS kepoi_name, disposition, CAST(koi_depth_ppm AS DOUBLE) AS koi_depth_ppm, al.duration_us / 3600000000 AS koi_duration_hours, al.period_us / 86400000000 AS koi_period_days, koi_num_transits,
+  round(dep.baseline - dep.floor, 6) AS depth, round((length - 1) * 4 * al.duration_us / {ROW_BINS} / 3600000000, 6) AS width, round(asymmetry, 6) AS asymmetry, round((dep.baseline - dep.floor) / noise.noise, 6) AS snr,
+  round(odd_even_diff, 6) AS odd_even_diff, CASE WHEN s.g = '' THEN round(coalesce(dc, 0), 6) END AS secondary_depth,
+  CASE WHEN error = '' THEN n_products_all END AS n_products_all, CASE WHEN error = '' THEN n_products_used END AS n_products_used, CASE WHEN error = '' THEN cadences_seen ELSE '' END AS cadences_seen,
+  CASE WHEN error = '' THEN flux_origin ELSE '' END AS flux_origin, CASE WHEN error = '' THEN n_raw_points END AS n_raw_points, CASE WHEN error = '' THEN n_duplicate_times END AS n_duplicate_times,
+  CASE WHEN error = '' THEN round(cadence_minutes, 6) END AS cadence_minutes, CASE WHEN error = '' AND rung <> 'none' THEN CASE WHEN win % 2 = 0 THEN win + 1 ELSE win END END AS flatten_window_points,
+  CASE WHEN error = '' THEN round(al.duration_us / al.period_us, 6) END AS duration_over_period, CASE WHEN error = '' THEN n_koi_for_star END AS n_koi_for_star, round(share, 6) AS detrend_masked_fraction,
+  coalesce(rung, '') AS detrend_fallback, CASE WHEN error = '' THEN n_koi_for_star - 1 END AS n_siblings, round(hid, 6) AS sibling_masked_fraction, n_local_points, n_local_bins, n_local_bins_filled, local_points_per_bin_median,
+  CASE WHEN s.g = '' THEN round(s.noise, 6) END AS secondary_noise, {SECONDARY_COLUMNS}, round(s.excluded, 6) AS secondary_exclusion_fraction, coalesce(s.g, '') AS secondary_guard,
+  error, CASE WHEN reason IS NOT NULL THEN 'precheck' WHEN error <> '' THEN 'nodata' ELSE '' END AS error_kind
+FROM al LEFT JOIN dep USING (star_id, koi) LEFT JOIN noise USING (star_id, koi) LEFT JOIN lon USING (star_id, koi) LEFT JOIN fig USING (star_id, koi) LEFT JOIN oe USING (star_id, koi)
+  LEFT JOIN re s USING (star_id, koi) LEFT JOIN ru2 USING (star_id, koi)"""
+)
+
+
+def rounded(out):
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double" and not c.startswith("koi_")})
+
+
+@query(ROW_SQL)
+def assembled_row(spark, d):
+    """Whole rows, errors included, of curves as they are: every column but the trend itself has its SQL."""
+    points = light_curve(spark, d)
+    return rounded(X.assembled(points, products(spark, d), catalogue(spark, d), ROW_BINS, detrending=False))
+
+
 @query()
 def assembled_features(spark, d):
-    flat = detrend.flattened(masked(spark, d)).withColumn("flux", F.coalesce("flat", F.col("flux").cast("double"))).drop("flat", "status")
-    out = X.assembled(curve(spark, d), candidates(spark, d), n_bins=N, flat=flat)
-    doubles = [c for c, t in out.dtypes if t == "double"]
-    return out.withColumns({c: F.round(c, 6) for c in doubles})
+    """Whole rows of detrended curves, at the bins of the local view."""
+    return rounded(X.assembled(light_curve(spark, d), products(spark, d), catalogue(spark, d)))

@@ -210,25 +210,40 @@ def except_keys(spark, d):
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).subtract(table(spark, d, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("k")))
 
 
-@query("SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer ORDER BY place LIMIT 100")
+@query("SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS place FROM customer")
 def rank_queue(spark, d):
-    """A top-k report: the limit is the feature, and it comes before the numbering."""
-    from pyspark.sql import Window
+    """Every row with its place; places are counted range by range, no task orders the table."""
+    return relational.placed(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
 
-    top = relational.ranked(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), F.asc("c_custkey"))).cast("long"))
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 7")
+def point_lookup(spark, d):
+    return relational.row_of(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 7)
 
 
 @query(
-    """WITH new AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY ALL)
+    """WITH new AS (SELECT o_custkey AS k, arg_max(o_totalprice, o_orderkey) AS v FROM orders GROUP BY ALL)
 SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM new) UNION ALL SELECT k, v FROM new"""
 )
 def upsert_latest(spark, d):
     old = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
-    new = orders(spark, d).where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
+    new = orders(spark, d).select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderkey").alias("seq"))
     return relational.upserted(old, new, ["k"])
 
 
+@query("SELECT s_suppkey, isfinite(x) AND x IS NOT NULL AS finite FROM (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN NULL WHEN 1 THEN CAST('nan' AS DOUBLE) WHEN 2 THEN CAST('inf' AS DOUBLE) ELSE s_acctbal END AS x FROM supplier)")
+def finite_test(spark, d):
+    k = F.col("s_suppkey") % 4
+    x = F.when(k == 1, F.lit(float("nan"))).when(k == 2, F.lit(float("inf"))).when(k == 3, F.col("s_acctbal"))
+    return table(spark, d, "supplier").select("s_suppkey", X.finite(x).alias("finite"))
+
+
+@query("SELECT s_suppkey, printf('%.1f%%', s_acctbal / 100) AS percent, printf('%+.1f%%', s_acctbal / 100) AS signed, format('{:,}', CAST(trunc(s_acctbal * 1000) AS BIGINT)) AS thousands FROM supplier")
+def number_formats(spark, d):
+    a = F.col("s_acctbal")
+    return table(spark, d, "supplier").select("s_suppkey", X.percent_text(a / 10_000).alias("percent"), X.percent_text(a / 10_000, signed=True).alias("signed"), X.thousands_text((a * 1000).cast("long")).alias("thousands"))
+
+
 @query(
     """WITH a AS (SELECT o_custkey, arg_max(o_orderpriority, o_orderkey) AS last FROM orders GROUP BY ALL)
 SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM a WHERE last NOT IN ('1-URGENT', '2-HIGH'))"""

@@ -28,6 +28,23 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("star_id", "koi", ((2 + (s + k) % 5) * DAY_US).alias("period_us"), ((7 * s + k) % 24 * HOUR_US).alias("epoch_us"), ((6 + (s + k) % 4) * HOUR_US).alias("duration_us"))
 
 
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates with what a catalogue says of them; some cannot be measured: without a period, or without an event."""
+    s, k = F.col("star_id"), F.col("koi")
+    return candidates(spark, sf_dir).select(
+        "star_id", "koi", F.element_at(F.array(*map(F.lit, ("CONFIRMED", "FALSE POSITIVE", "CANDIDATE"))), ((s + k) % 3 + 1).cast("int")).alias("disposition"),
+        F.when(s % 29 != 3, F.col("period_us")).alias("period_us"), "epoch_us", "duration_us", (1000.0 + (37 * s + k) % 5000).alias("koi_depth_ppm"),
+        F.when(s % 17 != 5, ((s + k) % 13).cast("double")).alias("koi_num_transits"),
+    )
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One product for each star and type of event; one type is of another cadence, and every eleventh star has no other."""
+    p = table(spark, sf_dir, "events").select(F.col("user_id").alias("star_id"), F.col("event_type").alias("product_id")).distinct()
+    short = (F.col("product_id") == "signup") | (F.col("star_id") % 11 == 4)
+    return p.select("star_id", "product_id", F.when(short, 60.0).otherwise(1800.0).alias("exptime_s"), F.when(F.col("product_id") == "click", "sap_flux").otherwise("pdcsap_flux").alias("flux_origin"))
+
+
 def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a score from their length: inputs for the metrics."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source")
@@ -36,7 +53,7 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The same for DuckDB.
-CURVE_SQL = """
+BASE_SQL = """
 lc AS (
   SELECT user_id AS star_id, epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01') AS t_us,
          CAST(round(value * 100) AS BIGINT) AS flux, event_type AS product_id FROM events
@@ -44,7 +61,9 @@ lc AS (
   SELECT star_id, k AS koi, (2 + (star_id + k) % 5) * 86400000000 AS period_us, (7 * star_id + k) % 24 * 3600000000 AS epoch_us,
          (6 + (star_id + k) % 4) * 3600000000 AS duration_us
   FROM (SELECT DISTINCT user_id AS star_id FROM events) s CROSS JOIN (VALUES (1::BIGINT), (2::BIGINT)) v(k) WHERE k = 1 OR star_id % 4 = 0
-), folded AS (
+)"""
+
+FOLDED_SQL = """folded AS (
   SELECT koi.*, t_us, flux, ((t_us - epoch_us + period_us // 2) % period_us + period_us) % period_us - period_us // 2 AS ph_us,
          CAST(round_even((t_us - epoch_us) / period_us, 0) AS BIGINT) AS cycle
   FROM koi JOIN lc USING (star_id)
@@ -56,6 +75,31 @@ lc AS (
   FROM folded f
 )"""
 
+CURVE_SQL = BASE_SQL + ", " + FOLDED_SQL
+
+#: Stars and candidates for whole rows: products, cleaned curves, and the candidates that pass their precheck (siblings are all).
+ROWS_SQL = BASE_SQL.replace("lc AS (", "lc0 AS (").replace("), koi AS (", "), koi0 AS (") + """, prod AS (
+  SELECT DISTINCT user_id AS star_id, event_type AS product_id, CASE WHEN event_type = 'signup' OR user_id % 11 = 4 THEN 60 ELSE 1800 END AS exptime_s,
+    CASE WHEN event_type = 'click' THEN 'sap_flux' ELSE 'pdcsap_flux' END AS flux_origin FROM events
+), pin AS (
+  SELECT star_id, count(*) AS n_products_all, count_if(exptime_s = 1800) AS n_products_used, array_to_string(list_sort(list(DISTINCT exptime_s)), '|') AS cadences_seen,
+    arg_min(flux_origin, product_id) FILTER (exptime_s = 1800) AS flux_origin FROM prod GROUP BY ALL
+), st AS (
+  SELECT star_id, product_id, t_us, flux / nullif(median(flux) OVER (PARTITION BY star_id, product_id), 0) AS flux FROM lc0 SEMI JOIN (SELECT * FROM prod WHERE exptime_s = 1800) USING (star_id, product_id)
+), dd AS (SELECT * EXCLUDE (n) FROM (SELECT *, count(*) OVER (PARTITION BY star_id) AS n_all, row_number() OVER (PARTITION BY star_id, t_us ORDER BY product_id, flux) AS n FROM st) WHERE n = 1
+), c0 AS (SELECT *, n_all - count(*) OVER (PARTITION BY star_id) AS again FROM dd), """ + "".join(
+    f"c{k + 1} AS (SELECT * FROM c{k} WINDOW w AS (PARTITION BY star_id) QUALIFY flux IS NULL OR (flux <= median(flux) OVER w + 5 * stddev_pop(flux) OVER w AND flux >= median(flux) OVER w - 20 * stddev_pop(flux) OVER w)), "
+    for k in range(5)
+) + """gp AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY star_id ORDER BY t_us) AS gap FROM c5
+), info AS (SELECT star_id, count(*) AS n_raw_points, max(again) AS n_duplicate_times, median(gap) / 60e6 AS cadence_minutes FROM gp GROUP BY ALL
+), lc AS (SELECT star_id, t_us, flux FROM c5 QUALIFY count(*) OVER (PARTITION BY star_id) >= 50
+), cat AS (
+  SELECT star_id, koi, ['CONFIRMED', 'FALSE POSITIVE', 'CANDIDATE'][(star_id + koi) % 3 + 1] AS disposition, CASE WHEN star_id % 29 <> 3 THEN period_us END AS period_us, epoch_us, duration_us,
+    1000.0 + (37 * star_id + koi) % 5000 AS koi_depth_ppm, CASE WHEN star_id % 17 <> 5 THEN CAST((star_id + koi) % 13 AS DOUBLE) END AS koi_num_transits, count(*) OVER (PARTITION BY star_id) AS n_koi_for_star FROM koi0
+), why AS (SELECT *, CASE WHEN period_us IS NULL THEN 'koi_period missing or non-positive' WHEN koi_num_transits < 1 THEN 'koi_num_transits is 0' END AS reason FROM cat
+), koi AS (SELECT star_id, koi, period_us, epoch_us, duration_us FROM why WHERE reason IS NULL
+), """ + FOLDED_SQL.replace("FROM koi s WHERE", "FROM cat s WHERE")
+
 
 def local_bins_sql(n_bins: int, source: str = "folded", by: str = "", name: str = "bins") -> str:
     key = "star_id, koi" + by

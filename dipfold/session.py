@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -18,6 +19,7 @@ def local_session(app: str = "dipfold", cpus: int | None = None, shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("DIPFOLD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.environ.get("DIPFOLD_CHECKPOINT_DIR") or tempfile.mkdtemp(prefix="dipfold-"))  # one machine: its own folder is shared by all
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )

@@ -35,6 +35,10 @@ CANDIDATES = "kepoi_name string, kepid long, depth double, width double, asymmet
 VERDICTS = "id long, kepoi_name string, verdict string, remarks string, reviewer string, created_at timestamp"
 
 
+def names(columns: tuple[str, ...]) -> list[str]:
+    return [c.split()[0] for c in columns]
+
+
 def cleaned(d: DataFrame) -> DataFrame:
     """NaN to NULL in all floating columns, once, where data comes in."""
     return d.withColumns({c: X.null_if_nan(F.col(c)) for c, t in d.dtypes if t in ("double", "float")})
@@ -61,7 +65,7 @@ def read_light_curves(spark: SparkSession, path: str) -> DataFrame:
 
 def pinned_products(products: DataFrame, exptime_s: float = 1800.0) -> DataFrame:
     """Products of the wanted cadence, with what cadences the star has at all."""
-    seen = F.array_join(F.sort_array(F.collect_set(F.col("exptime_s").cast("int"))), "|")
+    seen = F.array_join(F.sort_array(F.collect_set(F.rint("exptime_s").cast("int"))), "|")
     per = products.groupBy("star_id").agg(seen.alias("cadences_seen"), F.count("*").alias("n_products_all"))
     return products.where(X.close_to(F.col("exptime_s"), exptime_s)).join(per, "star_id")
 

@@ -19,7 +19,7 @@ POINTS = "star_id long, t_us long, flux double"
 def measured_again(spark: SparkSession, curves: str, koi: DataFrame, touched: DataFrame, n_bins: int) -> DataFrame:
     stars = touched.select("star_id").distinct()
     curve = spark.read.schema(POINTS).parquet(curves).join(stars, "star_id", "left_semi")
-    return features.assembled(T.deduplicated(curve), koi.join(stars, "star_id", "left_semi"), koi, n_bins)
+    return features.measured(T.deduplicated(curve), koi.join(stars, "star_id", "left_semi"), koi, n_bins, detrending=False)
 
 
 def ingest(points: DataFrame, koi: DataFrame, curves: str, results: str, checkpoint: str, n_bins: int = 25, trigger: dict | None = None) -> StreamingQuery:

@@ -1,4 +1,7 @@
-"""A batch data source that lists and reads the files of an archive of light curves, star by star.
+"""Archives of light curves: files ``<star>_<product>.csv`` with lines ``time,flux``.
+
+:func:`read_archive` reads them with Spark's own text reader from any store that Spark reaches: listing, splitting and retries are Spark's.
+:class:`LightCurveArchive` is a batch data source for a mounted archive that has to be asked gently, star by star.
 
 ``spark.dataSource.register(LightCurveArchive)``, then ``spark.read.format("light_curve_archive").option("path", folder)``. A reader
 partition is a group of stars; attempts are repeated with a doubling pause, and a star that cannot be read gives a row with
@@ -12,9 +15,33 @@ import os
 import time
 from collections.abc import Iterator
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-ATTEMPTS, FIRST_PAUSE_S, STARS_PER_TASK = 3, 5.0, 25
+#: Attempts at one file, first pause between them (it doubles), least time between two requests, files for each task.
+ATTEMPTS, FIRST_PAUSE_S, GAP_S, STARS_PER_TASK = 3, 5.0, 1.5, 25
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """``star_id, product_id, t_bkjd, flux, error`` of all files under ``path``; a line that cannot be read is a row with its error."""
+    name = F.element_at(F.split(F.input_file_name(), "/"), -1)
+    star, product = F.regexp_extract(name, r"^([0-9]+)_", 1).try_cast("long"), F.regexp_extract(name, r"^[0-9]+_(.*)\.csv$", 1)
+    parts = F.split("value", ",")
+    t, flux = F.get(parts, F.lit(0)).try_cast("double"), F.get(parts, F.lit(1))
+    bad = t.isNull() | (F.size(parts) != 2) | ((flux != "") & flux.try_cast("double").isNull())
+    error = F.when(bad, F.concat(F.lit("ValueError: "), F.substring("value", 1, 280)))
+    lines = spark.read.option("pathGlobFilter", "*.csv").text(path).where("value <> ''")
+    return lines.select(star.alias("star_id"), product.alias("product_id"), F.when(~bad, t).alias("t_bkjd"), F.when(~bad, flux.try_cast("double")).alias("flux"), error.alias("error"))
+
+
+def evict_star(spark: SparkSession, path: str, star: int) -> int:
+    """Delete the cached files of one star, told by the whole number before the first underscore; how many there were."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    mine = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().split("_")[0].lstrip("0") == str(star)] if fs.exists(root) else []
+    return sum(bool(fs.delete(p, True)) for p in mine)
 
 
 class _Stars(InputPartition):
@@ -27,6 +54,8 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
         self.pause = float(options.get("pause_s", FIRST_PAUSE_S))
+        self.gap = float(options.get("gap_s", GAP_S))
+        self.last = float("-inf")
 
     def partitions(self) -> list[_Stars]:
         files = sorted(os.path.join(self.path, f) for f in os.listdir(self.path) if f.endswith(".csv"))
@@ -41,12 +70,14 @@ class _Reader(DataSourceReader):
     def _one(self, f: str, star: int, product: str) -> Iterator[tuple]:
         error = None
         for attempt in range(ATTEMPTS):
+            time.sleep(max(0.0, self.last + self.gap - time.monotonic()))  # no two requests of a task closer than the gap
+            self.last = time.monotonic()
             try:
                 with open(f, newline="") as lines:
                     rows = [(star, product, float(t), float(x) if x else None, None) for t, x in csv.reader(lines)]
                 yield from rows
                 return
-            except OSError as e:
+            except (OSError, EOFError) as e:
                 error = f"{type(e).__name__}: {e}"[:300]
                 if attempt + 1 < ATTEMPTS:
                     time.sleep(self.pause * 2**attempt)

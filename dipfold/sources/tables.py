@@ -80,6 +80,16 @@ def append_attempts(d: DataFrame, path: str) -> None:
     d.write.mode("append").parquet(path)
 
 
+def seed_checkpoint(spark: SparkSession, path: str, *earlier: str) -> None:
+    """Begin a combined checkpoint with the rows of earlier ones, in their order: later ones count as later attempts."""
+    schema = FEATURES + ", attempt_seq long"
+    base = 0
+    for source in earlier:
+        d = spark.read.schema(schema).parquet(source)
+        append_attempts(d.withColumn("attempt_seq", F.col("attempt_seq") + base), path)
+        base += (d.agg(F.max("attempt_seq")).first()[0] or 0) + 1
+
+
 def read_checkpoint(spark: SparkSession, path: str) -> DataFrame:
     """The latest attempt of each candidate."""
     d = spark.read.schema(FEATURES + ", attempt_seq long").parquet(path)

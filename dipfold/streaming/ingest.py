@@ -6,7 +6,7 @@ go to the append-only checkpoint, where the latest attempt counts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,11 +14,20 @@ from dipfold.operators import features
 from dipfold.operators import timeseries as T
 
 POINTS = "star_id long, t_us long, flux double"
+#: Folders by which the curve table is laid out; a batch reads those of the stars it touched.
+BUCKETS = 256
+
+
+def bucket() -> Column:
+    return F.pmod(F.hash("star_id"), F.lit(BUCKETS))
 
 
 def measured_again(spark: SparkSession, curves: str, koi: DataFrame, touched: DataFrame, n_bins: int) -> DataFrame:
+    """Features of the touched stars, from the folders of the curve table that hold them."""
     stars = touched.select("star_id").distinct()
-    curve = spark.read.schema(POINTS).parquet(curves).join(stars, "star_id", "left_semi")
+    folders = [r[0] for r in stars.select(bucket()).distinct().collect()]  # at most BUCKETS numbers
+    curve = spark.read.schema(POINTS + ", batch long, bucket int").parquet(curves).where(F.col("bucket").isin(folders))
+    curve = curve.select("star_id", "t_us", "flux").join(stars, "star_id", "left_semi")
     return features.measured(T.deduplicated(curve), koi.join(stars, "star_id", "left_semi"), koi, n_bins, detrending=False)
 
 
@@ -27,7 +36,7 @@ def ingest(points: DataFrame, koi: DataFrame, curves: str, results: str, checkpo
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        rows.select("star_id", "t_us", "flux").write.mode("overwrite").parquet(f"{curves}/batch={number}")
+        rows.select("star_id", "t_us", "flux", bucket().alias("bucket")).write.partitionBy("bucket").mode("overwrite").parquet(f"{curves}/batch={number}")
         out = measured_again(spark, curves, koi, rows, n_bins).withColumn("attempt_seq", F.lit(number).cast("long"))
         out.write.mode("overwrite").parquet(f"{results}/batch={number}")
 

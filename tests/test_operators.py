@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dipfold.functions import expressions as X
-from dipfold.operators import batch, detrend, features, learning, relational, reports, stats
+from dipfold.operators import batch, boosting, detrend, features, learning, relational, reports, stats
 from dipfold.operators import timeseries as T
+from dipfold.sources import tables
 
 DAY, HOUR = X.DAY_US, X.HOUR_US
 
@@ -44,39 +46,113 @@ def test_phase_and_cycle(spark):
 
 def test_features_of_a_box_dip(spark):
     curve, koi = curve_of(spark, depth=0.01, odd_extra=0.004, second=0.003)
-    f = one(features.assembled(curve, koi))
+    f = one(features.measured(curve, koi, detrending=False))
     assert f.depth == pytest.approx(0.012, abs=0.003)
-    assert f.width_hours == pytest.approx(4.0, rel=0.2)
+    assert f.width == pytest.approx(4.0, rel=0.2)
     assert abs(f.asymmetry) < 0.004 and f.snr > 10
     assert f.odd_even_diff == pytest.approx(0.004, rel=0.2)
     assert f.secondary_depth == pytest.approx(0.003, rel=0.2) and abs(f.secondary_phase_fraction_deepest_min2) == pytest.approx(0.5, abs=0.02)
-    assert f.secondary_guard == "" and f.error_kind == "" and f.detrend_fallback == ""
+    assert f.secondary_guard == "" and f.detrend_fallback == ""
 
 
 def test_flat_curve_has_no_secondary_and_unmeasured_is_null(spark):
     curve, koi = curve_of(spark, depth=0.0)
-    assert one(features.assembled(curve, koi)).secondary_depth == 0.0
+    assert one(features.measured(curve, koi, detrending=False)).secondary_depth == 0.0
     other = koi.withColumn("star_id", F.lit(2).cast("long"))
-    lost = one(features.assembled(curve, other))
-    assert lost.depth is None and lost.secondary_depth is None and lost.error_kind == "nodata"
+    assert features.measured(curve, other, detrending=False).count() == 0
+
+
+def test_no_row_is_lost(spark):
+    """Whole rows: measured, failed precheck, another cadence only, too few points, no product at all; siblings count although they cannot be measured."""
+    curve, _ = curve_of(spark, depth=0.01)
+    points = curve.selectExpr("star_id", "'q1' AS product_id", "t_us", "flux").cache()
+    more = spark.createDataFrame([(2, "a", DAY, 1.0)] + [(3, "s", k * HOUR, 1.0) for k in range(90)] + [(1, "q1", 0, 1.0)], "star_id long, product_id string, t_us long, flux double")
+    points = points.unionByName(more)
+    products = spark.createDataFrame([(1, "q1", 1800.0, "pdcsap_flux"), (1, "fast", 60.0, "x"), (2, "a", 1800.2e0 - 0.2, "y"), (3, "s", 60.0, "z")], "star_id long, product_id string, exptime_s double, flux_origin string")
+    koi = [(1, 1, "CONFIRMED", 3 * DAY, DAY, 4 * HOUR, 1e4, 5.0), (1, 2, "CANDIDATE", None, DAY, 4 * HOUR, 1e4, 5.0), (2, 1, "CANDIDATE", DAY, 0, HOUR, None, None), (3, 1, "FALSE POSITIVE", DAY, 0, HOUR, None, 1.0), (4, 1, "CANDIDATE", DAY, 0, HOUR, None, 1.0)]
+    koi = spark.createDataFrame(koi, "star_id long, koi long, disposition string, period_us long, epoch_us long, duration_us long, koi_depth_ppm double, koi_num_transits double")
+    for detrending in (True, False):
+        out = features.assembled(points, products, koi, 51, detrending)
+        assert out.dtypes == spark.createDataFrame([], tables.FEATURES).dtypes
+        got = {(r.kepid, r.kepoi_name): r for r in out.collect()}
+        assert {k: (r.error_kind, r.error) for k, r in got.items()} == {
+            (1, "1"): ("", ""), (1, "2"): ("precheck", "koi_period missing or non-positive"), (2, "1"): ("nodata", "NoDataError: only 1 points left after cleaning star 2 (floor is 50)"),
+            (3, "1"): ("nodata", "NoDataError: no 1800s products for star 3; available: 60"), (4, "1"): ("nodata", "NoDataError: no products for star 4"),
+        }
+        ok = got[1, "1"]
+        assert ok.depth == pytest.approx(0.01, rel=0.1) and ok.n_siblings == 1 and ok.n_koi_for_star == 2 and ok.sibling_masked_fraction == 0.0
+        assert (ok.n_products_all, ok.n_products_used, ok.cadences_seen, ok.flux_origin, ok.n_duplicate_times) == (2, 1, "60|1800", "pdcsap_flux", 1)
+        assert ok.flatten_window_points % 2 == 1 and ok.koi_period_days == 3.0 and ok.duration_over_period == pytest.approx(4 / 72)
+        assert got[1, "2"].depth is None and got[1, "2"].cadences_seen == "" and got[1, "2"].koi_depth_ppm == 1e4
+
+
+def naive_features(t, flux, period, epoch, duration, n_bins):
+    """Depth, asymmetry, snr and width of one detrended curve in plain NumPy, from phases in microseconds."""
+    ph = (t - epoch + period // 2) % period - period // 2
+    near = np.abs(ph) < 2 * duration
+    ph, flux = ph[near], flux[near]
+    start, step = ph.min(), 4 * duration / n_bins
+    idx = ((ph - start) * n_bins // (4 * duration)).astype(int)
+    centre = start + (np.arange(idx.max() + 1) + 0.5) * step
+    mean = np.array([flux[idx == k].mean() if (idx == k).any() else np.nan for k in range(idx.max() + 1)])
+    inside = np.abs(centre) < duration / 4
+    base = np.nanmedian(mean[~inside])
+    depth = base - np.nanmedian(mean[inside])
+    half = np.abs(centre) < duration / 2
+    asymmetry = np.nanmedian(mean[half & (centre > 0)]) - np.nanmedian(mean[half & (centre < 0)])
+    away = mean[np.abs(centre) > duration / 2]
+    noise = 1.4826 * np.nanmedian(np.abs(away - np.nanmedian(away)))
+    best = run = 0
+    for low in mean < base - depth / 2:
+        run = run + 1 if low else 0
+        best = max(best, run)
+    return depth, asymmetry, depth / noise, (best - 1) * step / HOUR
+
+
+def test_features_of_a_detrended_curve_equal_plain_numpy(spark):
+    curve, koi = curve_of(spark, depth=0.01, slope=0.002, gap=(20 * DAY, 25 * DAY))
+    k = koi.first()
+    rows = sorted((r.t_us, r.flux + 1e-4 * math.sin(r.t_us / HOUR * 37)) for r in curve.collect())
+    t, flux = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    curve = spark.createDataFrame([(k.star_id, *r) for r in rows], "star_id long, t_us long, flux double")
+    ph = np.abs((t - k.epoch_us + k.period_us // 2) % k.period_us - k.period_us // 2)
+    mask = (2 * ph < 3 * k.duration_us) | (np.abs(2 * ph - k.period_us) < 3 * k.duration_us)
+    cadence = np.median(np.diff(t))
+    window = max(int(3 * k.duration_us / cadence), 5)
+    window += window % 2 == 0
+    flat = np.empty(len(t))
+    for part in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) > 5 * cadence) + 1):
+        seen = part[~mask[part]]
+        flat[part] = flux[part] / plain_trend(np.interp(t[part], t[seen], flux[seen]), window)
+    got = one(features.measured(curve, koi, n_bins=101))
+    want = naive_features(t, flat, k.period_us, k.epoch_us, k.duration_us, 101)
+    assert (got.depth, got.asymmetry, got.snr, got.width) == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_local_view(spark):
+    curve, koi = curve_of(spark, depth=0.01)
+    got = features.local_view(curve, koi, n_bins=51, detrending=False).collect()
+    kinds = {r.kind for r in got}
+    assert kinds == {"point", "bin"} and min(r.ppm for r in got if r.kind == "bin") == pytest.approx(-1e4, rel=0.2)
+    assert max(abs(r.hours) for r in got) <= 2 * koi.first().duration_us / HOUR
 
 
 def test_secondary_guards(spark):
     curve, koi = curve_of(spark, duration=15 * HOUR, period=3 * DAY)
-    assert "blanking covers 0.83" in one(features.assembled(curve, koi)).secondary_guard
+    assert "blanking covers 0.83" in one(features.measured(curve, koi, detrending=False)).secondary_guard
     few, koi = curve_of(spark, days=0.5)
-    assert not one(features.assembled(few, koi)).secondary_guard.startswith("too few")  # few from the start is not the siblings' doing
+    assert not one(features.measured(few, koi, detrending=False)).secondary_guard.startswith("too few")  # few from the start is not the siblings' doing
     both = koi.union(spark.createDataFrame([(1, 2, DAY, 0, 12 * HOUR)], koi.schema))
-    f = one(features.assembled(few, koi, both))
+    f = one(features.measured(few, koi, both, detrending=False))
     assert f.secondary_guard == "too few points left after excluding sibling transits" and f.secondary_exclusion_fraction == 1.0
 
 
 def test_time_shift_changes_nothing(spark):
     curve, koi = curve_of(spark, second=0.003)
     shift = 7 * DAY + 12345678
-    a = one(features.assembled(curve, koi))
-    b = one(features.assembled(curve.withColumn("t_us", F.col("t_us") + shift), koi.withColumn("epoch_us", F.col("epoch_us") + shift)))
-    for c in ("depth", "width_hours", "asymmetry", "snr", "odd_even_diff", "secondary_depth"):
+    a = one(features.measured(curve, koi, detrending=False))
+    b = one(features.measured(curve.withColumn("t_us", F.col("t_us") + shift), koi.withColumn("epoch_us", F.col("epoch_us") + shift), detrending=False))
+    for c in ("depth", "width", "asymmetry", "snr", "odd_even_diff", "secondary_depth"):
         assert a[c] == pytest.approx(b[c], rel=1e-9)
 
 
@@ -121,8 +197,8 @@ def test_flatten_keeps_the_dip_and_drops_the_trend(spark):
     curve, koi = curve_of(spark, depth=0.01, slope=0.002, gap=(20 * DAY, 25 * DAY))
     flat = detrend.flattened(T.masked(curve, koi))
     assert {r.status for r in flat.select("status").distinct().collect()} == {""}
-    d = flat.withColumn("flux", F.col("flat")).drop("flat", "status")
-    assert one(features.assembled(curve, koi, flat=d)).depth == pytest.approx(0.01, rel=0.05)
+    d = flat.withColumn("flux", F.col("flat"))
+    assert one(features.measured(curve, koi)).depth == pytest.approx(0.01, rel=0.05)
     away = one(d.where("NOT in_secondary").agg(F.min("flux").alias("a"), F.max("flux").alias("b")))
     assert away.a > 0.998 and away.b < 1.002
 
@@ -225,6 +301,98 @@ def test_boosting_learns_missing_values_either_way(spark):
         learning.boosted(d, ["koi_depth_ppm"], "y")
 
 
+def naive_gain(x, g, h, least, l2):
+    """The best gain over every feature, cut and side for missing values."""
+    best = 0.0
+    for column in x.T:
+        values = np.unique(column[~np.isnan(column)])
+        for cut in [*((values[1:] + values[:-1]) / 2), np.inf]:
+            for low in (True, False):
+                left = np.where(np.isnan(column), low, column <= cut)
+                if min(left.sum(), (~left).sum()) >= least:
+                    part = lambda m: g[m].sum() ** 2 / (h[m].sum() + l2)
+                    best = max(best, part(left) + part(~left) - part(np.ones(len(g), bool)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_splits_are_the_best_there_are(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(60, 3)), 1)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    g, h = rng.normal(size=60), rng.uniform(0.1, 0.25, 60)
+    codes = boosting.binned(x, boosting.edges_of(x))
+    for least, l2 in ((1, 0.0), (8, 1.0), (31, 0.0)):
+        found = boosting.best_split(codes, g, h, least, l2)
+        want = naive_gain(x, g, h, least, l2)
+        assert (found is None and want <= 1e-9) or found[0] == pytest.approx(want)
+
+
+def test_boosted_sample_learns_and_is_stored(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, i // 3, float(a) if i % 4 else None, float(b), int(a > 0 if i % 4 else b > 0)) for i, (a, b) in enumerate(rng.normal(size=(900, 2)))]
+    d = spark.createDataFrame(rows, "id long, star long, depth double, width double, label int")
+    bundle = learning.fitted(d, "id", "label", ["depth", "width"])
+    out = learning.applied(bundle, d)
+    assert out.where("(score >= 0.5) <> (label = 1)").count() <= 20
+    learning.save_bundle(spark, bundle, str(tmp_path / "m"))
+    again, threshold = learning.load_bundle(spark, str(tmp_path / "m"))
+    assert again == bundle and threshold == 0.25
+    q = learning.queue(again, d, "id").collect()
+    assert sorted(r.place for r in q) == list(range(1, 901))
+    assert [r.id for r in sorted(q, key=lambda r: r.place)] == [r.id for r in sorted(q, key=lambda r: (-r.score, r.id))]
+    none = learning.queue(again, d.withColumn("error", F.when(F.col("id") % 2 == 0, "x")), "id")
+    assert none.count() == 450
+    loss = {r.feature: r["mean"] for r in learning.permutation_importance(bundle, d, "label", "id", repeats=3, threshold=0.5).collect()}
+    assert loss["depth"] > 0.2 > loss["width"] > 0.02
+    with pytest.raises(ValueError):
+        learning.fitted(d.withColumn("koi_depth_ppm", F.lit(1)), "id", "label", ["koi_depth_ppm"])
+
+
+def test_experiments_keep_stars_apart_and_their_metrics_hold(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i // 3, float(a), None if i % 5 == 0 else float(b), int(a + 0.5 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]
+    d = spark.createDataFrame(rows, "id long, star long, a double, b double, label int")
+    params = learning.DEFAULTS | {"rounds": 20}
+    found = learning.ablation(d, "id", "star", "label", {"both": ["a", "b"], "b": ["b"]}, [100, 101], params)
+    got = {(r.config, r.part): r for r in found.collect()}
+    assert len(got) == 4
+    test = {r.id for r in d.where(learning.is_test(F.col("star"), 100)).collect()}
+    assert len({i // 3 for i in test}) * 3 == len(test)
+    use = sorted((r for r in rows if r[0] not in test), key=lambda r: r[0])
+    held = [r for r in rows if r[0] in test]
+    x = lambda rs: np.array([[r[2], np.nan if r[3] is None else r[3]] for r in rs])
+    model = boosting.fit(x(use), np.array([float(r[4]) for r in use]), **params)
+    p, y = boosting.predict(model, x(held)), np.array([r[4] for r in held])
+    r = got["both", "100"]
+    assert r.tp + r.fp + r.fn + r.tn == len(held)
+    assert r.accuracy == pytest.approx(((p >= 0.25) == (y == 1)).mean(), abs=0.02)
+    pairs = (p[y == 1][:, None] > p[y == 0]) + 0.5 * (p[y == 1][:, None] == p[y == 0])
+    assert r.auc == pytest.approx(pairs.mean(), abs=0.02)
+    both, one_ = ({c: v for (k, c), v in ((k, g.accuracy) for k, g in got.items()) if k == name} for name in ("both", "b"))
+    assert all(both[s] > one_[s] for s in both)
+    grid = [{"rounds": 5, "rate": 0.1}, {"rounds": 20, "rate": 0.1}]
+    ratio = one(learning.gap_ratio(learning.grid_search(d, "id", "label", "star", ["a", "b"], grid, folds=3), grid[0]))
+    assert ratio.n_configs == 2 and ratio.gap >= 0 and ratio.ratio == pytest.approx(ratio.gap / ratio.pooled)
+    assert len(learning.configurations()) == 32 and learning.DEFAULTS in learning.configurations()
+
+
+def test_quantiles_and_places_by_ranges(spark):
+    """Null groups, values all NULL, one value that most rows share, infinities."""
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", None, "b"]), 5.0 if rng.random() < 0.6 else round(rng.gauss(0, 3), 1)) for _ in range(500)] + [("c", None), ("b", None)]
+    d = spark.createDataFrame(rows, "g string, v double")
+    q = {r.g: r for r in stats.quantiles(d, "v", ["g"], {"p10": 0.1, "p50": 0.5}).collect()}
+    for g in ("a", None, "b"):
+        own = [v for k, v in rows if k == g and v is not None]
+        assert (q[g].p10, q[g].p50, q[g].iqr) == pytest.approx((*np.percentile(own, [10, 50]), np.subtract(*np.percentile(own, [75, 25]))))
+    assert q["c"].p50 is None
+    e = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, float("inf")), (5, -1.0)], "id long, s double")
+    assert [r.id for r in relational.placed(e, "s", "id").orderBy("place").collect()] == [4, 1, 2, 5, 3]
+    assert relational.row_of(e, "id", 4).count() == 1
+    assert stats.quantiles(d.limit(0), "v", [], {"p": 0.5}).count() <= 1
+
+
 def test_keep_last_and_upsert(spark):
     d = spark.createDataFrame([("a", 1, 1.0), ("a", 3, None), ("b", 2, 5.0)], "k string, seq long, v double")
     assert sorted((r.k, r.v) for r in relational.keep_last(d, ["k"], "seq").collect()) == [("a", None), ("b", 5.0)]
@@ -235,6 +403,7 @@ def test_keep_last_and_upsert(spark):
 
 def test_window_scan_summary(spark):
     d = spark.createDataFrame([("a", 1000.0, 2.0, 0.0009, 0.001, 0.0011, None), ("b", 2000.0, 9.0, 0.0018, 0.002, 0.002, 0.002)], "kepoi_name string, koi_depth_ppm double, ppb double, d4 double, d6 double, d8 double, d12 double")
+    d = d.withColumns({f"n{f}": F.lit(f) for f in (4, 6, 8, 12)})
     got = {r.fraction: (round(r["median"], 6), r.n) for r in reports.window_scan_summary(d).collect()}
     assert got == {4: (-0.1, 2), 6: (0.0, 2), 8: (0.05, 2), 12: (0.0, 1)}
     assert {r.n for r in reports.window_scan_summary(d, 4.5).collect()} == {1}

@@ -5,7 +5,8 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from dipfold.sources import tables
+from dipfold.functions import expressions as X
+from dipfold.sources import archive, tables
 from dipfold.sources.archive import LightCurveArchive
 from dipfold.streaming import ingest
 
@@ -62,8 +63,55 @@ def test_archive(spark, tmp_path):
     (tmp_path / "7_q1.csv").write_text("1.5,0.9\n2.5,\n")
     (tmp_path / "8_q1.csv").write_text("bad,line\n")
     spark.dataSource.register(LightCurveArchive)
-    got = sorted((r.star_id, r.t_bkjd, r.flux, (r.error or "")[:10]) for r in spark.read.format("light_curve_archive").option("path", str(tmp_path)).load().collect() if r.star_id == 7 or r.error)
-    assert got[0] == (7, 1.5, 0.9, "") and got[1] == (7, 2.5, None, "") and got[2][3] == "ValueError"
+    source = spark.read.format("light_curve_archive").option("path", str(tmp_path)).option("gap_s", "0").load()
+    for d in (source, archive.read_archive(spark, str(tmp_path))):
+        got = sorted((r.star_id, r.product_id, r.t_bkjd, r.flux, (r.error or "")[:10]) for r in d.collect() if r.star_id == 7 or r.error)
+        assert got[0] == (7, "q1", 1.5, 0.9, "") and got[1] == (7, "q1", 2.5, None, "") and got[2][4] == "ValueError"
+    (tmp_path / "77_q1.csv").write_text("1,1\n")
+    assert archive.evict_star(spark, str(tmp_path), 7) == 1 and archive.evict_star(spark, str(tmp_path), 5) == 0
+    assert {r.star_id for r in archive.read_archive(spark, str(tmp_path)).collect()} == {8, 77}
+
+
+def test_archive_is_asked_again_and_not_too_fast(tmp_path, monkeypatch):
+    (tmp_path / "7_q1.csv").write_text("1.5,0.9\n")
+    reader = LightCurveArchive({"path": str(tmp_path), "pause_s": "5", "gap_s": "1.5"}).reader(None)
+    asked, slept, clock = [], [], [100.0]
+    monkeypatch.setattr(archive.time, "sleep", lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s)))
+    monkeypatch.setattr(archive.time, "monotonic", lambda: clock[0])
+    fail = 2
+
+    def opened(f, **k):
+        asked.append(clock[0])
+        if len(asked) <= fail:
+            raise ConnectionResetError("reset")
+        return (tmp_path / "7_q1.csv").open(**k)
+
+    monkeypatch.setattr(archive, "open", opened, raising=False)
+    (part,) = reader.partitions()
+    assert list(reader.read(part)) == [(7, "q1", 1.5, 0.9, None)]
+    assert [b - a for a, b in zip(asked, asked[1:], strict=False)] == [5.0, 10.0]
+    list(reader.read(part))
+    assert asked[-1] - asked[-2] == 1.5
+    fail, asked[:] = 9, []
+    assert list(reader.read(part)) == [(7, "q1", None, None, "ConnectionResetError: reset")] and len(asked) == archive.ATTEMPTS
+
+
+def test_checkpoints_are_put_together(spark, tmp_path):
+    schema = tables.FEATURES + ", attempt_seq long"
+    for name, kind, seq in (("a", "transient", 5), ("b", "", 1)):
+        d = spark.createDataFrame([("K1", kind, seq)], "kepoi_name string, error_kind string, attempt_seq long")
+        tables.append_attempts(spark.createDataFrame([], schema).unionByName(d, allowMissingColumns=True), str(tmp_path / name))
+    tables.seed_checkpoint(spark, str(tmp_path / "all"), str(tmp_path / "a"), str(tmp_path / "b"))
+    assert [r.error_kind for r in tables.read_checkpoint(spark, str(tmp_path / "all")).collect()] == [""]
+
+
+def test_queue_is_written_in_order(spark, tmp_path):
+    d = spark.createDataFrame([("K1", 0.2), ("K3", 0.9), ("K2", 0.9)], "kepoi_name string, score double")
+    tables.write_queue(d, str(tmp_path / "q"))
+    tables.write_queue(d.limit(2), str(tmp_path / "q"))  # overwrites
+    assert spark.read.option("header", True).csv(str(tmp_path / "q")).count() == 2
+    stamped = X.stamped(d)
+    assert stamped.where("created_at IS NULL").count() == 0
 
 
 def test_streaming_measures_touched_stars(spark, tmp_path):

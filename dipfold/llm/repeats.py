@@ -161,7 +161,8 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
     Spans are rows ``(key, start, stop)`` in words, each part of a run of at least ``least`` words that occurs in another text or
     at another place of its own.
     """
-    heads = docs.join(texts.select("key", "head"), "key").where("doc_id <=> head").select("key", "text")
+    # a text of fewer characters has too few words
+    docs = docs.where(F.length("text") >= 2 * least - 1)
 
     def select(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, ats, seeds = [], [], []
@@ -173,13 +174,16 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
         at, s = np.concatenate([*ats, np.zeros(0, np.int64)]), np.concatenate([*seeds, np.zeros(0, np.uint64)])
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at), pa.array(s.view(np.int64))], ["key", "at", "seed"])
 
-    # a text may be read once for each of its copies here; equal rows are one suffix
-    found = cut(map_texts(docs.select("key", "text"), select, "key binary, at long, seed long").dropDuplicates(["key", "at"]), "minimisers")
+    found = cut(map_texts(docs.select("key", "text"), select, "key binary, at long, seed long"), "minimisers")
+    # a text is read once for each of its copies here, and equal rows are one suffix: a seed repeats if it has two different places;
     # written, so that the join shuffles both sides itself and can split a seed that very many suffixes have
-    shared = cut(found.groupBy("seed").agg(F.count("*").alias("n")).where("n > 1").select("seed"), "shared")
-    wanted = found.join(shared, "seed", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    place = F.xxhash64("key", "at")
+    shared = cut(found.groupBy("seed").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("seed"), "shared")
+    wanted = found.join(shared, "seed", "left_semi").groupBy("key").agg(F.sort_array(F.collect_set("at")).alias("ats"))
 
     def carry(batch: pa.RecordBatch) -> pa.RecordBatch:
+        import xxhash
+
         keys, places, rights, lefts = [], [], [], []
         for key, text, ats in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "ats")), strict=True):
             right, left = _sides(word_hashes(text), np.array(ats, np.int64), least)
@@ -187,16 +191,21 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
             places += ats
             rights += right
             lefts += left
-        cols = [pa.array(keys, pa.binary()), pa.array(places, pa.int64()), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["key", "at", "after", "before"])
-
-    carried = map_texts(heads.join(wanted, "key").select("key", "text", "ats"), carry, "key binary, at long, after binary, before binary")
+        seeds = pa.array(np.array([xxhash.xxh64_intdigest(r[: WIDTH * seed]) for r in rights], np.uint64).view(np.int64))
+        cols = [pa.array(keys, pa.binary()), pa.array(places, pa.int64()), pa.array(rights, pa.binary()), pa.array(lefts, pa.binary()), seeds]
+        return pa.RecordBatch.from_arrays(cols, ["key", "at", "after", "before", "seed"])
+
+    # texts meet their places by digest and id: one row of each text, and copies of one text are not one key
+    of_head = wanted.join(texts.select("key", F.col("head").alias("doc_id")), "key")
+    heads = docs.join(of_head, (docs["key"] == of_head["key"]) & docs["doc_id"].eqNullSafe(of_head["doc_id"])).select(docs["key"], "text", "ats")
+    carried = map_texts(heads, carry, "key binary, at long, after binary, before binary, seed long")
     twice = keys.groupBy("key", "doc_id").agg(F.count("*").alias("n")).where("n > 1").join(texts, "key").where("doc_id <=> head")
     if not twice.isEmpty():  # a row that stands for its text is itself repeated
         carried = carried.dropDuplicates(["key", "at"])
     suffixes = cut(carried, "suffixes")
-    right = _array(suffixes, "after", "before", least).select("key", "at", F.col("x").alias("r"), F.col("y").alias("l"))
-    left = _array(suffixes, "before", "after", least).select("key", "at", F.col("y").alias("r"), F.col("x").alias("l"))
+    sides = suffixes.drop("seed")
+    right = _array(sides, "after", "before", least).select("key", "at", F.col("x").alias("r"), F.col("y").alias("l"))
+    left = _array(sides, "before", "after", least).select("key", "at", F.col("y").alias("r"), F.col("x").alias("l"))
     best = F.max(F.when(F.col("r") + F.col("l") >= least, F.struct((F.col("r") + F.col("l")).alias("n"), "r", "l")))
     per = cut(right.union(left).groupBy("key", "at").agg(F.max("r").alias("far"), F.max("l").alias("back"), best.alias("best")).where(F.col("far") + F.col("back") >= least), "matches")
     known = per.where("best IS NOT NULL").select("key", (F.col("at") - F.col("best.l")).alias("start"), (F.col("at") + F.col("best.r")).alias("stop"))
@@ -205,8 +214,13 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
     reach = F.exists("spans", lambda s: (s["start"] <= F.col("at") - F.col("back")) & (s["stop"] >= F.col("at") + F.col("far")))
     unsure = per.where("best IS NULL OR best.r <> far OR best.l <> back").join(known, "key", "left").where(~F.coalesce(reach, F.lit(False)))
     unsure = cut(unsure.select("key", "at"), "unsure")
-    seeds = suffixes.join(per.select("key", "at", "far", "back"), ["key", "at"]).withColumn("seed", F.substring("after", 1, WIDTH * seed))
-    open_ = seeds.join(unsure, ["key", "at"], "left_semi")
+    # a window around an undecided suffix can only occur around suffixes with the same seed: only these bring their words
+    small = suffixes.select("key", "at", "seed")
+    asked = cut(small.join(unsure, ["key", "at"], "left_semi").select("seed").distinct(), "seeds")
+    near = small.join(asked, "seed", "left_semi").select("key", "at").join(per.select("key", "at", "far", "back"), ["key", "at"])
+    near = near.join(unsure.withColumn("open", F.lit(True)), ["key", "at"], "left")
+    seeds = cut(suffixes.drop("seed").join(cut(near, "near"), ["key", "at"]), "asked")
+    open_ = seeds.where("open")
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, starts, hashes = [], [], []
@@ -220,9 +234,8 @@ def spans(docs: DataFrame, keys: DataFrame, texts: DataFrame, least: int = MIN_M
         at, h = np.concatenate([*starts, np.zeros(0, np.int64)]), np.concatenate([*hashes, np.zeros(0, np.uint64)])
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at), pa.array(h.view(np.int64))], ["key", "start", "window"])
 
-    # a window around an undecided suffix can only occur around suffixes with the same seed
     some = cut(_windows(open_.select("key", "at", "far", "back", "after", "before"), windows), "windows")
-    alike = seeds.join(cut(open_.select("seed").distinct(), "seeds"), "seed", "left_semi").join(unsure, ["key", "at"], "left_anti")
+    alike = seeds.where("open IS NULL")
     others = _windows(alike.select("key", "at", "far", "back", "after", "before"), windows)
     others = others.join(cut(some.select("window").distinct(), "asked"), "window", "left_semi")
     twice = some.unionByName(others).dropDuplicates(["key", "start"]).groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window")

@@ -53,7 +53,8 @@ def exact_quantiles(d: DataFrame, by: list[str], wanted: dict[str, tuple[Column,
     values = list({str(v): v for v, _ in wanted.values()}.values())
     number = {str(v): k for k, v in enumerate(values)}
     laid = d.select(*by, F.explode(F.array(*(F.struct(F.lit(k).alias("_k"), v.cast("double").alias("_v")) for k, v in enumerate(values)))).alias("_x"))
-    counts = laid.select(*by, "_x._k", "_x._v").groupBy(*by, "_k", "_v").agg(F.count("*").alias("_n"))
+    # written down, so that what lies before is worked out once: the ranges are chosen from the counts, and then used on them
+    counts = X.kept(laid.select(*by, "_x._k", "_x._v").groupBy(*by, "_k", "_v").agg(F.count("*").alias("_n")))
     found = sums_below(counts.where("_v IS NOT NULL"), "_v", [*by, "_k"], ["_n"])
     parts = []
     for name, (v, p) in wanted.items():

@@ -62,7 +62,8 @@ def exact_quantiles(d: DataFrame, by: list[str], wanted: dict[str, tuple[Column,
         mine = F.col("_k") == number[str(v)]
         at = lambda k: F.max(F.when(mine & (F.col("below__n") <= k) & (k < F.col("below__n") + F.col("_n")), F.col("_v")))
         share = F.max(F.when(mine, place - F.floor(place)))
-        parts.append((at(F.floor(place)) * (1 - share) + at(F.ceil(place)) * share).alias(name))
+        low, high = at(F.floor(place)), at(F.ceil(place))
+        parts.append(F.when(low == high, low).otherwise(low + (high - low) * share).alias(name))
     # a group whose values are all NULL has a row too
     hollow = counts.where("_v IS NULL").select(*by, "_k", F.lit(None).cast("double").alias("_v"), F.lit(0).cast("long").alias("_n"))
     hollow = hollow.withColumns({"below__n": F.lit(0).cast("long"), "all__n": F.lit(0).cast("long")})

@@ -11,14 +11,17 @@ fourteen blocks of the Steiner system S(3, 4, 8) leave no three bytes that meet
 that shares at least five positional bytes meets in at least one block. Nothing is lost, and a list
 then holds one fingerprint in 2**32 of unrelated ones.
 
-A list that is long all the same (a large group of near copies with many different fingerprints) is cut
-into tiles; each pair of tiles is one small group, compared in memory, and gives a spanning forest of its links
-rather than the links themselves. Components stay the same.
+A list that is long all the same (a large group of near copies with many different fingerprints) is read again in the same way: its
+fingerprints differ in at most three of the bits that they need not share, so of four groups of those bits a linked pair shares one
+more. Lists of one more shared group are formed until they are short; bits run out after four such steps, so no list is ever longer than
+what is compared in memory, and the work for a fingerprint has a bound that does not grow with its group. Each list gives a spanning
+forest of its links rather than the links themselves. Components stay the same.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,8 @@ MAX_BITS = 3
 MIN_BYTES = 8 - MAX_BITS
 SHINGLE = 3
 SEED = 42
-#: Fingerprints of one list that are compared at once; longer lists are cut into tiles of about this size.
-TILE = 2048
+#: Different fingerprints of one list that are compared at once; longer lists are read by more of their bits.
+LIST = 2048
 #: The blocks of S(3, 4, 8), as byte positions.
 BLOCKS = (
     (0, 1, 2, 3), (0, 1, 4, 5), (0, 1, 6, 7), (0, 2, 4, 6), (0, 2, 5, 7), (0, 3, 4, 7), (0, 3, 5, 6),
@@ -107,7 +110,7 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: the links within each group. Holds one group at a time, and groups are bounded by the tiles."""
+    """Rows sorted by group: the links within each group. Holds one group at a time, and groups are bounded by LIST."""
     def links(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         starts = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1
         bounds = np.concatenate([[0], starts, [len(key)]])
@@ -131,12 +134,12 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
-    key = np.zeros((0, 3), np.int64)
+    key = np.zeros((0, 2), np.int64)
     fp = np.zeros(0, np.uint64)
     for batch in batches:
         if not batch.num_rows:
             continue
-        own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("block", "part", "tile")], axis=1)
+        own = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("mask", "part")], axis=1)
         key, fp = np.concatenate([key, own]), np.concatenate([fp, batch.column("fp").to_numpy().view(np.uint64)])
         ends = np.flatnonzero(np.any(key[1:] != key[:-1], axis=1))
         if len(ends):
@@ -147,28 +150,39 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links(key, fp)
 
 
-def links(fps: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(a, b)``: links between the distinct values of the long column ``fp`` that join the same components as all links do."""
+def deeper(mask: int) -> list[int]:
+    """``mask`` with one of four groups of its other bits added: values that share it and differ in at most three bits share one of these."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [mask | sum(1 << b for b in rest[len(rest) * k // 4 : len(rest) * (k + 1) // 4]) for k in range(4)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def links(fps: DataFrame, longest: int = LIST) -> DataFrame:
+    """``(a, b)``: links between the distinct values of the long column ``fp`` that join the same components as all links do.
+
+    Lists longer than ``longest`` are read by more bits, until the bits left have no more than ``longest`` (or eight) values.
+    """
     masks = [sum(0xFF << (8 * p) for p in block) for block in BLOCKS]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    postings = fps.select(
-        "fp",
-        F.explode(
-            F.array(*(F.struct(F.lit(k).alias("block"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(signed)))
-        ).alias("x"),
-    ).select("x.block", "x.part", "fp")
-    lists = postings.groupBy("block", "part").agg(F.count("*").alias("n")).where("n > 1")
-    lists = lists.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
-    dealt = (
-        postings.join(lists, ["block", "part"])
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
-        .select("block", "part", "tile", "fp")
-    )
-    keys = ["block", "part", "tile"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare, "a long, b long")
+    postings = fps.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in masks))).alias("mask"))
+    key, short = ["mask", "part"], []
+    while True:
+        postings = postings.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp")
+        lists = cut(postings.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "lists")
+        most = 1 << (64 - min(m.bit_count() for m in masks))
+        last = most <= max(longest, 8) or lists.where(F.col("n") > longest).isEmpty()
+        # a sorted join at every size; the lists that are read on leave this round
+        short.append(postings.join((lists if last else lists.where(F.col("n") <= longest)).select(*key).hint("merge"), key))
+        if last:
+            break
+        below = {m: deeper(m) for m in masks}
+        steps = fps.sparkSession.createDataFrame([(_signed(m), _signed(d)) for m in masks for d in below[m]], "mask long, more long")  # 3,584 rows at most
+        postings = postings.join(lists.where(F.col("n") > longest).select(*key).hint("merge"), key).join(F.broadcast(steps), "mask")
+        postings = cut(postings.select("fp", F.col("more").alias("mask")).distinct(), "postings")
+        masks = sorted({d for ds in below.values() for d in ds})
+    return reduce(DataFrame.union, short).repartition(*key).sortWithinPartitions(*key).mapInArrow(_compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

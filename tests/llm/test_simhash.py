@@ -57,20 +57,45 @@ def test_equals_brute_force(spark):
     assert got == brute(rows)
 
 
-def test_tiles_give_the_same_components(spark):
-    rng = random.Random(3)
-    base = rng.getrandbits(64)
-    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(0, 4))) for _ in range(300)} | {rng.getrandbits(64) for _ in range(50)}
-    signed = [(f - (1 << 64) if f >> 63 else f,) for f in fps]
-    df = spark.createDataFrame(signed, "fp long")
-
-    def groups(tile):
-        from dipfold.llm.components import connected_components
+def brute_groups(fps):
+    """Components of links of at most three bits, of the values that have one."""
+    root = {f: f for f in fps}
+    for a in fps:
+        for b in fps:
+            if (a ^ b).bit_count() <= 3 and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    size = {r: sum(v == r for v in root.values()) for r in set(root.values())}
+    return {frozenset(k for k, v in root.items() if v == r) for r, n in size.items() if n > 1}
+
+
+@pytest.mark.parametrize("longest", [2048, 16, 3])
+def test_long_lists_are_read_by_more_bits_and_lose_no_link(spark, longest):
+    """One hot group whose fingerprints differ in few bits, chains between its parts, and strangers."""
+    from dipfold.llm.components import connected_components
 
-        rows = connected_components(simhash.links(df, tile)).collect()
-        return sorted((r.node, r.root) for r in rows)
+    rng = random.Random(3)
+    base, wide = rng.getrandbits(64), rng.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rng.sample(range(24), rng.randrange(0, 4))) for _ in range(150)} | {rng.getrandbits(64) for _ in range(30)}
+    fps |= {wide ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(0, 6))) for _ in range(60)}
+    df = spark.createDataFrame([(simhash._signed(f),) for f in fps], "fp long")
+    got = {}
+    for r in connected_components(simhash.links(df, longest)).collect():
+        got.setdefault(r.root, set()).add(r.node % (1 << 64))
+    assert {frozenset(g) for g in got.values()} == brute_groups(fps)
+
+
+def test_each_step_shares_one_more_group_of_bits():
+    """Whatever three bits differ, one of the deeper masks leaves them out; four steps leave few enough values for one list."""
+    from itertools import combinations
 
-    assert groups(2048) == groups(16)
+    masks = [sum(0xFF << (8 * p) for p in b) for b in simhash.BLOCKS]
+    for _ in range(4):
+        masks = sorted({d for m in masks for d in simhash.deeper(m)})
+    assert all(1 << (64 - m.bit_count()) <= simhash.LIST for m in masks)
+    for m in (simhash.deeper(sum(0xFF << (8 * p) for p in simhash.BLOCKS[3]))[1], masks[5]):
+        rest = [b for b in range(64) if not m >> b & 1]
+        assert all(any(all(not d >> b & 1 for b in c) for d in simhash.deeper(m)) for c in combinations(rest, 3))
 
 
 def test_blocks_meet_every_five_positions():

@@ -4,10 +4,14 @@ Such texts differ in about ten bits of a 64-bit SimHash, where no positional byt
 positional inverted index of another signature of the text: MINS smallest keyed hashes of its shingles. Two texts of
 similarity s share each position with probability s. Lists are read three positions at a time (BANDS lists for each text: a pair of
 similarity 0.8 is missed by all of them with probability 0.00001), shared positions are tallied, and pairs that share at
-least LEAST of the positions are candidates. Long lists are cut into tiles and give a spanning forest of their candidates.
+least LEAST of the positions are candidates. Lists give a spanning forest of their candidates.
 
-The signature decides nothing: the texts that candidates hold together are brought into one place, in tiles where they are many, and
-whole shingle sets are compared. Only pairs that are similar to 0.8 or more are links.
+The signature decides nothing: the texts that candidates hold together are brought into one place, and whole shingle sets are
+compared. Only pairs that are similar to 0.8 or more are links.
+
+Long lists are cut into tiles, and a few rows of the list (its heads) are in each of them. What the tiles hold together with the heads
+needs no further comparison within itself; only rows outside the largest such class (strays) meet the rows of all other tiles. A
+large group of near copies is thus read about twice, not once for each of its tiles, and no link between classes is left out.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ MINS, BANDS, ROWS = 96, 16, 3
 #: Shared positions that make a candidate: five deviations of the tally (0.04 each) below the similarity.
 LEAST = 0.6
 TILE = 512
+#: Rows of a long list that are in each of its tiles: sketches, and texts, which may be very long.
+HEADS, TEXT_HEADS = 8, 2
 #: Shingles of one tile of texts that are compared as whole sets.
 TILE_SHINGLES = 1 << 20
 SEED = 77
@@ -88,7 +94,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for key, tile, node, s in zip(*(batch.column(c).to_pylist() for c in ("key", "tile", "node", "sketch")), strict=True):
+        for key, tile, node, s in zip(*(batch.column(c).to_pylist() for c in ("list", "tile", "node", "sketch")), strict=True):
             if (key, tile) != now:
                 if len(held) > 1:
                     yield links()
@@ -98,22 +104,48 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield links()
 
 
+def compared(members: DataFrame, lists: DataFrame, compare: Callable[[DataFrame], DataFrame], heads: int) -> DataFrame:
+    """``(a, b)``: links between ``members`` (``list, node``) of the same list that join the same components as all links do.
+
+    ``lists`` is a written table of each list's number of ``tiles``; ``compare`` gives links that join what is linked within each group of rows
+    ``(list, tile, node)``.
+    """
+    place = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles)).cast("long")
+    every = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
+    cols = ["list", "tile", "node"]
+    dealt = members.join(lists, "list").withColumn("tile", place("tiles")).select(*cols)
+    long = lists.where("tiles > 1")
+    if long.isEmpty():
+        return compare(dealt)
+    crowd = cut(members.join(long.hint("merge"), "list").distinct(), "crowd")
+    some = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(heads))))
+    first = crowd.groupBy("list", "tiles").agg(some.alias("heads")).withColumn("node", F.explode("heads"))
+    found = cut(compare(dealt.union(first.withColumn("tile", every("tiles")).select(*cols))), "links")
+    classes = connected_components(found).select("node", F.col("root").alias("class"))
+    crowd = cut(crowd.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "crowd")
+    sizes = crowd.groupBy("list", "class").agg(F.count("*").alias("n"))
+    home = sizes.groupBy("list").agg(F.max_by("class", F.struct("n", "class")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    # as many tiles of strays as their part of the list asks for
+    home = cut(home.where("most < all").withColumn("part", (F.col("all") - F.col("most")) / F.col("all")).drop("all", "most"), "home")
+    if home.isEmpty():
+        return found
+    crowd = crowd.join(home.hint("merge"), "list").withColumn("parts", F.ceil(F.col("tiles") * F.col("part")).cast("long"))
+    strays = crowd.where("class <> home").withColumn("x", place("parts")).withColumn("y", every("tiles"))
+    others = crowd.withColumn("y", place("tiles")).withColumn("x", every("parts"))
+    pairs = strays.select("list", "x", "y", "node", "tiles").union(others.select("list", "x", "y", "node", "tiles"))
+    return found.union(compare(pairs.withColumn("tile", F.col("x") * F.col("tiles") + F.col("y")).select(*cols)))
+
+
+def _in_groups(dealt: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    return dealt.repartition("list", "tile").sortWithinPartitions("list", "tile").mapInArrow(kernel, "a long, b long")
+
+
 def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
     """``(a, b)``: candidates between the rows ``(node, sketch)`` that join the same components as all candidates do."""
     band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS))
-    postings = nodes.select("node", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("key"))
-    lists = cut(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "lists")
-    lists = lists.withColumn("tiles", F.ceil(F.col("n") / tile).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = (
-        postings.join(lists, "key")
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .withColumn("tile", F.least("own", "other") * F.col("tiles") + F.greatest("own", "other"))
-        .select("key", "tile", "node")
-        .join(nodes, "node")
-    )
-    return dealt.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare, "a long, b long")
+    postings = nodes.select("node", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("list"))
+    lists = cut(postings.groupBy("list").agg(F.ceil(F.count("*") / tile).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n"), "lists")
+    return compared(postings, lists, lambda dealt: _in_groups(dealt.join(nodes, "node"), _compare), HEADS)
 
 
 def _spanning(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
@@ -153,7 +185,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     for batch in batches:
-        for root, tile, node, text in zip(*(batch.column(c) for c in ("root", "tile", "node", "text")), strict=True):
+        for root, tile, node, text in zip(*(batch.column(c) for c in ("list", "tile", "node", "text")), strict=True):
             key = root.as_py(), tile.as_py()
             if key != now:
                 if len(held) > 1:
@@ -169,22 +201,13 @@ def verified(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, tile: in
 
     All pairs that are held together, directly or by others, are compared, and the links join the same components as all of theirs do.
     """
-    roots = connected_components(candidates).select("node", "root")
+    roots = connected_components(candidates).select("node", F.col("root").alias("list"))
     members = cut(nodes.select("node", "size").join(roots, "node"), "members")
-    lists = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
-    tiles = F.greatest(F.ceil(F.col("n") / tile), F.ceil(F.col("size") / most)).cast("int")
-    dealt = (
-        members.select("node", "root")
-        .join(lists.select("root", tiles.alias("tiles")), "root")
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
-        .withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-        .withColumn("tile", F.least("own", "other") * F.col("tiles").cast("long") + F.greatest("own", "other"))
-        .select("root", "tile", "node")
-    )
+    lists = members.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / most)).alias("tiles"))
     # a shuffled, sorted join at every size, as in simhash.first_of_group
     texts = keyed.select("node", "text").join(members.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    dealt = dealt.join(cut(texts, "texts"), "node")
-    return dealt.repartition("root", "tile").sortWithinPartitions("root", "tile").mapInArrow(_verify, "a long, b long")
+    texts = cut(texts, "texts")
+    return compared(members.select("list", "node"), cut(lists, "lists"), lambda dealt: _in_groups(dealt.join(texts, "node"), _verify), TEXT_HEADS)
 
 
 def signatures(keyed: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:

@@ -1,213 +1,29 @@
 """Links that the three bits of operator 3 cannot reach: texts whose five-word shingles are similar to 0.8 or more.
 
 Such texts differ in about ten bits of a 64-bit SimHash, where no positional byte need be shared. Candidates are therefore searched in the
-positional inverted index of another signature of the text: MINS smallest keyed hashes of its shingles. Two texts of
-similarity s share each position with probability s. Lists are read three positions at a time (BANDS lists for each text: a pair of
-similarity 0.8 is missed by all of them with probability 0.00001), shared positions are tallied, and pairs that share at
-least LEAST of the positions are candidates. Lists give a spanning forest of their candidates.
+positional inverted index of another signature of the text, its circulant MinHash (:mod:`minhash`): two texts of similarity s share each of its
+coordinates with probability s. Lists are read four positions at a time (24 lists for each text: a pair of similarity 0.8 is missed by all of them
+with probability 0.000003), shared positions are tallied, and pairs that share enough of them are candidates.
 
-The signature decides nothing: the texts that candidates hold together are brought into one place, and whole shingle sets are
-compared. Only pairs that are similar to 0.8 or more are links.
-
-Long lists are cut into tiles, and a few rows of the list (its heads) are in each of them. What the tiles hold together with the heads
-needs no further comparison within itself; only rows outside the largest such class (strays) meet the rows of all other tiles. A
-large group of near copies is thus read about twice, not once for each of its tiles, and no link between classes is left out.
+The signature decides nothing: whole shingle sets are compared (:mod:`similar_sets`), and only pairs that are similar to 0.8 or more are links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dipfold.llm import minhash, similar_sets
 from dipfold.llm.common import WORD, cut, map_texts
 from dipfold.llm.components import connected_components
+from dipfold.llm.similar_sets import Measure, shingles
 
 #: Texts whose shingle sets share this part (4 of 5) of their union are near copies.
-SHINGLE, SIMILARITY = 5, (4, 5)
-MINS, BANDS, ROWS = 96, 16, 3
-#: Shared positions that make a candidate: five deviations of the tally (0.04 each) below the similarity.
-LEAST = 0.6
-TILE = 512
-#: Rows of a long list that are in each of its tiles: sketches, and texts, which may be very long.
-HEADS, TEXT_HEADS = 8, 2
-#: Shingles of one tile of texts that are compared as whole sets.
-TILE_SHINGLES = 1 << 20
-SEED = 77
-
-
-def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray | None:
-    """The hashes of the different shingles, sorted; None without a word. Fewer words than a shingle make one shingle."""
-    import xxhash
-
-    words = (text or "").encode().lower().split()
-    if not words:
-        return None
-    digest = xxhash.xxh64_intdigest
-    groups = zip(*(words[k:] for k in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    return np.unique(np.array([digest(b" ".join(g), SEED) for g in groups], np.uint64))
-
-
-def smallest(h: np.ndarray) -> bytes:
-    """MINS smallest hashes, four bytes each."""
-    turns = np.random.default_rng(SEED).integers(0, 1 << 63, MINS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.full(MINS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(h), 4096):
-        part = h[k : k + 4096]
-        out = np.minimum(out, (part[None, :] * turns[:, None]).min(axis=1))
-    return (out >> np.uint64(32)).astype("<u4").tobytes()
-
-
-def _forest(nodes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the candidates among ``nodes``, found by growing one tree after another from what is not yet reached."""
-    left, right, free = [], [], np.ones(len(nodes), bool)
-    for i in range(len(nodes)):
-        if not free[i]:
-            continue
-        free[i] = False
-        reached = [i]
-        while reached:
-            j = reached.pop()
-            rest = np.flatnonzero(free)
-            if not len(rest):
-                break
-            near = rest[(rows[rest] == rows[j]).mean(axis=1) >= LEAST]
-            free[near] = False
-            left += [nodes[j]] * len(near)
-            right += nodes[near].tolist()
-            reached += near.tolist()
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: candidates within each. Holds one group at a time, bounded by the tiles."""
-    held: dict[int, bytes] = {}
-    now = None
-
-    def links() -> pa.RecordBatch:
-        nodes = np.array(list(held), np.int64)
-        rows = np.frombuffer(b"".join(held.values()), "<u4").reshape(len(nodes), MINS)
-        a, b = _forest(nodes, rows) if len(nodes) > 1 else (nodes[:0], nodes[:0])
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        for key, tile, node, s in zip(*(batch.column(c).to_pylist() for c in ("list", "tile", "node", "sketch")), strict=True):
-            if (key, tile) != now:
-                if len(held) > 1:
-                    yield links()
-                held, now = {}, (key, tile)
-            held[node] = s
-    if len(held) > 1:
-        yield links()
-
-
-def compared(members: DataFrame, lists: DataFrame, compare: Callable[[DataFrame], DataFrame], heads: int) -> DataFrame:
-    """``(a, b)``: links between ``members`` (``list, node``) of the same list that join the same components as all links do.
-
-    ``lists`` is a written table of each list's number of ``tiles``; ``compare`` gives links that join what is linked within each group of rows
-    ``(list, tile, node)``.
-    """
-    place = lambda tiles: F.pmod(F.xxhash64("node"), F.col(tiles)).cast("long")
-    every = lambda tiles: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1))
-    cols = ["list", "tile", "node"]
-    dealt = members.join(lists, "list").withColumn("tile", place("tiles")).select(*cols)
-    long = lists.where("tiles > 1")
-    if long.isEmpty():
-        return compare(dealt)
-    crowd = cut(members.join(long.hint("merge"), "list").distinct(), "crowd")
-    some = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64("node", F.lit(k))) for k in range(heads))))
-    first = crowd.groupBy("list", "tiles").agg(some.alias("heads")).withColumn("node", F.explode("heads"))
-    found = cut(compare(dealt.union(first.withColumn("tile", every("tiles")).select(*cols))), "links")
-    classes = connected_components(found).select("node", F.col("root").alias("class"))
-    crowd = cut(crowd.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")), "crowd")
-    sizes = crowd.groupBy("list", "class").agg(F.count("*").alias("n"))
-    home = sizes.groupBy("list").agg(F.max_by("class", F.struct("n", "class")).alias("home"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    # as many tiles of strays as their part of the list asks for
-    home = cut(home.where("most < all").withColumn("part", (F.col("all") - F.col("most")) / F.col("all")).drop("all", "most"), "home")
-    if home.isEmpty():
-        return found
-    crowd = crowd.join(home.hint("merge"), "list").withColumn("parts", F.ceil(F.col("tiles") * F.col("part")).cast("long"))
-    strays = crowd.where("class <> home").withColumn("x", place("parts")).withColumn("y", every("tiles"))
-    others = crowd.withColumn("y", place("tiles")).withColumn("x", every("parts"))
-    pairs = strays.select("list", "x", "y", "node", "tiles").union(others.select("list", "x", "y", "node", "tiles"))
-    return found.union(compare(pairs.withColumn("tile", F.col("x") * F.col("tiles") + F.col("y")).select(*cols)))
-
-
-def _in_groups(dealt: DataFrame, kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
-    return dealt.repartition("list", "tile").sortWithinPartitions("list", "tile").mapInArrow(kernel, "a long, b long")
-
-
-def links(nodes: DataFrame, tile: int = TILE) -> DataFrame:
-    """``(a, b)``: candidates between the rows ``(node, sketch)`` that join the same components as all candidates do."""
-    band = lambda k: F.xxhash64(F.lit(k), F.substring("sketch", 4 * ROWS * k + 1, 4 * ROWS))
-    postings = nodes.select("node", F.explode(F.array(*(band(k) for k in range(BANDS)))).alias("list"))
-    lists = cut(postings.groupBy("list").agg(F.ceil(F.count("*") / tile).alias("tiles"), F.count("*").alias("n")).where("n > 1").drop("n"), "lists")
-    return compared(postings, lists, lambda dealt: _in_groups(dealt.join(nodes, "node"), _compare), HEADS)
-
-
-def _spanning(nodes: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-    """A spanning forest of the links among ``nodes``, whose whole shingle sets are compared."""
-    sizes = np.array([len(h) for h in sets])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    mine = np.zeros(int(ids.max()) + 1, np.int64)
-    part, whole = SIMILARITY
-    left, right, free = [], [], np.ones(len(nodes), bool)
-    for i in range(len(nodes)):
-        if not free[i]:
-            continue
-        free[i] = False
-        reached = [i]
-        while reached and free.any():
-            j = reached.pop()
-            own = ids[starts[j] : starts[j] + sizes[j]]
-            mine[own] = 1
-            shared = np.add.reduceat(mine[ids], starts)
-            mine[own] = 0
-            near = np.flatnonzero(free & ((part + whole) * shared >= part * (sizes + sizes[j])))
-            free[near] = False
-            left += [nodes[j]] * len(near)
-            right += [nodes[k] for k in near]
-            reached += near.tolist()
-    return left, right
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group: links within each. Holds the shingles of one group at a time, bounded by the tiles."""
-    held: dict[int, np.ndarray] = {}
-    now = None
-
-    def links() -> pa.RecordBatch:
-        a, b = _spanning(list(held), list(held.values()))
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    for batch in batches:
-        for root, tile, node, text in zip(*(batch.column(c) for c in ("list", "tile", "node", "text")), strict=True):
-            key = root.as_py(), tile.as_py()
-            if key != now:
-                if len(held) > 1:
-                    yield links()
-                held, now = {}, key
-            held[node.as_py()] = shingles(text.as_py())
-    if len(held) > 1:
-        yield links()
-
-
-def verified(keyed: DataFrame, nodes: DataFrame, candidates: DataFrame, tile: int = TILE, most: int = TILE_SHINGLES) -> DataFrame:
-    """``(a, b)``: links by whole shingle sets between the rows ``(node, size)`` of ``nodes`` that ``candidates`` hold together.
-
-    All pairs that are held together, directly or by others, are compared, and the links join the same components as all of theirs do.
-    """
-    roots = connected_components(candidates).select("node", F.col("root").alias("list"))
-    members = cut(nodes.select("node", "size").join(roots, "node"), "members")
-    lists = members.groupBy("list").agg(F.greatest(F.ceil(F.count("*") / tile), F.ceil(F.sum("size") / most)).alias("tiles"))
-    # a shuffled, sorted join at every size, as in simhash.first_of_group
-    texts = keyed.select("node", "text").join(members.select("node").hint("merge"), "node", "left_semi").dropDuplicates(["node"])
-    texts = cut(texts, "texts")
-    return compared(members.select("list", "node"), cut(lists, "lists"), lambda dealt: _in_groups(dealt.join(texts, "node"), _verify), TEXT_HEADS)
+MEASURE = Measure(shingle=5, part=4, whole=5, bands=24, rows=4)
 
 
 def signatures(keyed: DataFrame, fingerprint: Callable[[str | None], int] | None = None) -> DataFrame:
@@ -218,22 +34,18 @@ def signatures(keyed: DataFrame, fingerprint: Callable[[str | None], int] | None
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        import xxhash
-
         texts = batch.column("text").to_pylist()
-        found = [shingles(t) for t in texts]
-        same = np.array([0 if h is None else xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+        found = [shingles(t, MEASURE.shingle) for t in texts]
+        same = pa.array([0 if h is None else minhash.set_digest(h) for h in found], pa.int64())
         sizes = pa.array([0 if h is None else len(h) for h in found], pa.int64())
-        sketched = pa.array([None if h is None else smallest(h) for h in found], pa.binary())
+        sketched = pa.array([None if h is None else minhash.signature(h, MEASURE.coordinates) for h in found], pa.binary())
         fps = pa.nulls(len(texts), pa.int64()) if fingerprint is None else pa.array(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("node"), fps, pa.array(same), sizes, sketched], ["doc_id", "node", "fp", "same", "size", "sketch"]
-        )
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), fps, same, sizes, sketched], ["doc_id", "node", "fp", "same", "size", "sketch"])
 
     return map_texts(keyed.select("doc_id", "text", "node"), work, "doc_id long, node long, fp long, same long, size long, sketch binary")
 
 
-def alike(keyed: DataFrame, marked: DataFrame) -> DataFrame:
+def alike(keyed: DataFrame, marked: DataFrame, tile: int = similar_sets.TILE, most: int = similar_sets.TILE_SHINGLES) -> DataFrame:
     """``(a, b)``: links between the values of ``node``, a number of each text of ``keyed``, that join equal shingle sets and near copies.
 
     ``marked`` is what :func:`signatures` gives for ``keyed``, written down.
@@ -242,10 +54,11 @@ def alike(keyed: DataFrame, marked: DataFrame) -> DataFrame:
     low = F.min("node").alias("node")
     nodes = cut(marked.groupBy("same").agg(F.first("sketch").alias("sketch"), F.first("size").alias("size"), low), "nodes")
     equal = marked.select("node", "same").join(nodes.select("same", F.col("node").alias("low")), "same")
-    return verified(keyed, nodes, links(nodes.select("node", "sketch"))).union(equal.where("node <> low").select("node", "low").distinct())
+    near = similar_sets.verified(keyed, nodes, minhash.candidates(nodes.select("node", "sketch"), MEASURE, tile), MEASURE, tile, most)
+    return near.union(equal.where("node <> low").select("node", "low").distinct())
 
 
-def groups(docs: DataFrame) -> DataFrame:
+def groups(docs: DataFrame, tile: int = similar_sets.TILE, most: int = similar_sets.TILE_SHINGLES) -> DataFrame:
     """``(doc_id, first)`` for rows with a near copy or an equal shingle set: the smallest id of their group.
 
     Null ids and texts without a word are left out; repeated rows and a repeated id count by their texts, each row by itself; texts of
@@ -253,7 +66,7 @@ def groups(docs: DataFrame) -> DataFrame:
     empty result.
     """
     keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("node")).where(F.col("doc_id").isNotNull() & F.col("text").rlike(WORD))
-    roots = connected_components(alike(keyed, cut(signatures(keyed), "sketches"))).select("node", "root")
+    roots = connected_components(alike(keyed, cut(signatures(keyed), "sketches"), tile, most)).select("node", "root")
     rows = cut(keyed.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")), "rows")
     names = rows.groupBy("root").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     return rows.join(names, "root").select("doc_id", "first")

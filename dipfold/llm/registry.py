@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from dipfold.llm import decontaminate, merkle, mixing, pii, quality_model, quality_rules, repeats, resample, simhash, sql, token_counts, toxicity, url_rules
+from dipfold.llm import decontaminate, merkle, minhash, mixing, pii, quality_model, quality_rules, repeats, resample, simhash, sql, token_counts, toxicity, url_rules
 from dipfold.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,9 +61,16 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op5_token_counts, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination, op11_merkle_manifest, op12_importance_resampling)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_classifier, op2_toxicity, op3_simhash_dedup, op4_url_filters, op5_token_counts, op6_suffix_dedup, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination, op11_merkle_manifest, op12_importance_resampling, op13_minhash_dedup)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op4_url_filters": url_rules.ORACLE, "op11_merkle_manifest": sql.merkle(), "op12_importance_resampling": resample.ORACLE}
+    return {
+        "op4_url_filters": url_rules.ORACLE, "op11_merkle_manifest": sql.merkle(), "op12_importance_resampling": resample.ORACLE,
+        "op13_minhash_dedup": sql.similar_shingles(minhash.MEASURE),
+    }

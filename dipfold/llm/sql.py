@@ -43,3 +43,17 @@ a0 AS (SELECT *, row_number() OVER (PARTITION BY named, s ORDER BY doc_id NULLS
     parts.append(f"f0 AS (SELECT a0.doc_id, a0.leaf, b0.d AS subroot, (SELECT d FROM b{top_levels}) AS root, sha256({sides}) AS proof_sha256, coalesce(a0.changed, a0.leaf) AS own, {hold} FROM a0{joined})")
     parts += [f"f{k + 1} AS (SELECT * REPLACE (CASE WHEN one{k} THEN own ELSE sha256(l{k} || own || r{k}) END AS own) FROM f{k})" for k in range(len(steps))]
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, root, proof_sha256, own AS folded_root, own = root AS verified FROM f{len(steps)}"
+
+
+def similar_shingles(measure) -> str:
+    """Sets of shingles by the words, all pairs that share one counted, and components by reachability."""
+    n = measure.shingle
+    gram = " || ' ' || ".join(["w[i]", *(f"w[i + {k}]" for k in range(1, n))])
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({FOLD.format(text="coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {n} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}) END) AS g FROM d),
+z AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS a, b.r AS b FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r JOIN z x ON x.r = a.r JOIN z y ON y.r = b.r
+  GROUP BY a.r, b.r, x.n, y.n HAVING {measure.whole} * count(*) >= {measure.part} * (x.n + y.n - count(*))),
+c AS (SELECT r, r AS q FROM d UNION SELECT c.r, p.b FROM c JOIN p ON p.a = c.q),
+m AS (SELECT c.r, min(e.doc_id) AS component_id FROM c JOIN d e ON e.r = c.q GROUP BY c.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(doc_id = component_id, false) AS kept FROM d LEFT JOIN z USING (r) JOIN m USING (r)"""

@@ -3,7 +3,6 @@ from __future__ import annotations
 import random
 
 from dipfold.llm import near_copies, simhash
-from dipfold.llm.components import connected_components
 
 
 def shingles(t):
@@ -58,11 +57,11 @@ def test_near_copies_are_found_and_others_left_alone(spark):
     assert len({group[i] for i in kept}) == 12 and len(kept) <= 14
 
 
-def test_tiles_give_the_same_components(spark):
+def test_tiles_give_the_same_groups(spark):
     rows, _ = corpus()
-    nodes = spark.createDataFrame([(i, near_copies.smallest(near_copies.shingles(t))) for i, t in rows], "node long, sketch binary")
-    a, b = (sorted((r.node, r.root) for r in connected_components(near_copies.links(nodes, tile)).collect()) for tile in (512, 3))
-    assert a == b
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, few, small = (sorted(tuple(r) for r in near_copies.groups(df, tile, most).collect()) for tile, most in ((512, 1 << 20), (3, 1 << 20), (512, 1000)))
+    assert want == few == small and len({f for _, f in want}) == 8
 
 
 def test_links_are_decided_on_whole_shingle_sets(spark):
@@ -82,59 +81,6 @@ def test_links_are_decided_on_whole_shingle_sets(spark):
     assert {r.doc_id for r in simhash.first_of_group(df).collect()} == brute_heads(rows, 0.8)
 
 
-def test_tiles_of_whole_sets_give_the_same_components(spark):
-    from pyspark.sql import functions as F
-
-    rows, _ = corpus()
-    keyed = spark.createDataFrame(rows, "node long, text string")
-    nodes = keyed.withColumn("size", F.lit(296).cast("long"))
-    pairs = spark.createDataFrame([(0, i) for i, _ in rows[1:]], "a long, b long")
-    want, few, small = (
-        sorted((r.node, r.root) for r in connected_components(near_copies.verified(keyed, nodes, pairs, t, m)).collect()) for t, m in ((512, 1 << 20), (7, 1 << 20), (512, 1000))
-    )
-    assert want == few == small and len({r for _, r in want}) == 8
-
-
-def test_long_lists_lose_no_link_and_a_group_of_copies_is_read_once(spark):
-    """Numbers at most 3 apart are links: a dense group, chains over many tiles, strangers, and one number in two lists."""
-    from pyspark.sql import functions as F
-
-    from dipfold.llm.common import cut
-
-    rng = random.Random(8)
-    chains = rng.sample(range(10_000, 10_400), 130)
-    numbers = {1: list(range(200, 240)), 2: chains, 3: [50_000 + 10 * k for k in range(30)], 4: [70_000, 70_001, 239]}
-    rows = [(k, n) for k, ns in numbers.items() for n in ns]
-    handed = []
-
-    def compare(dealt):
-        handed.append({r["list"]: r["n"] for r in dealt.groupBy("list").agg(F.count("*").alias("n")).collect()})
-        other = dealt.select("list", "tile", F.col("node").alias("b"))
-        return dealt.join(other, ["list", "tile"]).where("abs(node - b) <= 3 AND node < b").select(F.col("node").alias("a"), "b")
-
-    members = spark.createDataFrame(rows, "list long, node long")
-    lists = cut(members.groupBy("list").agg(F.ceil(F.count("*") / 8).alias("tiles")), "lists")
-    got = {}
-    for r in connected_components(near_copies.compared(members, lists, compare, 2)).collect():
-        got.setdefault(r.root, set()).add(r.node)
-    root = {n: n for _, n in rows}
-    for ns in numbers.values():
-        for a in ns:
-            for b in ns:
-                if abs(a - b) <= 3 and root[a] != root[b]:
-                    low, high = sorted((root[a], root[b]))
-                    root = {n: low if r == high else r for n, r in root.items()}
-    want = {r: {n for n in root if root[n] == r} for r in set(root.values())}
-    assert got == {r: ns for r, ns in want.items() if len(ns) > 1}
-    assert len(handed) == 2 and handed[0][1] == 40 + 2 * 5 and 4 not in handed[1]
-
-    handed.clear()
-    group = spark.createDataFrame([(1, n) for n in range(4)] + [(2, 7 * n) for n in range(40)], "list long, node long")
-    one = cut(spark.createDataFrame([(1, 2), (2, 1)], "list long, tiles long"), "lists")
-    assert {(r.node, r.root) for r in connected_components(near_copies.compared(group, one, compare, 2)).collect()} == {(n, 0) for n in range(4)}
-    assert len(handed) == 1  # no strays: nothing is read again
-
-
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "a"), (4, "A"), (None, "a"), (5, "a b c"), (5, "a b c"), (6, "w " * 100000)]
     df = spark.createDataFrame([(i, t, 1, "s", 2) for i, t in rows], "doc_id long, text string, node int, sketch string, same int")

@@ -1,101 +1,443 @@
-"""Boosted trees over binned features for one fit in one task: the kernel of experiments that fit many small models side by side.
+"""Boosted trees by gradient histograms, many fits at a time, on tables of any size.
 
-A fit takes a bounded sample (``learning.FIT_ROWS``); Spark spreads the fits. Models of the whole table are :func:`learning.boosted`'s.
-Missing values have a bin of their own, and each split learns which side they go to.
+Values are put into bins once; missing values have a bin of their own. Trees grow best leaf first. What a tree has to know about its rows is, for
+each open node, feature and bin, the sum of gradients, of hessians and the number of rows: from these the best cut, and the side that missing values
+go to, follow. Trees are grown in *waves*: a wave asks for the histograms of all nodes that the tree may split next, so a tree takes as many waves as it is
+deep.
+
+Rows are dealt in blocks of at most BLOCK_ROWS. Each block sums its own histograms (the map-side combine), and one ``groupBy(fit, node)`` a wave adds
+them up and finds the splits, for all fits at once; the driver holds trees, never rows or histograms. Where all rows are one block there is
+nothing to add up between blocks: the same waves then run where the block lies, and fits are dealt over the tasks. Both ways fit all rows and give
+the same trees.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from dipfold.functions import expressions as X
 
 BINS = 255
 LEAST_HESSIAN = 1e-3
+#: Rows of one block; a fit of no more rows than that needs no sums over blocks.
+BLOCK_ROWS = 1 << 16
+#: Rounds after which the rows' margins are written down, so that no job goes through more trees than that.
+SETTLED_ROUNDS = 8
+#: Parts of a split, as codes.
+TRAIN, TEST, UNUSED = 0, 1, 2
 
 
 def binned(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """The bin of each value, BINS for a missing one. A value equal to an edge lies below it."""
-    codes = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1)
-    return np.where(np.isnan(x), BINS, codes)
+    codes = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], axis=1) if edges else np.zeros((len(x), 0), np.int64)
+    return np.where(np.isnan(x), BINS, codes).astype(np.uint8)
 
 
-def edges_of(x: np.ndarray) -> list[np.ndarray]:
-    out = []
-    for column in x.T:
-        values = np.unique(column[~np.isnan(column)])
-        middle = (values[1:] + values[:-1]) / 2
-        out.append(middle if len(middle) < BINS else np.unique(np.quantile(column[~np.isnan(column)], np.arange(1, BINS) / BINS)))
+def edges_of(d: DataFrame, features: list[str]) -> list[list[float]]:
+    """Cuts between bins, BINS - 1 at most: the middles between values where these are few, else values at even shares of the rows.
+
+    Laid over all rows once, without their labels: two aggregations, a few hundred numbers.
+    """
+    if not features:
+        return []
+    values = d.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.col(f).cast("double").alias("v")) for k, f in enumerate(features)))).alias("x")).select("x.*")
+    values = values.where(F.col("v").isNotNull() & ~F.isnan("v"))
+    number = values.distinct().groupBy("k").agg(F.count("*").alias("n"))
+    few = {r.k for r in number.where(F.col("n") <= BINS).collect()}
+    out: list[list[float]] = [[] for _ in features]
+    held: dict[int, list[float]] = {k: [] for k in few}
+    for r in values.where(F.col("k").isin(list(few))).distinct().collect() if few else []:  # BINS values of a feature at most
+        held[r.k].append(r.v)
+    for k, own in held.items():
+        own = np.array(sorted(own))
+        out[k] = ((own[1:] + own[:-1]) / 2).tolist()
+    shares = [i / BINS for i in range(1, BINS)]
+    for r in values.where(~F.col("k").isin(list(few))).groupBy("k").agg(F.percentile_approx("v", shares, 100_000).alias("q")).collect():
+        out[r.k] = sorted(set(r.q))
     return out
 
 
-def best_split(codes: np.ndarray, g: np.ndarray, h: np.ndarray, least: int, l2: float) -> tuple[float, int, int, bool] | None:
-    """``(gain, feature, bin, missing go left)`` of the best split of some rows; None if none is allowed or gains anything."""
-    n, width = codes.shape
-    flat = (codes + np.arange(width) * (BINS + 1)).ravel()
-    sums = np.stack([np.bincount(flat, np.repeat(w, width), width * (BINS + 1)).reshape(width, BINS + 1) for w in (g, h, np.ones(n))])
-    total, missing = sums.sum(axis=2)[:, :1, None], sums[:, :, BINS:]
-    left = np.cumsum(sums[:, :, :BINS], axis=2)
-    both = np.stack([left, left + missing], axis=1)  # missing to the right, to the left
-    rest = total[:, None] - both
-    ok = (both[2] >= least) & (rest[2] >= least) & (both[1] >= LEAST_HESSIAN) & (rest[1] >= LEAST_HESSIAN)
-    if not ok.any():
-        return None
+def histograms(codes: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray, slots: int) -> np.ndarray:
+    """Sums of gradients, hessians and rows by ``(slot, feature, bin)``; rows of slot -1 are left out."""
+    use = np.flatnonzero(slot >= 0)
+    width = codes.shape[1]
+    flat = ((slot[use] * (width * (BINS + 1)))[:, None] + np.arange(width) * (BINS + 1) + codes[use]).ravel()
+    size = slots * width * (BINS + 1)
+    out = np.empty((3, size))
+    for k, w in enumerate((g, h)):
+        out[k] = np.bincount(flat, np.repeat(w[use], width), size)
+    out[2] = np.bincount(flat, minlength=size)
+    return out.reshape(3, slots, width, BINS + 1)
+
+
+def _gains(left: np.ndarray, total: np.ndarray, least: int, l2: float) -> np.ndarray:
+    """Scores of both sides of each cut, given the sums of the left; -inf where a side has too few rows."""
+    rest = total - left
     with np.errstate(divide="ignore", invalid="ignore"):
-        gain = both[0] ** 2 / (both[1] + l2) + rest[0] ** 2 / (rest[1] + l2) - (total[0] ** 2 / (total[1] + l2))
-    gain = np.where(ok, gain, -np.inf)
-    at = np.unravel_index(int(np.argmax(gain)), gain.shape)
-    return (float(gain[at]), int(at[1]), int(at[2]), bool(at[0])) if gain[at] > 1e-12 else None
-
-
-def tree(codes: np.ndarray, g: np.ndarray, h: np.ndarray, leaves: int, least: int, l2: float, rate: float) -> tuple[list[tuple], np.ndarray]:
-    """Nodes ``(feature, bin, missing left, left, right, value)`` of one tree grown leaf by leaf, and the value of each row."""
-    nodes, rows = [None], {0: np.arange(len(g))}
-    value = lambda r: -rate * g[r].sum() / (h[r].sum() + l2)
-    find = lambda k: best_split(codes[rows[k]], g[rows[k]], h[rows[k]], least, l2) if len(rows[k]) >= 2 * least else None
-    open_ = {0: found} if (found := find(0)) else {}
-    while open_ and len(rows) < leaves:
-        k = max(open_, key=lambda i: (open_[i][0], -i))
-        _, j, b, low = open_.pop(k)
-        own = rows.pop(k)
-        left = (codes[own, j] <= b) | (low & (codes[own, j] == BINS))
-        left &= (codes[own, j] != BINS) | low
-        nodes[k] = (j, b, low, len(nodes), len(nodes) + 1, 0.0)
-        for part in (own[left], own[~left]):
-            rows[len(nodes)] = part
-            nodes.append(None)
-            if found := find(len(nodes) - 1):
-                open_[len(nodes) - 1] = found
-    out = np.zeros(len(g))
-    for k, own in rows.items():
-        nodes[k] = (-1, 0, False, -1, -1, float(value(own)))
-        out[own] = nodes[k][5]
-    return nodes, out
-
-
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 100, rate: float = 0.1, leaves: int = 31, least: int = 20, l2: float = 0.0) -> dict:
-    """A model as plain values: start, edges and trees. Log loss, one Newton step a round."""
-    share = min(max(float(y.mean()), 1e-9), 1 - 1e-9) if len(y) else 0.5
-    start, edges = float(np.log(share / (1 - share))), edges_of(x)
-    codes, margin, trees = binned(x, edges), np.full(len(y), start), []
+        score = left[0] ** 2 / (left[1] + l2) + rest[0] ** 2 / (rest[1] + l2)
+    np.minimum(left, rest, out=rest)
+    score[(rest[2] < least) | (rest[1] < LEAST_HESSIAN)] = -np.inf
+    return score.reshape(score.shape[0], -1)
+
+
+def splits(sums: np.ndarray, least: int, l2: float) -> list[tuple | None]:
+    """``(gain, feature, bin, missing go left, sums of the left, sums of all)`` of the best split of each slot; None if none is allowed or gains anything.
+
+    Of equal gains the first feature and bin counts, missing values to the right before missing values to the left.
+    """
+    slots = sums.shape[1]
+    missing = sums[..., BINS:]
+    left = np.cumsum(sums[..., :BINS], axis=3)
+    total = left[:, :, :1, -1:] + missing[:, :, :1]
+    # the other side for missing values counts only where a feature has any
+    some = np.flatnonzero(missing[2, :, :, 0].any(axis=0))
+    right = _gains(left, total, least, l2)
+    lefts = left[:, :, some] + missing[:, :, some]
+    low = _gains(lefts, total, least, l2) if len(some) else np.full((slots, 1), -np.inf)
+    out: list[tuple | None] = []
+    for s, (i, j) in enumerate(zip(right.argmax(axis=1).tolist(), low.argmax(axis=1).tolist(), strict=True)):
+        g, h = total[:2, s, 0, 0].tolist()
+        goes_left = bool(low[s, j] > right[s, i])
+        best = float(low[s, j] if goes_left else right[s, i])
+        if not best - g * g / max(h + l2, LEAST_HESSIAN) > 1e-12:
+            out.append(None)
+            continue
+        f, b = divmod(j if goes_left else i, BINS)
+        own = (lefts if goes_left else left)[:2, s, f, b].tolist()
+        out.append((best - g * g / (h + l2), int(some[f]) if goes_left else f, b, goes_left, tuple(own), (g, h)))
+    return out
+
+
+class Growing:
+    """One tree that grows best leaf first, and what it has to know next.
+
+    ``wanted`` are the nodes whose best splits are asked for. They are told all at once; then the tree goes on as far as what is known reaches,
+    and beyond that as if what is not known gained nothing, so that a wave brings all nodes that may be split next. What was asked for in vain
+    stays out of the tree.
+    """
+
+    def __init__(self, leaves: int, least: int, l2: float, rate: float):
+        self.leaves, self.least, self.l2, self.rate = leaves, least, l2, rate
+        self.best: dict[int, tuple | None] = {}
+        self.feature, self.at, self.low, self.left, self.right = [-1], [0], [False], [-1], [-1]
+        self.sums: list[tuple | None] = [None]
+        self.wanted: list[int] = [0]
+        self.inner: list[int] = []
+
+    def tell(self, found: dict[int, tuple | None]) -> None:
+        """Best splits of ``wanted`` nodes; those without one may be left out."""
+        for k in self.wanted:
+            self.best[k] = found.get(k)
+        heap = [(-self.best[0][0], 0)] if self.best[0] else []
+        self.wanted, self.inner = [], []
+        while heap and len(self.inner) + 1 < self.leaves:
+            _, k = heapq.heappop(heap)
+            self.inner.append(k)
+            if self.left[k] < 0:
+                self._split(k)
+            for child in (self.left[k], self.right[k]):
+                if child not in self.best:
+                    self.wanted.append(child)
+                elif self.best[child]:
+                    heapq.heappush(heap, (-self.best[child][0], child))
+
+    def _split(self, k: int) -> None:
+        _, self.feature[k], self.at[k], self.low[k], left, total = self.best[k]
+        self.left[k], self.right[k] = len(self.feature), len(self.feature) + 1
+        self.sums[k] = total
+        for part in (left, (total[0] - left[0], total[1] - left[1])):
+            for column, value in ((self.feature, -1), (self.at, 0), (self.low, False), (self.left, -1), (self.right, -1), (self.sums, part)):
+                column.append(value)
+
+    def moved(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The places of rows one level further down, where their nodes have been split."""
+        feature = np.array(self.feature)[place]
+        go = np.flatnonzero(feature >= 0)
+        if not len(go):
+            return place
+        own, node = codes[go, feature[go]], place[go]
+        goes = np.where(own == BINS, np.array(self.low)[node], own <= np.array(self.at)[node])
+        place = place.copy()
+        place[go] = np.where(goes, np.array(self.left)[node], np.array(self.right)[node])
+        return place
+
+    def placed(self, codes: np.ndarray) -> np.ndarray:
+        place = np.zeros(len(codes), np.int64)
+        while (new := self.moved(codes, place)) is not place:
+            place = new
+        return place
+
+    def slots(self, place: np.ndarray) -> np.ndarray:
+        """The number of each row's node among the wanted ones, -1 elsewhere."""
+        number = np.full(len(self.feature), -1)
+        number[self.wanted] = np.arange(len(self.wanted))
+        return number[place]
+
+    def values(self) -> np.ndarray:
+        """What each node adds to a margin; nodes below a leaf of the tree add what the leaf does."""
+        inner, out = set(self.inner), np.zeros(len(self.feature))
+        for k in range(len(self.feature)):
+            if self.left[k] < 0:
+                continue
+            for child in (self.left[k], self.right[k]):
+                g, h = self.sums[child]
+                out[child] = -self.rate * g / (h + self.l2) if k in inner else out[k]
+        return out
+
+    def nodes(self) -> list[list]:
+        """``[feature, bin, missing left, left, right, value]`` of the tree's nodes; empty if it has no split."""
+        if not self.inner:
+            return []
+        inner, value, number, out = set(self.inner), self.values(), {0: 0}, [[]]
+        for k in sorted(inner):
+            for child in (self.left[k], self.right[k]):
+                number[child] = len(out)
+                out.append([-1, 0, False, -1, -1, float(value[child])])
+        for k in inner:
+            out[number[k]] = [self.feature[k], self.at[k], self.low[k], number[self.left[k]], number[self.right[k]], 0.0]
+        return out
+
+
+def start_of(share: float) -> float:
+    share = min(max(share, 1e-9), 1 - 1e-9)
+    return float(np.log(share / (1 - share)))
+
+
+def fit_block(codes: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int, rate: float, leaves: int, least: int, l2: float) -> tuple[float, list, np.ndarray]:
+    """Start, trees and the margins of all rows of one block, fitted on the rows of ``train``. Log loss, one Newton step a round."""
+    start = start_of(float(y[train].mean()) if train.any() else 0.5)
+    margin, trees = np.full(len(y), start), []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-margin))
-        nodes, step = tree(codes, p - y, p * (1 - p), leaves, least, l2, rate)
-        if len(nodes) == 1:
+        g, h = p - y, p * (1 - p)
+        tree, place = Growing(leaves, least, l2, rate), np.zeros(len(y), np.int64)
+        while tree.wanted:
+            slot = np.where(train, tree.slots(place), -1)
+            tree.tell(dict(zip(tree.wanted, splits(histograms(codes, slot, g, h, len(tree.wanted)), least, l2), strict=True)))
+            place = tree.moved(codes, place)
+        if not tree.inner:
             break
-        trees.append(nodes)
-        margin += step
-    return {"start": start, "edges": [e.tolist() for e in edges], "trees": trees}
+        trees.append(tree.nodes())
+        margin += tree.values()[place]
+    return start, trees, margin
 
 
-def predict(model: dict, x: np.ndarray) -> np.ndarray:
-    codes = binned(x, [np.asarray(e) for e in model["edges"]])
-    margin = np.full(len(x), model["start"])
-    for nodes in model["trees"]:
+def added(trees: list, codes: np.ndarray) -> np.ndarray:
+    """What ``trees`` add to the margins of rows."""
+    out = np.zeros(len(codes))
+    for nodes in trees:
         feature, at, low, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
-        here = np.zeros(len(x), np.int64)
+        here = np.zeros(len(codes), np.int64)
         while (inner := feature[here] >= 0).any():
-            f = np.maximum(feature[here], 0)
-            c = codes[np.arange(len(x)), f]
+            c = codes[np.arange(len(codes)), np.maximum(feature[here], 0)]
             goes = np.where(c == BINS, low[here], c <= at[here])
             here = np.where(inner, np.where(goes, left[here], right[here]), here)
-        margin += value[here]
-    return 1 / (1 + np.exp(-margin))
+        out += value[here]
+    return out
+
+
+def predict(model: dict, x: np.ndarray) -> np.ndarray:
+    codes = binned(x, [np.asarray(e) for e in model["edges"]])
+    return 1 / (1 + np.exp(-(model["start"] + added(model["trees"], codes))))
+
+
+def coded(d: DataFrame, key: str, label: str, features: list[str], parts: list[Column], edges: list[list[float]]) -> DataFrame:
+    """``(key, y, codes, parts)`` of the rows with a label: a byte for each feature and for each split."""
+    rows = d.where(F.col(label).isNotNull()).select(
+        F.col(key).cast("long").alias("key"), F.col(label).cast("int").alias("y"), *(F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)),
+        *(p.cast("int").alias(f"p{k}") for k, p in enumerate(parts)),
+    )
+    cuts, n_parts = [np.array(e) for e in edges], len(parts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x = np.stack([batch.column(f"x{k}").to_pandas().to_numpy(float, na_value=np.nan) for k in range(len(cuts))], axis=1) if cuts else np.zeros((n, 0))
+            part = np.stack([batch.column(f"p{k}").to_numpy(zero_copy_only=False) for k in range(n_parts)], axis=1).astype(np.uint8)
+            own = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (binned(x, cuts), part)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("y"), *own], ["key", "y", "codes", "parts"])
+
+    return rows.mapInArrow(work, "key long, y int, codes binary, parts binary")
+
+
+def _bytes(batch: pa.RecordBatch | pa.Table, name: str, kind: type, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, width)
+
+
+RUN = "run int, start double, trees string"
+SCORES = "run int, key long, label int, score double"
+
+
+def _in_one_block(rows: DataFrame, runs: list[dict], width: int, splits_: int, models: bool) -> DataFrame:
+    """The fits of all runs, a task for each: their models, or the scores of their TEST rows."""
+
+    def work(g: pa.Table) -> pa.Table:
+        run = g["run"][0].as_py()
+        job = runs[run]
+        g = g.take(np.lexsort((g["y"].to_numpy(), g["key"].to_numpy(zero_copy_only=False))))
+        codes, part = _bytes(g, "codes", np.uint8, width)[:, job["columns"]], _bytes(g, "parts", np.uint8, splits_)[:, job["part"]]
+        y = g["y"].to_numpy().astype(float)
+        start, trees, margin = fit_block(codes, y, part == TRAIN, **job["params"])
+        if models:
+            return pa.table([pa.array([run], pa.int32()), pa.array([start]), pa.array([json.dumps(trees)])], ["run", "start", "trees"])
+        test = np.flatnonzero(part == TEST)
+        cols = [pa.array(np.full(len(test), run, np.int32)), g["key"].take(test), g["y"].take(test), pa.array(1 / (1 + np.exp(-margin[test])))]
+        return pa.table(cols, ["run", "key", "label", "score"])
+
+    each = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1)))).repartitionByRange(len(runs), "run")
+    return each.groupBy("run").applyInArrow(work, RUN if models else SCORES)
+
+
+def _margins(batch: pa.RecordBatch, codes: np.ndarray, runs: list[dict], pending: list[list]) -> np.ndarray:
+    """The margins of a batch of rows for each run: what was written down, and what the trees since then add."""
+    out = _bytes(batch, "margins", np.float64, len(runs)).copy()
+    for k, trees in enumerate(pending):
+        if trees:
+            out[:, k] += added(trees, codes[:, runs[k]["columns"]])
+    return out
+
+
+class _Over:
+    """All runs over rows of many blocks: a table of rows with their margins, and the trees that have been added since it was written."""
+
+    def __init__(self, rows: DataFrame, runs: list[dict], width: int, splits_: int):
+        self.runs, self.width, self.splits = runs, width, splits_
+        self.starts = self._starts(rows)
+        at = b"".join(np.float64(s).tobytes() for s in self.starts)
+        self.rows = X.kept(rows.withColumn("margins", F.lit(bytearray(at))))
+        self.pending: list[list] = [[] for _ in runs]
+        self.trees: list[list] = [[] for _ in runs]
+
+    def _starts(self, rows: DataFrame) -> list[float]:
+        """The log odds of each run's TRAIN rows: labels are counted by split."""
+        width = self.splits
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n, up = np.zeros(width, np.int64), np.zeros(width, np.int64)
+            for batch in batches:
+                use = _bytes(batch, "parts", np.uint8, width) == TRAIN
+                n += use.sum(axis=0)
+                up += (use & (batch.column("y").to_numpy()[:, None] == 1)).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(n), pa.array(up)], ["part", "n", "up"])
+
+        found = {r.part: r for r in rows.mapInArrow(work, "part int, n long, up long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).collect()}
+        share = lambda p: found[p].up / found[p].n if p in found and found[p].n else 0.5
+        return [start_of(share(r["part"])) for r in self.runs]
+
+    def wave(self, growing: dict[int, Growing]) -> dict[int, dict[int, tuple]]:
+        """The best splits of all wanted nodes of all runs: histograms by block, added up by one ``groupBy(run, node)``."""
+        runs, width, splits_, pending = self.runs, self.width, self.splits, self.pending
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                codes, part = _bytes(batch, "codes", np.uint8, width), _bytes(batch, "parts", np.uint8, splits_)
+                at, y = _margins(batch, codes, runs, pending), batch.column("y").to_numpy().astype(float)
+                for k, tree in growing.items():
+                    use = np.flatnonzero(part[:, runs[k]["part"]] == TRAIN)
+                    mine = codes[use][:, runs[k]["columns"]]
+                    p = 1 / (1 + np.exp(-at[use, k]))
+                    found = histograms(mine, tree.slots(tree.placed(mine)), p - y[use], p * (1 - p), len(tree.wanted))
+                    sums[k] = sums[k] + found if k in sums else found
+            for k, found in sums.items():
+                nodes = growing[k].wanted
+                cols = [pa.array(np.full(len(nodes), k, np.int32)), pa.array(nodes, pa.int32()), pa.array([found[:, s].tobytes() for s in range(len(nodes))], pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["run", "node", "sums"])
+
+        def best(g: pa.Table) -> pa.Table:
+            run, node, job = g["run"][0].as_py(), g["node"][0].as_py(), runs[g["run"][0].as_py()]
+            shape = (3, 1, len(job["columns"]), BINS + 1)
+            found = splits(sum(np.frombuffer(s.as_py(), float).reshape(shape) for s in g["sums"]), job["params"]["least"], job["params"]["l2"])[0]
+            return pa.table([pa.array([run], pa.int32()), pa.array([node], pa.int32()), pa.array([json.dumps(found)])], ["run", "node", "best"])
+
+        found: dict[int, dict[int, tuple]] = {k: {} for k in growing}
+        blocks = self.rows.mapInArrow(own, "run int, node int, sums binary")
+        for r in blocks.groupBy("run", "node").applyInArrow(best, "run int, node int, best string").collect():  # a split for each wanted node
+            found[r.run][r.node] = json.loads(r.best)
+        return found
+
+    def settle(self) -> None:
+        """Write the rows with the margins they have now."""
+        runs, width, pending = self.runs, self.width, self.pending
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                now = _margins(batch, _bytes(batch, "codes", np.uint8, width), runs, pending)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([m.tobytes() for m in now], pa.binary())], batch.schema.names)
+
+        self.rows = X.kept(self.rows.mapInArrow(work, self.rows.schema))
+        self.pending = [[] for _ in self.runs]
+
+    def fit(self, settled: int) -> None:
+        left = set(range(len(self.runs)))
+        for n in range(max(r["params"]["rounds"] for r in self.runs)):
+            left = {k for k in left if n < self.runs[k]["params"]["rounds"]}
+            trees = {k: Growing(**{p: v for p, v in self.runs[k]["params"].items() if p != "rounds"}) for k in left}
+            while growing := {k: t for k, t in trees.items() if t.wanted}:
+                found = self.wave(growing)
+                for k, t in growing.items():
+                    t.tell(found[k])
+            left = {k for k in left if trees[k].inner}
+            for k in left:
+                self.pending[k].append(trees[k].nodes())
+                self.trees[k].append(trees[k].nodes())
+            if (n + 1) % settled == 0:
+                self.settle()
+            if not left:
+                break
+
+    def scores(self) -> DataFrame:
+        runs, width, splits_, pending = self.runs, self.width, self.splits, self.pending
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes, part = _bytes(batch, "codes", np.uint8, width), _bytes(batch, "parts", np.uint8, splits_)
+                at = _margins(batch, codes, runs, pending)
+                for k, job in enumerate(runs):
+                    test = np.flatnonzero(part[:, job["part"]] == TEST)
+                    score = pa.array(1 / (1 + np.exp(-at[test, k])))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(test), k, np.int32)), batch.column("key").take(pa.array(test)), batch.column("y").take(pa.array(test)), score], ["run", "key", "label", "score"])
+
+        return self.rows.mapInArrow(work, SCORES)
+
+
+def _prepared(d: DataFrame, key: str, label: str, features: list[str], parts: list[Column], block_rows: int) -> tuple[DataFrame, list[list[float]], bool]:
+    edges = edges_of(d.where(F.col(label).isNotNull()), features)
+    rows = X.kept(coded(d, key, label, features, parts, edges))
+    n = rows.count()
+    return rows if n <= block_rows else rows.repartition(-(-n // block_rows)), edges, n <= block_rows
+
+
+def scores(d: DataFrame, key: str, label: str, features: list[str], runs: list[dict], parts: list[Column], block_rows: int = BLOCK_ROWS, settled: int = SETTLED_ROUNDS) -> DataFrame:
+    """``(run, key, label, score)`` of all TEST rows of all ``runs``, each fitted on all its TRAIN rows.
+
+    A run is ``{"columns", "part", "params"}``: numbers of its features, the number of its split in ``parts`` (codes of TRAIN, TEST, UNUSED),
+    and ``rounds, rate, leaves, least, l2``. Rows without a label are left out.
+    """
+    rows, _, one = _prepared(d, key, label, features, parts, block_rows)
+    if one:
+        return _in_one_block(rows, runs, len(features), len(parts), models=False)
+    over = _Over(rows, runs, len(features), len(parts))
+    over.fit(settled)
+    return over.scores()
+
+
+def model(d: DataFrame, key: str, label: str, features: list[str], params: dict, block_rows: int = BLOCK_ROWS, settled: int = SETTLED_ROUNDS) -> dict:
+    """``{"start", "edges", "trees"}``: one model of all rows of ``d`` with a label, as plain values."""
+    rows, edges, one = _prepared(d, key, label, features, [F.lit(TRAIN)], block_rows)
+    runs = [{"columns": list(range(len(features))), "part": 0, "params": params}]
+    if one:
+        found = _in_one_block(rows, runs, len(features), 1, models=True).collect()  # one model
+        start, trees = (found[0].start, json.loads(found[0].trees)) if found else (start_of(0.5), [])
+    else:
+        over = _Over(rows, runs, len(features), 1)
+        over.fit(settled)
+        start, trees = over.starts[0], over.trees[0]
+    return {"start": start, "edges": edges, "trees": trees}

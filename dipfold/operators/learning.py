@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +26,51 @@ FAR = 1e12
 GROUP_ROWS = 10_000
 
 
-def is_test(group: Column, seed: int, share: float = 0.2) -> Column:
-    """Whether a whole group is held out, by its hash: no row of a group is on both sides, and no group list is made."""
-    return X.hash_unit(group, seed) < int(share * (1 << 32))
+def cuts(groups: DataFrame, group: str, seeds: dict[str, int], share: float) -> dict[str, tuple | None]:
+    """For each seed the last ``(hash, group)`` of the share of ``groups`` (distinct values) that is held out: exactly ``ceil(share n)`` of them.
+
+    Groups are counted by the upper half of their hash, 65,536 numbers a seed; only those of the one cell in which the share is reached are put in order.
+    """
+    seeded = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), X.hash_unit(F.col(group), seed).alias("h")) for name, seed in seeds.items()))).alias("x")
+    hashed = X.kept(groups.select(group, seeded).select(group, "x.name", "x.h").withColumn("cell", F.shiftright("h", 16)))
+    cells: dict[str, list[tuple[int, int]]] = {name: [] for name in seeds}
+    for r in hashed.groupBy("name", "cell").agg(F.count("*").alias("n")).collect():  # at most 65,536 numbers a seed
+        cells[r.name].append((r.cell, r.n))
+    out: dict[str, tuple | None] = {}
+    at = []
+    for name, own in cells.items():
+        left = math.ceil(Decimal(str(share)) * sum(n for _, n in own))
+        out[name] = None
+        for cell, n in sorted(own):
+            if 0 < left <= n:
+                at.append((name, cell, left))
+            left -= n
+    if at:
+        inside = hashed.join(F.broadcast(groups.sparkSession.createDataFrame(at, "name string, cell long, k int")), ["name", "cell"])  # a row a seed
+        place = F.row_number().over(Window.partitionBy("name").orderBy("h", group))
+        for r in inside.withColumn("place", place).where("place = k").collect():
+            out[r["name"]] = (r.h, r[group])
+    return out
+
+
+def held_out(d: DataFrame, group: str, seeds: dict[str, int], share: float = 0.2) -> dict[str, Column]:
+    """For each seed whether a row's whole group is held out: the ``ceil(share n)`` groups with the smallest hashes, so no group is on both sides."""
+    out = {}
+    for name, cut in cuts(d.select(group).distinct(), group, seeds, share).items():
+        h, g = X.hash_unit(F.col(group), seeds[name]), F.col(group)
+        if cut is None:
+            out[name] = F.lit(False)
+        else:
+            tie = g.isNull() if cut[1] is None else g.isNull() | (g <= F.lit(cut[1]))
+            out[name] = (h < cut[0]) | ((h == cut[0]) & tie)
+    return out
 
 
 def split(d: DataFrame, group: str, seed: int = 42, share: float = 0.2, inner_seed: int = 7, inner_share: float = 0.25) -> DataFrame:
-    """Adds ``part``: test, validation (a share of what is left), or train."""
-    g = F.col(group)
-    part = F.when(is_test(g, seed, share), "test").when(is_test(g, inner_seed, inner_share), "validation").otherwise("train")
-    return d.withColumn("part", part)
+    """Adds ``part``: test (a share of the groups), validation (a share of what is left), or train."""
+    test = held_out(d, group, {"test": seed}, share)["test"]
+    inner = held_out(d.where(~test), group, {"validation": inner_seed}, inner_share)["validation"]
+    return d.withColumn("part", F.when(test, "test").when(inner, "validation").otherwise("train"))
 
 
 def fold_of(group: Column, folds: int = 5, seed: int = 0) -> Column:
@@ -134,10 +171,7 @@ def importance_table(spark: SparkSession, model, features: list[str]) -> DataFra
     return spark.createDataFrame(list(importances(model, features).items()), "feature string, importance double").orderBy(F.desc("importance"), "feature")
 
 
-#: Rows that one experimental fit takes at most, drawn by a hash of the key: a documented bound of what is broadcast.
-FIT_ROWS = 50_000
-#: Parts of a split, as codes.
-TRAIN, TEST, UNUSED = 0, 1, 2
+TRAIN, TEST, UNUSED = boosting.TRAIN, boosting.TEST, boosting.UNUSED
 #: The grid of configurations that is searched, the default one first by its values below.
 GRID = {"rate": (0.05, 0.1), "leaves": (15, 31), "least": (20, 40), "l2": (0.0, 1.0), "rounds": (100, 300)}
 DEFAULTS = {"rate": 0.1, "leaves": 31, "least": 20, "l2": 0.0, "rounds": 100}
@@ -160,46 +194,17 @@ def predicted(score: Column, threshold: float = 0.25) -> Column:
     return (score >= threshold).cast("int")
 
 
-def sampled(d: DataFrame, key: str, columns: list[Column], max_rows: int = FIT_ROWS) -> pa.Table:
-    """At most ``max_rows`` rows, the same ones in the same order in every run (a top-k by a hash of the key), on the driver."""
-    return d.select(F.col(key).alias("_key"), *columns).orderBy(X.hash_unit(F.col("_key"), "fit"), "_key").limit(max_rows).toArrow()
-
+def experiments(d: DataFrame, key: str, label: str, features: list[str], runs: list[dict], parts: dict[str, Column], block_rows: int = boosting.BLOCK_ROWS) -> DataFrame:
+    """Fit many models at once: ``(config, part, key, label, score)`` for the held-out rows of each run.
 
-def experiments(d: DataFrame, key: str, label: str, features: list[str], runs: list[dict], parts: dict[str, Column], max_rows: int = FIT_ROWS) -> DataFrame:
-    """Fit many models side by side: ``(config, part, key, label, score)`` for the held-out rows of each run.
-
-    A run is ``{"config", "part", "features", "params"}``: it is fitted on the rows whose part code is TRAIN and scores those with TEST. The
-    rows are a bounded sample, broadcast once; each run is a task of its own, so runs are spread over the cluster.
+    A run is ``{"config", "part", "features", "params"}``: it is fitted on all rows whose part code is TRAIN and scores all those with TEST
+    (:mod:`boosting`). Rows are never on the driver.
     """
-    spark = d.sparkSession
-    named = [*(F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)), F.col(label).cast("int").alias("y"), *(c.cast("int").alias(f"p{k}") for k, c in enumerate(parts.values()))]
-    rows = sampled(d.where(F.col(label).isNotNull()), key, named, max_rows)
     number = {p: k for k, p in enumerate(parts)}
-    sent = spark.sparkContext.broadcast({
-        "key": rows.column("_key").to_pylist(), "x": np.stack([_numbers(rows.column(f"x{k}")) for k in range(len(features))], axis=1) if features else np.zeros((rows.num_rows, 0)),
-        "y": rows.column("y").to_numpy(), "parts": [rows.column(f"p{k}").to_numpy() for k in range(len(parts))],
-    })
-    jobs = [(k, r["config"], r["part"], json.dumps({"columns": [features.index(f) for f in r["features"]], "part": number[r["part"]], "params": r["params"]})) for k, r in enumerate(runs)]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for config, part, text in zip(*(batch.column(c).to_pylist() for c in ("config", "part", "job")), strict=True):
-                job, held = json.loads(text), sent.value
-                code, x, y = held["parts"][job["part"]], held["x"][:, job["columns"]], held["y"]
-                model = boosting.fit(x[code == TRAIN], y[code == TRAIN].astype(float), **job["params"])
-                test = np.flatnonzero(code == TEST)
-                score = boosting.predict(model, x[test])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([config] * len(test), pa.string()), pa.array([part] * len(test), pa.string()), pa.array([held["key"][i] for i in test], pa.int64()), pa.array(y[test], pa.int32()), pa.array(score)],
-                    ["config", "part", "key", "label", "score"],
-                )
-
-    one_each = spark.createDataFrame(jobs, "id int, config string, part string, job string").repartitionByRange(len(jobs), "id")
-    return X.kept(one_each.mapInArrow(work, "config string, part string, key long, label int, score double"))
-
-
-def _numbers(column: pa.ChunkedArray) -> np.ndarray:
-    return column.to_pandas().to_numpy(float, na_value=np.nan)
+    jobs = [{"columns": [features.index(f) for f in r["features"]], "part": number[r["part"]], "params": r["params"]} for r in runs]
+    found = boosting.scores(d, key, label, features, jobs, list(parts.values()), block_rows)
+    name = lambda field: F.element_at(F.array(*(F.lit(r[field]) for r in runs)), F.col("run") + 1).alias(field)
+    return X.kept(found.select(name("config"), name("part"), "key", "label", "score"))
 
 
 def metrics(predictions: DataFrame, threshold: float = 0.25, by: tuple[str, ...] = ("config", "part")) -> DataFrame:
@@ -213,7 +218,7 @@ def metrics(predictions: DataFrame, threshold: float = 0.25, by: tuple[str, ...]
 def ablation(d: DataFrame, key: str, group: str, label: str, families: dict[str, list[str]], seeds: list[int], params: dict | None = None) -> DataFrame:
     """Metrics of each feature family on each of the same grouped splits: ``config, part`` and what :func:`metrics` gives."""
     features = sorted({f for fs in families.values() for f in fs})
-    parts = {str(s): F.when(is_test(F.col(group), s), TEST).otherwise(TRAIN) for s in seeds}
+    parts = {s: F.when(test, TEST).otherwise(TRAIN) for s, test in held_out(d, group, {str(s): s for s in seeds}).items()}
     runs = [{"config": name, "part": str(s), "features": fs, "params": params or DEFAULTS} for name, fs in families.items() for s in seeds]
     return metrics(experiments(d, key, label, features, runs, parts))
 
@@ -232,7 +237,7 @@ def inner_against_outer(d: DataFrame, key: str, group: str, label: str, features
 
 def baselines(d: DataFrame, key: str, group: str, label: str, features: list[str], single: str, thresholds: tuple[float, ...] = (0.25, 0.4, 0.5, 0.6), seed: int = 42) -> DataFrame:
     """Accuracy on the held-out groups: the majority class, one feature alone and all features, at several thresholds."""
-    test = {"t": F.when(is_test(F.col(group), seed), TEST).otherwise(TRAIN)}
+    test = {"t": F.when(held_out(d, group, {"t": seed})["t"], TEST).otherwise(TRAIN)}
     runs = [{"config": c, "part": "t", "features": fs, "params": DEFAULTS} for c, fs in (("single", [single]), ("all", features))]
     found = experiments(d, key, label, features, runs, test).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     g = confusion(found, "score", "label", F.col("threshold"), ["config", "threshold"]).select("config", "threshold", "accuracy")
@@ -240,15 +245,12 @@ def baselines(d: DataFrame, key: str, group: str, label: str, features: list[str
     return g.unionByName(most.select(F.lit("majority").alias("config"), "threshold", F.greatest("p", 1 - F.col("p")).alias("accuracy")))
 
 
-def fitted(d: DataFrame, key: str, label: str, features: list[str], params: dict | None = None, max_rows: int = FIT_ROWS) -> dict:
-    """One model on a bounded sample of ``d``, with the names of its features: plain values that can be broadcast and stored."""
-    named = [F.col(f).cast("double").alias(f"x{k}") for k, f in enumerate(features)]
+def fitted(d: DataFrame, key: str, label: str, features: list[str], params: dict | None = None, block_rows: int = boosting.BLOCK_ROWS) -> dict:
+    """One model of all labelled rows of ``d``, with the names of its features: plain values that can be broadcast and stored."""
     leaks = set(features) & set(LEAKAGE)
     if leaks:
         raise ValueError(f"not features: {sorted(leaks)}")
-    rows = sampled(d.where(F.col(label).isNotNull()), key, [*named, F.col(label).cast("double").alias("y")], max_rows)
-    x = np.stack([_numbers(rows.column(f"x{k}")) for k in range(len(features))], axis=1)
-    return {"features": features, "model": boosting.fit(x, rows.column("y").to_numpy(), **(params or DEFAULTS))}
+    return {"features": features, "model": boosting.model(d, key, label, features, params or DEFAULTS, block_rows)}
 
 
 def applied(bundle: dict, d: DataFrame, name: str = "score") -> DataFrame:
@@ -282,7 +284,7 @@ def load_bundle(spark: SparkSession, path: str) -> tuple[dict, float]:
     trees: list[list[tuple]] = []
     for r in rows:
         trees += [[]] if r.node == 0 else []
-        trees[-1].append(tuple(r)[2:])
+        trees[-1].append(list(r)[2:])
     return {"features": head["features"], "model": {"start": head["start"], "edges": head["edges"], "trees": trees}}, head["threshold"]
 
 

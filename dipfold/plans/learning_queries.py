@@ -16,8 +16,9 @@ H = HASH.format
 
 
 @query(
-    f"""SELECT o_orderkey, CASE WHEN {H(seed=42, key='o_custkey')} < {int(0.2 * (1 << 32))} THEN 'test' WHEN {H(seed=7, key='o_custkey')} < {int(0.25 * (1 << 32))} THEN 'validation'
-  ELSE 'train' END AS part FROM orders"""
+    f"""WITH g AS (SELECT DISTINCT o_custkey FROM orders), t AS (SELECT o_custkey, row_number() OVER (ORDER BY {H(seed=42, key='o_custkey')}, o_custkey) <= ceil(0.2 * count(*) OVER ()) AS test FROM g),
+v AS (SELECT o_custkey, row_number() OVER (ORDER BY {H(seed=7, key='o_custkey')}, o_custkey) <= ceil(0.25 * count(*) OVER ()) AS val FROM t WHERE NOT test)
+SELECT o_orderkey, CASE WHEN test THEN 'test' WHEN val THEN 'validation' ELSE 'train' END AS part FROM orders JOIN t USING (o_custkey) LEFT JOIN v USING (o_custkey)"""
 )
 def group_split(spark, d):
     return L.split(table(spark, d, "orders"), "o_custkey").select("o_orderkey", "part")
@@ -123,10 +124,10 @@ def rounded(out):
 
 @query()
 def gbt_score(spark, d):
-    """Spark's boosted trees at a hundred rounds, fitted on train groups and applied to the others; no SQL."""
+    """Boosted trees at a hundred rounds, fitted on all rows of the train groups and applied to the others; no SQL."""
     rows = X.kept(L.split(training_rows(spark, d), "doc_id"))
-    model = L.boosted(rows.where("part = 'train'"), FEATURES, "label")
-    return rounded(L.scored(model, rows.where("part <> 'train'"), FEATURES).select("doc_id", "part", "label", "score"))
+    bundle = L.fitted(rows.where("part = 'train'"), "doc_id", "label", FEATURES)
+    return rounded(L.applied(bundle, rows.where("part <> 'train'")).select("doc_id", "part", "label", "score"))
 
 
 @query()

@@ -286,7 +286,18 @@ def test_split_keeps_groups_together(spark):
     d = learning.split(spark.range(4000).withColumn("g", F.col("id") % 1000), "g")
     assert d.select("g", "part").distinct().count() == 1000
     share = {r.part: r["count"] / 4000 for r in d.groupBy("part").count().collect()}
-    assert share["test"] == pytest.approx(0.2, abs=0.05) and share["validation"] == pytest.approx(0.2, abs=0.05)
+    assert share == {"test": 0.2, "validation": 0.2, "train": 0.6}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 11])
+def test_splits_hold_out_whole_numbers_of_groups(spark, n):
+    """Rounded up, of few groups too, and of groups without a name."""
+    rows = [(k % n, None if k % n == 1 else f"s{k % n}") for k in range(3 * n)]
+    d = spark.createDataFrame(rows, "k int, g string")
+    for name, test in learning.held_out(d, "g", {"a": 1, "b": 2, "c": 3}).items():
+        got = [r.t for r in d.groupBy("k").agg(F.collect_set(test).alias("t")).collect()]
+        assert sorted(map(tuple, got)) == [(False,)] * (n - math.ceil(n / 5)) + [(True,)] * math.ceil(n / 5), name
+    assert learning.split(d.limit(0), "g").count() == 0
 
 
 def test_boosting_learns_missing_values_either_way(spark):
@@ -321,14 +332,90 @@ def test_splits_are_the_best_there_are(seed):
     x = np.round(rng.normal(size=(60, 3)), 1)
     x[rng.random(x.shape) < 0.2] = np.nan
     g, h = rng.normal(size=60), rng.uniform(0.1, 0.25, 60)
-    codes = boosting.binned(x, boosting.edges_of(x))
+    edges = [(v[1:] + v[:-1]) / 2 for v in (np.unique(c[~np.isnan(c)]) for c in x.T)]
+    codes = boosting.binned(x, edges)
     for least, l2 in ((1, 0.0), (8, 1.0), (31, 0.0)):
-        found = boosting.best_split(codes, g, h, least, l2)
+        found = boosting.splits(boosting.histograms(codes, np.zeros(60, int), g, h, 1), least, l2)[0]
         want = naive_gain(x, g, h, least, l2)
         assert (found is None and want <= 1e-9) or found[0] == pytest.approx(want)
 
 
-def test_boosted_sample_learns_and_is_stored(spark, tmp_path):
+def test_a_split_and_the_side_of_missing_values():
+    """One feature, values 0 to 3 and missing ones: the cut between 1 and 2, missing values with the rows that they are like."""
+    codes = np.array([[0], [1], [2], [3], [255], [255]], np.uint8)
+    h = np.ones(6)
+    for g, low in ((np.array([1, 1, -1, -1, 1, 1.0]), True), (np.array([1, 1, -1, -1, -1, -1.0]), False)):
+        gain, feature, at, missing_left, left, total = boosting.splits(boosting.histograms(codes, np.zeros(6, int), g, h, 1), 1, 0.0)[0]
+        assert (feature, at, missing_left, total) == (0, 1, low, (g.sum(), 6.0)) and left == ((4.0, 4.0) if low else (2.0, 2.0))
+        assert gain == pytest.approx(6 - g.sum() ** 2 / 6)
+    assert boosting.splits(boosting.histograms(codes, np.zeros(6, int), g, h, 1), 4, 0.0) == [None]
+    assert boosting.splits(boosting.histograms(codes, np.array([0, 0, 1, 1, -1, -1]), np.ones(6), h, 2), 1, 0.0) == [None, None]
+
+
+def naive_tree(codes, g, h, leaves, least, l2, rate):
+    """The value of each row, with one split after another of the leaf that gains most."""
+    rows, value = {0: np.arange(len(g))}, np.zeros(len(g))
+    best = lambda r: boosting.splits(boosting.histograms(codes[r], np.zeros(len(r), int), g[r], h[r], 1), least, l2)[0]
+    found, made = {0: best(rows[0])}, 1
+    while len(rows) < leaves and any(found[k] for k in rows):
+        k = max((k for k in rows if found[k]), key=lambda k: (found[k][0], -k))
+        _, j, b, low, _, _ = found[k]
+        own = rows.pop(k)
+        left = np.where(codes[own, j] == 255, low, codes[own, j] <= b)
+        for part in (own[left], own[~left]):
+            rows[made], found[made] = part, best(part)
+            made += 1
+    if len(rows) > 1:
+        for own in rows.values():
+            value[own] = -rate * g[own].sum() / (h[own].sum() + l2)
+    return value
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_waves_grow_the_tree_that_one_split_after_another_does(seed):
+    rng = np.random.default_rng(seed)
+    codes = rng.integers(0, 40, (400, 3)).astype(np.uint8)
+    codes[rng.random(codes.shape) < 0.1] = 255
+    g, h = rng.normal(size=400) + (codes[:, 0] > 20) * (codes[:, 1] < 9), rng.uniform(0.1, 0.25, 400)
+    for leaves, least, l2 in ((31, 5, 0.0), (6, 20, 1.0), (400, 1, 0.5), (2, 150, 0.0), (31, 300, 0.0)):
+        tree, place, waves = boosting.Growing(leaves, least, l2, 0.1), np.zeros(400, int), 0
+        while tree.wanted:
+            sums = boosting.histograms(codes, tree.slots(place), g, h, len(tree.wanted))
+            tree.tell(dict(zip(tree.wanted, boosting.splits(sums, least, l2), strict=True)))
+            place, waves = tree.moved(codes, place), waves + 1
+        want = naive_tree(codes, g, h, leaves, least, l2, 0.1)
+        assert tree.values()[place] == pytest.approx(want) and (place == tree.placed(codes)).all()
+        nodes = tree.nodes()
+        assert (boosting.added([nodes], codes) if nodes else np.zeros(400)) == pytest.approx(want)
+        assert len(nodes) <= 2 * leaves - 1 and waves <= max(2, len(tree.inner) + 1)
+
+
+def test_rows_in_many_blocks_give_the_same_fits(spark):
+    """All runs over one block, and over seven whose histograms are added up: the same scores of the same held-out rows."""
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 40, None if i % 7 == 0 else float(a), float(round(b, 1)), None if i % 50 == 3 else int(a + b > 0)) for i, (a, b) in enumerate(rng.normal(size=(420, 2)))]
+    d = spark.createDataFrame(rows, "id long, star long, a double, b double, label int")
+    parts = [F.when(F.col("star") % 4 == k, 1).when((F.col("star") % 4 == 3) & F.lit(k == 1), 2).otherwise(0) for k in range(2)]
+    params = {"rounds": 5, "rate": 0.3, "leaves": 6, "least": 10, "l2": 0.5}
+    runs = [{"columns": c, "part": p, "params": params | {"rounds": r}} for c, p, r in (([0, 1], 0, 5), ([1], 0, 3), ([0, 1], 1, 5))]
+    run = lambda size: {(r.run, r.key, r.label): r.score for r in boosting.scores(d, "id", "label", ["a", "b"], runs, parts, size, settled=2).collect()}
+    one, many = run(1 << 16), run(64)
+    assert one == pytest.approx(many)
+    assert {(k, i) for k, i, _ in one} == {(k, i) for k, p in ((0, 0), (1, 0), (2, 1)) for i, s, _, _, y in rows if y is not None and s % 4 == p}
+    a, b = (boosting.model(d, "id", "label", ["a", "b"], params, size, settled=2) for size in (1 << 16, 64))
+    x = np.array([[np.nan if r[2] is None else r[2], r[3]] for r in rows])
+    assert len(a["trees"]) == 5 and boosting.predict(a, x) == pytest.approx(boosting.predict(b, x))
+    assert boosting.model(d.limit(0), "id", "label", ["a", "b"], params)["trees"] == []
+
+
+def test_cuts_between_bins(spark):
+    d = spark.createDataFrame([(float(i % 4), float(i), None) for i in range(1000)] + [(None, float("nan"), None)], "a double, b double, c double")
+    few, many, none = boosting.edges_of(d, ["a", "b", "c"])
+    assert few == [0.5, 1.5, 2.5] and none == [] and len(many) == 254 and many == sorted(many)
+    assert np.diff([0, *many, 1000]).max() < 10
+
+
+def test_a_model_learns_and_is_stored(spark, tmp_path):
     rng = np.random.default_rng(2)
     rows = [(i, i // 3, float(a) if i % 4 else None, float(b), int(a > 0 if i % 4 else b > 0)) for i, (a, b) in enumerate(rng.normal(size=(900, 2)))]
     d = spark.createDataFrame(rows, "id long, star long, depth double, width double, label int")
@@ -357,13 +444,14 @@ def test_experiments_keep_stars_apart_and_their_metrics_hold(spark):
     found = learning.ablation(d, "id", "star", "label", {"both": ["a", "b"], "b": ["b"]}, [100, 101], params)
     got = {(r.config, r.part): r for r in found.collect()}
     assert len(got) == 4
-    test = {r.id for r in d.where(learning.is_test(F.col("star"), 100)).collect()}
+    test = {r.id for r in d.where(learning.held_out(d, "star", {"100": 100})["100"]).collect()}
     assert len({i // 3 for i in test}) * 3 == len(test)
     use = sorted((r for r in rows if r[0] not in test), key=lambda r: r[0])
     held = [r for r in rows if r[0] in test]
     x = lambda rs: np.array([[r[2], np.nan if r[3] is None else r[3]] for r in rs])
-    model = boosting.fit(x(use), np.array([float(r[4]) for r in use]), **params)
-    p, y = boosting.predict(model, x(held)), np.array([r[4] for r in held])
+    edges = [np.array(e) for e in boosting.edges_of(d, ["a", "b"])]
+    start, trees, _ = boosting.fit_block(boosting.binned(x(use), edges), np.array([float(r[4]) for r in use]), np.ones(len(use), bool), **params)
+    p, y = boosting.predict({"start": start, "edges": edges, "trees": trees}, x(held)), np.array([r[4] for r in held])
     r = got["both", "100"]
     assert r.tp + r.fp + r.fn + r.tn == len(held)
     assert r.accuracy == pytest.approx(((p >= 0.25) == (y == 1)).mean(), abs=0.02)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from dipfold.operators import relational
 
@@ -51,6 +56,42 @@ def classified(kind: Column, message: Column) -> Column:
     )
 
 
+class NoDataError(Exception):
+    """There is nothing to measure: no fault, and not worth another try."""
+
+
+def attempted(d: DataFrame, key: list[str], kernel: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``kernel`` over each group of ``d``, which is bounded by the caller: its rows (``schema``), with ``error`` and ``error_kind`` added, both empty.
+
+    A group whose kernel raises is one row: its key, NULL for all else, and the error's class by :func:`classified`. The key is among the columns of
+    ``schema``. No group ends the job.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    types = d.select(*key).schema
+    full = T.StructType([*fields, T.StructField("_type", T.StringType()), T.StructField("_message", T.StringType())])
+    arrow = to_arrow_schema(full)
+    assert all(types[k].dataType == full[k].dataType for k in key)
+
+    def work(g: pa.Table) -> pa.Table:
+        try:
+            out = kernel(g)
+            none = pa.nulls(out.num_rows, pa.string())
+            return pa.table([*(out.column(f.name).cast(arrow.field(f.name).type) for f in fields), none, none], schema=arrow)
+        except Exception as e:  # whatever a kernel raises is a result of its group
+            row = {k: g.column(k)[0].as_py() for k in key}
+            return pa.Table.from_pylist([row | {"_type": type(e).__name__, "_message": str(e)[:1000]}], schema=arrow)
+
+    out = d.groupBy(*key).applyInArrow(work, full)
+    kind, message = F.col("_type"), F.col("_message")
+    text = F.when(kind.isNull(), "").otherwise(error_text(kind, message))
+    return out.withColumns({"error": text, "error_kind": classified(kind, message)}).drop("_type", "_message")
+
+
+def failure_kind(error: Column) -> Column:
+    """The class of an error from its text ``Type: message``."""
+    return classified(F.substring_index(error, ": ", 1), F.regexp_replace(error, "^[^:]*: ", ""))
+
+
 def error_text(kind: Column, message: Column) -> Column:
     return F.substring(F.concat_ws(": ", kind, message), 1, 300)
 

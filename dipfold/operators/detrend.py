@@ -1,91 +1,104 @@
-"""Masked Savitzky-Golay detrending, the one kernel that column expressions cannot state.
+"""Masked Savitzky-Golay detrending in column expressions.
 
-Grouped by candidate: window and mask depend on the candidate, not on the star alone. A group is one star's curve, of bounded length.
+A quadratic that is fitted to the odd number of points around each point follows from three sums over them: of the flux, of offset x flux and
+of offset squared x flux. Curves are cut into blocks of one window's length, each with running sums of its own; a window lies in at most two
+blocks, so its sums are the rest of one block and the beginning of the next. The work for a point does not depend on the window, and no
+sum is longer than a window, so nothing is lost to cancellation.
+
+Everything stays partitioned by candidate. A segment (a piece of a curve without a gap) is gathered once, as an array, for the lookups at the
+window's two ends; it is part of one star's curve, of bounded length.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dipfold.functions import expressions as X
 from dipfold.operators import timeseries as T
 
-ORDER = 2
 GAP_FACTOR = 5.0
+LEAST_WINDOW = 5
+
+
+def _shares(least: float) -> Column:
+    """The mask of the candidate's rung, as :func:`timeseries.detrend_rung` has it; NULL if there is none."""
+    one = Window.partitionBy(*T.KEY)
+    full, second, first = F.col("in_secondary") | F.col("in_sibling"), F.col("in_secondary"), F.col("in_primary")
+    enough = lambda c: F.avg((~c).cast("int")).over(one) >= least
+    return F.when(enough(full), full).when(enough(second), second).when(enough(first), first)
+
+
+def _filled() -> Column:
+    """The flux of points that are seen; between them a straight line by time, beyond them the nearest."""
+    v, before, after = F.col("_v"), F.col("_before"), F.col("_after")
+    step = F.coalesce(X.ratio(after["v"] - before["v"], after["t"] - before["t"]), F.lit(0.0))
+    return F.when(F.col("_seen"), v).when(before.isNull(), after["v"]).when(after.isNull(), before["v"]).otherwise(step * (F.col("t_us") - before["t"]) + before["v"])
+
+
+def _quadratic(n: Column, h: Column, u: Column, sums: list[Column]) -> Column:
+    """The least-squares quadratic over offsets -h .. h, ``n`` points, at the offset ``u``."""
+    s2 = h * (h + 1) * n / 3
+    s4 = s2 * (3 * h * h + 3 * h - 1) / 5
+    curved = (n * sums[2] - s2 * sums[0]) / (n * s4 - s2 * s2)
+    return (sums[0] - curved * s2) / n + u * sums[1] / s2 + u * u * curved
 
 
-def coefficients(window: int, order: int = ORDER) -> np.ndarray:
-    """Weights of the middle of a least-squares polynomial over an odd number of even steps."""
-    x = np.arange(window) - window // 2
-    return np.linalg.pinv(np.vander(x, order + 1, increasing=True))[0]
-
-
-def trend(flux: np.ndarray, window: int, order: int = ORDER) -> np.ndarray:
-    """The smoothed curve; near the ends the polynomial of the first and last whole window is read off."""
-    n = len(flux)
-    if n < window or window <= order:
-        return np.full(n, np.median(flux))
-    half = window // 2
-    out = np.empty(n)
-    out[half : n - half] = np.convolve(flux, coefficients(window, order)[::-1], "valid")
-    x = np.arange(window) - half
-    fit = np.vander(x, order + 1, increasing=True) @ np.linalg.pinv(np.vander(x, order + 1, increasing=True))
-    out[:half] = (fit @ flux[:window])[:half]
-    out[n - half :] = (fit @ flux[n - window :])[window - half :]
-    return out
-
-
-def flatten_group(t: np.ndarray, flux: np.ndarray, mask: np.ndarray, window: int, gap_factor: float = GAP_FACTOR, order: int = ORDER) -> tuple[np.ndarray, str]:
-    """Flux over trend for one curve in time order, and a status; never raises on bad data."""
-    good = np.isfinite(flux)
-    flat = np.full(len(flux), np.nan)
-    if len(t) < 2:
-        return flat, "nodata"
-    cadence = float(np.median(np.diff(t)))
-    if not cadence > 0:
-        return flat, "nodata"
-    for part in np.split(np.arange(len(t)), np.flatnonzero(np.diff(t) > gap_factor * cadence) + 1):
-        seen = part[good[part] & ~mask[part]]
-        if not len(seen):
-            continue
-        level = trend(np.interp(t[part], t[seen], flux[seen]), window, order)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            flat[part] = np.where(level != 0, flux[part] / level, np.nan)
-    return flat, "" if np.isfinite(flat).any() else "nodata"
-
-
-def rung(primary: np.ndarray, secondary: np.ndarray, sibling: np.ndarray, least: float = T.MIN_SHARE) -> np.ndarray | None:
-    """The widest mask that leaves enough of the points, as :func:`timeseries.detrend_rung` has it; None if there is none."""
-    return next((m for m in (secondary | sibling, secondary, primary) if len(m) and (~m).mean() >= least), None)
-
-
-def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, order: int = ORDER) -> DataFrame:
+def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, least: float = T.MIN_SHARE) -> DataFrame:
     """Adds ``flat`` (NULL where it cannot be told) and ``status`` to the masked curve of :func:`timeseries.masked`.
 
-    The mask is that of the candidate's rung, which is found where the group lies, so the curve is folded and masked once; without a rung
-    the curve is left as it is.
+    Masked points take no part in the fit; a segment ends where a gap is longer than ``gap_factor`` times the median gap. Near a segment's ends
+    the quadratic of its first and last whole window is read off; a segment shorter than the window has its median for a trend. ``status`` is
+    ``none`` where no rung leaves enough points (the curve is left as it is), ``nodata`` where nothing can be told, else empty.
     """
     d = d.drop("siblings")
-    gap = F.col("t_us") - F.lag("t_us").over(Window.partitionBy(*T.KEY).orderBy("t_us"))
-    cadence = F.median("_gap").over(Window.partitionBy(*T.KEY)) / 60e6
-    window = F.when(cadence > 0, T.window_points(F.col("duration_us"), cadence))
-    d = d.withColumn("_gap", gap).withColumn("_window", window).drop("_gap").withColumn("_v", F.col("flux").cast("double"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields if f.name not in ("_window", "_v")) + ", flat double, status string"
-
-    def work(g: pa.Table) -> pa.Table:
-        g = g.take(np.argsort(g["t_us"].to_numpy(), kind="stable"))
-        value, window = g["_v"].to_numpy().astype(float), g["_window"][0].as_py()
-        mask = rung(*(g[c].to_numpy().astype(bool) for c in ("in_primary", "in_secondary", "in_sibling")))
-        if mask is None:
-            flat, status = value, "none"
-        elif window is None:
-            flat, status = np.full(len(value), np.nan), "nodata"
-        else:
-            flat, status = flatten_group(g["t_us"].to_numpy().astype(float), value, mask, window, gap_factor, order)
-        g = g.drop_columns(["_window", "_v"])
-        g = g.append_column("flat", pa.array(flat, pa.float64(), mask=~np.isfinite(flat)))
-        return g.append_column("status", pa.array([status] * len(flat), pa.string()))
-
-    return d.groupBy(*T.KEY).applyInArrow(work, schema)
+    names = [c for c in d.columns if c not in T.KEY]
+    one = Window.partitionBy(*T.KEY)
+    by_time = one.orderBy("t_us")
+    d = d.withColumn("_gap", F.col("t_us") - F.lag("t_us").over(by_time)).withColumn("_cadence", F.median("_gap").over(one)).withColumn("_mask", _shares(least))
+    window = F.when(F.col("_cadence") > 0, T.window_points(F.col("duration_us"), F.col("_cadence") / 60e6)).cast("long")
+    d = d.withColumn("_w", window).withColumn("_v", F.col("flux").cast("double"))
+    d = d.withColumn("_segment", F.sum(F.when(F.col("_gap") > gap_factor * F.col("_cadence"), 1).otherwise(0)).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    d = d.withColumn("_seen", X.finite(F.col("_v")) & ~F.coalesce("_mask", F.lit(False)))
+    part = Window.partitionBy(*T.KEY, "_segment")
+    point = F.when(F.col("_seen"), F.struct(F.col("t_us").alias("t"), F.col("_v").alias("v")))
+    so_far = (Window.unboundedPreceding, 0)
+    d = d.withColumns({
+        "_before": F.last(point, ignorenulls=True).over(part.orderBy("t_us").rowsBetween(*so_far)),
+        "_after": F.last(point, ignorenulls=True).over(part.orderBy(F.desc("t_us")).rowsBetween(*so_far)),
+        "_i": (F.row_number().over(part.orderBy("t_us")) - 1).cast("long"),
+    })
+    w = F.coalesce("_w", F.lit(LEAST_WINDOW))
+    d = d.withColumn("_y", _filled()).withColumn("_level", F.median("_y").over(part)).withColumn("_block", F.floor(F.col("_i") / w)).withColumn("_r", F.col("_i") % w)
+    block = Window.partitionBy(*T.KEY, "_segment", "_block")
+    running = block.orderBy("_i").rowsBetween(*so_far)
+    powers = [F.col("_y"), F.col("_r") * F.col("_y"), F.col("_r") * F.col("_r") * F.col("_y")]
+    d = d.withColumns({f"_p{k}": F.sum(y).over(running) for k, y in enumerate(powers)} | {f"_s{k}": F.sum(y).over(block) for k, y in enumerate(powers)})
+    sums = lambda c: F.struct(*(F.col(f"_{c}{k}").alias(f"m{k}") for k in range(3)))
+    row = F.struct(F.col("_i").alias("i"), F.struct(*names, "_v", "_mask", "_level").alias("row"), sums("p").alias("p"), sums("s").alias("s"))
+    cells = d.groupBy(*T.KEY, "_segment", "_w").agg(F.sort_array(F.collect_list(row)).alias("cells"))
+    n, h, w = F.size("cells"), F.floor((F.coalesce("_w", F.lit(LEAST_WINDOW)) - 1) / 2), F.coalesce("_w", F.lit(LEAST_WINDOW))
+    middle = lambda i: F.least(F.greatest(i, h), n - 1 - h)
+    at = lambda k: F.get("cells", k.cast("int"))
+
+    def ends(x: Column) -> Column:
+        c = middle(x["i"])
+        return F.struct(x["row"].alias("row"), x["i"].alias("i"), c.alias("c"), at(c - h - 1)["p"].alias("before"), at(c - h)["s"].alias("first"), at(c + h)["p"].alias("upto"))
+
+    long = cells.select(*T.KEY, n.cast("long").alias("n"), h.cast("long").alias("h"), w.alias("w"), "_w", F.inline(F.transform("cells", ends)))
+    low = F.col("c") - F.col("h")
+    whole = low % F.col("w") == 0  # the window is a block
+    total = [F.lit(0.0)] * 3
+    for part_of, offset in (
+        ([F.col(f"first.m{k}") - F.when(whole, F.lit(0.0)).otherwise(F.col(f"before.m{k}")) for k in range(3)], F.floor(low / F.col("w")) * F.col("w") - F.col("c")),
+        ([F.when(whole, F.lit(0.0)).otherwise(F.col(f"upto.m{k}")) for k in range(3)], (F.floor(low / F.col("w")) + 1) * F.col("w") - F.col("c")),
+    ):
+        a, b, e = part_of
+        total = [total[0] + a, total[1] + b + offset * a, total[2] + e + 2 * offset * b + offset * offset * a]
+    fit = _quadratic(F.col("w").cast("double"), F.col("h").cast("double"), (F.col("i") - F.col("c")).cast("double"), total)
+    level = F.when(F.col("n") < F.col("w"), F.col("row._level")).otherwise(fit)
+    value = F.col("row._v")
+    flat = F.when(F.col("row._mask").isNull(), value).when(F.col("_w").isNotNull(), X.ratio(value, level))
+    out = long.select(*T.KEY, *(F.col(f"row.{c}").alias(c) for c in names), F.when(X.finite(flat), flat).alias("flat"), F.col("row._mask").isNull().alias("_none"))
+    status = F.when(F.col("_none"), "none").when(F.max(F.col("flat").isNotNull()).over(one), "").otherwise("nodata")
+    return out.withColumn("status", status).drop("_none")

@@ -169,6 +169,17 @@ def window_scan(bins: DataFrame, n_bins: int, fractions: tuple[int, ...] = FRACT
     return g.select(*KEY, F.expr(f"stack({len(fractions)}, {stack}) AS (fraction, depth, n_in)"))
 
 
+def scanned(curve: DataFrame, koi: DataFrame, n_bins: int = LOCAL_BINS, fractions: tuple[int, ...] = FRACTIONS) -> DataFrame:
+    """The window scan of every candidate on its detrended curve; siblings are not masked, so the chain of masks is secondary, primary, none.
+
+    ``depth`` is NULL and ``n_in`` 0 where there is no data inside the window or none outside it.
+    """
+    d = T.secondary_mask(T.primary_mask(T.folded(curve, koi))).withColumn("in_sibling", F.lit(False))
+    d = detrend.flattened(d).withColumn("flux", F.col("flat")).drop("flat", "status")
+    out = window_scan(T.local_bins(d, n_bins), n_bins, fractions)
+    return out.withColumn("n_in", F.when(F.col("depth").isNull(), F.lit(0)).otherwise(F.col("n_in")).cast("long"))
+
+
 def curve_to_measure(curve: DataFrame, koi: DataFrame, everything: DataFrame | None = None, detrending: bool = True) -> DataFrame:
     """The folded and masked curve of every candidate, detrended or as it is, written down once for all features."""
     d = T.masked(curve, koi, everything)
@@ -194,17 +205,32 @@ def assembled(points: DataFrame, products: DataFrame, koi: DataFrame, n_bins: in
     ``koi`` has ``star_id, koi, disposition, period_us, epoch_us, duration_us, koi_depth_ppm, koi_num_transits``. A candidate that fails its
     precheck, or whose star has no curve, keeps its row with NULL features and the reason; candidates that cannot be measured are siblings
     to the others all the same.
+
+    ``points`` may have an ``error`` (``Type: message``), as archives give it, for a product that could not be read. A star with such a product at the
+    wanted cadence is not measured: its rows have the error, and its kind by :func:`batch.classified`.
     """
+    failed = None
+    if "error" in points.columns:
+        chosen = products.where(X.close_to(F.col("exptime_s"), 1800.0)).select("star_id", "product_id")
+        failed = points.where("error IS NOT NULL").join(chosen, ["star_id", "product_id"], "left_semi").groupBy("star_id").agg(F.min("error").alias("failure"))
+        points = points.where("error IS NULL").drop("error")
     star, koi = F.col("star_id"), koi.withColumn("n_koi_for_star", F.count("*").over(Window.partitionBy("star_id")))
     reason = batch.precheck(F.col("period_us"), F.col("epoch_us"), F.col("duration_us"), F.col("koi_num_transits"))
     koi = koi.withColumn("reason", reason)
     ephemeris = ["star_id", "koi", "period_us", "epoch_us", "duration_us"]
     curve, info = T.loaded(points, products)
+    if failed is None:
+        info = info.withColumn("failure", F.lit(None).cast("string"))
+    else:
+        failed = X.kept(failed)
+        curve = curve.join(failed, "star_id", "left_anti")
+        info = info.join(failed, "star_id", "full")
     found = measured(curve, koi.where("reason IS NULL").select(*ephemeris), koi.select(*ephemeris), n_bins, detrending)
     d = batch.never_lost(koi.join(info, "star_id", "left"), found.withColumn("error_kind", F.lit("")), KEY)
     none = F.when(F.col("n_products_all").isNull(), F.concat(F.lit("no products for star "), star.cast("string"))).otherwise(F.col("no_data"))
-    error = F.coalesce("reason", F.when(F.col("error_kind") != "", batch.error_text(F.lit("NoDataError"), F.coalesce(none, F.lit("nothing measured")))), F.lit(""))
-    kind = F.when(F.col("reason").isNotNull(), "precheck").when(F.col("error_kind") != "", "nodata").otherwise("")
+    error = F.coalesce("reason", F.substring("failure", 1, 300), F.when(F.col("error_kind") != "", batch.error_text(F.lit("NoDataError"), F.coalesce(none, F.lit("nothing measured")))), F.lit(""))
+    unread = batch.failure_kind(F.col("failure"))
+    kind = F.when(F.col("reason").isNotNull(), "precheck").when(F.col("failure").isNotNull(), unread).when(F.col("error_kind") != "", "nodata").otherwise("")
     window = F.when(F.col("detrend_fallback") != "none", T.window_points(F.col("duration_us"), F.col("cadence_minutes")))
     d = d.withColumns({
         "error": error, "error_kind": kind, "flatten_window_points": window, "duration_over_period": X.ratio(F.col("duration_us"), F.col("period_us")),

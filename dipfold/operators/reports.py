@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfold.functions import expressions as X
@@ -18,6 +18,8 @@ BUCKETS = [-0.001, 0.001, 1, 2, 4.5, 10, 25, 60, 150, 1e9]
 SPARSE = (4.5, 1.0)
 PHASE_EDGES = [0, 0.1, 0.2, 0.3, 0.4, 0.45, 0.5001]
 VARIANTS = ("longest", "deepest", "deepest_min2")
+FLUX_ORIGIN = "pdcsap_flux"
+MESSAGE = 60
 
 
 def latest(d: DataFrame) -> DataFrame:
@@ -35,8 +37,31 @@ def run_summary(d: DataFrame) -> DataFrame:
     return g.withColumn("success", X.share_text(F.col("n_success"), F.col("n_rows")))
 
 
+def class_balance(d: DataFrame) -> DataFrame:
+    """Successes by disposition."""
+    return stats.value_counts(successes(d), "disposition")
+
+
 def error_histogram(d: DataFrame) -> DataFrame:
-    return stats.value_counts(d.where(~batch.succeeded(F.col("error_kind"))).withColumn("cause", batch.cause(F.col("error"))), "error_kind", "cause")
+    """Rows of each kind of error, successes among them, and their share of all rows."""
+    kinds = d.groupBy(F.coalesce(F.nullif(F.col("error_kind"), F.lit("")), F.lit("(success)")).alias("error_kind")).agg(F.count("*").alias("n"))
+    return kinds.withColumn("share", X.ratio(F.col("n"), F.sum("n").over(Window.partitionBy(F.lit(0)))))  # a row for each kind
+
+
+def failure_messages(d: DataFrame, length: int = MESSAGE) -> DataFrame:
+    """Failures by the beginning of their message."""
+    return stats.value_counts(d.where(~batch.succeeded(F.col("error_kind"))).withColumn("message", F.substring(F.coalesce("error", F.lit("")), 1, length)), "message")
+
+
+def cadence_sets(d: DataFrame) -> DataFrame:
+    """Rows by the set of cadences that the star was seen at."""
+    return stats.value_counts(d.withColumn("cadences_seen", F.coalesce("cadences_seen", F.lit(""))), "cadences_seen")
+
+
+def wrong_origins(d: DataFrame, expected: str = FLUX_ORIGIN) -> DataFrame:
+    """How many rows have another origin of the flux than the expected one, whatever its letters' case; none counts as another."""
+    other = F.lower(F.coalesce("flux_origin", F.lit(""))) != expected
+    return d.agg(F.count("*").alias("n"), F.count_if(other).alias("n_wrong"))
 
 
 def cadence_mixing(d: DataFrame) -> DataFrame:

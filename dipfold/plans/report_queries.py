@@ -53,11 +53,31 @@ def report_run_summary(spark, d):
     return reports.run_summary(reports.latest(attempts(spark, d)))
 
 
-@query(W + " SELECT error_kind, regexp_replace(error, '[0-9]+(\\.[0-9]+)?', 'N', 'g') AS cause, count(*) AS n FROM last WHERE error_kind <> '' GROUP BY ALL")
+@query(W + " SELECT disposition, count(*) AS n FROM ok GROUP BY ALL")
+def report_class_balance(spark, d):
+    return reports.class_balance(reports.latest(attempts(spark, d)))
+
+
+@query(W + " SELECT CASE WHEN error_kind = '' THEN '(success)' ELSE error_kind END AS error_kind, count(*) AS n, count(*) / sum(count(*)) OVER () AS share FROM last GROUP BY 1")
 def report_error_histogram(spark, d):
     return reports.error_histogram(reports.latest(attempts(spark, d)))
 
 
+@query(W + " SELECT left(coalesce(error, ''), 60) AS message, count(*) AS n FROM last WHERE error_kind <> '' GROUP BY ALL")
+def report_failure_messages(spark, d):
+    return reports.failure_messages(reports.latest(attempts(spark, d)))
+
+
+@query(W + " SELECT coalesce(cadences_seen, '') AS cadences_seen, count(*) AS n FROM ok GROUP BY ALL")
+def report_cadence_sets(spark, d):
+    return reports.cadence_sets(ok(spark, d))
+
+
+@query(W + " SELECT count(*) AS n, count_if(lower(coalesce(flux_origin, '')) <> 'o') AS n_wrong FROM ok")
+def report_wrong_origins(spark, d):
+    return reports.wrong_origins(ok(spark, d), "o")
+
+
 @query(W + " SELECT flux_origin, count(*) AS n, count_if(contains(cadences_seen, '|')) AS mixed FROM ok GROUP BY ALL")
 def report_cadence_mixing(spark, d):
     return reports.cadence_mixing(ok(spark, d))

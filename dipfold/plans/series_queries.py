@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from dipfold.functions.expressions import HOUR_US
-from dipfold.operators import detrend, stats
+from dipfold.operators import batch, detrend, stats
 from dipfold.operators import features as X
 from dipfold.operators import timeseries as T
 from dipfold.plans.registry import query
-from dipfold.plans.tables import CURVE_SQL, ROWS_SQL, candidates, catalogue, light_curve, local_bins_sql, products
+from dipfold.plans.tables import CURVE_SQL, FOLDED_SQL, ROWS_SQL, candidates, catalogue, flat_sql, light_curve, local_bins_sql, products
 
 WITH = "WITH " + CURVE_SQL
 N = 25
@@ -152,9 +153,9 @@ def odd_even(spark, d):
 SECONDARY_SQL = """, own AS (
   SELECT star_id, koi, period_us, duration_us, count(*) AS n_all, count_if(in_sibling) AS n_hidden, count_if(in_sibling) / count(*) AS excluded FROM masked GROUP BY ALL
 ), sl AS (SELECT *, min(ph_us) OVER (PARTITION BY star_id, koi) AS min_ph FROM masked WHERE NOT in_sibling
-), fu AS (SELECT star_id, koi, duration_us, period_us, min_ph, (ph_us - min_ph) * 4 // duration_us AS idx, sum(flux) AS s, count(*) AS n FROM sl GROUP BY ALL
+), fu AS (SELECT star_id, koi, duration_us, period_us, min_ph, (ph_us - min_ph) * 4 // duration_us AS idx, sum(flux) AS s, count(flux) AS n FROM sl GROUP BY ALL
 ), gr AS (SELECT star_id, koi, duration_us, period_us, min_ph, unnest(generate_series(0, max(idx))) AS idx, max(idx) + 1 AS n_bins FROM fu GROUP BY star_id, koi, duration_us, period_us, min_ph
-), sb AS (SELECT g.*, s / n AS flux, (g.idx + n_bins // 2) % n_bins AS rot, 8 * g.min_ph + (2 * g.idx + 1) * g.duration_us AS c8
+), sb AS (SELECT g.*, s / nullif(n, 0) AS flux, (g.idx + n_bins // 2) % n_bins AS rot, 8 * g.min_ph + (2 * g.idx + 1) * g.duration_us AS c8
   FROM gr g LEFT JOIN fu f ON g.star_id = f.star_id AND g.koi = f.koi AND g.idx = f.idx
 ), ou AS (SELECT *, median(flux) OVER (PARTITION BY star_id, koi) AS base FROM sb WHERE abs(c8) > 16 * duration_us
 ), no AS (SELECT star_id, koi, max(base) AS base, nullif(median(abs(flux - base)) * 1.4826, 0) AS noise, count(flux) AS n_out FROM ou GROUP BY ALL
@@ -277,10 +278,10 @@ def circular_mean(spark, d):
     return out.withColumn("mean_turn", F.round("mean_turn", 6))
 
 
-@query()
+@query(WITH + flat_sql() + " SELECT star_id, koi, t_us, round(flat, 6) AS flat, status FROM flat")
 def flatten(spark, d):
-    """Masked Savitzky-Golay detrending: no SQL; checked against a plain implementation in the tests."""
-    return detrend.flattened(masked(spark, d)).select("star_id", "koi", "t_us", F.round("flat", 9).alias("flat"), "status")
+    """Masked Savitzky-Golay detrending; held against a plain implementation in the tests, too."""
+    return detrend.flattened(masked(spark, d)).select("star_id", "koi", "t_us", F.round("flat", 6).alias("flat"), "status")
 
 
 @query(
@@ -307,6 +308,19 @@ def local_shape(spark, d):
     return out.withColumns({c: F.round(c, 6) for c in ("baseline", "depth", "width", "asymmetry", "snr")})
 
 
+#: The window scan has masks of its own, in which siblings play no part, and measures the detrended curve at the bins of the local view.
+FLAT_BINS = ", flatc AS (SELECT * REPLACE (flat AS flux) FROM flat)" + local_bins_sql(X.LOCAL_BINS, "flatc")
+
+
+@query(
+    WITH + flat_sql(siblings=False) + FLAT_BINS + """, x AS (""" + SCAN.replace(f"< {2 * N} *", f"< {2 * X.LOCAL_BINS} *")
+    + """) SELECT x.star_id, x.koi, fraction, depth, CASE WHEN depth IS NULL THEN 0 ELSE n_in END AS n_in FROM x"""
+)
+def window_scan_measured(spark, d):
+    """The scan as it is made: an own chain of masks, detrended, 201 bins; nothing counted where one side has no data."""
+    return X.scanned(curve(spark, d), candidates(spark, d)).withColumn("depth", F.round("depth", 6))
+
+
 ROW_BINS = X.LOCAL_BINS
 SECONDARY_COLUMNS = ", ".join(
     f"CASE WHEN s.g = '' THEN round(coalesce({a}, 0), 6) END AS secondary_depth_{v}, CASE WHEN s.g = '' THEN round({b}, 6) END AS secondary_phase_fraction_{v}"
@@ -352,7 +366,40 @@ def assembled_row(spark, d):
     return rounded(X.assembled(points, products(spark, d), catalogue(spark, d), ROW_BINS, detrending=False))
 
 
-@query()
+def flat_rows_sql() -> str:
+    """The SQL of whole rows with the detrended curve in place of the curve: the masks stay those of the curve as it is."""
+    head, tail = ROW_SQL.split(FOLDED_SQL.replace("FROM koi s WHERE", "FROM cat s WHERE"), 1)
+    own = FOLDED_SQL.replace("FROM koi s WHERE", "FROM cat s WHERE").replace("folded AS (", "folded0 AS (").replace("FROM folded f", "FROM folded0 f").replace("masked AS (", "masked0 AS (")
+    return head + own + flat_sql("masked0") + ", masked AS (SELECT * REPLACE (flat AS flux) FROM flat), folded AS (SELECT * FROM masked)" + tail
+
+
+@query(flat_rows_sql())
 def assembled_features(spark, d):
     """Whole rows of detrended curves, at the bins of the local view."""
     return rounded(X.assembled(light_curve(spark, d), products(spark, d), catalogue(spark, d)))
+
+
+def _extent(g: pa.Table) -> pa.Table:
+    """A kernel that fails for some stars, each in a way that a batch meets."""
+    star, n = g.column("star_id")[0].as_py(), g.num_rows
+    if star % 13 == 5:
+        raise TimeoutError("read timed out")
+    if star % 13 == 6:
+        raise OSError(28, "No space left on device")
+    if star % 13 == 7:
+        raise ValueError(f"{n} points of star {star} make no sense")
+    if star % 3 == 1:
+        raise batch.NoDataError(f"only {n} points left")
+    return pa.table({"star_id": [star], "n_points": [n], "extent": [max(g.column("flux").to_pylist()) - min(g.column("flux").to_pylist())]})
+
+
+@query(
+    WITH + """, g AS (SELECT star_id, count(*) AS n, max(flux) - min(flux) AS extent FROM lc GROUP BY ALL),
+e AS (SELECT *, CASE WHEN star_id % 13 = 5 THEN 'TimeoutError: read timed out' WHEN star_id % 13 = 6 THEN 'OSError: [Errno 28] No space left on device'
+  WHEN star_id % 13 = 7 THEN 'ValueError: ' || n || ' points of star ' || star_id || ' make no sense' WHEN star_id % 3 = 1 THEN 'NoDataError: only ' || n || ' points left' ELSE '' END AS error FROM g)
+SELECT star_id, CASE WHEN error = '' THEN n END AS n_points, CASE WHEN error = '' THEN extent END AS extent, error,
+  CASE WHEN error = '' THEN '' WHEN error LIKE 'Timeout%' THEN 'transient' WHEN error LIKE 'OS%' THEN 'diskfull' WHEN error LIKE 'No%' THEN 'nodata' ELSE 'unknown' END AS error_kind FROM e"""
+)
+def failures_as_rows(spark, d):
+    """A kernel over each star's curve whose failures are rows of their stars."""
+    return batch.attempted(curve(spark, d), ["star_id"], _extent, "star_id long, n_points long, extent long")

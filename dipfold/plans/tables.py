@@ -106,15 +106,41 @@ def local_bins_sql(n_bins: int, source: str = "folded", by: str = "", name: str
     return f""", {name}_slice AS (
   SELECT *, min(ph_us) OVER (PARTITION BY {key}) AS min_ph FROM {source} WHERE abs(ph_us) < 2 * duration_us
 ), {name}_full AS (
-  SELECT {key}, duration_us, min_ph, (ph_us - min_ph) * {n_bins} // (4 * duration_us) AS idx, sum(flux) AS s, count(*) AS n
+  SELECT {key}, duration_us, min_ph, (ph_us - min_ph) * {n_bins} // (4 * duration_us) AS idx, sum(flux) AS s, count(*) AS n, count(flux) AS m
   FROM {name}_slice GROUP BY ALL
 ), {name}_grid AS (
   SELECT {key}, duration_us, min_ph, unnest(generate_series(0, max(idx))) AS idx FROM {name}_full GROUP BY {key}, duration_us, min_ph
 ), {name} AS (
-  SELECT {", ".join("g." + c.strip() for c in key.split(","))}, g.duration_us, g.min_ph, g.idx, s / n AS flux, coalesce(n, 0) AS n_points,
+  SELECT {", ".join("g." + c.strip() for c in key.split(","))}, g.duration_us, g.min_ph, g.idx, s / nullif(m, 0) AS flux, coalesce(n, 0) AS n_points,
          2 * {n_bins} * g.min_ph + (2 * g.idx + 1) * 4 * g.duration_us AS c2n
   FROM {name}_grid g LEFT JOIN {name}_full f ON {" AND ".join(f"g.{c.strip()} = f.{c.strip()}" for c in key.split(","))} AND g.idx = f.idx
 )"""
 
 
+def flat_sql(source: str = "masked", name: str = "flat", siblings: bool = True) -> str:
+    """The curve of ``source`` with ``flat`` and ``status``: every window's quadratic by sums over its own points."""
+    key = "star_id, koi"
+    full = "in_secondary OR in_sibling" if siblings else "in_secondary"
+    share = lambda c: f"avg(CASE WHEN {c} THEN 0 ELSE 1 END) OVER k"
+    seen = lambda what: f"last_value(CASE WHEN seen THEN {what} END IGNORE NULLS) OVER"
+    back, ahead = "b", "a"
+    n = name
+    return f""", {n}_g AS (SELECT *, t_us - lag(t_us) OVER (PARTITION BY {key} ORDER BY t_us) AS gap FROM {source}
+), {n}_c AS (SELECT *, median(gap) OVER k AS cad, CASE WHEN {share(full)} >= .25 THEN {full} WHEN {share("in_secondary")} >= .25 THEN in_secondary WHEN {share("in_primary")} >= .25 THEN in_primary END AS mask
+  FROM {n}_g WINDOW k AS (PARTITION BY {key})
+), {n}_w AS (SELECT *, CASE WHEN cad > 0 THEN greatest(CAST(floor(3 * duration_us / cad) AS BIGINT), 5) END AS w0, flux IS NOT NULL AND NOT coalesce(mask, false) AS seen,
+    sum(CASE WHEN gap > 5 * cad THEN 1 ELSE 0 END) OVER (PARTITION BY {key} ORDER BY t_us) AS seg FROM {n}_c
+), {n}_i AS (SELECT *, w0 + (w0 + 1) % 2 AS w, (w0 + (w0 + 1) % 2) // 2 AS h, row_number() OVER {back} - 1 AS i, count(*) OVER (PARTITION BY {key}, seg) AS n,
+    {seen("t_us")} {back} AS tb, {seen("flux")} {back} AS vb, {seen("t_us")} {ahead} AS ta, {seen("flux")} {ahead} AS va
+  FROM {n}_w WINDOW {back} AS (PARTITION BY {key}, seg ORDER BY t_us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), {ahead} AS (PARTITION BY {key}, seg ORDER BY t_us DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), {n}_y AS (SELECT *, CAST(CASE WHEN seen THEN flux WHEN tb IS NULL THEN va WHEN ta IS NULL THEN vb ELSE vb + (va - vb) * (t_us - tb) / (ta - tb) END AS DOUBLE) AS y FROM {n}_i
+), {n}_l AS (SELECT *, median(y) OVER (PARTITION BY {key}, seg) AS level, greatest(h, least(i, n - 1 - h)) AS c FROM {n}_y
+), {n}_m AS (SELECT a.star_id, a.koi, a.seg, a.i, sum(b.y) AS m0, sum((b.i - a.c) * b.y) AS m1, sum((b.i - a.c) * (b.i - a.c) * b.y) AS m2
+  FROM {n}_l a JOIN {n}_y b ON a.star_id = b.star_id AND a.koi = b.koi AND a.seg = b.seg AND b.i BETWEEN a.c - a.h AND a.c + a.h WHERE a.n >= a.w GROUP BY ALL
+), {n}_q AS (SELECT l.*, m0, m1, m2, h * (h + 1) * w / 3.0::DOUBLE AS s2, h * (h + 1) * w * (3 * h * h + 3 * h - 1) / 15.0::DOUBLE AS s4 FROM {n}_l l LEFT JOIN {n}_m m ON l.star_id = m.star_id AND l.koi = m.koi AND l.seg = m.seg AND l.i = m.i
+), {n}_t AS (SELECT *, CASE WHEN n < w THEN level ELSE (m0 - (w * m2 - s2 * m0) / (w * s4 - s2 * s2) * s2) / w + (i - c) * m1 / s2 + (i - c) * (i - c) * ((w * m2 - s2 * m0) / (w * s4 - s2 * s2)) END AS trend FROM {n}_q
+), {n}_f AS (SELECT *, CASE WHEN mask IS NULL THEN flux WHEN w IS NOT NULL THEN flux / nullif(trend, 0) END AS flat FROM {n}_t
+), {n} AS (SELECT *, CASE WHEN mask IS NULL THEN 'none' WHEN count(flat) OVER (PARTITION BY {key}) > 0 THEN '' ELSE 'nodata' END AS status FROM {n}_f)"""
+
+
 LABELS_SQL = "scored AS (SELECT l.doc_id, source, quality AS label, (n_chars % 1000) / 1000.0 AS score FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from dipfold.functions import expressions as X
 from dipfold.operators import relational
+from dipfold.sources.versions import Versions
 
 CATALOGUE = T.StructType([
     T.StructField("kepid", T.LongType()), T.StructField("kepoi_name", T.StringType()), T.StructField("koi_disposition", T.StringType()),
@@ -102,16 +103,57 @@ def write_queue(d: DataFrame, path: str) -> None:
     relational.ranked(d, "score", "kepoi_name").write.mode("overwrite").option("header", True).csv(path)
 
 
+class ConstraintError(ValueError):
+    """Rows that break a constraint of the review tables were refused; nothing was written."""
+
+
+def _refuse(broken: DataFrame, table: str) -> None:
+    first = broken.limit(5).collect()
+    if first:
+        raise ConstraintError(f"{table}: " + "; ".join(f"{r.broken} {r.asDict()}" for r in first))
+
+
+def invalid_candidates(candidates: DataFrame) -> DataFrame:
+    """Rows without a key, a star or a score, with the constraint's name. Several rows of one key are no fault: the last one counts."""
+    why = F.coalesce(F.when(F.col("kepoi_name").isNull(), "primary key"), F.when(F.col("kepid").isNull() | F.col("score").isNull(), "not null"))
+    return candidates.withColumn("broken", why).where("broken IS NOT NULL")
+
+
 def upsert_candidates(spark: SparkSession, path: str, incoming: DataFrame) -> DataFrame:
-    """Candidates at ``path`` with ``incoming`` put in or over, written to a new version beside it; returns what is now current."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(path)
-    fs = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(root)) if fs.exists(root) else []
-    old = spark.read.schema(CANDIDATES).parquet(f"{path}/v{versions[-1]}") if versions else spark.createDataFrame([], CANDIDATES)
-    target = f"{path}/v{versions[-1] + 1 if versions else 0}"
-    relational.upserted(old, incoming, ["kepoi_name"]).write.parquet(target)
-    return spark.read.schema(CANDIDATES).parquet(target)
+    """Put ``incoming`` (with ``seq``) in or over the candidates at ``path``; returns what is then current.
+
+    Bad rows are refused, all or nothing. The new state is a version of its own (:mod:`versions`): a write that dies leaves the table as it was, and
+    two writers come one after the other.
+    """
+    _refuse(invalid_candidates(incoming), "candidates")
+    return Versions(spark, path, CANDIDATES).commit(lambda old: relational.upserted(old, cleaned(incoming), ["kepoi_name"]))
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    return Versions(spark, path, CANDIDATES).read()
+
+
+def add_verdicts(spark: SparkSession, path: str, candidates: str, incoming: DataFrame) -> DataFrame:
+    """Append ``incoming`` (``kepoi_name, verdict, remarks, reviewer``) to the verdicts at ``path``; returns what is then current.
+
+    Each row gets the next ``id`` and the time of the write. Rows about an unknown candidate (of the table at ``candidates``), with another verdict than the two, or
+    without a reviewer are refused, all or nothing, before anything is written.
+    """
+    known = read_candidates(spark, candidates)
+
+    def with_new(old: DataFrame) -> DataFrame:
+        first = (old.agg(F.max("id")).first()[0] or 0) + 1
+        # reviews are written by hand: a batch of them is small
+        number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("kepoi_name", "reviewer", "verdict", "remarks"))
+        new = X.stamped(incoming.select("kepoi_name", "verdict", "remarks", "reviewer")).withColumn("id", (number + (first - 1)).cast("long"))
+        _refuse(invalid_verdicts(new, known), "verdicts")
+        return old.unionByName(new)
+
+    return Versions(spark, path, VERDICTS).commit(with_new)
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    return Versions(spark, path, VERDICTS).read()
 
 
 def invalid_verdicts(verdicts: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from dipfold.functions import expressions as X
 from dipfold.operators import batch, boosting, detrend, features, learning, relational, reports, stats
 from dipfold.operators import timeseries as T
 from dipfold.sources import tables
+from tests import kernel
 
 DAY, HOUR = X.DAY_US, X.HOUR_US
 
@@ -109,6 +110,37 @@ def naive_features(t, flux, period, epoch, duration, n_bins):
     return depth, asymmetry, depth / noise, (best - 1) * step / HOUR
 
 
+def test_failures_reach_their_rows(spark):
+    """Products that could not be read, each with its class: the others are measured all the same, a failed precheck comes first, other cadences do not count."""
+    curve, koi = curve_of(spark)
+    errors = {2: "OSError: [Errno 28] No space left on device", 3: "CorruptFileError: error in reading data product: x", 4: "ConnectionResetError: reset", 5: "KeyError: 'a'", 6: None, 7: "OSError: x", 8: "NoDataError: none"}
+    points = curve.withColumns({"product_id": F.lit("p"), "error": F.lit(None).cast("string")}).select("star_id", "product_id", "t_us", "flux", "error")
+    star = koi.first().star_id
+    more = [(s, "p", None, None, e) for s, e in errors.items()] + [(star, "short", None, None, "OSError: of another cadence")]
+    points = points.union(spark.createDataFrame(more, "star_id long, product_id string, t_us long, flux double, error string"))
+    products = spark.createDataFrame([(s, "p", 1800.0, "o") for s in (star, *errors)] + [(star, "short", 60.0, "o")], "star_id long, product_id string, exptime_s double, flux_origin string")
+    one_of = koi.select("star_id", "koi", F.lit("CONFIRMED").alias("disposition"), "period_us", "epoch_us", "duration_us", F.lit(1.0).alias("koi_depth_ppm"), F.lit(3.0).alias("koi_num_transits"))
+    every = one_of
+    for s in errors:
+        every = every.union(one_of.withColumns({"star_id": F.lit(s).cast("long"), "period_us": F.lit(None).cast("long") if s == 7 else F.col("period_us")}))
+    got = {r.kepid: r for r in features.assembled(points, products, every, 51).collect()}
+    assert {s: r.error_kind for s, r in got.items()} == {star: "", 2: "diskfull", 3: "corruptcache", 4: "transient", 5: "unknown", 6: "nodata", 7: "precheck", 8: "nodata"}
+    assert got[star].depth == pytest.approx(0.01, rel=0.1) and got[2].depth is None and got[2].error == errors[2] and got[2].cadences_seen == ""
+
+
+def test_a_kernel_that_raises_costs_its_group_alone(spark):
+    def kernel(g):
+        k = g.column("k")[0].as_py()
+        if k is None or k % 3:
+            raise {1: TimeoutError, 2: batch.NoDataError, None: MemoryError}[k and k % 3](f"group {k} " + "x" * 400)
+        return g.group_by("k").aggregate([("v", "sum")]).rename_columns(["k", "total"])
+
+    d = spark.createDataFrame([(k, 1.0) for k in (0, 0, 1, 2, 3, None)], "k long, v double")
+    got = {r.k: r for r in batch.attempted(d, ["k"], kernel, "k long, total double").collect()}
+    assert {k: (r.total, r.error_kind) for k, r in got.items()} == {0: (2.0, ""), 3: (1.0, ""), 1: (None, "transient"), 2: (None, "nodata"), None: (None, "unknown")}
+    assert got[1].error.startswith("TimeoutError: group 1 xxx") and len(got[1].error) == 300 and got[0].error == ""
+
+
 def test_features_of_a_detrended_curve_equal_plain_numpy(spark):
     curve, koi = curve_of(spark, depth=0.01, slope=0.002, gap=(20 * DAY, 25 * DAY))
     k = koi.first()
@@ -186,11 +218,11 @@ def plain_trend(y, window, order=2):
 
 
 def test_savitzky_golay():
-    assert detrend.coefficients(5) * 35 == pytest.approx([-3, 12, 17, 12, -3])
+    assert kernel.coefficients(5) * 35 == pytest.approx([-3, 12, 17, 12, -3])
     y = np.random.default_rng(1).normal(size=60)
     for window in (5, 7, 21):
-        assert detrend.trend(y, window) == pytest.approx(plain_trend(y, window))
-    assert detrend.trend(y[:4], 5) == pytest.approx(np.full(4, np.median(y[:4])))
+        assert kernel.trend(y, window) == pytest.approx(plain_trend(y, window))
+    assert kernel.trend(y[:4], 5) == pytest.approx(np.full(4, np.median(y[:4])))
 
 
 def test_flatten_keeps_the_dip_and_drops_the_trend(spark):
@@ -203,14 +235,51 @@ def test_flatten_keeps_the_dip_and_drops_the_trend(spark):
     assert away.a > 0.998 and away.b < 1.002
 
 
+def test_flatten_equals_plain_numpy(spark):
+    """Random curves: gaps, missing and infinite points, masks of every rung and none, segments shorter than the window and all masked, few points."""
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for star in range(24):
+        n = int(rng.choice([1, 2, 30, 200, 700]))
+        t = np.cumsum(rng.integers(900, 1100, n) * 10**6 * np.where(rng.random(n) < 0.02, 40, 1))
+        flux = 1000.0 + np.cumsum(rng.normal(size=n)) + 20 * np.sin(np.arange(n) / 9)
+        flux[rng.random(n) < 0.03] = np.nan
+        duration = int(rng.choice([1000, 9000, 40_000])) * 10**6
+        far = rng.random((3, n)) < np.array([0.05, rng.choice([0.1, 0.5]), rng.choice([0.2, 0.9])])[:, None]
+        primary, secondary, sibling = far[0] | (star % 7 == 3) | ((t > t[n // 2]) & (star % 5 == 1)), far[0] | far[1] | (star % 7 == 3), far[2]
+        if star == 5:
+            t[:] = 7
+        if star == 6:
+            flux[n // 2] = np.inf
+        mask, cadence = kernel.rung(primary, secondary, sibling), np.median(np.diff(t)) if n > 1 else 0
+        window = max(int(3 * duration / cadence), 5) if cadence > 0 else None
+        if mask is None:
+            flat, status = np.where(np.isfinite(flux), flux, np.nan), "none"
+        elif window is None:
+            flat, status = np.full(n, np.nan), "nodata"
+        else:
+            flat, status = kernel.flatten_group(t.astype(float), flux, mask, window + (window % 2 == 0))
+        for i in range(n):
+            rows.append((star, 1, duration, i, int(t[i]), None if np.isnan(flux[i]) else float(flux[i]), bool(primary[i]), bool(secondary[i]), bool(sibling[i])))
+            want[star, i] = (None if not np.isfinite(flat[i]) else flat[i], status)
+    d = spark.createDataFrame(rows, "star_id long, koi long, duration_us long, i int, t_us long, flux double, in_primary boolean, in_secondary boolean, in_sibling boolean").withColumn("siblings", F.array())
+    out = detrend.flattened(d)
+    assert out.columns == [*d.drop("siblings").columns, "flat", "status"]
+    got = {(r.star_id, r.i): (r.flat, r.status) for r in out.collect()}
+    assert got.keys() == want.keys() and {w[1] for w in want.values()} == {"", "none", "nodata"}
+    for k, (flat, status) in want.items():
+        assert got[k][1] == status, k
+        assert (flat is None) == (got[k][0] is None) and (flat is None or k[0] == 5 or got[k][0] == pytest.approx(flat, rel=1e-9)), (k, flat, got[k])
+
+
 def test_flatten_never_raises():
     t = np.arange(10.0)
     for flux in (np.full(10, np.nan), np.zeros(10)):
-        out, status = detrend.flatten_group(t, flux, np.zeros(10, bool), 3)
+        out, status = kernel.flatten_group(t, flux, np.zeros(10, bool), 3)
         assert len(out) == 10 and status == "nodata"
-    assert detrend.flatten_group(t[:1], t[:1], np.zeros(1, bool), 3)[1] == "nodata"
-    assert detrend.flatten_group(np.zeros(10), t, np.zeros(10, bool), 3)[1] == "nodata"
-    assert np.isnan(detrend.flatten_group(t, t + 1, np.ones(10, bool), 3)[0]).all()
+    assert kernel.flatten_group(t[:1], t[:1], np.zeros(1, bool), 3)[1] == "nodata"
+    assert kernel.flatten_group(np.zeros(10), t, np.zeros(10, bool), 3)[1] == "nodata"
+    assert np.isnan(kernel.flatten_group(t, t + 1, np.ones(10, bool), 3)[0]).all()
 
 
 def test_clip_is_asymmetric(spark):
@@ -497,6 +566,20 @@ def test_window_scan_summary(spark):
     assert {r.n for r in reports.window_scan_summary(d, 4.5).collect()} == {1}
 
 
+def test_run_report_counts_every_kind(spark):
+    """Messages that differ after sixty characters are one, those that differ by a number before are two; missing values count as themselves."""
+    long = "NoDataError: only 12 points left after cleaning star 5 and then "
+    rows = [("a", "CONFIRMED", None, None, "1800|60", "PDCSAP_FLUX"), ("b", "FALSE POSITIVE", "", "", None, None), ("c", "CONFIRMED", "nodata", long + "x", "60", "sap_flux"),
+            ("d", None, "nodata", long + "y", "1800", ""), ("e", "CONFIRMED", "nodata", long.replace("12", "13"), "", ""), ("f", "CONFIRMED", "unknown", None, "", "")]
+    d = spark.createDataFrame(rows, "kepoi_name string, disposition string, error_kind string, error string, cadences_seen string, flux_origin string")
+    got = lambda x: {tuple(r) for r in x.collect()}
+    assert got(reports.class_balance(d)) == {("CONFIRMED", 1), ("FALSE POSITIVE", 1)}
+    assert {k: (n, round(s, 6)) for k, n, s in got(reports.error_histogram(d))} == {"(success)": (2, 0.333333), "nodata": (3, 0.5), "unknown": (1, 0.166667)}
+    assert got(reports.failure_messages(d)) == {(long[:60], 2), (long.replace("12", "13")[:60], 1), ("", 1)}
+    assert got(reports.cadence_sets(reports.successes(d))) == {("1800|60", 1), ("", 1)}
+    assert got(reports.wrong_origins(reports.successes(d))) == {(2, 1)}
+
+
 def test_texts(spark):
     d = spark.createDataFrame([(3, 7), (0, 0)], "a long, b long")
     assert [r[0] for r in d.select(X.share_text(F.col("a"), F.col("b"))).collect()] == ["3/7 (42.9%)", "0/0"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dipfold.functions import expressions as X
 from dipfold.sources import archive, tables
 from dipfold.sources.archive import LightCurveArchive
+from dipfold.sources.versions import Versions
 from dipfold.streaming import ingest
 
 
@@ -48,6 +49,54 @@ def test_candidates_are_upserted(spark, tmp_path):
     assert [r.score for r in tables.upsert_candidates(spark, path, rows(0.7, 2)).collect()] == [0.7]
 
 
+def scored(spark, *rows):
+    """Candidates ``(name, star, score, seq)``."""
+    return spark.createDataFrame([(k, star, None, None, None, None, None, None, score, seq) for k, star, score, seq in rows], tables.CANDIDATES + ", seq long")
+
+
+def test_a_write_that_died_loses_nothing(spark, tmp_path):
+    path = tmp_path / "candidates"
+    tables.upsert_candidates(spark, str(path), scored(spark, ("K1", 1, 0.1, 1), ("K2", 2, 0.2, 1), ("K3", 3, 0.3, 1)))
+    half = path / "rows" / "died" / "_temporary"
+    half.mkdir(parents=True)
+    (half / "part-0.parquet").write_text("half")
+    (path / "aside" / "marker").write_text('{"rows"')
+    assert tables.read_candidates(spark, str(path)).count() == 3
+    now = tables.upsert_candidates(spark, str(path), scored(spark, ("K4", 4, 0.4, 1), ("K1", 1, 0.9, 1), ("K1", 1, 0.8, 2)))
+    assert {(r.kepoi_name, r.score) for r in now.collect()} == {("K1", 0.8), ("K2", 0.2), ("K3", 0.3), ("K4", 0.4)}
+    assert Versions(spark, str(path), tables.CANDIDATES).read(0).count() == 3
+
+
+def test_two_writers_come_one_after_the_other(spark, tmp_path):
+    """The second one takes its turn between the first one's reading and its marker: the first works again on what the second left."""
+    v, calls = Versions(spark, str(tmp_path / "t"), "k string"), []
+
+    def first(old):
+        calls.append(old.count())
+        if len(calls) == 1:
+            Versions(spark, str(tmp_path / "t"), "k string").commit(lambda o: o.union(spark.createDataFrame([("second",)], "k string")))
+        return old.union(spark.createDataFrame([("first",)], "k string"))
+
+    assert {r.k for r in v.commit(first).collect()} == {"first", "second"} and calls == [0, 1] and v.last() == 1
+    assert not v._publish(1, "rows/none") and len(list((tmp_path / "t" / "rows").iterdir())) == 2
+
+
+def test_bad_rows_are_refused_at_the_write(spark, tmp_path):
+    c, v = str(tmp_path / "c"), str(tmp_path / "v")
+    for bad in (("K1", None, 0.5, 1), ("K1", 1, None, 1), (None, 1, 0.5, 1)):
+        with pytest.raises(tables.ConstraintError):
+            tables.upsert_candidates(spark, c, scored(spark, ("K9", 9, 0.9, 1), bad))
+    assert tables.read_candidates(spark, c).count() == 0
+    tables.upsert_candidates(spark, c, scored(spark, ("K1", 1, 0.5, 1)))
+    review = lambda *rows: spark.createDataFrame(rows, "kepoi_name string, verdict string, remarks string, reviewer string")
+    tables.add_verdicts(spark, v, c, review(("K1", "CONFIRMED", None, "me"), ("K1", "FALSE POSITIVE", "no", "you")))
+    for bad, name in ((("K2", "CONFIRMED", None, "me"), "foreign key"), (("K1", "maybe", None, "me"), "check"), (("K1", "CONFIRMED", None, None), "not null")):
+        with pytest.raises(tables.ConstraintError, match=name):
+            tables.add_verdicts(spark, v, c, review(("K1", "CONFIRMED", None, "me"), bad))
+    now = tables.add_verdicts(spark, v, c, review(("K1", "CONFIRMED", "again", "me"))).collect()
+    assert sorted(r.id for r in now) == [1, 2, 3] and all(r.created_at is not None for r in now)
+
+
 def test_verdict_constraints(spark):
     now = datetime.datetime(2024, 1, 1)
     c = spark.createDataFrame([("K1",)], "kepoi_name string")
@@ -63,10 +112,10 @@ def test_archive(spark, tmp_path):
     (tmp_path / "7_q1.csv").write_text("1.5,0.9\n2.5,\n")
     (tmp_path / "8_q1.csv").write_text("bad,line\n")
     spark.dataSource.register(LightCurveArchive)
-    source = spark.read.format("light_curve_archive").option("path", str(tmp_path)).option("gap_s", "0").load()
+    source = archive.opened(spark, str(tmp_path), gap_s="0", tasks="3")
     for d in (source, archive.read_archive(spark, str(tmp_path))):
         got = sorted((r.star_id, r.product_id, r.t_bkjd, r.flux, (r.error or "")[:10]) for r in d.collect() if r.star_id == 7 or r.error)
-        assert got[0] == (7, "q1", 1.5, 0.9, "") and got[1] == (7, "q1", 2.5, None, "") and got[2][4] == "ValueError"
+        assert got[0] == (7, "q1", 1.5, 0.9, "") and got[1] == (7, "q1", 2.5, None, "") and got[2][4] in ("ValueError", "CorruptFil")
     (tmp_path / "77_q1.csv").write_text("1,1\n")
     assert archive.evict_star(spark, str(tmp_path), 7) == 1 and archive.evict_star(spark, str(tmp_path), 5) == 0
     assert {r.star_id for r in archive.read_archive(spark, str(tmp_path)).collect()} == {8, 77}
@@ -74,7 +123,7 @@ def test_archive(spark, tmp_path):
 
 def test_archive_is_asked_again_and_not_too_fast(tmp_path, monkeypatch):
     (tmp_path / "7_q1.csv").write_text("1.5,0.9\n")
-    reader = LightCurveArchive({"path": str(tmp_path), "pause_s": "5", "gap_s": "1.5"}).reader(None)
+    reader = LightCurveArchive({"path": str(tmp_path), "pause_s": "5", "gap_s": "1.5", "tasks": "1"}).reader(None)
     asked, slept, clock = [], [], [100.0]
     monkeypatch.setattr(archive.time, "sleep", lambda s: (slept.append(s), clock.__setitem__(0, clock[0] + s)))
     monkeypatch.setattr(archive.time, "monotonic", lambda: clock[0])
@@ -88,12 +137,62 @@ def test_archive_is_asked_again_and_not_too_fast(tmp_path, monkeypatch):
 
     monkeypatch.setattr(archive, "open", opened, raising=False)
     (part,) = reader.partitions()
-    assert list(reader.read(part)) == [(7, "q1", 1.5, 0.9, None)]
+    assert list(reader.read(part)) == [(7, "q1", None, 1.5, 0.9, None)]
     assert [b - a for a, b in zip(asked, asked[1:], strict=False)] == [5.0, 10.0]
     list(reader.read(part))
     assert asked[-1] - asked[-2] == 1.5
     fail, asked[:] = 9, []
-    assert list(reader.read(part)) == [(7, "q1", None, None, "ConnectionResetError: reset")] and len(asked) == archive.ATTEMPTS
+    assert list(reader.read(part)) == [(7, "q1", None, None, None, "ConnectionResetError: reset")] and len(asked) == archive.ATTEMPTS
+
+
+def test_only_asked_stars_are_opened(spark, tmp_path):
+    """Files of other stars and cadences cannot be parsed: whoever opens them sees an error."""
+    for star in range(60):
+        for s in (60, 1800):
+            (tmp_path / f"{star:03d}_q1@{s}.csv").write_text(f"{star},0.5\n" if star in (7, 31) and s == 1800 else "bad")
+    d = archive.download(spark, str(tmp_path), [7, 31, 99], gap_s="0")
+    assert {tuple(r) for r in d.collect()} == {(7, "q1", 1800.0, 7.0, 0.5, None), (31, "q1", 1800.0, 31.0, 0.5, None)}
+    assert d.rdd.getNumPartitions() == 1
+    every = archive.opened(spark, str(tmp_path), gap_s="0", tasks="7")
+    assert every.where("error IS NOT NULL").count() == 118 and every.where("flux > 0.1").count() == 2
+    assert every.where("star_id = 7 AND star_id = 31").count() == 0
+    assert archive.read_archive(spark, str(tmp_path)).where("exptime_s = 1800 AND error IS NULL").count() == 2
+
+
+def test_tasks_share_one_rate(spark, tmp_path):
+    """Four tasks ask at once: the times at which they were let go keep the gap."""
+    import time
+
+    folder, gap = str(tmp_path / "lease"), 0.2
+
+    def ask(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            at = []
+            for _ in range(batch.num_rows):
+                archive.Lease(folder, gap).wait()
+                at.append(time.time())
+            yield pa.RecordBatch.from_arrays([pa.array(at)], ["at"])
+
+    at = sorted(r.at for r in spark.range(0, 12, 1, 4).mapInArrow(ask, "at double").collect())
+    assert len({int(t / gap) for t in at}) == 12 and min(b - a for a, b in zip(at, at[1:], strict=False)) > gap / 2
+    assert at[-1] - at[0] >= 11 * gap - gap / 2
+
+
+def test_corrupt_copies_are_evicted_and_fetched_again(spark, tmp_path):
+    source, cache = tmp_path / "archive", tmp_path / "cache"
+    source.mkdir()
+    cache.mkdir()
+    (source / "1_q1@1800.csv").write_text("1,0.1\n")
+    (cache / "1_q1@1800.csv").write_text("half a li")
+    (source / "2_q1@1800.csv").write_text("broken at the source\n")
+    (source / "3_q1@1800.csv").write_text("3,0.3\n")
+    (cache / "3_q1@1800.csv").write_text("3,0.4\n")
+    d = archive.download(spark, str(source), [1, 2, 3], gap_s="0", pause_s="0", cache=str(cache))
+    got = {r.star_id: r for r in d.collect()}
+    assert (got[1].flux, got[1].error) == (0.1, None) and got[3].flux == 0.4  # a good copy is not fetched again
+    assert got[2].error.startswith("CorruptFileError: error in reading data product") and (cache / "1_q1@1800.csv").read_text() == "1,0.1\n"
 
 
 def test_checkpoints_are_put_together(spark, tmp_path):

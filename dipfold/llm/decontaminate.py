@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ def words_of(text: str | None) -> list[str]:
 def tile(item: list, text: list, least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """Greedy string tiling: ``(position in item, position in text, length)``, longest first, ties by position.
 
-    Running Karp-Rabin with the search length halved when nothing as long is left and set to what was found when more is.
+    Running Karp-Rabin with the search length halved when nothing as long is left and set to what was found when more is. Of all unmarked matches
+    the longest one is always the next tile: parts of a match that is cut go back into the queue, and the search length falls only when the
+    queue is empty.
     """
     ids: dict = {}
     a = np.array([ids.setdefault(w, len(ids) + 1) for w in item], np.uint64)
@@ -57,12 +60,21 @@ def tile(item: list, text: list, least: int = MIN_MATCH) -> list[tuple[int, int,
         if longest >= 2 * s and s < longest:
             s = longest  # start again with the longer matches alone
             continue
-        for i, j, n in sorted(matches, key=lambda m: (-m[2], m[0], m[1])):
-            # part of a match may have been marked meanwhile: what is left of it is found at a shorter length
-            if free_a[i : i + n].all() and free_b[j : j + n].all():
-                tiles.append((i, j, n))
-                free_a[i : i + n] = False
-                free_b[j : j + n] = False
+        heap = [(-n, i, j) for i, j, n in matches]
+        heapify(heap)
+        while heap:
+            n, i, j = heappop(heap)
+            free = free_a[i : i - n] & free_b[j : j - n]
+            if free.all():
+                tiles.append((i, j, -n))
+                free_a[i : i - n] = False
+                free_b[j : j - n] = False
+                continue
+            # what is left of a match that a longer tile has cut waits for its turn by the length it has now
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]])))
+            for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+                if stop - start >= s:
+                    heappush(heap, (start - stop, i + start, j + start))
         if s == least and not matches:
             return tiles
         s = max(least, s // 2)

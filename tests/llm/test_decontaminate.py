@@ -43,6 +43,16 @@ def test_tiles(seed):
         assert sorted(d.tile(a, b, least)) == sorted(brute_tiles(a, b, least))
 
 
+def test_the_longest_match_is_always_next():
+    """Few different words, so that matches cut each other: 5,000 pairs."""
+    rng = random.Random(11)
+    for _ in range(5000):
+        words = "abcd"[: rng.randrange(2, 5)]
+        a, b = ([rng.choice(words) for _ in range(rng.randrange(6, 25))] for _ in range(2))
+        least = rng.choice((2, 3, 5))
+        assert sorted(d.tile(a, b, least)) == sorted(brute_tiles(a, b, least)), (a, b, least)
+
+
 def brute(rows, items, threshold=d.THRESHOLD, least=d.MIN_MATCH):
     out = []
     items = set(items)

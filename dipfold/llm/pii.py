@@ -14,37 +14,50 @@ All of it is one projection: no shuffle, no join. Documents without a digit, an
 
 from __future__ import annotations
 
+import json
+import secrets
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dipfold.llm.common import fresh
+from dipfold.llm.common import fresh, shared_dir
+from dipfold.llm.token_counts import Ledger
 
 ROUNDS = 8
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229  # 73,051 days, to 2100-01-03
 
 # every repeat is bounded, or possessive (never given back), and begins only where a run begins, so long runs of one character cost no more
 # than their length
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}"
+_MAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,63}"
 _ACCESS_KEY = r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])"
-_SECRET = r"(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}(?:\"[^\"\s]{6,}+\"|'[^'\s]{6,}+'|[^\s\"']{6,}+)"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])"
+# the name may be the end of a longer one (accessToken) and stand in quotes of its own; a quoted value may have blanks
+_SECRET = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)[\"']?\s*+[=:]\s*+(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[^\s\"']{6,}+)"
+_BEARER = r"(?<![A-Za-z0-9])(?i:bearer)[ \t]++(?=[A-Za-z._~+/=-]*+[0-9])[A-Za-z0-9._~+/=-]{8,}+"
+_IBAN = r"(?<![A-Za-z0-9])[A-Za-z]{2}[0-9]{2}(?:(?: [A-Za-z0-9]{4}){2,7}(?: [A-Za-z0-9]{1,3})?|[A-Za-z0-9]{11,30})(?![A-Za-z0-9])"
 _IP = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-_DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z-])"
+_IP6 = r"(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:)(?=[A-Fa-f:]*+[0-9])[0-9A-Fa-f:]{3,39}+(?![0-9A-Za-z:.]?[0-9A-Za-z:])"
+_DATE = r"(?<![0-9A-Za-z.-])(?:[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9A-Za-z-])"
 _SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])"
 _PHONE = (
-    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)(?:[ .-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}|\+[0-9]{8,15}"
-    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4})(?![0-9A-Za-z])"
+    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)(?:[ .-]?[0-9]{2,4}){2,3}|\+[0-9]{1,3}(?:[ .-][0-9]{2,8}){1,5}|\+[0-9]{8,15}"
+    r"|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{4}|[0-9]{3} [0-9]{3} [0-9]{4})(?![0-9A-Za-z])"
 )
 _CARD = (
     r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){2}-[0-9]{1,7}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4} [0-9]{6} [0-9]{5}"
     r"|[0-9]{4}-[0-9]{6}-[0-9]{5})(?![0-9A-Za-z])"
 )
-PATTERN = "|".join((_MAIL, _ACCESS_KEY, _SECRET, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD))
-#: A text without any of these holds nothing that the pattern finds.
+PATTERN = "|".join((_MAIL, _ACCESS_KEY, _SECRET, _BEARER, _IBAN, _IP, _DATE, _SSN, _PHONE, _CARD, _IP6))
+#: A text without any of these holds nothing that the pattern finds: a bearer's token has a digit.
 SIGN = "[0-9@=:]|AKIA"
-KINDS = ("mail", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card")
+KINDS = ("mail", "key", "secret", "iban", "ip", "date", "ssn", "phone", "card", "ip6")
+
+
+def installation_key(spark: SparkSession) -> str:
+    """A random key of this installation, drawn once and kept in the folder that driver and executors share; whoever may read that folder has it."""
+    folder = Ledger(spark, shared_dir(spark))
+    folder.publish("pii-key/key", {"key": secrets.token_hex(32)})
+    return json.loads(spark.read.text(f"{folder.path}/pii-key/key", wholetext=True).first().value)["key"]
 
 
 def digest(key: str, tweak: str, *parts: Column) -> Column:
@@ -133,15 +146,34 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(m: Column, key: str) -> Column:
+    """Letters stay where they are, in the case they have; both cases of one number have one pseudonym."""
+
     def use(s: Column) -> Column:
         country, body = F.substring(s, 1, 2), F.substring(s, F.lit(5), F.length(s))
         fresh = refilled(body, permuted_digits(digits_of(body), key, "iban", F.regexp_replace(body, "[0-9]", "0"), country))
         whole = let(fresh, lambda b: F.concat(F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0"), b))
-        # letters stay where they are, so the new digits go back into the old spaces
-        out = F.concat(country, refilled(F.substring(m, F.lit(3), F.length(m)), digits_of(whole)))
-        return F.when(_mod97(F.concat(body, F.substring(s, 1, 4))) == 1, out).otherwise(m)
-
-    return let(F.regexp_replace(m, " ", ""), use)
+        # the new digits go back into the old spaces
+        out = F.concat(F.substring(m, 1, 2), refilled(F.substring(m, F.lit(3), F.length(m)), digits_of(whole)))
+        # words in small letters that pass by chance hardly have as many digits
+        told = (m == F.upper(m)) | (F.length(digits_of(body)) >= 8)
+        return F.when(told & (_mod97(F.concat(body, F.substring(s, 1, 4))) == 1), out).otherwise(m)
+
+    return let(F.upper(F.regexp_replace(m, " ", "")), use)
+
+
+def _ip6(m: Column, key: str) -> Column:
+    """Eight groups, or fewer with one ``::`` for the zeros between: a keyed address in the range reserved for documentation, one for every spelling."""
+    halves = F.split(F.lower(m), "::")
+    groups = lambda h: F.filter(F.split(h, ":"), lambda g: g != "")
+    left, right = groups(halves[0]), F.when(F.size(halves) > 1, groups(F.get(halves, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    lack = 8 - F.size(left) - F.size(right)
+    once = (F.size(halves) == 2) & (lack >= 1) & ~m.contains(":::")
+    whole = (F.size(halves) == 1) & (lack == 0) & ~m.startswith(":") & ~m.endswith(":")
+    every = F.concat(left, F.array_repeat(F.lit("0"), F.greatest(lack, F.lit(0))), right)
+    short = F.forall(every, lambda g: F.length(g) <= 4)
+    number = F.array_join(F.transform(every, lambda g: F.lpad(g, 4, "0")), "")
+    fresh = let(digest(key, "ip6", number), lambda d: F.concat(F.lit("2001:db8"), *(x for k in range(6) for x in (F.lit(":"), F.substring(d, 4 * k + 1, 4)))))
+    return F.when((once | whole) & short, fresh).otherwise(m)
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -156,15 +188,15 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    iso, slash = m.rlike("^[0-9]{4}-"), m.contains("/")
-    written = F.when(iso, m).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
+    iso, big, slash = m.rlike("^[0-9]{4}-"), m.rlike("^[0-9]{4}/"), m.contains("/")
+    written = F.when(iso, m).when(big, F.translate(m, "/", "-")).otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
 
     def use(d: Column) -> Column:
         n = F.datediff(d, F.lit(FIRST_DAY).cast("date"))
         pair = feistel(F.floor(n / DAYS_B), F.pmod(n, F.lit(DAYS_B)), F.lit(DAYS_A), F.lit(DAYS_B), key, "date")
         fresh = let(pair, lambda p: F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * DAYS_B + p["y"]).cast("int")))
         shape = lambda f: F.date_format(fresh, f)
-        out = F.when(iso, shape("yyyy-MM-dd")).when(slash, shape("dd/MM/yyyy")).otherwise(shape("dd.MM.yyyy"))
+        out = F.when(iso, shape("yyyy-MM-dd")).when(big, shape("yyyy/MM/dd")).when(slash, shape("dd/MM/yyyy")).otherwise(shape("dd.MM.yyyy"))
         return F.when(d.isNotNull() & (n >= 0) & (n < DAYS_A * DAYS_B), out).otherwise(m)
 
     return let(written.try_cast("date"), use)
@@ -226,7 +258,7 @@ def _stretched(hex_digits: Column, n: Column) -> Column:
 
 
 def _secret(m: Column, key: str) -> Column:
-    head = F.regexp_extract(m, r"(?s)^(.*?[=:]\s*[\"']?)", 1)
+    head = F.regexp_extract(m, r"(?s)^((?i:bearer)[ \t]+|.*?[=:]\s*[\"']?)", 1)
     tail = F.regexp_extract(m, r"([\"']?)$", 1)
     value = F.substring(m, F.length(head) + 1, F.length(m) - F.length(head) - F.length(tail))
     return F.concat(head, _stretched(digest(key, "secret", value), F.length(value)), tail)
@@ -235,14 +267,15 @@ def _secret(m: Column, key: str) -> Column:
 def kind(m: Column) -> Column:
     """What a found string is, from its form alone."""
     return (
-        F.when(m.rlike("(?i)^(password|passwd|pwd|secret|token|api[_-]?key)\\s{0,3}[=:]"), "secret")
+        F.when(m.rlike("(?i)^((password|passwd|pwd|secret|token|api[_-]?key)[\"']?\\s*[=:]|bearer[ \\t])"), "secret")
         .when(m.contains("@"), "mail")
         .when(m.rlike("^AKIA[0-9A-Z]{16}$"), "key")
-        .when(m.rlike("^[A-Z]{2}[0-9]{2}"), "iban")
+        .when(m.rlike("^[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]{0,4}:"), "ip6")
+        .when(m.rlike("^[A-Za-z]{2}[0-9]{2}"), "iban")
         .when(m.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ip")
-        .when(m.rlike(r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), "date")
+        .when(m.rlike(r"^([0-9]{4}[-/][0-9]{2}[-/][0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})$"), "date")
         .when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-        .when(m.rlike(r"^[+(]|^[0-9]{3}[-.][0-9]{3}[-.][0-9]{4}$"), "phone")
+        .when(m.rlike(r"^[+(]|^[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}$"), "phone")
         .otherwise("card")
     )
 
@@ -255,6 +288,7 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(k == "key", F.concat(F.lit("AKIA"), F.upper(F.substring(digest(key, "key", m), 1, 16))))
         .when(k == "iban", _iban(m, key))
         .when(k == "ip", _ip(m, key))
+        .when(k == "ip6", _ip6(m, key))
         .when(k == "date", _date(m, key))
         .when(k == "ssn", _ssn(m, key))
         .when(k == "phone", _phone(m, key))

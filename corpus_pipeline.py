@@ -12,13 +12,14 @@ from pyspark.sql import functions as F
 from dipfold.llm import decontaminate, mixing, pii, quality_rules, simhash
 from dipfold.llm.common import cut, fresh, table
 
-#: Secret of the pseudonyms where the session sets none: for tests, no secret at all.
+#: Key of the pseudonyms in a session on one machine that sets none: for tests, no secret at all.
 TEST_KEY = "dipfold"
 
 
 def pii_key(spark: SparkSession) -> str:
-    """The key of the pseudonyms, from the session's ``spark.dipfold.pii.key``."""
-    return spark.conf.get("spark.dipfold.pii.key", None) or TEST_KEY
+    """The key of the pseudonyms: the session's ``spark.dipfold.pii.key``; without one, a cluster has a random key of its own."""
+    found = spark.conf.get("spark.dipfold.pii.key", None)
+    return found or (TEST_KEY if spark.sparkContext.master.startswith("local[") else pii.installation_key(spark))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dipfold.functions import expressions as X
-from dipfold.operators import stats
 
 
 def keep_last(d: DataFrame, key: list[str], seq: str) -> DataFrame:
@@ -86,17 +85,19 @@ def ranked(d: DataFrame, score: str, tie: str) -> DataFrame:
 
 
 def placed(d: DataFrame, score: str, tie: str) -> DataFrame:
-    """Adds ``place``, the row's number from the highest score down, equal scores by ``tie``; rows without a score come last.
+    """Adds ``place``, the row's number from the highest score down, equal scores by ``tie`` (a key); rows without a score come last.
 
-    Places are counted, not sorted for: rows above come from the counts of the distinct scores, range by range, and only rows of one score
-    are numbered together.
+    Rows are sorted by ranges of (score, tie), so rows of one score, however many, lie in as many partitions as they need; a row's place is its
+    number in its partition and the sizes of the partitions before it, one row each.
     """
-    value = F.coalesce(F.col(score), F.lit(float("-inf")))
-    d = d.withColumn("_s", value)
-    n = stats.sums_below(d.groupBy("_s").agg(F.count("*").alias("_n")), "_s", [], ["_n"])
-    above = n.select(F.col("_s").alias("_v"), (F.col("all__n") - F.col("below__n") - F.col("_n")).alias("_above"))
-    own = F.row_number().over(Window.partitionBy("_s").orderBy(tie))
-    return d.withColumn("_own", own).join(above, F.col("_s") == F.col("_v")).withColumn("place", F.col("_above") + F.col("_own")).drop("_s", "_v", "_n", "_above", "_own")
+    order = [F.desc_nulls_last(score), F.asc_nulls_first(tie)]
+    d = X.kept(d).repartitionByRange(*order).sortWithinPartitions(*order)
+    d = X.kept(d.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
+    per = d.groupBy(F.col("_part").alias("_p")).agg(F.min("_at").alias("_low"), F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("_below", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    own = d.join(per, F.col("_part") == F.col("_p"))
+    return own.withColumn("place", F.col("_at") - F.col("_low") + F.col("_below") + 1).drop("_at", "_part", "_p", "_low", "_n", "_below")
 
 
 def row_of(d: DataFrame, key: str, value) -> DataFrame:

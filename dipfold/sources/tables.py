@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +31,8 @@ DIAGNOSTIC = (
     "secondary_phase_fraction_deepest_min2 double", "secondary_exclusion_fraction double", "secondary_guard string",
 )
 ERRORS = ("error string", "error_kind string")
+#: Kinds of error.
+KINDS = ("precheck", "nodata", "transient", "diskfull", "corruptcache", "unknown")
 FEATURES = ", ".join((*IDENTITY, *REFERENCE, *MEASURED, *DIAGNOSTIC, *ERRORS))
 CANDIDATES = "kepoi_name string, kepid long, depth double, width double, asymmetry double, snr double, odd_even_diff double, secondary_depth double, score double"
 VERDICTS = "id long, kepoi_name string, verdict string, remarks string, reviewer string, created_at timestamp"
@@ -76,11 +78,28 @@ def write_light_curves(d: DataFrame, table: str, buckets: int) -> None:
     d.write.bucketBy(buckets, "star_id").sortBy("star_id", "t_us").mode("overwrite").saveAsTable(table)
 
 
+def write_candidates(d: DataFrame, table: str, buckets: int) -> None:
+    """Candidates in the same way; with as many buckets as the curves have, the two meet where they lie."""
+    d.write.bucketBy(buckets, "star_id").sortBy("star_id").mode("overwrite").saveAsTable(table)
+
+
 def append_attempts(d: DataFrame, path: str) -> None:
     """Add a batch to the append-only checkpoint; rows carry ``attempt_seq``."""
     d.write.mode("append").parquet(path)
 
 
+def append_observed(d: DataFrame, path: str) -> dict[str, int]:
+    """As :func:`append_attempts`; returns the figures of the batch, observed in the pass that writes it: no second scan.
+
+    ``rows``, ``success``, ``stars`` (approximate from some thousands on, as a sketch) and a count for each kind of error in KINDS.
+    """
+    figures = Observation()
+    kind = F.coalesce("error_kind", F.lit(""))
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(F.when(kind == "", 1)).alias("success"), F.approx_count_distinct("kepid", 0.01).alias("stars")]
+    append_attempts(d.observe(figures, *counts, *(F.count(F.when(kind == k, 1)).alias(k) for k in KINDS)), path)
+    return figures.get
+
+
 def seed_checkpoint(spark: SparkSession, path: str, *earlier: str) -> None:
     """Begin a combined checkpoint with the rows of earlier ones, in their order: later ones count as later attempts."""
     schema = FEATURES + ", attempt_seq long"

@@ -547,6 +547,9 @@ def test_quantiles_and_places_by_ranges(spark):
     e = spark.createDataFrame([(1, 2.0), (2, 2.0), (3, None), (4, float("inf")), (5, -1.0)], "id long, s double")
     assert [r.id for r in relational.placed(e, "s", "id").orderBy("place").collect()] == [4, 1, 2, 5, 3]
     assert relational.row_of(e, "id", 4).count() == 1
+    tied = spark.range(3000).withColumn("s", F.when(F.col("id") % 5 > 0, F.lit(0.5)).when(F.col("id") % 10 == 0, F.col("id") / 3000)).repartition(5)
+    want = sorted(range(3000), key=lambda i: (i % 10 == 5, 0 if i % 10 == 5 else -(0.5 if i % 5 else i / 3000), i))
+    assert [r.id for r in relational.placed(tied, "s", "id").orderBy("place").collect()] == want
     assert stats.quantiles(d.limit(0), "v", [], {"p": 0.5}).count() <= 1
 
 

@@ -34,6 +34,43 @@ def test_checkpoint_round_trip(spark, tmp_path):
     assert [(r.attempt_seq, r.error_kind, r.depth) for r in got] == [(2, "", None)]
 
 
+def test_a_batch_is_observed_while_it_is_written(spark, tmp_path):
+    """Figures without a second scan: the batch is read once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(k // 3, f"K{k}", ("", None, "transient", "nodata", "nodata")[k % 5], k) for k in range(30)]
+    d = spark.createDataFrame(rows, "kepid long, kepoi_name string, error_kind string, attempt_seq long")
+    d = spark.createDataFrame([], tables.FEATURES + ", attempt_seq long").unionByName(d.mapInArrow(count, d.schema), allowMissingColumns=True)
+    got = tables.append_observed(d, str(tmp_path / "c"))
+    assert got == {"rows": 30, "success": 12, "stars": 10, "transient": 6, "nodata": 12} | dict.fromkeys(("precheck", "diskfull", "corruptcache", "unknown"), 0)
+    assert read.value == 30 and tables.read_checkpoint(spark, str(tmp_path / "c")).count() == 30
+
+
+def test_stored_by_star_nothing_moves_for_the_join(spark):
+    """Candidates and curves in tables bucketed by star: no exchange between the scans and the fold."""
+    from dipfold.operators import timeseries
+
+    curve = spark.range(4000).select((F.col("id") % 40).alias("star_id"), F.lit("p").alias("product_id"), (F.col("id") * 10**9).alias("t_us"), F.rand(1).alias("flux"))
+    koi = spark.range(40).select(F.col("id").alias("star_id"), F.lit(1).cast("long").alias("koi"), F.lit(10**11).alias("period_us"), F.lit(0).cast("long").alias("epoch_us"), F.lit(10**10).alias("duration_us"))
+    tables.write_light_curves(curve, "stored_curves", 4)
+    tables.write_candidates(koi, "stored_candidates", 4)
+    try:
+        d = timeseries.folded(spark.table("stored_curves"), spark.table("stored_candidates").hint("merge"))
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert d.count() == 4000
+        masked = timeseries.masked(spark.table("stored_curves"), spark.table("stored_candidates").hint("merge"))
+        assert "hashpartitioning(star_id" not in masked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.sql("DROP TABLE stored_curves")
+        spark.sql("DROP TABLE stored_candidates")
+
+
 def test_products(spark):
     p = spark.createDataFrame([(1, "a", 1, 1800.0, "x"), (1, "b", 1, 60.0, "x"), (1, "c", 2, 1800.01, "x"), (2, "d", 1, 60.0, "x")], tables.PRODUCT)
     got = sorted((r.product_id, r.cadences_seen, r.n_products_all) for r in tables.pinned_products(p).collect())

@@ -266,6 +266,53 @@ def test_streaming_measures_touched_stars(spark, tmp_path):
     assert n[2] > n[0]
 
 
+def test_arrival_order_does_not_matter(spark, tmp_path):
+    """Points in two orders, batch by batch, repeats and spikes among them: the latest rows are those of one batch over all points."""
+    import random
+
+    day, rng = 86_400_000_000, random.Random(3)
+    koi = spark.createDataFrame([(s, k, 3 * day, day + k, day // 6) for s in (1, 2) for k in (1, 2)], "star_id long, koi long, period_us long, epoch_us long, duration_us long")
+    points = [(s, i * day // 48, 1.0 + rng.gauss(0, 1e-4) - 0.01 * (abs((i * day // 48 - day + 3 * day // 2) % (3 * day) - 3 * day // 2) < day // 12) + (0.5 if i == 77 else 0)) for s in (1, 2) for i in range(500)]
+    points += [(s, t, f + 0.001) for s, t, f in rng.sample(points, 20)]
+    want = {(r.star_id, r.koi): r for r in ingest.measured_all(spark.createDataFrame(points, ingest.POINTS), koi, koi, 51).collect()}
+    assert len(want) == 4 and all(r.detrend_fallback == "" for r in want.values())
+    for turn in range(2):
+        rng.shuffle(points)
+        at = tmp_path / str(turn)
+        for k in range(2):
+            spark.createDataFrame(points[k::2], ingest.POINTS).write.mode("append").parquet(str(at / "in"))
+            ingest.ingest(spark.readStream.schema(ingest.POINTS).parquet(str(at / "in")), koi, str(at / "curves"), str(at / "out"), str(at / "cp"), 51).awaitTermination()
+        out = spark.read.parquet(str(at / "out"))
+        assert out.count() == 8
+        for r in out.where("attempt_seq = 1").collect():
+            w = want[r.star_id, r.koi]
+            assert all(r[c] == (pytest.approx(w[c], rel=1e-9, abs=1e-12) if isinstance(w[c], float) else w[c]) for c in w.asDict()), (r, w)
+
+
+def test_live_figures_in_the_state_of_the_stream(spark, tmp_path):
+    import random
+
+    from dipfold.operators import timeseries
+
+    rng = random.Random(2)
+    points = [(rng.randrange(6), rng.randrange(40) * 1000, 1.0) for _ in range(200)]
+    spark.conf.set(*ingest.STATE_STORE)
+    try:
+        for k in range(3):
+            spark.createDataFrame(points[k::3], ingest.POINTS).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = ingest.live_figures(spark.readStream.schema(ingest.POINTS).parquet(str(tmp_path / "in")))
+            query = stream.writeStream.foreachBatch(lambda d, n: d.write.mode("overwrite").parquet(str(tmp_path / f"out{n}")))
+            query.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(ingest.STATE_STORE[0])
+    latest = {}
+    for k in range(3):
+        latest |= {r.star_id: tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect()}
+    every = timeseries.duplicate_times(spark.createDataFrame(points, ingest.POINTS)).collect()
+    times = {s: [t for q, t, _ in points if q == s] for s in latest}
+    assert latest == {r.star_id: (r.n_points, r.n_duplicate_times, min(times[r.star_id]), max(times[r.star_id])) for r in every}
+
+
 def test_light_curves_are_bucketed(spark):
     d = spark.createDataFrame([(1, 5, 1.0), (2, 6, 1.0)], ingest.POINTS)
     tables.write_light_curves(d, "curves_test", 4)

@@ -68,22 +68,28 @@ def histograms(codes: np.ndarray, slot: np.ndarray, g: np.ndarray, h: np.ndarray
     """Sums of gradients, hessians and rows by ``(slot, feature, bin)``; rows of slot -1 are left out."""
     use = np.flatnonzero(slot >= 0)
     width = codes.shape[1]
-    flat = ((slot[use] * (width * (BINS + 1)))[:, None] + np.arange(width) * (BINS + 1) + codes[use]).ravel()
+    at, g, h, own = slot[use] * (width * (BINS + 1)), g[use], h[use], codes[use]
+    out = np.empty((3, slots, width, BINS + 1))
     size = slots * width * (BINS + 1)
-    out = np.empty((3, size))
-    for k, w in enumerate((g, h)):
-        out[k] = np.bincount(flat, np.repeat(w[use], width), size)
-    out[2] = np.bincount(flat, minlength=size)
-    return out.reshape(3, slots, width, BINS + 1)
+    flat = [at + (j * (BINS + 1)) + own[:, j] for j in range(width)]
+    flat = np.concatenate(flat) if flat else np.zeros(0, np.int64)
+    out[0] = np.bincount(flat, np.tile(g, width), size).reshape(out.shape[1:])
+    out[1] = np.bincount(flat, np.tile(h, width), size).reshape(out.shape[1:])
+    out[2] = np.bincount(flat, minlength=size).reshape(out.shape[1:])
+    return out
 
 
 def _gains(left: np.ndarray, total: np.ndarray, least: int, l2: float) -> np.ndarray:
     """Scores of both sides of each cut, given the sums of the left; -inf where a side has too few rows."""
     rest = total - left
+    score, other = left[0] * left[0], rest[0] * rest[0]
+    few = np.minimum(left[2], rest[2]) < least
+    few |= np.minimum(left[1], rest[1]) < LEAST_HESSIAN
     with np.errstate(divide="ignore", invalid="ignore"):
-        score = left[0] ** 2 / (left[1] + l2) + rest[0] ** 2 / (rest[1] + l2)
-    np.minimum(left, rest, out=rest)
-    score[(rest[2] < least) | (rest[1] < LEAST_HESSIAN)] = -np.inf
+        score /= left[1] + l2
+        other /= rest[1] + l2
+        score += other
+    np.copyto(score, -np.inf, where=few)
     return score.reshape(score.shape[0], -1)
 
 

@@ -234,7 +234,8 @@ def judge(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, l
     * ``n_items``: test items of which tiles of at least ``least`` words cover at least ``threshold``; ``item_id``, ``coverage`` and
       ``tiles`` belong to the one covered most (ties: the smallest id), null and 0 without any. Equal rows of ``benchmark`` are one item.
     * Items of fewer than ``least`` words cannot be told from chance and match nothing. A null text contains nothing. Null ids and
-      repeated rows are judged each by itself; other columns are ignored; an empty table gives an empty result.
+      repeated rows are judged each by itself; texts of any length are read whole; other columns are ignored; an empty table gives an empty
+      result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     if small_enough(benchmark) if broadcast is None else broadcast:

@@ -173,7 +173,8 @@ def mix(
     * ``taken``: words of the document in the mix, repeats counted; at most ``repeats`` times ``size``. A source's taken words
       come to its target within a block. Documents without a word are kept and give nothing.
     * A null source is a source, the last in order, and other than the empty name. Null ids and repeated rows are kept, each row by
-      itself. Reruns agree. An empty table gives an empty result; other columns are ignored.
+      itself. Reruns agree. Texts of any length are counted whole; a long one lies in as many blocks as it fills. An empty table gives an empty
+      result; other columns are ignored.
     """
     sized = docs.select(
         source_key(F.col("source")).alias("src"), F.col("doc_id").cast("long"), n_words(F.col("text")).alias("size"),

@@ -161,8 +161,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Only the text is an input of the score. A null text is scored like an empty one; a null ``doc_id`` is not held out
-    (its remainder is unknown); repeated rows are scored each by itself; other columns are ignored; an empty table
-    gives an empty result.
+    (its remainder is unknown); repeated rows are scored each by itself, so equal texts tie; texts of any length are read whole (a
+    text's features take at most SPACE / 8 bytes); other columns are ignored; an empty table gives an empty result.
     """
     get = share(docs.sparkSession, Model, vars(model))  # two numbers per feature: a fixed 4 MB
 

@@ -80,7 +80,8 @@ def judge(docs: DataFrame) -> DataFrame:
     * ``n_repeat_words``: words in three-word windows that occur twice or more in the text, the first included.
     * ``n_dup_lines``: lines with a word that equal an earlier line of the text.
     * ``repeat_words`` and ``longest_repeat`` are in words. Repeated rows are judged each by itself, a null
-      ``doc_id`` is kept, other columns are ignored, and an empty table gives an empty result.
+      ``doc_id`` is kept, other columns are ignored, and an empty table gives an empty result. Texts of any length are read whole; the rank
+      levels of very long ones lie on disk.
     """
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:

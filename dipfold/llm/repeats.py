@@ -273,8 +273,8 @@ def judge(docs: DataFrame, least: int = MIN_MATCH, seed: int = SEED) -> DataFram
     * ``spans``: like ``12-80 300-371``, half-open in words (``[^\\x20\\x09-\\x0D]+``), united; each word in them lies in a run of at least
       ``least`` words that occurs elsewhere: in another text, elsewhere in the same text, or in an equal copy of the whole text.
     * ``copies``: rows with exactly this text. A text of at least ``least`` words with several copies is one whole span.
-    * Null and short texts have no spans. Null ids and repeated rows are kept, each by itself; other columns are ignored; an
-      empty table gives an empty result.
+    * Null and short texts have no spans. Null ids and repeated rows are kept, each by itself; texts of any length are read whole;
+      other columns are ignored, whatever their names; an empty table gives an empty result.
     """
     docs = docs.select(text_key().alias("key"), F.col("doc_id").cast("long"), "text")
     keys = cut(docs.select("key", "doc_id", n_words(F.col("text")).alias("n_words")), "keys")

@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     * A null or wordless text has fingerprint zero and is linked like any other.
     * A row with a null ``doc_id`` is kept and labelled; it never gives a component its name, so a component of such
       rows alone has a null ``component_id``.
-    * An empty table gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored.
+    * Texts of any length are read whole. An empty table gives an empty result. Columns other than ``doc_id`` and ``text`` are ignored.
     """
     marked = cut(fingerprints(docs, shingle), "fps")
     unique = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "unique")

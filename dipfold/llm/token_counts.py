@@ -19,7 +19,7 @@ import uuid
 
 import pyarrow as pa
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dipfold.llm.common import map_texts, n_words, scratch, share
@@ -33,6 +33,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 KEYS = ("source", "lang", "tokenizer")
 SUMS = ("docs", "tokens", "chars")
 ROWS = "doc_id long, source string, lang string, tokenizer string, docs long, tokens long, chars long"
+#: Folders by which a batch's rows are laid out: a change reads those of the ids that it takes away.
+BUCKETS, SHARES = 64, 64
 TOTALS = "source string, lang string, tokenizer string, docs long, tokens long, chars long"
 
 
@@ -79,6 +81,10 @@ def all_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     return word_counts(docs).unionByName(counted(docs, vocabulary))
 
 
+def bucket(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.xxhash64(doc_id), F.lit(BUCKETS)), F.lit(0)).cast("int")
+
+
 class Ledger:
     """Signed rows by batch, in a folder that driver and executors share.
 
@@ -128,16 +134,23 @@ class Ledger:
     def batches(self) -> list[str]:
         return sorted(m["batch"] for m in self.log() if m["batch"] is not None)
 
-    def rows(self, log: list[dict] | None = None) -> DataFrame:
-        """The signed rows of all committed batches: the last base and the batches after it."""
+    def rows(self, log: list[dict] | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """The signed rows of all committed batches: the last base and the batches after it; of some ``buckets`` alone if these are named."""
         log = self.log() if log is None else log
         first = max((m["number"] for m in log if m["batch"] is None), default=0)
-        paths = [f"{self.path}/{m['rows']}" for m in log if m["number"] >= first]
-        return self.spark.read.schema(ROWS).parquet(*paths) if paths else self.spark.createDataFrame([], ROWS)
+        out = self.spark.createDataFrame([], ROWS)
+        for m in log:
+            if m["number"] >= first:
+                own = self.spark.read.schema(ROWS + ", bucket int").parquet(f"{self.path}/{m['rows']}")
+                out = out.union((own if buckets is None else own.where(F.col("bucket").isin(buckets))).drop("bucket"))
+        return out
 
     def _append(self, log: list[dict], batch: str | None, rows: DataFrame) -> bool:
         name = f"rows/{uuid.uuid4().hex}"
-        rows.select("doc_id", *KEYS, *(F.col(c).cast("long") for c in SUMS)).write.parquet(f"{self.path}/{name}")
+        rows = rows.select("doc_id", *KEYS, *(F.col(c).cast("long") for c in SUMS), bucket(F.col("doc_id")).alias("bucket"))
+        # a file for each bucket and share of it, however many tasks counted; rows without an id are dealt by what they count
+        share = F.pmod(F.xxhash64("doc_id", *KEYS, *SUMS), F.lit(SHARES))
+        rows.repartition("bucket", share).write.partitionBy("bucket").parquet(f"{self.path}/{name}")
         if self.publish(f"log/{len(log)}", {"number": len(log), "batch": batch, "rows": name}):
             return True
         path, fs = self._at(name)
@@ -159,7 +172,8 @@ class Ledger:
             rows = plus
             if gone is not None:
                 ids = gone.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long")).distinct()
-                own = self.rows(log).join(ids, "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(*((-F.sum(c)).alias(c) for c in SUMS))
+                touched = [r[0] for r in ids.select(bucket(F.col("doc_id"))).distinct().collect()]  # at most BUCKETS numbers
+                own = self.rows(log, touched).join(ids, "doc_id", "left_semi").groupBy("doc_id", *KEYS).agg(*((-F.sum(c)).alias(c) for c in SUMS))
                 rows = rows.unionByName(own.where("docs <> 0 OR tokens <> 0 OR chars <> 0"))
             if self._append(log, batch, rows):
                 return True
@@ -200,7 +214,7 @@ def rollup(docs: DataFrame, vocabulary: str = VOCABULARY, path: str | None = Non
     committed, and committed again without effect.
 
     A null text has no token and no character; null sources and languages are values of their own; repeated rows count each, null ids too;
-    an empty table gives an empty result; other columns are ignored.
+    texts of any length are counted whole; an empty table gives an empty result; other columns are ignored.
     """
     ledger = Ledger(docs.sparkSession, path or scratch(docs.sparkSession, "ledger"))
     before, added, gone = history(docs)

@@ -204,7 +204,8 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, held_out, score, predicted``.
 
     Only the text is an input of the score. A null text is scored like an empty one; a null ``doc_id`` is not held out;
-    repeated rows are scored each by itself; other columns are ignored; an empty table gives an empty result.
+    repeated rows are scored each by itself, so equal texts tie; texts of any length are read whole; other columns are ignored; an empty
+    table gives an empty result.
     """
     get = share(docs.sparkSession, Lexicon, lexicon.fields())  # learned from the bounded sample
 

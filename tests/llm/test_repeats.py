@@ -69,5 +69,21 @@ def test_equals_brute_force(spark, seed, least, k):
     assert not bad, bad[:3]
 
 
+def test_very_long_texts_and_clashing_columns(spark):
+    """Two texts of 60,000 words share a passage and one repeats itself; columns have the names that are used inside."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    say = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    passage, again = say(60), say(55)
+    rows = [(1, " ".join(say(30_000) + passage + say(30_000))), (2, " ".join(say(100) + passage + say(59_000) + again + say(10) + again)), (3, " ".join(say(40)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = df.withColumns({c: F.lit("?") for c in ("n_words", "copies", "SPANS", "row", "digest", "id", "at", "seed", "h", "key", "left", "right", "text_id", "node", "place")})
+    want = brute(rows, repeats.MIN_MATCH)
+    for d in (df, odd):
+        assert sorted((tuple(r) for r in repeats.judge(d).collect()), key=str) == want
+    assert [w[4] for w in want] == [1, 3, 0]
+
+
 def test_empty(spark):
     assert repeats.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0

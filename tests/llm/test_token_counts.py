@@ -113,3 +113,18 @@ def base64_ranks():
 def test_known_counts():
     encoder = t.Encoder(base64_ranks(), t.PATTERN)
     assert encoder.count("") == encoder.count(None) == 0 and encoder.count("hello world") == 2
+
+
+def test_a_change_reads_what_it_touches(spark, tmp_path):
+    """Of a ledger whose other buckets can no longer be read, the documents of one bucket can still be taken away."""
+    ledger = t.Ledger(spark, str(tmp_path / "ledger"))
+    d = spark.createDataFrame([(i, "s", "en", f"one two {i}") for i in range(400)], "doc_id long, source string, lang string, text string")
+    ledger.commit("all", t.word_counts(d))
+    (rows,) = (tmp_path / "ledger" / "rows").iterdir()
+    gone = [r.doc_id for r in d.where(t.bucket(d["doc_id"]) == 3).collect()]
+    for f in rows.glob("bucket=*/*.parquet"):
+        if f.parent.name != "bucket=3":
+            f.write_bytes(b"gone")
+    assert gone and ledger.commit("less", t.word_counts(d.limit(0)), spark.createDataFrame([(i,) for i in gone], "doc_id long"))
+    (new,) = (f for f in (tmp_path / "ledger" / "rows").iterdir() if f != rows)
+    assert sorted((r.doc_id, r.docs, r.tokens) for r in spark.read.parquet(str(new)).collect()) == [(i, -1, -3) for i in gone]

@@ -36,14 +36,6 @@ def _filled() -> Column:
     return F.when(F.col("_seen"), v).when(before.isNull(), after["v"]).when(after.isNull(), before["v"]).otherwise(step * (F.col("t_us") - before["t"]) + before["v"])
 
 
-def _quadratic(n: Column, h: Column, u: Column, sums: list[Column]) -> Column:
-    """The least-squares quadratic over offsets -h .. h, ``n`` points, at the offset ``u``."""
-    s2 = h * (h + 1) * n / 3
-    s4 = s2 * (3 * h * h + 3 * h - 1) / 5
-    curved = (n * sums[2] - s2 * sums[0]) / (n * s4 - s2 * s2)
-    return (sums[0] - curved * s2) / n + u * sums[1] / s2 + u * u * curved
-
-
 def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, least: float = T.MIN_SHARE) -> DataFrame:
     """Adds ``flat`` (NULL where it cannot be told) and ``status`` to the masked curve of :func:`timeseries.masked`.
 
@@ -86,19 +78,24 @@ def flattened(d: DataFrame, gap_factor: float = GAP_FACTOR, least: float = T.MIN
         return F.struct(x["row"].alias("row"), x["i"].alias("i"), c.alias("c"), at(c - h - 1)["p"].alias("before"), at(c - h)["s"].alias("first"), at(c + h)["p"].alias("upto"))
 
     long = cells.select(*T.KEY, n.cast("long").alias("n"), h.cast("long").alias("h"), w.alias("w"), "_w", F.inline(F.transform("cells", ends)))
-    low = F.col("c") - F.col("h")
-    whole = low % F.col("w") == 0  # the window is a block
-    total = [F.lit(0.0)] * 3
-    for part_of, offset in (
-        ([F.col(f"first.m{k}") - F.when(whole, F.lit(0.0)).otherwise(F.col(f"before.m{k}")) for k in range(3)], F.floor(low / F.col("w")) * F.col("w") - F.col("c")),
-        ([F.when(whole, F.lit(0.0)).otherwise(F.col(f"upto.m{k}")) for k in range(3)], (F.floor(low / F.col("w")) + 1) * F.col("w") - F.col("c")),
-    ):
-        a, b, e = part_of
-        total = [total[0] + a, total[1] + b + offset * a, total[2] + e + 2 * offset * b + offset * offset * a]
-    fit = _quadratic(F.col("w").cast("double"), F.col("h").cast("double"), (F.col("i") - F.col("c")).cast("double"), total)
-    level = F.when(F.col("n") < F.col("w"), F.col("row._level")).otherwise(fit)
-    value = F.col("row._v")
-    flat = F.when(F.col("row._mask").isNull(), value).when(F.col("_w").isNotNull(), X.ratio(value, level))
-    out = long.select(*T.KEY, *(F.col(f"row.{c}").alias(c) for c in names), F.when(X.finite(flat), flat).alias("flat"), F.col("row._mask").isNull().alias("_none"))
+    # step by step, so that what is used several times is worked out once
+    low, w, col = F.col("low"), F.col("w"), F.col
+    d = long.withColumn("low", col("c") - col("h"))
+    d = d.withColumns({"whole": low % w == 0, "start": F.floor(low / w) * w - col("c")})  # whole: the window is a block
+    rest = {f"a{k}": col(f"first.m{k}") - F.when(col("whole"), F.lit(0.0)).otherwise(col(f"before.m{k}")) for k in range(3)}
+    begun = {f"b{k}": F.when(col("whole"), F.lit(0.0)).otherwise(col(f"upto.m{k}")) for k in range(3)}
+    d = d.withColumns(rest | begun | {"x": col("start").cast("double"), "y": (col("start") + w).cast("double")})
+    d = d.withColumns({
+        "m0": col("a0") + col("b0"), "m1": col("a1") + col("x") * col("a0") + col("b1") + col("y") * col("b0"),
+        "m2": col("a2") + 2 * col("x") * col("a1") + col("x") * col("x") * col("a0") + col("b2") + 2 * col("y") * col("b1") + col("y") * col("y") * col("b0"),
+        "s2": (col("h") * (col("h") + 1) * w).cast("double") / 3, "u": (col("i") - col("c")).cast("double"),
+    })
+    # the least-squares quadratic over offsets -h .. h, w points, at the offset u
+    d = d.withColumn("s4", col("s2") * (3 * col("h") * col("h") + 3 * col("h") - 1) / 5)
+    d = d.withColumn("curved", (w * col("m2") - col("s2") * col("m0")) / (w * col("s4") - col("s2") * col("s2")))
+    fit = (col("m0") - col("curved") * col("s2")) / w + col("u") * col("m1") / col("s2") + col("u") * col("u") * col("curved")
+    d = d.withColumn("level", F.when(col("n") < w, col("row._level")).otherwise(fit))
+    d = d.withColumn("flat", F.when(col("row._mask").isNull(), col("row._v")).when(col("_w").isNotNull(), X.ratio(col("row._v"), col("level"))))
+    out = d.select(*T.KEY, *(col(f"row.{c}").alias(c) for c in names), F.when(X.finite(col("flat")), col("flat")).alias("flat"), col("row._mask").isNull().alias("_none"))
     status = F.when(F.col("_none"), "none").when(F.max(F.col("flat").isNotNull()).over(one), "").otherwise("nodata")
     return out.withColumn("status", status).drop("_none")

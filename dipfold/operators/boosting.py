@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -216,8 +216,13 @@ def start_of(share: float) -> float:
     return float(np.log(share / (1 - share)))
 
 
-def fit_block(codes: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int, rate: float, leaves: int, least: int, l2: float) -> tuple[float, list, np.ndarray]:
-    """Start, trees and the margins of all rows of one block, fitted on the rows of ``train``. Log loss, one Newton step a round."""
+def fit_block(
+    codes: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int, rate: float, leaves: int, least: int, l2: float, seen: Callable[[int, np.ndarray], None] | None = None
+) -> tuple[float, list, np.ndarray]:
+    """Start, trees and the margins of all rows of one block, fitted on the rows of ``train``. Log loss, one Newton step a round.
+
+    ``seen`` is told the number of each round and the margins after it.
+    """
     start = start_of(float(y[train].mean()) if train.any() else 0.5)
     margin, trees = np.full(len(y), start), []
     for _ in range(rounds):
@@ -232,6 +237,8 @@ def fit_block(codes: np.ndarray, y: np.ndarray, train: np.ndarray, rounds: int,
             break
         trees.append(tree.nodes())
         margin += tree.values()[place]
+        if seen:
+            seen(len(trees), margin)
     return start, trees, margin
 
 
@@ -282,22 +289,38 @@ SCORES = "run int, key long, label int, score double"
 
 
 def _in_one_block(rows: DataFrame, runs: list[dict], width: int, splits_: int, models: bool) -> DataFrame:
-    """The fits of all runs, a task for each: their models, or the scores of their TEST rows."""
+    """The fits of all runs, a task for each: their models, or the scores of their TEST rows.
+
+    Runs that differ only in their rounds are one fit: the shorter one is the beginning of the longer one.
+    """
+    alike: dict[str, list[int]] = {}
+    for k, r in enumerate(runs):
+        alike.setdefault(json.dumps([r["columns"], r["part"], r["params"] | {"rounds": 0}], sort_keys=True), []).append(k)
+    fits = list(alike.values())
 
     def work(g: pa.Table) -> pa.Table:
-        run = g["run"][0].as_py()
+        mine = sorted(fits[g["run"][0].as_py()], key=lambda k: runs[k]["params"]["rounds"])
+        run = mine[-1]
         job = runs[run]
         g = g.take(np.lexsort((g["y"].to_numpy(), g["key"].to_numpy(zero_copy_only=False))))
         codes, part = _bytes(g, "codes", np.uint8, width)[:, job["columns"]], _bytes(g, "parts", np.uint8, splits_)[:, job["part"]]
         y = g["y"].to_numpy().astype(float)
-        start, trees, margin = fit_block(codes, y, part == TRAIN, **job["params"])
+        test = np.flatnonzero(part == TEST)
+        stops = {runs[k]["params"]["rounds"]: None for k in mine}
+
+        def seen(n: int, margin: np.ndarray) -> None:
+            if n in stops:
+                stops[n] = margin[test]
+
+        start, trees, margin = fit_block(codes, y, part == TRAIN, **job["params"], seen=seen)
         if models:
             return pa.table([pa.array([run], pa.int32()), pa.array([start]), pa.array([json.dumps(trees)])], ["run", "start", "trees"])
-        test = np.flatnonzero(part == TEST)
-        cols = [pa.array(np.full(len(test), run, np.int32)), g["key"].take(test), g["y"].take(test), pa.array(1 / (1 + np.exp(-margin[test])))]
-        return pa.table(cols, ["run", "key", "label", "score"])
+        at = [stops[runs[k]["params"]["rounds"]] for k in mine]
+        score = 1 / (1 + np.exp(-np.concatenate([margin[test] if m is None else m for m in at])))
+        rows = np.tile(test, len(mine))
+        return pa.table([pa.array(np.repeat(np.array(mine, np.int32), len(test))), g["key"].take(rows), g["y"].take(rows), pa.array(score)], ["run", "key", "label", "score"])
 
-    each = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(runs) - 1)))).repartitionByRange(len(runs), "run")
+    each = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1)))).repartitionByRange(len(fits), "run")
     return each.groupBy("run").applyInArrow(work, RUN if models else SCORES)
 
 

@@ -466,11 +466,12 @@ def test_rows_in_many_blocks_give_the_same_fits(spark):
     d = spark.createDataFrame(rows, "id long, star long, a double, b double, label int")
     parts = [F.when(F.col("star") % 4 == k, 1).when((F.col("star") % 4 == 3) & F.lit(k == 1), 2).otherwise(0) for k in range(2)]
     params = {"rounds": 5, "rate": 0.3, "leaves": 6, "least": 10, "l2": 0.5}
-    runs = [{"columns": c, "part": p, "params": params | {"rounds": r}} for c, p, r in (([0, 1], 0, 5), ([1], 0, 3), ([0, 1], 1, 5))]
+    runs = [{"columns": c, "part": p, "params": params | {"rounds": r}} for c, p, r in (([0, 1], 0, 5), ([1], 0, 3), ([0, 1], 1, 5), ([0, 1], 0, 2), ([0, 1], 0, 5))]
     run = lambda size: {(r.run, r.key, r.label): r.score for r in boosting.scores(d, "id", "label", ["a", "b"], runs, parts, size, settled=2).collect()}
     one, many = run(1 << 16), run(64)
     assert one == pytest.approx(many)
-    assert {(k, i) for k, i, _ in one} == {(k, i) for k, p in ((0, 0), (1, 0), (2, 1)) for i, s, _, _, y in rows if y is not None and s % 4 == p}
+    assert {(k, i) for k, i, _ in one} == {(k, i) for k, p in ((0, 0), (1, 0), (2, 1), (3, 0), (4, 0)) for i, s, _, _, y in rows if y is not None and s % 4 == p}
+    assert all(one[k, i, y] != one[0, i, y] if k == 3 else one[k, i, y] == one[0, i, y] for k, i, y in one if k > 2)
     a, b = (boosting.model(d, "id", "label", ["a", "b"], params, size, settled=2) for size in (1 << 16, 64))
     x = np.array([[np.nan if r[2] is None else r[2], r[3]] for r in rows])
     assert len(a["trees"]) == 5 and boosting.predict(a, x) == pytest.approx(boosting.predict(b, x))

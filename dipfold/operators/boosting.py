@@ -98,7 +98,13 @@ def splits(sums: np.ndarray, least: int, l2: float) -> list[tuple | None]:
 
     Of equal gains the first feature and bin counts, missing values to the right before missing values to the left.
     """
-    slots = sums.shape[1]
+    # a node of fewer rows than two sides need has no split
+    out: list[tuple | None] = [None] * sums.shape[1]
+    able = np.flatnonzero(sums[2, :, 0].sum(axis=1) >= 2 * least)
+    if not len(able):
+        return out
+    sums = sums[:, able] if len(able) < len(out) else sums
+    slots = len(able)
     missing = sums[..., BINS:]
     left = np.cumsum(sums[..., :BINS], axis=3)
     total = left[:, :, :1, -1:] + missing[:, :, :1]
@@ -107,17 +113,15 @@ def splits(sums: np.ndarray, least: int, l2: float) -> list[tuple | None]:
     right = _gains(left, total, least, l2)
     lefts = left[:, :, some] + missing[:, :, some]
     low = _gains(lefts, total, least, l2) if len(some) else np.full((slots, 1), -np.inf)
-    out: list[tuple | None] = []
     for s, (i, j) in enumerate(zip(right.argmax(axis=1).tolist(), low.argmax(axis=1).tolist(), strict=True)):
         g, h = total[:2, s, 0, 0].tolist()
         goes_left = bool(low[s, j] > right[s, i])
         best = float(low[s, j] if goes_left else right[s, i])
         if not best - g * g / max(h + l2, LEAST_HESSIAN) > 1e-12:
-            out.append(None)
             continue
         f, b = divmod(j if goes_left else i, BINS)
         own = (lefts if goes_left else left)[:2, s, f, b].tolist()
-        out.append((best - g * g / (h + l2), int(some[f]) if goes_left else f, b, goes_left, tuple(own), (g, h)))
+        out[able[s]] = (best - g * g / (h + l2), int(some[f]) if goes_left else f, b, goes_left, tuple(own), (g, h))
     return out
 
 

@@ -247,15 +247,22 @@ def fit_block(
 
 
 def added(trees: list, codes: np.ndarray) -> np.ndarray:
-    """What ``trees`` add to the margins of rows."""
-    out = np.zeros(len(codes))
+    """What ``trees`` add to the margins of rows.
+
+    Each tree is read as a table of the next node by node and bin, in which leaves lead to themselves: a step down is two look-ups for each row.
+    """
+    out, bins = np.zeros(len(codes)), np.arange(BINS + 1)
+    own, first = codes.ravel(), np.arange(len(codes)) * codes.shape[1]
     for nodes in trees:
         feature, at, low, left, right, value = (np.array(c) for c in zip(*nodes, strict=True))
+        goes = bins <= at[:, None]
+        goes[:, BINS] = low
+        below = np.where(goes, left[:, None], right[:, None])
+        below = np.where(feature[:, None] >= 0, below, np.arange(len(nodes))[:, None]).ravel()
+        column, start = np.maximum(feature, 0), np.arange(len(nodes)) * (BINS + 1)
         here = np.zeros(len(codes), np.int64)
-        while (inner := feature[here] >= 0).any():
-            c = codes[np.arange(len(codes)), np.maximum(feature[here], 0)]
-            goes = np.where(c == BINS, low[here], c <= at[here])
-            here = np.where(inner, np.where(goes, left[here], right[here]), here)
+        while (feature[here] >= 0).any():
+            here = below[start[here] + own[first + column[here]]]
         out += value[here]
     return out
 

@@ -16,6 +16,19 @@ def value_counts(d: DataFrame, *key: str) -> DataFrame:
 RANGE_ROWS, LEAST_RANGES, MOST_RANGES = 1_000_000, 8, 1024
 
 
+#: Edges that one look-up of a range compares a value with, at each of its two steps.
+EDGES_A_STEP = 32
+
+
+def range_of(value: Column, edges: list[float]) -> Column:
+    """How many of the sorted ``edges`` are no larger than a value: whole runs of edges by their last ones, then edges of the run that is left."""
+    size = lambda within: F.size(F.filter(within, lambda e: e <= value))
+    if len(edges) <= EDGES_A_STEP:
+        return size(F.lit(edges))
+    whole = size(F.lit(edges[EDGES_A_STEP - 1 :: EDGES_A_STEP])) * EDGES_A_STEP
+    return whole + size(F.slice(F.lit(edges), whole + 1, EDGES_A_STEP))
+
+
 def sums_below(n: DataFrame, value: str, by: list[str], columns: list[str]) -> DataFrame:
     """Adds to each row of ``n`` (distinct values of each group) the sums of ``columns`` over the smaller values of its group, as
     ``below_<column>``, and over the whole group, as ``all_<column>``.
@@ -26,8 +39,8 @@ def sums_below(n: DataFrame, value: str, by: list[str], columns: list[str]) -> D
     every = [k / MOST_RANGES for k in range(1, MOST_RANGES)]
     found = n.agg(F.count("*").alias("rows"), F.percentile_approx(F.col(value).cast("double"), F.lit(every), F.lit(10_000)).alias("at")).first()
     ranges = min(MOST_RANGES, max(LEAST_RANGES, found["rows"] // RANGE_ROWS))
-    edges = sorted({float(e) for e in (found["at"] or [])[MOST_RANGES // ranges - 1 :: MOST_RANGES // ranges]}) or [0.0]
-    n = n.withColumn("_range", F.size(F.filter(F.lit(edges), lambda e: e <= F.col(value).cast("double"))))
+    edges = sorted({float(e) for e in (found["at"] or [])[MOST_RANGES // ranges - 1 :: MOST_RANGES // ranges] if e == e}) or [0.0]
+    n = n.withColumn("_range", range_of(F.col(value).cast("double"), edges))
     totals = n.groupBy(*by, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in columns))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
     lower = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)

@@ -535,6 +535,17 @@ def test_experiments_keep_stars_apart_and_their_metrics_hold(spark):
     assert len(learning.configurations()) == 32 and learning.DEFAULTS in learning.configurations()
 
 
+@pytest.mark.parametrize("count", [1, 31, 32, 33, 64, 65, 1023])
+def test_range_of_counts_the_edges_below(spark, count):
+    """In one step or in two, at the edges themselves and between them; the largest range for NaN, the first for NULL."""
+    edges = [round(0.5 * k - 7, 1) for k in range(count)]
+    values = [None, float("nan"), float("-inf"), float("inf"), *edges, *(e + 0.25 for e in edges), -100.0]
+    d = spark.createDataFrame([(v,) for v in values], "v double").withColumn("r", stats.range_of(F.col("v"), edges))
+    want = lambda v: count if math.isnan(v) else sum(e <= v for e in edges)
+    assert all(r.r == want(r.v) for r in d.where("v IS NOT NULL").collect())
+    assert d.where("v IS NULL").first().r == 0
+
+
 def test_quantiles_and_places_by_ranges(spark):
     """Null groups, values all NULL, one value that most rows share, infinities."""
     rng = random.Random(1)

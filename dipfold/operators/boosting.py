@@ -7,8 +7,9 @@ deep.
 
 Rows are dealt in blocks of at most BLOCK_ROWS. Each block sums its own histograms (the map-side combine), and one ``groupBy(fit, node)`` a wave adds
 them up and finds the splits, for all fits at once; the driver holds trees, never rows or histograms. Where all rows are one block there is
-nothing to add up between blocks: the same waves then run where the block lies, and fits are dealt over the tasks. Both ways fit all rows and give
-the same trees.
+nothing to add up between blocks: the same waves then run where the block lies, and fits are dealt over the tasks. There rows of the same bins are one
+cell with its numbers of rows, and of two children the larger one's sums are its parent's less its sibling's. Gradients and hessians are whole
+multiples of a small grain (:func:`grain_of`), so all these sums are exact in any order. Both ways fit all rows and give the same trees.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from dipfold.functions import expressions as X
 
 BINS = 255
 LEAST_HESSIAN = 1e-3
-#: Rows of one block; a fit of no more rows than that needs no sums over blocks.
-BLOCK_ROWS = 1 << 16
+#: Rows of one block, about 100 bytes each while a fit runs; a fit of no more rows than that needs no sums over blocks.
+BLOCK_ROWS = 1 << 21
 #: Rounds after which the rows' margins are written down, so that no job goes through more trees than that.
 SETTLED_ROUNDS = 8
 #: Parts of a split, as codes.
@@ -215,6 +216,40 @@ class Growing:
         return out
 
 
+def chance(margin: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):  # of a margin far below zero: no chance
+        return 1 / (1 + np.exp(-margin))
+
+
+def grain_of(rows: float) -> float:
+    """The power of two of which gradients and hessians are multiples, so that sums over ``rows`` of them are exact in doubles: 2**-38 for ten thousand."""
+    return 2.0 ** (int(rows).bit_length() - 52)
+
+
+def derivatives(margin: np.ndarray, grain: float) -> tuple[np.ndarray, np.ndarray]:
+    """The chance of label 1 and the hessian at each margin, as multiples of ``grain``; a row's gradient is its chance less its label."""
+    p = chance(margin)
+    return np.rint(p / grain) * grain, np.rint(p * (1 - p) / grain) * grain
+
+
+def cells_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the distinct rows, and for each row the number of its own."""
+    at, first = np.zeros(len(codes), np.int64), np.arange(min(len(codes), 1))
+    for j in range(codes.shape[1]):
+        _, first, at = np.unique(at * (BINS + 1) + codes[:, j], return_index=True, return_inverse=True)
+    return codes[first], at
+
+
+def sums_of(columns: list[np.ndarray], own: np.ndarray, g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The sums of :func:`histograms` over the cells ``own`` of one node."""
+    out, weights = np.zeros((3, len(columns), BINS + 1)), (g[own], h[own], n[own])
+    for j, column in enumerate(columns):
+        bins = column[own].astype(np.int64)
+        for k, w in enumerate(weights):
+            out[k, j] = np.bincount(bins, w, BINS + 1)
+    return out
+
+
 def start_of(share: float) -> float:
     share = min(max(share, 1e-9), 1 - 1e-9)
     return float(np.log(share / (1 - share)))
@@ -228,22 +263,37 @@ def fit_block(
     ``seen`` is told the number of each round and the margins after it.
     """
     start = start_of(float(y[train].mean()) if train.any() else 0.5)
-    margin, trees = np.full(len(y), start), []
+    cells, at = cells_of(codes)
+    columns = [np.ascontiguousarray(cells[:, j]) for j in range(codes.shape[1])]
+    n = np.bincount(at[train], minlength=len(cells)).astype(float)
+    up = np.bincount(at[train], y[train], len(cells))
+    margin, trees, grain = np.full(len(cells), start), [], grain_of(n.sum())
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = p - y, p * (1 - p)
-        tree, place = Growing(leaves, least, l2, rate), np.zeros(len(y), np.int64)
+        p, h = derivatives(margin, grain)
+        g, h = n * p - up, n * h
+        tree, members = Growing(leaves, least, l2, rate), {0: np.arange(len(cells))}
+        sums = {0: sums_of(columns, members[0], g, h, n)}
         while tree.wanted:
-            slot = np.where(train, tree.slots(place), -1)
-            tree.tell(dict(zip(tree.wanted, splits(histograms(codes, slot, g, h, len(tree.wanted)), least, l2), strict=True)))
-            place = tree.moved(codes, place)
+            tree.tell(dict(zip(tree.wanted, splits(np.stack([sums[k] for k in tree.wanted], axis=1), least, l2), strict=True)))
+            for k in tree.inner:
+                if k not in members or tree.left[k] in members:
+                    continue
+                own, left, right = members.pop(k), tree.left[k], tree.right[k]
+                bins = columns[tree.feature[k]][own]
+                goes = (bins <= tree.at[k]) | (bins == BINS) if tree.low[k] else bins <= tree.at[k]
+                members[left], members[right] = own[goes], own[~goes]
+                small, large = (left, right) if len(members[left]) <= len(members[right]) else (right, left)
+                sums[small] = sums_of(columns, members[small], g, h, n)
+                sums[large] = sums.pop(k) - sums[small]
         if not tree.inner:
             break
         trees.append(tree.nodes())
-        margin += tree.values()[place]
+        value = tree.values()
+        for k, own in members.items():
+            margin[own] += value[k]
         if seen:
-            seen(len(trees), margin)
-    return start, trees, margin
+            seen(len(trees), margin[at])
+    return start, trees, margin[at]
 
 
 def added(trees: list, codes: np.ndarray) -> np.ndarray:
@@ -269,7 +319,7 @@ def added(trees: list, codes: np.ndarray) -> np.ndarray:
 
 def predict(model: dict, x: np.ndarray) -> np.ndarray:
     codes = binned(x, [np.asarray(e) for e in model["edges"]])
-    return 1 / (1 + np.exp(-(model["start"] + added(model["trees"], codes))))
+    return chance(model["start"] + added(model["trees"], codes))
 
 
 def coded(d: DataFrame, key: str, label: str, features: list[str], parts: list[Column], edges: list[list[float]]) -> DataFrame:
@@ -309,29 +359,43 @@ def _in_one_block(rows: DataFrame, runs: list[dict], width: int, splits_: int, m
         alike.setdefault(json.dumps([r["columns"], r["part"], r["params"] | {"rounds": 0}], sort_keys=True), []).append(k)
     fits = list(alike.values())
 
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, part, y = _bytes(batch, "codes", np.uint8, width), _bytes(batch, "parts", np.uint8, splits_), batch.column("y").to_numpy().astype(np.int32)
+            for k, (first, *_) in enumerate(fits):
+                own = part[:, runs[first]["part"]]
+                train, test = np.flatnonzero(own == TRAIN), np.flatnonzero(own == TEST)
+                held = np.concatenate([test, train])
+                keys = pa.array([[]], pa.list_(pa.int64())) if models else pa.ListArray.from_arrays(pa.array([0, len(test)], pa.int32()), batch.column("key").take(pa.array(test)))
+                own = [pa.array([a.tobytes()], pa.binary()) for a in (codes[held][:, runs[first]["columns"]], y[held])]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(test)], pa.int32()), keys, *own], ["run", "tests", "keys", "codes", "y"])
+
     def work(g: pa.Table) -> pa.Table:
         mine = sorted(fits[g["run"][0].as_py()], key=lambda k: runs[k]["params"]["rounds"])
         run = mine[-1]
         job = runs[run]
-        g = g.take(np.lexsort((g["y"].to_numpy(), g["key"].to_numpy(zero_copy_only=False))))
-        codes, part = _bytes(g, "codes", np.uint8, width)[:, job["columns"]], _bytes(g, "parts", np.uint8, splits_)[:, job["part"]]
-        y = g["y"].to_numpy().astype(float)
-        test = np.flatnonzero(part == TEST)
+        own = [np.frombuffer(b, np.int32) for b in g["y"].to_pylist()]
+        y = np.concatenate(own)
+        codes = np.frombuffer(b"".join(g["codes"].to_pylist()), np.uint8).reshape(len(y), len(job["columns"]))
+        # the TEST rows of each batch lie before its TRAIN rows
+        train = np.concatenate([np.arange(len(b)) >= tests for b, tests in zip(own, g["tests"].to_pylist(), strict=True)])
+        test = np.flatnonzero(~train)
         stops = {runs[k]["params"]["rounds"]: None for k in mine}
 
         def seen(n: int, margin: np.ndarray) -> None:
             if n in stops:
                 stops[n] = margin[test]
 
-        start, trees, margin = fit_block(codes, y, part == TRAIN, **job["params"], seen=seen)
+        start, trees, margin = fit_block(codes, y.astype(float), train, **job["params"], seen=seen)
         if models:
             return pa.table([pa.array([run], pa.int32()), pa.array([start]), pa.array([json.dumps(trees)])], ["run", "start", "trees"])
-        at = [stops[runs[k]["params"]["rounds"]] for k in mine]
-        score = 1 / (1 + np.exp(-np.concatenate([margin[test] if m is None else m for m in at])))
-        rows = np.tile(test, len(mine))
-        return pa.table([pa.array(np.repeat(np.array(mine, np.int32), len(test))), g["key"].take(rows), g["y"].take(rows), pa.array(score)], ["run", "key", "label", "score"])
+        margins = [stops[runs[k]["params"]["rounds"]] for k in mine]
+        score = chance(np.concatenate([margin[test] if m is None else m for m in margins]))
+        keys = pa.concat_arrays([g["keys"].combine_chunks().flatten()] * len(mine))
+        label = pa.array(np.tile(y[test], len(mine)))
+        return pa.table([pa.array(np.repeat(np.array(mine, np.int32), len(test))), keys, label, pa.array(score)], ["run", "key", "label", "score"])
 
-    each = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(len(fits) - 1)))).repartitionByRange(len(fits), "run")
+    each = rows.mapInArrow(dealt, "run int, tests int, keys array<long>, codes binary, y binary").repartitionByRange(len(fits), "run")
     return each.groupBy("run").applyInArrow(work, RUN if models else SCORES)
 
 
@@ -349,14 +413,14 @@ class _Over:
 
     def __init__(self, rows: DataFrame, runs: list[dict], width: int, splits_: int):
         self.runs, self.width, self.splits = runs, width, splits_
-        self.starts = self._starts(rows)
+        self.starts, self.grains = self._starts(rows)
         at = b"".join(np.float64(s).tobytes() for s in self.starts)
         self.rows = X.kept(rows.withColumn("margins", F.lit(bytearray(at))))
         self.pending: list[list] = [[] for _ in runs]
         self.trees: list[list] = [[] for _ in runs]
 
-    def _starts(self, rows: DataFrame) -> list[float]:
-        """The log odds of each run's TRAIN rows: labels are counted by split."""
+    def _starts(self, rows: DataFrame) -> tuple[list[float], list[float]]:
+        """The log odds and the grain of each run's TRAIN rows: labels are counted by split."""
         width = self.splits
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,11 +433,11 @@ class _Over:
 
         found = {r.part: r for r in rows.mapInArrow(work, "part int, n long, up long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).collect()}
         share = lambda p: found[p].up / found[p].n if p in found and found[p].n else 0.5
-        return [start_of(share(r["part"])) for r in self.runs]
+        return [start_of(share(r["part"])) for r in self.runs], [grain_of(found[r["part"]].n if r["part"] in found else 0) for r in self.runs]
 
     def wave(self, growing: dict[int, Growing]) -> dict[int, dict[int, tuple]]:
         """The best splits of all wanted nodes of all runs: histograms by block, added up by one ``groupBy(run, node)``."""
-        runs, width, splits_, pending = self.runs, self.width, self.splits, self.pending
+        runs, width, splits_, pending, grains = self.runs, self.width, self.splits, self.pending, self.grains
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
@@ -383,8 +447,8 @@ class _Over:
                 for k, tree in growing.items():
                     use = np.flatnonzero(part[:, runs[k]["part"]] == TRAIN)
                     mine = codes[use][:, runs[k]["columns"]]
-                    p = 1 / (1 + np.exp(-at[use, k]))
-                    found = histograms(mine, tree.slots(tree.placed(mine)), p - y[use], p * (1 - p), len(tree.wanted))
+                    p, h = derivatives(at[use, k], grains[k])
+                    found = histograms(mine, tree.slots(tree.placed(mine)), p - y[use], h, len(tree.wanted))
                     sums[k] = sums[k] + found if k in sums else found
             for k, found in sums.items():
                 nodes = growing[k].wanted
@@ -442,7 +506,7 @@ class _Over:
                 at = _margins(batch, codes, runs, pending)
                 for k, job in enumerate(runs):
                     test = np.flatnonzero(part[:, job["part"]] == TEST)
-                    score = pa.array(1 / (1 + np.exp(-at[test, k])))
+                    score = pa.array(chance(at[test, k]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(test), k, np.int32)), batch.column("key").take(pa.array(test)), batch.column("y").take(pa.array(test)), score], ["run", "key", "label", "score"])
 
         return self.rows.mapInArrow(work, SCORES)

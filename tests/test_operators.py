@@ -506,6 +506,53 @@ def test_a_model_learns_and_is_stored(spark, tmp_path):
         learning.fitted(d.withColumn("koi_depth_ppm", F.lit(1)), "id", "label", ["koi_depth_ppm"])
 
 
+def test_fits_do_not_depend_on_the_order_of_rows_and_copies():
+    """Two features that cut alike are an exact tie at every node: the first one counts, in any order of rows; copies are weighted cells."""
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=900)
+    codes = boosting.binned(np.stack([a, -a], axis=1), [np.linspace(-2, 2, 60), np.linspace(-2, 2, 60)])
+    codes = np.concatenate([codes, codes[:300]])
+    y, train = (np.sin(3 * codes[:, 0] / 10) + rng.normal(size=1200) > 0).astype(float), rng.random(1200) < 0.7
+    fit = lambda o: boosting.fit_block(codes[o], y[o], train[o], 20, 0.2, 8, 10, 0.0)
+    start, trees, margin = fit(np.arange(1200))
+    assert {n[0] for nodes in trees for n in nodes} == {-1, 0}
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(1200)
+        other = fit(order)
+        assert other[:2] == (start, trees) and (other[2] == margin[order]).all()
+    g, h = rng.normal(size=1200), rng.random(1200)
+    columns = [np.ascontiguousarray(c) for c in codes.T]
+    assert boosting.sums_of(columns, np.flatnonzero(train), g, h, np.ones(1200)) == pytest.approx(boosting.histograms(codes, np.where(train, 0, -1), g, h, 1)[:, 0])
+
+
+def test_a_table_of_some_hundred_thousand_rows_needs_no_wave_over_blocks(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a job for each wave")
+
+    monkeypatch.setattr(boosting, "_Over", refuse)
+    d = spark.range(70_000).select("id", (F.col("id") % 1000).cast("double").alias("a"), (F.col("id") % 1000 > 500).cast("int").alias("label"))
+    params = {"rounds": 2, "rate": 0.3, "leaves": 4, "least": 10, "l2": 0.0}
+    runs = [{"columns": [0], "part": 0, "params": params}]
+    got = boosting.scores(d, "id", "label", ["a"], runs, [(F.col("id") % 5 == 0).cast("int")]).groupBy("label").agg(F.count("*").alias("n"), F.min("score").alias("low"), F.max("score").alias("high"))
+    low, high = sorted(got.collect())
+    assert low.n + high.n == 14_000 and low.high < high.low
+    assert len(boosting.model(d, "id", "label", ["a"], params)["trees"]) == 2
+
+
+def test_measurements_are_worked_out_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    d = spark.range(300).select("id", (F.col("id") % 60).alias("star"), (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 50 > 20).cast("int").alias("label"))
+    params = learning.DEFAULTS | {"rounds": 2}
+    learning.ablation(d.mapInArrow(counted, d.schema), "id", "star", "label", {"one": ["a"]}, [1, 2], params).collect()
+    assert read.value == 300
+
+
 def test_experiments_keep_stars_apart_and_their_metrics_hold(spark):
     rng = np.random.default_rng(4)
     rows = [(i, i // 3, float(a), None if i % 5 == 0 else float(b), int(a + 0.5 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]

@@ -29,12 +29,12 @@ GROUP_ROWS = 10_000
 def cuts(groups: DataFrame, group: str, seeds: dict[str, int], share: float) -> dict[str, tuple | None]:
     """For each seed the last ``(hash, group)`` of the share of ``groups`` (distinct values) that is held out: exactly ``ceil(share n)`` of them.
 
-    Groups are counted by the upper half of their hash, 65,536 numbers a seed; only those of the one cell in which the share is reached are put in order.
+    Groups are counted by the upper twelve bits of their hash, 4,096 numbers a seed; only those of the one cell in which the share is reached are put in order.
     """
     seeded = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), X.hash_unit(F.col(group), seed).alias("h")) for name, seed in seeds.items()))).alias("x")
-    hashed = X.kept(groups.select(group, seeded).select(group, "x.name", "x.h").withColumn("cell", F.shiftright("h", 16)))
+    hashed = X.kept(groups.select(group, seeded).select(group, "x.name", "x.h").withColumn("cell", F.shiftright("h", 20)))
     cells: dict[str, list[tuple[int, int]]] = {name: [] for name in seeds}
-    for r in hashed.groupBy("name", "cell").agg(F.count("*").alias("n")).collect():  # at most 65,536 numbers a seed
+    for r in hashed.groupBy("name", "cell").agg(F.count("*").alias("n")).collect():  # at most 4,096 numbers a seed
         cells[r.name].append((r.cell, r.n))
     out: dict[str, tuple | None] = {}
     at = []
@@ -215,9 +215,15 @@ def metrics(predictions: DataFrame, threshold: float = 0.25, by: tuple[str, ...]
     return out.join(average_precision(predictions, "score", "label", by), by)
 
 
+def measured(d: DataFrame, *columns: str) -> DataFrame:
+    """What a fit needs of its rows, written down: splits, cuts and codes are made from it, and what lies before is worked out once."""
+    return X.kept(d.select(*dict.fromkeys(columns)))
+
+
 def ablation(d: DataFrame, key: str, group: str, label: str, families: dict[str, list[str]], seeds: list[int], params: dict | None = None) -> DataFrame:
     """Metrics of each feature family on each of the same grouped splits: ``config, part`` and what :func:`metrics` gives."""
     features = sorted({f for fs in families.values() for f in fs})
+    d = measured(d, key, group, label, *features)
     parts = {s: F.when(test, TEST).otherwise(TRAIN) for s, test in held_out(d, group, {str(s): s for s in seeds}).items()}
     runs = [{"config": name, "part": str(s), "features": fs, "params": params or DEFAULTS} for name, fs in families.items() for s in seeds]
     return metrics(experiments(d, key, label, features, runs, parts))
@@ -230,6 +236,7 @@ def spread(results: DataFrame, columns: tuple[str, ...] = ("accuracy", "auc", "p
 
 def inner_against_outer(d: DataFrame, key: str, group: str, label: str, features: list[str], params: dict | None = None) -> DataFrame:
     """Confusion on the test groups of a model fitted on all other rows, and of one fitted without the validation groups."""
+    d = measured(d, key, group, label, *features)
     part = lambda unused: F.when(F.col("part") == "test", TEST).when(F.col("part") == unused, UNUSED).otherwise(TRAIN)
     runs = [{"config": c, "part": c, "features": features, "params": params or DEFAULTS} for c in ("outer", "inner")]
     return metrics(experiments(split(d, group), key, label, features, runs, {"outer": part("none"), "inner": part("validation")}), by=("config",))
@@ -237,6 +244,7 @@ def inner_against_outer(d: DataFrame, key: str, group: str, label: str, features
 
 def baselines(d: DataFrame, key: str, group: str, label: str, features: list[str], single: str, thresholds: tuple[float, ...] = (0.25, 0.4, 0.5, 0.6), seed: int = 42) -> DataFrame:
     """Accuracy on the held-out groups: the majority class, one feature alone and all features, at several thresholds."""
+    d = measured(d, key, group, label, *features)
     test = {"t": F.when(held_out(d, group, {"t": seed})["t"], TEST).otherwise(TRAIN)}
     runs = [{"config": c, "part": "t", "features": fs, "params": DEFAULTS} for c, fs in (("single", [single]), ("all", features))]
     found = experiments(d, key, label, features, runs, test).withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
@@ -250,7 +258,7 @@ def fitted(d: DataFrame, key: str, label: str, features: list[str], params: dict
     leaks = set(features) & set(LEAKAGE)
     if leaks:
         raise ValueError(f"not features: {sorted(leaks)}")
-    return {"features": features, "model": boosting.model(d, key, label, features, params or DEFAULTS, block_rows)}
+    return {"features": features, "model": boosting.model(measured(d, key, label, *features), key, label, features, params or DEFAULTS, block_rows)}
 
 
 def applied(bundle: dict, d: DataFrame, name: str = "score") -> DataFrame:
@@ -322,6 +330,7 @@ def permutation_importance(bundle: dict, d: DataFrame, label: str, key: str, rep
 def grid_search(d: DataFrame, key: str, label: str, group: str, features: list[str], grid: list[dict] | None = None, folds: int = 5) -> DataFrame:
     """Average precision of each configuration on each fold of whole groups: ``(config, part, average_precision)``; ``config`` is its JSON."""
     grid = configurations() if grid is None else grid
+    d = measured(d, key, group, label, *features)
     parts = {str(f): F.when(fold_of(F.col(group), folds) == f, TEST).otherwise(TRAIN) for f in range(folds)}
     runs = [{"config": json.dumps(c, sort_keys=True), "part": p, "features": features, "params": DEFAULTS | c} for c in grid for p in parts]
     return average_precision(experiments(d, key, label, features, runs, parts), "score", "label", ["config", "part"])

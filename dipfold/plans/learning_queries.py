@@ -107,13 +107,13 @@ FAMILIES = {"all": FEATURES, "three": ["depth", "snr", "length"], "two": ["lines
 def training_rows(spark, d):
     """Labelled documents with five measurements, some of them missing."""
     docs = table(spark, d, "documents")
+    number = lambda chars: F.regexp_count("text", F.lit(chars))
     words = F.regexp_count("text", F.lit(r"\S+")).cast("double")
-    marks = F.length("text") - F.length(F.translate("text", "!|#$%&*", ""))
+    marks = number("[!|#$%&*]")
     f = docs.select(
         "doc_id", F.when(words > 60, words).alias("length"), (marks / F.length("text")).alias("depth"),
         F.when(F.col("doc_id") % 3 > 0, F.length("text") - F.length(F.lower("text")) + words / F.length("text")).alias("snr"),
-        (F.length("text") - F.length(F.translate("text", "\n", ""))).cast("double").alias("lines"),
-        ((F.length("text") - F.length(F.translate("text", "0123456789", ""))) / F.length("text")).alias("digits"),
+        number("\n").cast("double").alias("lines"), (number("[0-9]") / F.length("text")).alias("digits"),
     )
     return table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")).join(f, "doc_id")
 

@@ -62,15 +62,32 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def tenths_text(x: Column, signed: bool = False) -> Column:
+    """A number with one digit, as C prints it: the double's exact value counts, exact ties go to the even digit (Java rounds up, and rounds the
+    shortest decimals). NULL stays NULL. From 1e18 on, digits are Java's.
+    """
+    x = x.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole  # exact
+    tenths = 8 * part + 2 * part
+    lost = 2 * part - (tenths - 8 * part)  # ten times the part is exactly tenths + lost
+    tie = (tenths - F.floor(tenths) == 0.5) & (lost != 0)
+    digit = F.when(tie, F.floor(tenths) + (lost > 0).cast("int")).otherwise(F.rint(tenths).cast("long"))
+    text = F.concat((whole + F.floor(digit / 10)).cast("string"), F.lit("."), (digit % 10).cast("string"))
+    text = F.when(F.isnan(x), "nan").when(size == float("inf"), "inf").when(size >= 1e18, F.format_string("%.1f", size)).otherwise(text)
+    return F.when(x.isNotNull(), F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise("+" if signed else ""), text))
+
+
 def share_text(part: Column, whole: Column) -> Column:
     """``x/n (p%)``, without a percentage when n is zero."""
     plain = F.format_string("%d/%d", part, whole)
-    return F.when(whole == 0, plain).otherwise(F.format_string("%d/%d (%.1f%%)", part, whole, part * 100.0 / whole))
+    return F.when(whole == 0, plain).otherwise(F.concat(plain, F.lit(" ("), tenths_text(part * 100.0 / F.nullif(whole, F.lit(0))), F.lit("%)")))
 
 
 def percent_text(share: Column, signed: bool = False) -> Column:
     """A share as a percentage with one digit, with its sign if asked."""
-    return F.format_string("%+.1f%%" if signed else "%.1f%%", share * 100)
+    return F.concat(tenths_text(share * 100, signed), F.lit("%"))
 
 
 def thousands_text(n: Column) -> Column:

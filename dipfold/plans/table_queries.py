@@ -241,7 +241,8 @@ def finite_test(spark, d):
 @query("SELECT s_suppkey, printf('%.1f%%', s_acctbal / 100) AS percent, printf('%+.1f%%', s_acctbal / 100) AS signed, format('{:,}', CAST(trunc(s_acctbal * 1000) AS BIGINT)) AS thousands FROM supplier")
 def number_formats(spark, d):
     a = F.col("s_acctbal")
-    return table(spark, d, "supplier").select("s_suppkey", X.percent_text(a / 10_000).alias("percent"), X.percent_text(a / 10_000, signed=True).alias("signed"), X.thousands_text((a * 1000).cast("long")).alias("thousands"))
+    percent = lambda signed: F.concat(X.tenths_text(a / 100, signed), F.lit("%"))
+    return table(spark, d, "supplier").select("s_suppkey", percent(False).alias("percent"), percent(True).alias("signed"), X.thousands_text((a * 1000).cast("long")).alias("thousands"))
 
 
 @query(

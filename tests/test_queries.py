@@ -22,6 +22,17 @@ def test_runs(spark, small, name):
     assert registry.QUERIES[name](spark, small).count() > 0
 
 
+def test_number_formats_of_ties_and_missing_values(spark, tmp_path):
+    """Balances whose percentage ends in 5, exact in binary or not, negative, zero and missing ones."""
+    con = duck("/root/testdata/sf0.001")
+    cents = "SELECT k AS s_suppkey, 's' AS s_name, 1 AS s_nationkey, CASE WHEN k % 997 > 0 THEN (k * 5 - 30000) / 1.0::DOUBLE + (k % 3) / 100 END AS s_acctbal FROM (SELECT unnest(generate_series(1, 12000)) AS k)"
+    con.execute(f"COPY ({cents}) TO '{tmp_path}/supplier.parquet' (FORMAT parquet)")
+    query, sql = registry.QUERIES["number_formats"], registry.ORACLES["number_formats"]
+    want = {r[0]: r[1:] for r in con.execute(sql.replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet'")).fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in query(spark, str(tmp_path)).collect()}
+    assert got == want
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 

@@ -102,15 +102,20 @@ def quantiles(d: DataFrame, value: str, by: list[str], points: dict[str, float])
     return g.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
 
 
+def in_band(d: DataFrame, band: Column, value: str) -> DataFrame:
+    """``(band, value)`` of the rows in a band, written down: counts and quantiles are both made from it."""
+    return X.kept(d.select(band.alias("band"), value).where("band IS NOT NULL"))
+
+
 def banded(d: DataFrame, band: Column, value: str) -> DataFrame:
     """Count, median and 90th percentile of a value by band; rows outside all bands are dropped."""
-    d = d.withColumn("band", band).where("band IS NOT NULL")
+    d = in_band(d, band, value)
     return with_quantiles(d, ["band"], [F.count("*").alias("n")], {"median": (F.col(value), 0.5), "p90_abs": (F.abs(value), 0.9)})
 
 
 def banded_spread(d: DataFrame, band: Column, value: str) -> DataFrame:
     """Count, signed and absolute median, spread between the quartiles and 90th percentile of a value by band."""
-    d, v = d.withColumn("band", band).where("band IS NOT NULL"), F.col(value)
+    d, v = in_band(d, band, value), F.col(value)
     wanted = {"median": (v, 0.5), "median_abs": (F.abs(v), 0.5), "_q1": (v, 0.25), "_q3": (v, 0.75), "p90_abs": (F.abs(v), 0.9)}
     g = with_quantiles(d, ["band"], [F.count("*").alias("n")], wanted)
     return g.withColumn("iqr", F.col("_q3") - F.col("_q1")).drop("_q1", "_q3")
@@ -120,20 +125,21 @@ def histogram(d: DataFrame, value: Column, edges: list[float]) -> DataFrame:
     return d.withColumn("bin", X.in_bands(value, edges, "left")).where("bin IS NOT NULL").groupBy("bin").agg(F.count("*").alias("n"))
 
 
-def average_ranks(d: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """``(by, value, name)``: the rank of each distinct value, ties at their mean.
+def average_ranks(d: DataFrame, value: str, by: list[str], name: str, weight: Column | None = None) -> DataFrame:
+    """``(by, value, name)``: the rank of each distinct value, ties at their mean; a row counts ``weight`` times.
 
     Only distinct values with their counts are ranked, range by range, so neither a value that very many rows share nor a group with most
     of the rows makes one task's work.
     """
-    n = d.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    n = d.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(F.lit(1) if weight is None else weight).alias("_n"))
     return sums_below(n, value, by, ["_n"]).select(*by, value, (F.col("below__n") + (F.col("_n") + 1) / 2.0).alias(name))
 
 
 def spearman(d: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     r = d.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    pairs = r.groupBy(*by, a, b).agg(F.count("*").alias("_w"))
-    pairs = pairs.join(average_ranks(r, a, by, "_ra"), [*by, a]).join(average_ranks(r, b, by, "_rb"), [*by, b])
+    # written down, so that what lies before is worked out once: both ranks are counted from the pairs
+    pairs = X.kept(r.groupBy(*by, a, b).agg(F.count("*").alias("_w")))
+    pairs = pairs.join(average_ranks(pairs, a, by, "_ra", F.col("_w")), [*by, a]).join(average_ranks(pairs, b, by, "_rb", F.col("_w")), [*by, b])
     # sums of whole numbers (twice the ranks) are exact in any order
     x, y, w = (2 * F.col("_ra")).cast("decimal(12,0)"), (2 * F.col("_rb")).cast("decimal(12,0)"), F.col("_w").cast("decimal(12,0)")
     sums = (("sx", w * x), ("sy", w * y), ("sxx", w * x * x), ("syy", w * y * y), ("sxy", w * x * y))

@@ -37,8 +37,14 @@ def attempts(spark, d):
     )
 
 
-def ok(spark, d):
-    return reports.successes(reports.latest(attempts(spark, d)))
+def ok(spark, d, *columns):
+    """The latest attempts that succeeded; with ``columns`` only these are carried along."""
+    a = attempts(spark, d)
+    return reports.successes(reports.latest(a.select("kepoi_name", "attempt_seq", "error_kind", *columns) if columns else a))
+
+
+ERROR = ("depth", "koi_depth_ppm")
+OCCUPANCY = (*ERROR, "local_points_per_bin_median")
 
 
 def rounded(df, *columns):
@@ -88,7 +94,7 @@ def report_cadence_mixing(spark, d):
   count_if(abs(e) <= .25) AS within_25, count_if(depth < 0) AS negative, max(depth) AS deepest FROM err"""
 )
 def report_depth_agreement(spark, d):
-    return rounded(reports.depth_agreement(ok(spark, d)), "median_signed", "mean_signed", "median_abs")
+    return rounded(reports.depth_agreement(ok(spark, d, *ERROR)), "median_signed", "mean_signed", "median_abs")
 
 
 @query(W + " SELECT kepoi_name, depth, koi_depth_ppm, abs(depth - koi_depth_ppm / 1e6) / depth < .5 AS catalogue_agrees FROM ok WHERE depth > .9")
@@ -104,17 +110,17 @@ SELECT band, count(*) AS n, round(median(e), 6) + 0.0 AS median, round(quantile_
 
 @query(band_sql("koi_depth_ppm", reports.DEPTH_BANDS))
 def report_depth_bands(spark, d):
-    return rounded(reports.error_by_band(ok(spark, d), F.col("koi_depth_ppm"), reports.DEPTH_BANDS), "median", "p90_abs")
+    return rounded(reports.error_by_band(ok(spark, d, *ERROR), F.col("koi_depth_ppm"), reports.DEPTH_BANDS), "median", "p90_abs")
 
 
 @query(band_sql("duration_over_period", reports.RATIO_BANDS))
 def report_ratio_bands(spark, d):
-    return rounded(reports.error_by_band(ok(spark, d), F.col("duration_over_period"), reports.RATIO_BANDS), "median", "p90_abs")
+    return rounded(reports.error_by_band(ok(spark, d, *ERROR, "duration_over_period"), F.col("duration_over_period"), reports.RATIO_BANDS), "median", "p90_abs")
 
 
 @query(band_sql("local_points_per_bin_median", reports.OCCUPANCY_BANDS))
 def report_occupancy_bias(spark, d):
-    return rounded(reports.occupancy_bias(ok(spark, d)), "median", "p90_abs")
+    return rounded(reports.occupancy_bias(ok(spark, d, *OCCUPANCY)), "median", "p90_abs")
 
 
 @query(
@@ -177,7 +183,7 @@ def report_masked_fraction(spark, d):
   FROM err WHERE local_points_per_bin_median IS NOT NULL) SELECT round(corr(a, b), 5) AS rho, count(*) AS n FROM r"""
 )
 def report_occupancy_correlation(spark, d):
-    return reports.error_rank_correlation(ok(spark, d), "local_points_per_bin_median").withColumn("rho", F.round("rho", 5))
+    return reports.error_rank_correlation(ok(spark, d, *OCCUPANCY), "local_points_per_bin_median").withColumn("rho", F.round("rho", 5))
 
 
 @query(
@@ -201,17 +207,17 @@ SPREAD = ("median", "median_abs", "p90_abs", "iqr")
 
 @query(spread_sql("koi_impact", reports.IMPACT_BANDS))
 def report_impact_bias(spark, d):
-    return rounded(reports.impact_bias(ok(spark, d)), *SPREAD)
+    return rounded(reports.impact_bias(ok(spark, d, *ERROR, "koi_impact")), *SPREAD)
 
 
 @query(spread_sql("local_points_per_bin_median", reports.BIAS_BANDS))
 def report_sparse_bias(spark, d):
-    return rounded(reports.sparse_bias(ok(spark, d)), *SPREAD)
+    return rounded(reports.sparse_bias(ok(spark, d, *OCCUPANCY)), *SPREAD)
 
 
 @query(spread_sql("local_points_per_bin_median", reports.BUCKETS))
 def report_occupancy_buckets(spark, d):
-    return rounded(reports.occupancy_buckets(ok(spark, d)), *SPREAD)
+    return rounded(reports.occupancy_buckets(ok(spark, d, *OCCUPANCY)), *SPREAD)
 
 
 @query(
@@ -222,7 +228,7 @@ def report_occupancy_buckets(spark, d):
     )
 )
 def report_sparse_against_rest(spark, d):
-    return rounded(reports.sparse_against_rest(ok(spark, d)), "median_below", "median_rest", "delta")
+    return rounded(reports.sparse_against_rest(ok(spark, d, *OCCUPANCY)), "median_below", "median_rest", "delta")
 
 
 @query(
@@ -241,13 +247,13 @@ def rank_sql(value: str, where: str) -> str:
 @query(rank_sql("local_points_per_bin_median", "local_points_per_bin_median > 1"))
 def report_correlation_without_sparse(spark, d):
     """Rank correlation of the absolute error with the occupancy, without the rows at one point a bin or fewer."""
-    out = reports.error_rank_correlation(ok(spark, d), "local_points_per_bin_median", absolute=True, positive=True, above=1.0)
+    out = reports.error_rank_correlation(ok(spark, d, *OCCUPANCY), "local_points_per_bin_median", absolute=True, positive=True, above=1.0)
     return out.withColumn("rho", F.round("rho", 5))
 
 
 @query(rank_sql("koi_impact", "true"))
 def report_impact_correlation(spark, d):
-    out = reports.error_rank_correlation(ok(spark, d), "koi_impact", absolute=True, positive=True)
+    out = reports.error_rank_correlation(ok(spark, d, *ERROR, "koi_impact"), "koi_impact", absolute=True, positive=True)
     return out.withColumn("rho", F.round("rho", 5))
 
 

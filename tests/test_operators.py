@@ -553,6 +553,20 @@ def test_measurements_are_worked_out_once(spark):
     assert read.value == 300
 
 
+def test_ranks_and_bands_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    d = spark.range(200).select((F.col("id") % 7).alias("g"), (F.col("id") % 40).cast("double").alias("a"), (F.col("id") * 13 % 50).cast("double").alias("b"))
+    d = d.mapInArrow(counted, d.schema)
+    assert stats.spearman(d, "a", "b", []).collect()[0].n == 200 == read.value
+    assert sum(r.n for r in stats.banded_spread(d, X.in_bands(F.col("g"), [-1, 3, 6]), "a").collect()) == 200 and read.value == 400
+
+
 def test_experiments_keep_stars_apart_and_their_metrics_hold(spark):
     rng = np.random.default_rng(4)
     rows = [(i, i // 3, float(a), None if i % 5 == 0 else float(b), int(a + 0.5 * b > 0)) for i, (a, b) in enumerate(rng.normal(size=(600, 2)))]

@@ -10,6 +10,9 @@ them up and finds the splits, for all fits at once; the driver holds trees, neve
 nothing to add up between blocks: the same waves then run where the block lies, and fits are dealt over the tasks. There rows of the same bins are one
 cell with its numbers of rows, and of two children the larger one's sums are its parent's less its sibling's. Gradients and hessians are whole
 multiples of a small grain (:func:`grain_of`), so all these sums are exact in any order. Both ways fit all rows and give the same trees.
+
+A few fits over many blocks do not wait for a job a wave either: once a node has no more rows than a block, its rows meet by ``groupBy(fit, node)`` and
+what the waves below it would ask for is answered there (:class:`Below`). The tree is still grown by the same waves, of which most then need no job.
 """
 
 from __future__ import annotations
@@ -29,8 +32,12 @@ BINS = 255
 LEAST_HESSIAN = 1e-3
 #: Rows of one block, about 100 bytes each while a fit runs; a fit of no more rows than that needs no sums over blocks.
 BLOCK_ROWS = 1 << 21
+#: Rows that one task of a wave reads: blocks of a table of many are dealt over more tasks, each of which sums its own.
+TASK_ROWS = 1 << 16
 #: Rounds after which the rows' margins are written down, so that no job goes through more trees than that.
 SETTLED_ROUNDS = 8
+#: Fits of one call up to which rows of small nodes are brought together; more fits share the jobs of their waves, and their rows would be moved for each.
+FEW_RUNS = 4
 #: Parts of a split, as codes.
 TRAIN, TEST, UNUSED = 0, 1, 2
 
@@ -126,6 +133,15 @@ def splits(sums: np.ndarray, least: int, l2: float) -> list[tuple | None]:
     return out
 
 
+def rows_of(sums: np.ndarray, found: tuple | None) -> list[int]:
+    """Numbers of rows left and right of the best split of one node, given its sums."""
+    if not found:
+        return []
+    _, f, b, low, _, _ = found
+    left = int(sums[2, f, : b + 1].sum() + (sums[2, f, BINS] if low else 0))
+    return [left, int(sums[2, f].sum()) - left]
+
+
 class Growing:
     """One tree that grows best leaf first, and what it has to know next.
 
@@ -185,10 +201,11 @@ class Growing:
             place = new
         return place
 
-    def slots(self, place: np.ndarray) -> np.ndarray:
-        """The number of each row's node among the wanted ones, -1 elsewhere."""
+    def slots(self, place: np.ndarray, nodes: list[int] | None = None) -> np.ndarray:
+        """The number of each row's node among the wanted ones (or ``nodes``), -1 elsewhere."""
+        nodes = self.wanted if nodes is None else nodes
         number = np.full(len(self.feature), -1)
-        number[self.wanted] = np.arange(len(self.wanted))
+        number[nodes] = np.arange(len(nodes))
         return number[place]
 
     def values(self) -> np.ndarray:
@@ -250,6 +267,61 @@ def sums_of(columns: list[np.ndarray], own: np.ndarray, g: np.ndarray, h: np.nda
     return out
 
 
+def grow(tree: Growing, columns: list[np.ndarray], g: np.ndarray, h: np.ndarray, n: np.ndarray) -> dict[int, np.ndarray]:
+    """Grow ``tree`` over cells that lie in one place; the cells of each node that was not split."""
+    members = {0: np.arange(len(n))}
+    sums = {0: sums_of(columns, members[0], g, h, n)}
+    while tree.wanted:
+        tree.tell(dict(zip(tree.wanted, splits(np.stack([sums[k] for k in tree.wanted], axis=1), tree.least, tree.l2), strict=True)))
+        for k in tree.inner:
+            if k not in members or tree.left[k] in members:
+                continue
+            own, left, right = members.pop(k), tree.left[k], tree.right[k]
+            bins = columns[tree.feature[k]][own]
+            goes = (bins <= tree.at[k]) | (bins == BINS) if tree.low[k] else bins <= tree.at[k]
+            members[left], members[right] = own[goes], own[~goes]
+            small, large = (left, right) if len(members[left]) <= len(members[right]) else (right, left)
+            sums[small] = sums_of(columns, members[small], g, h, n)
+            sums[large] = sums.pop(k) - sums[small]
+    return members
+
+
+class Below:
+    """Best splits of the nodes of one growing tree that are known before its waves ask for them.
+
+    ``at`` has for a node the answers that came with the rows of a node above it (or its own), and its number among them; the tree's splits lead from one
+    to the next. What is not known is asked for by a job. ``rows`` are the numbers of rows of nodes, where a job told them.
+    """
+
+    def __init__(self, tree: Growing, rows: int):
+        self.tree, self.rows, self.sides = tree, {0: rows}, {}
+        self.at: dict[int, tuple[list, int]] = {}
+
+    def put(self, node: int, found: list) -> None:
+        """``found`` are ``[best, left, right]`` of the nodes of the tree below ``node``, itself first."""
+        self.at[node] = (found, 0)
+
+    def told(self, node: int, sides: list[int]) -> None:
+        """Numbers of rows of the two children that a node will have if it is split."""
+        self.sides[node] = sides
+
+    def follow(self) -> None:
+        """What is known of the children of nodes that were split since."""
+        for k in self.tree.inner:
+            children = (self.tree.left[k], self.tree.right[k])
+            if k in self.at:
+                found, own = self.at[k]
+                self.at.update({child: (found, there) for child, there in zip(children, found[own][1:], strict=True) if there >= 0})
+            else:
+                self.rows.update(zip(children, self.sides[k], strict=True))
+
+    def take(self) -> dict[int, tuple | None] | None:
+        """The answers of all wanted nodes, None if one is not known."""
+        if any(k not in self.at for k in self.tree.wanted):
+            return None
+        return {k: self.at[k][0][self.at[k][1]][0] for k in self.tree.wanted}
+
+
 def start_of(share: float) -> float:
     share = min(max(share, 1e-9), 1 - 1e-9)
     return float(np.log(share / (1 - share)))
@@ -271,20 +343,8 @@ def fit_block(
     for _ in range(rounds):
         p, h = derivatives(margin, grain)
         g, h = n * p - up, n * h
-        tree, members = Growing(leaves, least, l2, rate), {0: np.arange(len(cells))}
-        sums = {0: sums_of(columns, members[0], g, h, n)}
-        while tree.wanted:
-            tree.tell(dict(zip(tree.wanted, splits(np.stack([sums[k] for k in tree.wanted], axis=1), least, l2), strict=True)))
-            for k in tree.inner:
-                if k not in members or tree.left[k] in members:
-                    continue
-                own, left, right = members.pop(k), tree.left[k], tree.right[k]
-                bins = columns[tree.feature[k]][own]
-                goes = (bins <= tree.at[k]) | (bins == BINS) if tree.low[k] else bins <= tree.at[k]
-                members[left], members[right] = own[goes], own[~goes]
-                small, large = (left, right) if len(members[left]) <= len(members[right]) else (right, left)
-                sums[small] = sums_of(columns, members[small], g, h, n)
-                sums[large] = sums.pop(k) - sums[small]
+        tree = Growing(leaves, least, l2, rate)
+        members = grow(tree, columns, g, h, n)
         if not tree.inner:
             break
         trees.append(tree.nodes())
@@ -399,6 +459,14 @@ def _in_one_block(rows: DataFrame, runs: list[dict], width: int, splits_: int, m
     return each.groupBy("run").applyInArrow(work, RUN if models else SCORES)
 
 
+SENT = "run int, node int, sums binary, codes binary, grads binary"
+
+
+def _sent(run: list, node: list, sums: list, codes: list, grads: list) -> pa.RecordBatch:
+    cols = [pa.array(run, pa.int32()), pa.array(node, pa.int32()), *(pa.array(c, pa.binary()) for c in (sums, codes, grads))]
+    return pa.RecordBatch.from_arrays(cols, ["run", "node", "sums", "codes", "grads"])
+
+
 def _margins(batch: pa.RecordBatch, codes: np.ndarray, runs: list[dict], pending: list[list]) -> np.ndarray:
     """The margins of a batch of rows for each run: what was written down, and what the trees since then add."""
     out = _bytes(batch, "margins", np.float64, len(runs)).copy()
@@ -411,16 +479,16 @@ def _margins(batch: pa.RecordBatch, codes: np.ndarray, runs: list[dict], pending
 class _Over:
     """All runs over rows of many blocks: a table of rows with their margins, and the trees that have been added since it was written."""
 
-    def __init__(self, rows: DataFrame, runs: list[dict], width: int, splits_: int):
-        self.runs, self.width, self.splits = runs, width, splits_
-        self.starts, self.grains = self._starts(rows)
+    def __init__(self, rows: DataFrame, runs: list[dict], width: int, splits_: int, block_rows: int):
+        self.runs, self.width, self.splits, self.block_rows = runs, width, splits_, block_rows
+        self.starts, self.grains, self.sizes = self._starts(rows)
         at = b"".join(np.float64(s).tobytes() for s in self.starts)
         self.rows = X.kept(rows.withColumn("margins", F.lit(bytearray(at))))
         self.pending: list[list] = [[] for _ in runs]
         self.trees: list[list] = [[] for _ in runs]
 
-    def _starts(self, rows: DataFrame) -> tuple[list[float], list[float]]:
-        """The log odds and the grain of each run's TRAIN rows: labels are counted by split."""
+    def _starts(self, rows: DataFrame) -> tuple[list[float], list[float], list[int]]:
+        """The log odds, the grain and the number of each run's TRAIN rows: labels are counted by split."""
         width = self.splits
 
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -433,38 +501,70 @@ class _Over:
 
         found = {r.part: r for r in rows.mapInArrow(work, "part int, n long, up long").groupBy("part").agg(F.sum("n").alias("n"), F.sum("up").alias("up")).collect()}
         share = lambda p: found[p].up / found[p].n if p in found and found[p].n else 0.5
-        return [start_of(share(r["part"])) for r in self.runs], [grain_of(found[r["part"]].n if r["part"] in found else 0) for r in self.runs]
+        sizes = [found[r["part"]].n if r["part"] in found else 0 for r in self.runs]
+        return [start_of(share(r["part"])) for r in self.runs], [grain_of(n) for n in sizes], sizes
+
+    def wave(self, growing: dict[int, Below]) -> dict[int, dict[int, tuple | None]]:
+        """The best splits of all wanted nodes of all runs: histograms by block, added up by one ``groupBy(run, node)``.
 
-    def wave(self, growing: dict[int, Growing]) -> dict[int, dict[int, tuple]]:
-        """The best splits of all wanted nodes of all runs: histograms by block, added up by one ``groupBy(run, node)``."""
+        Of few runs, nodes of no more rows than a block send their rows instead, and the answers below them come back with theirs.
+        """
         runs, width, splits_, pending, grains = self.runs, self.width, self.splits, self.pending, self.grains
+        trees = {k: b.tree for k, b in growing.items()}
+        small = {k: [n for n in b.tree.wanted if n in b.at or len(runs) <= FEW_RUNS and b.rows.get(n, self.block_rows + 1) <= self.block_rows] for k, b in growing.items()}
+        large = {k: [n for n in t.wanted if n not in small[k]] for k, t in trees.items()}
+        gathered = {k: [n for n in nodes if n not in growing[k].at] for k, nodes in small.items()}
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[int, np.ndarray] = {}
             for batch in batches:
                 codes, part = _bytes(batch, "codes", np.uint8, width), _bytes(batch, "parts", np.uint8, splits_)
                 at, y = _margins(batch, codes, runs, pending), batch.column("y").to_numpy().astype(float)
-                for k, tree in growing.items():
+                for k, tree in trees.items():
                     use = np.flatnonzero(part[:, runs[k]["part"]] == TRAIN)
                     mine = codes[use][:, runs[k]["columns"]]
                     p, h = derivatives(at[use, k], grains[k])
-                    found = histograms(mine, tree.slots(tree.placed(mine)), p - y[use], h, len(tree.wanted))
-                    sums[k] = sums[k] + found if k in sums else found
+                    g, place = p - y[use], tree.placed(mine)
+                    if large[k]:
+                        found = histograms(mine, tree.slots(place, large[k]), g, h, len(large[k]))
+                        sums[k] = sums[k] + found if k in sums else found
+                    for node in gathered[k]:
+                        here = np.flatnonzero(place == node)
+                        if len(here):
+                            yield _sent([k], [node], [None], [mine[here].tobytes()], [np.stack([g[here], h[here]]).tobytes()])
             for k, found in sums.items():
-                nodes = growing[k].wanted
-                cols = [pa.array(np.full(len(nodes), k, np.int32)), pa.array(nodes, pa.int32()), pa.array([found[:, s].tobytes() for s in range(len(nodes))], pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, ["run", "node", "sums"])
+                nodes = large[k]
+                yield _sent([k] * len(nodes), nodes, [found[:, s].tobytes() for s in range(len(nodes))], [None] * len(nodes), [None] * len(nodes))
 
         def best(g: pa.Table) -> pa.Table:
-            run, node, job = g["run"][0].as_py(), g["node"][0].as_py(), runs[g["run"][0].as_py()]
-            shape = (3, 1, len(job["columns"]), BINS + 1)
-            found = splits(sum(np.frombuffer(s.as_py(), float).reshape(shape) for s in g["sums"]), job["params"]["least"], job["params"]["l2"])[0]
-            return pa.table([pa.array([run], pa.int32()), pa.array([node], pa.int32()), pa.array([json.dumps(found)])], ["run", "node", "best"])
-
-        found: dict[int, dict[int, tuple]] = {k: {} for k in growing}
-        blocks = self.rows.mapInArrow(own, "run int, node int, sums binary")
-        for r in blocks.groupBy("run", "node").applyInArrow(best, "run int, node int, best string").collect():  # a split for each wanted node
-            found[r.run][r.node] = json.loads(r.best)
+            run, node = g["run"][0].as_py(), g["node"][0].as_py()
+            job = runs[run]
+            params = {p: v for p, v in job["params"].items() if p != "rounds"}
+            if g["sums"][0].is_valid:
+                shape = (3, 1, len(job["columns"]), BINS + 1)
+                all_ = sum(np.frombuffer(s.as_py(), float).reshape(shape) for s in g["sums"])
+                found = splits(all_, params["least"], params["l2"])[0]
+                said = {"best": found, "rows": rows_of(all_[:, 0], found)}
+            else:
+                codes = np.frombuffer(b"".join(g["codes"].to_pylist()), np.uint8).reshape(-1, len(job["columns"]))
+                grads = np.concatenate([np.frombuffer(b, float).reshape(2, -1) for b in g["grads"].to_pylist()], axis=1)
+                tree = Growing(**params)
+                grow(tree, [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])], *grads, np.ones(len(codes)))
+                said = {"below": [[tree.best[k], tree.left[k], tree.right[k]] for k in range(len(tree.feature))]}
+            return pa.table([pa.array([run], pa.int32()), pa.array([node], pa.int32()), pa.array([json.dumps(said)])], ["run", "node", "said"])
+
+        found: dict[int, dict[int, tuple | None]] = {k: {} for k in growing}
+        blocks = self.rows.mapInArrow(own, SENT)
+        for r in blocks.groupBy("run", "node").applyInArrow(best, "run int, node int, said string").collect():  # splits of each wanted node, a tree's at most
+            said = json.loads(r.said)
+            if "below" in said:
+                growing[r.run].put(r.node, said["below"])
+            else:
+                found[r.run][r.node] = said["best"]
+                growing[r.run].told(r.node, said["rows"])
+        for k, nodes in small.items():
+            at = growing[k].at
+            found[k] |= {n: at[n][0][at[n][1]][0] for n in nodes if n in at}
         return found
 
     def settle(self) -> None:
@@ -484,10 +584,13 @@ class _Over:
         for n in range(max(r["params"]["rounds"] for r in self.runs)):
             left = {k for k in left if n < self.runs[k]["params"]["rounds"]}
             trees = {k: Growing(**{p: v for p, v in self.runs[k]["params"].items() if p != "rounds"}) for k in left}
-            while growing := {k: t for k, t in trees.items() if t.wanted}:
-                found = self.wave(growing)
-                for k, t in growing.items():
-                    t.tell(found[k])
+            below = {k: Below(t, self.sizes[k]) for k, t in trees.items()}
+            while growing := {k: b for k, b in below.items() if b.tree.wanted}:
+                asked = {k: b for k, b in growing.items() if b.take() is None}
+                found = self.wave(asked) if asked else {}
+                for k, b in growing.items():
+                    b.tree.tell(found[k] if k in found else b.take())
+                    b.follow()
             left = {k for k in left if trees[k].inner}
             for k in left:
                 self.pending[k].append(trees[k].nodes())
@@ -516,7 +619,7 @@ def _prepared(d: DataFrame, key: str, label: str, features: list[str], parts: li
     edges = edges_of(d.where(F.col(label).isNotNull()), features)
     rows = X.kept(coded(d, key, label, features, parts, edges))
     n = rows.count()
-    return rows if n <= block_rows else rows.repartition(-(-n // block_rows)), edges, n <= block_rows
+    return rows if n <= block_rows else rows.repartition(-(-n // min(block_rows, TASK_ROWS))), edges, n <= block_rows
 
 
 def scores(d: DataFrame, key: str, label: str, features: list[str], runs: list[dict], parts: list[Column], block_rows: int = BLOCK_ROWS, settled: int = SETTLED_ROUNDS) -> DataFrame:
@@ -528,7 +631,7 @@ def scores(d: DataFrame, key: str, label: str, features: list[str], runs: list[d
     rows, _, one = _prepared(d, key, label, features, parts, block_rows)
     if one:
         return _in_one_block(rows, runs, len(features), len(parts), models=False)
-    over = _Over(rows, runs, len(features), len(parts))
+    over = _Over(rows, runs, len(features), len(parts), block_rows)
     over.fit(settled)
     return over.scores()
 
@@ -541,7 +644,7 @@ def model(d: DataFrame, key: str, label: str, features: list[str], params: dict,
         found = _in_one_block(rows, runs, len(features), 1, models=True).collect()  # one model
         start, trees = (found[0].start, json.loads(found[0].trees)) if found else (start_of(0.5), [])
     else:
-        over = _Over(rows, runs, len(features), 1)
+        over = _Over(rows, runs, len(features), 1, block_rows)
         over.fit(settled)
         start, trees = over.starts[0], over.trees[0]
     return {"start": start, "edges": edges, "trees": trees}

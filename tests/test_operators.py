@@ -539,6 +539,21 @@ def test_a_table_of_some_hundred_thousand_rows_needs_no_wave_over_blocks(spark,
     assert len(boosting.model(d, "id", "label", ["a"], params)["trees"]) == 2
 
 
+@pytest.mark.parametrize(("block", "jobs"), [(1600, 2), (400, 7)])
+def test_a_fit_over_blocks_needs_a_job_a_wave_only_for_nodes_larger_than_a_block(spark, monkeypatch, block, jobs):
+    """The tree of 24 leaves is that of one block, also with missing values; its waves below nodes of at most a block need one job."""
+    rng = np.random.default_rng(9)
+    a, b = rng.random(3000), rng.random(3000)
+    y = (a > 0.5) ^ (np.sin(9 * a) * np.cos(7 * b) + rng.normal(size=3000) / 3 > 0.4)
+    rows = [(i, float(a[i]), None if i % 11 == 0 else float(b[i]), int(y[i])) for i in range(3000)]
+    d = spark.createDataFrame(rows, "id long, a double, b double, label int")
+    params, asked, wave = {"rounds": 2, "rate": 0.3, "leaves": 24, "least": 20, "l2": 0.5}, [], boosting._Over.wave
+    monkeypatch.setattr(boosting._Over, "wave", lambda self, growing: asked.append(1) or wave(self, growing))
+    one, many = (boosting.model(d, "id", "label", ["a", "b"], params, size, settled=1) for size in (3000, block))
+    assert many == one and len(one["trees"]) == 2 and all(len(nodes) > 30 for nodes in one["trees"])
+    assert 2 <= len(asked) <= 2 * jobs
+
+
 def test_measurements_are_worked_out_once(spark):
     read = spark.sparkContext.accumulator(0)
 
